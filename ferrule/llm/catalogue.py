@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, mix
 
 
 def queries():
-    return {"op5_decontaminate": decontaminate.op5_decontaminate}
+    return {
+        "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op6_mix_sources": mix.op6_mix_sources,
+    }
 
 
 def oracle_sql():
-    return {"op5_decontaminate": decontaminate.OP5_SQL}
+    return {
+        "op5_decontaminate": decontaminate.OP5_SQL,
+        "op6_mix_sources": mix.OP6_SQL,
+    }
