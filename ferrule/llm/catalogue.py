@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mix
+from . import decontaminate, mix, pii
 
 
 def queries():
     return {
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_mix_sources": mix.op6_mix_sources,
+        "op8_personal_data": pii.op8_personal_data,
     }
 
 
