@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mix, pii
+from . import decontaminate, language, mix, pii
 
 
 def queries():
     return {
+        "op3_language": language.op3_language,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_mix_sources": mix.op6_mix_sources,
         "op8_personal_data": pii.op8_personal_data,
