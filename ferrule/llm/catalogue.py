@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mix, pii
+from . import decontaminate, extract, language, mix, pii
 
 
 def queries():
     return {
+        "op2_main_text": extract.op2_main_text,
         "op3_language": language.op3_language,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_mix_sources": mix.op6_mix_sources,
