@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, language, mix, pii
+from . import decontaminate, extract, language, mix, neighbours, pii
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_mix_sources": mix.op6_mix_sources,
         "op8_personal_data": pii.op8_personal_data,
+        "op10_neighbours": neighbours.op10_neighbours,
     }
 
 
