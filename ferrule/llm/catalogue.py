@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, language, mix, neighbours, pii
+from . import decontaminate, extract, language, mix, neardup, neighbours, pii
 
 
 def queries():
     return {
+        "op1_near_duplicates": neardup.op1_near_duplicates,
         "op2_main_text": extract.op2_main_text,
         "op3_language": language.op3_language,
         "op5_decontaminate": decontaminate.op5_decontaminate,
@@ -18,6 +19,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_near_duplicates": neardup.OP1_SQL,
         "op5_decontaminate": decontaminate.OP5_SQL,
         "op6_mix_sources": mix.OP6_SQL,
     }
