@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, language, mix, neardup, neighbours, pii
+from . import decontaminate, extract, language, mix, neardup, neighbours, pii, suffixes
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_near_duplicates": neardup.op1_near_duplicates,
         "op2_main_text": extract.op2_main_text,
         "op3_language": language.op3_language,
+        "op4_repeated_passages": suffixes.op4_repeated_passages,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_mix_sources": mix.op6_mix_sources,
         "op8_personal_data": pii.op8_personal_data,
