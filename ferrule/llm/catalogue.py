@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, language, mix, neardup, neighbours, pii, suffixes
+from . import decontaminate, extract, language, mix, neardup, neighbours, pii, secrets, suffixes
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_repeated_passages": suffixes.op4_repeated_passages,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_mix_sources": mix.op6_mix_sources,
+        "op7_secrets": secrets.op7_secrets,
         "op8_personal_data": pii.op8_personal_data,
         "op10_neighbours": neighbours.op10_neighbours,
     }
