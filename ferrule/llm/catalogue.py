@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, language, mix, neardup, neighbours, pii, secrets, suffixes
+import corpus_pipeline
+
+from . import decontaminate, extract, language, licenses, mix, neardup, neighbours, pii, secrets, suffixes
 
 
 def queries():
@@ -15,7 +17,9 @@ def queries():
         "op6_mix_sources": mix.op6_mix_sources,
         "op7_secrets": secrets.op7_secrets,
         "op8_personal_data": pii.op8_personal_data,
+        "op9_licenses": licenses.op9_licenses,
         "op10_neighbours": neighbours.op10_neighbours,
+        "pipeline": corpus_pipeline.run,
     }
 
 
