@@ -47,8 +47,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, repeat
     """(source, n_rows, source_size) with ``target``: the budget shared by weight, capped at ``repeats`` sizes.
 
     Water filling in closed form: in order of cap over weight, a source is capped when
-    its cap over weight is at most the level that the rest of the budget would give it
-    and those after it.  One row a source, so the windows are as small as the list of sources.
+    that ratio is at most the level that the rest of the budget would give it
+    and those after it; the level of the first that is not capped (the highest of those)
+    is everyone's.  One row a source, so the windows are as small as the list of sources.
     """
     by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     by_ratio = Window.partitionBy(F.lit(0)).orderBy("ratio", F.col("source").isNull(), F.col("source").cast("binary"))
@@ -65,7 +66,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, repeat
         .withColumn("left", F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("level", F.col("left") / F.sum("weight").over(after))
         .withColumn("capped", F.col("ratio") <= F.col("level"))
-        .withColumn("final", F.min(F.when(~F.col("capped"), F.col("level"))).over(everything))
+        .withColumn("final", F.max(F.when(~F.col("capped"), F.col("level"))).over(everything))
         .withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * F.col("final")))
         .select("source", "n_rows", "source_size", "target", "budget")
     )
@@ -176,7 +177,7 @@ l AS (
   FROM r WINDOW o AS (ORDER BY ratio, source IS NULL, encode(source))),
 t AS (
   SELECT *, CASE WHEN ratio <= level THEN cap
-                 ELSE weight * min(CASE WHEN ratio > level THEN level END) OVER () END AS target FROM l),
+                 ELSE weight * max(CASE WHEN ratio > level THEN level END) OVER () END AS target FROM l),
 q AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.budget,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest ROWS UNBOUNDED PRECEDING) - d.size / 2.0::DOUBLE AS middle
