@@ -1 +1,10 @@
-"""ferrule: evidence retrieval and corpus processing on PySpark DataFrames."""
+"""ferrule: evidence retrieval and corpus processing on PySpark DataFrames.
+
+Functions travel to the executors by value, so a cluster needs no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,15 +1,509 @@
-"""Registered queries of the retrieval engine and their SQL counterparts."""
+"""Registered queries of the retrieval engine over the driver's tables.
+
+Each entry applies an operator to whole tables and flattens its result; scores are whole
+millionths.  ``catalogue_sql`` holds the DuckDB counterparts.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import EngineConfig
+from ..functions import text as fx
+from ..functions.vectors import hash_embeddings, hashed_weights, sparse_weights
+from ..operators import access, casebook, chunking, context, dense, fusion, lexical, reports, selection
+from ..sources import store
+from ..sources.documents import parse_frontmatter, with_defaults
+from .catalogue_sql import SQL
+from .engine import HybridEngine
+
+#: Day of the access checks, and the scopes of the asker.
+TODAY, SCOPES = 20260607, ("internal", "public")
+IDENTITY = "local:local-hash-embedding"
+
+# Own literal fixtures: terms, dates and documents in Chinese and English.
+TOKEN_LITERALS = ("跨境订单退款多久到账？", "SKU-A17 是否支持无理由退货？", "用户 可以 的", "refund Refund policy")
+DAY_LITERALS = ("2026-06-07", "", "2026/01/31", "20251231", "soon", "2026-1-1")
+GOLDEN_DOCS = (
+    "---\ndoc_id: refunds\ntitle: 退款规则\npermission_scope: internal\n---\n\n# 退款规则\n\n## 跨境订单退款\n\n"
+    "跨境订单退款要经过平台审核和渠道确认。审核通过后，到账时间通常为 7 到 15 个工作日。\n\n## 特殊商品退款\n\n"
+    "SKU-A17 属于定制商品，不支持 7 天无理由退款。\n",
+    "---\ndoc_id: members\ntitle: 会员规则\npermission_scope: internal\n---\n\n# 会员规则\n\n## 积分\n\n会员积分可以兑换优惠券，积分不能提现，也不能转赠。\n",
+    "---\ndoc_id: finance\ntitle: 财务差异\npermission_scope: finance_restricted\n---\n\n## 差异工单\n\nFR-21 差异工单由财务共享中心处理。\n",
+)
+GOLDEN_QUERIES = (("q1", "跨境订单退款多久到账？"), ("q2", "SKU-A17 是否支持无理由退货？"), ("q3", "会员积分可以提现吗？"), ("q4", "今天北京天气怎么样？"), ("q5", "FR-21 差异工单怎么处理？"))
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, d) -> DataFrame:
+    return _read(spark, d, "documents").select("doc_id", "text", "lang", "source")
+
+
+def _terms(spark, d) -> DataFrame:
+    return _docs(spark, d).select("doc_id", fx.tokenize("text").alias("terms"))
+
+
+def _queries(spark, d) -> DataFrame:
+    return _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _access(spark, d) -> DataFrame:
+    """Documents with scopes and validity derived from their ids, the same way as in the SQL."""
+    k = F.col("doc_id")
+    scope = (
+        F.when(k % 5 == 0, "public").when(k % 5 == 1, "internal").when(k % 5 == 2, "internal, partner_support").when(k % 5 == 3, "finance_restricted").otherwise("")
+    )
+    rows = _docs(spark, d).select(
+        "doc_id",
+        "text",
+        scope.alias("permission_scope"),
+        F.when(k % 7 == 0, "2027-01-01").otherwise("").alias("effective_from"),
+        F.when(k % 11 == 0, "2026-01-31").otherwise("").alias("effective_to"),
+    )
+    return access.with_access_columns(rows)
+
+
+def _scored(df: DataFrame, *extra: str) -> DataFrame:
+    return df.select("query_id", "doc_id", "rank", lexical.score_key().alias("score_key"), *extra)
+
+
+# ------------------------------------------------------------------ text and vectors
+
+
+def tokenize_terms(spark, d):
+    rows = _terms(spark, d)
+    return rows.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.sha2(F.array_join("terms", " "), 256).alias("terms_sha256"))
+
+
+def tokenize_literals(spark, d):
+    rows = spark.createDataFrame(list(enumerate(TOKEN_LITERALS)), "id long, q string")
+    return rows.select("id", F.array_join(fx.tokenize("q"), " ").alias("terms"))
+
+
+def term_stats(spark, d):
+    index = lexical.postings(_terms(spark, d), "doc_id")
+    return index.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
+def corpus_stats(spark, d):
+    return lexical.corpus_statistics(_terms(spark, d)).select("n_rows", F.round(F.col("mean_length") * 1e6).cast("long").alias("mean_length_key"))
+
+
+def hash_embedding(spark, d):
+    rows = _terms(spark, d).select("doc_id", F.explode("terms").alias("term"))
+    return hashed_weights(rows, ["doc_id"]).select("doc_id", F.col("idx").cast("long").alias("idx"), F.round(F.col("weight") * 1e6).cast("long").alias("weight_key"))
+
+
+def sparse_vector(spark, d):
+    return sparse_weights(_terms(spark, d).select("doc_id", F.explode("terms").alias("term")), ["doc_id"])
+
+
+def content_hash(spark, d):
+    return _docs(spark, d).select("doc_id", fx.content_hash("text", F.lit(IDENTITY), 1024).alias("content_hash"))
+
+
+def normalize_text(spark, d):
+    rough = F.concat(F.lit(" \t"), F.regexp_replace("text", "\n", "\r\n\r\n\r\n"), F.lit("\r\n "))
+    rows = _docs(spark, d).select("doc_id", fx.normalize_text(rough).alias("t"))
+    return rows.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("text_sha256"))
+
+
+def scalar_text(spark, d):
+    rows = _docs(spark, d)
+    listed = F.concat("source", F.lit("， "), "lang", F.lit(";"), "lang", F.lit(" x"))
+    titled = F.concat(F.lit("  Über "), "source", F.lit(" / "), "lang", F.lit(" .. "))
+    return rows.select(
+        "doc_id",
+        F.array_join(F.array_sort(fx.split_values(listed)), "|").alias("split"),
+        fx.slugify(titled).alias("slug"),
+        fx.path_slug(titled).alias("path_slug"),
+        fx.clean_text(F.concat(F.lit("\t a \n"), "source", F.lit("  b "))).alias("clean"),
+        fx.embedding_identity(F.concat(F.lit(" LOCAL"), "lang"), F.concat(F.lit(" "), "source")).alias("identity"),
+        fx.token_count("text").cast("long").alias("token_count"),
+    )
+
+
+def sortable_day(spark, d):
+    rows = spark.createDataFrame(list(enumerate(DAY_LITERALS)), "id long, v string")
+    return rows.select("id", fx.sortable_day("v", 99991231).cast("long").alias("day"))
+
+
+# ------------------------------------------------------------------ access
+
+
+def access_reasons(spark, d):
+    return _access(spark, d).select("doc_id", access.reason(SCOPES, TODAY).alias("reason"))
+
+
+def access_counts(spark, d):
+    return access.reason_counts(access_reasons(spark, d))
+
+
+def visible_docs(spark, d):
+    return _access(spark, d).where(access.visible(SCOPES, TODAY)).select("doc_id", F.array_join("scopes", ",").alias("scopes"), F.col("from_day").cast("long").alias("from_day"), F.col("to_day").cast("long").alias("to_day"))
+
+
+def access_store_split(spark, d):
+    return access.store_split(_access(spark, d), SCOPES, TODAY).select("doc_id", "part")
+
+
+def access_remote_split(spark, d):
+    return access.remote_split(_access(spark, d), SCOPES, TODAY).select("doc_id", "part")
+
+
+def blocked_matches(spark, d):
+    hidden = _access(spark, d).where(~access.scope_allowed(SCOPES)).select(F.col("doc_id").alias("chunk_id"), "doc_id", fx.tokenize("text").alias("terms"))
+    found = access.blocked_matches(_queries(spark, d), hidden)
+    return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "n_matched", F.round(F.col("overlap_ratio") * 1e4).cast("long").alias("ratio_key"), F.array_join("matched_terms", " ").alias("matched_terms"))
+
+
+def blocked_recall(spark, d):
+    hidden = _access(spark, d).where(access.permission_blocked(SCOPES, TODAY)).select("doc_id")
+    rows = _terms(spark, d)
+    return _scored(lexical.sparse_idf(_queries(spark, d), rows, 5, "doc_id", among=hidden))
+
+
+# ------------------------------------------------------------------ recall and fusion
+
+
+def bm25_topk(spark, d, k=12):
+    rows = _terms(spark, d)
+    return _scored(lexical.bm25(_queries(spark, d), lexical.postings(rows, "doc_id"), lexical.corpus_statistics(rows), k, "plain", "doc_id"))
+
+
+def bm25_fts5_topk(spark, d):
+    rows = _terms(spark, d)
+    seen = _access(spark, d).where(access.visible(SCOPES, TODAY)).select("doc_id")
+    found = lexical.bm25(_queries(spark, d), lexical.postings(rows, "doc_id"), lexical.corpus_statistics(rows), 12, "fts5", "doc_id", among=seen)
+    return _scored(found)
+
+
+def sparse_idf_topk(spark, d):
+    return _scored(lexical.sparse_idf(_queries(spark, d), _terms(spark, d), 12, "doc_id"))
+
+
+def _hash_route(spark, d):
+    rows = hash_embeddings(_terms(spark, d).withColumnRenamed("doc_id", "key"), "key", "terms", 1024)
+    asked = hash_embeddings(_queries(spark, d).select("query_id", fx.tokenize("query").alias("terms")), "query_id", "terms", 1024)
+    return dense.dense_topk(asked, rows, 12).withColumnRenamed("key", "doc_id")
+
+
+def hash_dense_topk(spark, d):
+    return _scored(_hash_route(spark, d))
+
+
+def _vectors(spark, d):
+    rows = _read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    return rows.where(F.col("key") % 100 == 0).withColumnRenamed("key", "query_id"), rows
+
+
+def dense_topk(spark, d):
+    found = dense.dense_topk(*_vectors(spark, d), 12)
+    return found.select("query_id", F.col("key").alias("vec_id"), "rank", lexical.score_key().alias("score_key"))
+
+
+def cosine_topk_minscore(spark, d):
+    found = dense.dense_topk(*_vectors(spark, d), 4, normalised=True, min_score=0.25)
+    return found.select("query_id", F.col("key").alias("vec_id"), "rank", lexical.score_key().alias("score_key"))
+
+
+def _lexical(spark, d):
+    rows = _terms(spark, d)
+    return lexical.bm25(_queries(spark, d), lexical.postings(rows, "doc_id"), lexical.corpus_statistics(rows), 12, "plain", "doc_id")
+
+
+def _fused(spark, d):
+    return fusion.rrf_fuse(_hash_route(spark, d), _lexical(spark, d), key="doc_id")
+
+
+def rrf_fused(spark, d):
+    return _fused(spark, d).select("query_id", "doc_id", "dense_rank", "bm25_rank", lexical.score_key("rrf_score").alias("rrf_key"))
+
+
+def rerank_skip(spark, d):
+    found = fusion.skip_rerank(_fused(spark, d), key="doc_id")
+    return found.select("query_id", "doc_id", "rank", lexical.score_key("rerank_score").alias("score_key"), "reason")
+
+
+def _model(fused):
+    """A stand-in for a model's scores that SQL can compute as well."""
+    value = F.pmod(F.col("doc_id") * 7919 + F.col("query_id") * 104729, F.lit(1000)) / 1000.0
+    return fused.select("query_id", "doc_id", value.alias("model_score"))
+
+
+def _reranked(spark, d):
+    return fusion.rerank_or_skip(_fused(spark, d), _model, "stand-in", key="doc_id")
+
+
+def rerank_scores(spark, d):
+    return _reranked(spark, d).select("query_id", "doc_id", "rank", lexical.score_key("rerank_score").alias("score_key"), "reason")
+
+
+def rerank_response(spark, d):
+    rows = _read(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("index"), F.length("text").alias("n"))
+    got = rows.where("n % 3 <> 0").select("request_id", "index", (F.col("n") / 1000.0).alias("relevance_score"))
+    found = fusion.sorted_results(fusion.parse_scores(got, rows))
+    return found.select("request_id", "index", "rank", lexical.score_key().alias("score_key"))
+
+
+# ------------------------------------------------------------------ selection
+
+
+def _mmr(spark, d):
+    asked, rows = _vectors(spark, d)
+    near = dense.dense_topk(asked, rows, 12).withColumnRenamed("score", "rerank_score").join(rows, "key")
+    return selection.mmr(near.withColumn("chunk_id", F.col("key").cast("string")), 8, 0.65, 0.3)
+
+
+def mmr_selected(spark, d):
+    return _mmr(spark, d).where("mmr_rank IS NOT NULL").select("query_id", "chunk_id", "mmr_rank", lexical.score_key("mmr_score").alias("mmr_key"))
+
+
+def mmr_dropped(spark, d):
+    return _mmr(spark, d).where("dropped").select("query_id", "chunk_id", "duplicate_of")
+
+
+def _truncated(spark, d):
+    rows = _reranked(spark, d).withColumn("expanded_tokens", (F.col("doc_id") % 300 + 20).cast("int"))
+    return selection.truncate(rows, "rank")
+
+
+def dynamic_truncate(spark, d):
+    return _truncated(spark, d).select("query_id", "doc_id", "position", "running_tokens", "selected")
+
+
+def hydrate(spark, d):
+    ids = bm25_topk(spark, d).select("doc_id")
+    return selection.hydrate(ids, _docs(spark, d), "doc_id").select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"))
+
+
+# ------------------------------------------------------------------ chunking
+
+
+def _line_chunks(spark, d):
+    """Documents' chunks with a line as a paragraph, as ``chunk_id, parent_id, doc_id, chunk_no, text, token_count``."""
+    sections = _docs(spark, d).select("doc_id", F.concat("source", F.lit(":"), "doc_id").alias("parent_id"), F.array("source").alias("title_path"), fx.normalize_text("text").alias("text"))
+    return chunking.section_chunks(sections, delimiter="\n")
+
+
+def section_split(spark, d):
+    docs = _docs(spark, d).select("doc_id", F.col("source").alias("title"), F.regexp_replace("text", "\n", "\n## ").alias("body"))
+    return chunking.split_sections(docs).select("doc_id", F.col("section_no").cast("long").alias("section_no"), "parent_id", F.sha2("section_title", 256).alias("title_sha256"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def chunk_fold(spark, d):
+    return _line_chunks(spark, d).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def chunk_rows(spark, d):
+    return _line_chunks(spark, d).select("chunk_id", "parent_id", "doc_id", F.col("token_count").cast("long").alias("token_count"), F.size("terms").cast("long").alias("n_terms"))
+
+
+def plain_chunks(spark, d):
+    rows = chunking.plain_chunks(_docs(spark, d).select("source", fx.normalize_text("text").alias("text"), "doc_id"), "doc_id", "text", delimiter="\n")
+    return rows.select("chunk_id", F.col("position").cast("long").alias("position"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def parent_expand(spark, d):
+    chunks = _line_chunks(spark, d)
+    last = chunks.groupBy("parent_id").agg(F.max_by(F.struct("chunk_id", "text", "token_count"), "chunk_no").alias("c")).select("parent_id", "c.*")
+    found = selection.expand(last, chunks)
+    return found.select("chunk_id", F.array_join("expanded_ids", ",").alias("expanded_ids"), F.col("expanded_tokens").cast("long").alias("expanded_tokens"), F.sha2("expanded_text", 256).alias("text_sha256"))
+
+
+def siblings(spark, d):
+    chunks = _line_chunks(spark, d)
+    asked = chunks.select("parent_id").unionByName(_docs(spark, d).select(F.concat(F.lit("none:"), "doc_id").alias("parent_id")))
+    found = selection.siblings(asked, chunks)
+    return found.select("parent_id", F.size("siblings").cast("long").alias("n"), F.array_join(F.transform("siblings", lambda s: s["chunk_id"]), ",").alias("ids"))
+
+
+# ------------------------------------------------------------------ index upkeep
+
+
+def _versions(spark, d):
+    """The corpus as stored, and as it is now: some texts changed, some gone, some new."""
+    old = _docs(spark, d).select("doc_id", "text").withColumn("content_hash", fx.content_hash("text", F.lit(IDENTITY), 1024))
+    k = F.col("doc_id")
+    now = old.where(k % 13 != 0).withColumn("text", F.when(k % 9 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    new = old.where(k % 17 == 0).withColumn("doc_id", k + 1_000_000_000)
+    now = now.unionByName(new).withColumn("content_hash", fx.content_hash("text", F.lit(IDENTITY), 1024))
+    return old, now
+
+
+def sync_diff(spark, d):
+    old, now = _versions(spark, d)
+    return store.diff(now, old)
+
+
+def upsert_merge(spark, d):
+    old, now = _versions(spark, d)
+    changed = now.join(store.diff(now, old).where("change IN ('added', 'changed')"), "doc_id", "left_semi")
+    return store.upsert(old, changed).select("doc_id", "content_hash")
+
+
+def delete_docs(spark, d):
+    old, now = _versions(spark, d)
+    return store.delete(old, store.diff(now, old).where("change = 'removed'")).select("doc_id", "content_hash")
+
+
+def manifest_first(spark, d):
+    rows = _line_chunks(spark, d).withColumns({"source_path": F.concat("parent_id", F.lit("/"), "chunk_no"), "content_hash": F.sha2("text", 256), "embedding_model": F.lit(IDENTITY)})
+    return reports.first_per_document(rows).select("doc_id", "source_path", "content_hash")
+
+
+# ------------------------------------------------------------------ context, answers, reports
+
+
+def _selected(spark, d):
+    rows = _truncated(spark, d).where("selected")
+    docs = _docs(spark, d).select("doc_id", "text", "source", fx.tokenize("text").alias("terms"))
+    return context.evidence(rows.join(docs, "doc_id"))
+
+
+def _judged(spark, d, selected=None):
+    selected = _selected(spark, d) if selected is None else selected
+    hidden = _access(spark, d).where(~access.scope_allowed(SCOPES)).select(F.col("doc_id").alias("chunk_id"), "doc_id", fx.tokenize("text").alias("terms"))
+    queries = _queries(spark, d)
+    return context.sufficiency(context.coverage(queries, selected), access.blocked_matches(queries, hidden))
+
+
+def sufficiency(spark, d):
+    return _judged(spark, d).select("query_id", F.round(F.col("coverage") * 1e6).cast("long").alias("coverage_key"), "n_selected", "reason", "enough")
+
+
+def sufficiency_rrf_only(spark, d):
+    rows = fusion.skip_rerank(_fused(spark, d), key="doc_id").where("rank <= 5").join(_terms(spark, d), "doc_id")
+    judged = context.sufficiency(context.coverage(_queries(spark, d), rows, rrf_only=True), rrf_only=True)
+    return judged.select("query_id", F.round(F.col("coverage") * 1e6).cast("long").alias("coverage_key"), "n_lexical", "reason", "enough")
+
+
+def context_evidence(spark, d):
+    return _selected(spark, d).select("query_id", "doc_id", "citation_id", "evidence_role", F.col("expanded_tokens").cast("long").alias("tokens"))
+
+
+def extractive_answer(spark, d):
+    selected = _selected(spark, d)
+    found = context.extractive_answers(_queries(spark, d), _judged(spark, d, selected), selected)
+    return found.select("query_id", "mode", F.sha2("answer", 256).alias("answer_sha256"), F.array_join("citations", ",").alias("citations"))
+
+
+def citation_validation(spark, d):
+    said = _read(spark, d, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("role")), " ").alias("roles"))
+    answer = F.concat("roles", F.lit(" [E"), "n", F.lit("] and [E1] [E1] [x]"))
+    answers = said.select("query_id", answer.alias("answer"), F.array().cast("array<string>").alias("citations"))
+    cited = said.select("query_id", F.explode(F.array(F.lit("E1"), F.lit("E2"), F.lit("E4"))).alias("citation_id"))
+    found = context.validate_citations(answers, cited)
+    return found.select("query_id", F.array_join("used", ",").alias("used"), F.array_join("missing", ",").alias("missing"), "citation_valid")
+
+
+def prompts(spark, d):
+    selected = _selected(spark, d).withColumns({"chunk_id": F.col("doc_id").cast("string"), "parent_id": F.col("doc_id").cast("string"), "title_path": F.array("source"), "source_path": F.col("source"), "version": F.lit("v1"), "expanded_text": F.col("text")})
+    found = context.prompts(context.context_packets(_queries(spark, d), _judged(spark, d, selected), selected))
+    return found.select("query_id", F.length("prompt").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+def numbered_context(spark, d):
+    found = bm25_topk(spark, d, 3).join(_docs(spark, d), "doc_id")
+    rows = found.select("query_id", F.col("rank").cast("int").alias("rank"), "source", F.col("doc_id").cast("int").alias("position"), F.col("score_key").cast("double").alias("score"), F.substring("text", 1, 200).alias("text"))
+    return context.numbered_context(rows).select("query_id", F.sha2("context", 256).alias("context_sha256"))
+
+
+def result_summary(spark, d):
+    found = bm25_topk(spark, d, 5).join(_docs(spark, d), "doc_id").withColumns({"score": F.floor("score_key").cast("double"), "title_path": F.array("source", "lang")})
+    return fusion.summarise(found.withColumn("chunk_id", F.col("doc_id").cast("string"))).select("query_id", "rank", "chunk_id", "title_path", F.col("score").cast("long").alias("score"))
+
+
+def casebook_render(spark, d):
+    rows = _read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    talk = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")
+    qa = F.concat(F.lit('{"knowledge":[{"customer_summary_question":"Case '), "conv_id", F.lit('","agent_summary_solution":" Done  twice "}]}'))
+    k = F.col("conv_id")
+    cases = rows.select(
+        "conv_id",
+        F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("Area "), k % 4)).alias("issue_area"),
+        F.when(k % 3 == 0, "").otherwise("Category  x").alias("issue_category"),
+        F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("Sub "), k)).alias("issue_sub_category"),
+        F.lit("Goods").alias("product_category"), F.lit(None).cast("string").alias("product_sub_category"), F.lit("low").alias("issue_complexity"),
+        talk.alias("conversation"),
+        F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.lit("no json here")).otherwise(qa).alias("qa"),
+    )
+    docs = casebook.render_documents(casebook.numbered(cases, "conv_id"), "row_no")
+    return docs.select("filename", "doc_id", "title", F.sha2("content", 256).alias("content_sha256"))
+
+
+def _relevant(spark, d):
+    """Documents that hold a benchmark item word for word: the stated queries against all rows."""
+    docs = _docs(spark, d)
+    return docs.join(F.broadcast(_queries(spark, d)), F.contains("text", "query")).select("query_id", "doc_id").distinct()
+
+
+def retrieval_metrics(spark, d):
+    found = reports.retrieval_metrics(bm25_topk(spark, d), _relevant(spark, d), 5)
+    return found.select("n_queries", "n_hit", F.round(F.col("mrr") * 1e6).cast("long").alias("mrr_key"))
+
+
+def eval_report(spark, d):
+    selected = _selected(spark, d)
+    answers = context.extractive_answers(_queries(spark, d), _judged(spark, d, selected), selected)
+    expected = _relevant(spark, d).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    cases = _queries(spark, d).join(expected, "query_id", "left").select(
+        F.concat(F.lit("case"), "query_id").alias("case_id"), "query_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("expected_doc_id"),
+        F.when(F.col("query_id") % 4 == 0, "False").otherwise("TRUE").alias("must_answer"), F.substring("query", 1, 3).alias("expected_terms"),
+    )
+    return reports.evaluate(cases, answers, selected).select("case_id", "passed")
+
+
+def monitoring_event(spark, d):
+    found = bm25_topk(spark, d, 5).groupBy("query_id").agg(F.count("*").alias("bm25_hits"), F.collect_list(F.col("doc_id").cast("string")).alias("doc_ids"))
+    traces = _queries(spark, d).join(found, "query_id", "left").withColumns({"reason": F.when(F.col("query_id") % 3 == 0, "permission_denied").otherwise("pass"), "doc_ids": F.coalesce("doc_ids", F.array().cast("array<string>"))})
+    events = reports.monitoring_events(traces)
+    return events.select("query_id", "status", "query_hash", F.col("query_chars").cast("long").alias("query_chars"), "permission_denied", "bm25_hits", F.col("selected_count").cast("long").alias("selected_count"), F.array_join("selected_doc_ids", ",").alias("selected_doc_ids"))
+
+
+def monitoring_rollup(spark, d):
+    events = _read(spark, d, "events")
+    found = reports.roll_up(events, "ts", ["event_type"], "value")
+    return found.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round(F.col("total") * 100).cast("long").alias("total_key"), F.round(F.col("most") * 1e6).cast("long").alias("most_key"))
+
+
+def fallback_summary(spark, d):
+    rows = _read(spark, d, "nation").select(F.col("n_name").alias("component"), (F.col("n_nationkey") % 3 == 0).alias("fallback_used"), F.lit("local").alias("mode"), F.lit(None).cast("string").alias("reason"), F.lit("").alias("error"), F.when(F.col("n_nationkey") % 2 == 0, 3).alias("attempts"))
+    return reports.fallbacks(rows)
+
+
+def hybrid_golden(spark, d):
+    """The whole engine on literal documents: five questions, one of them out of domain and one not permitted."""
+    raw = spark.createDataFrame([(f"f{i}", f"f{i}", t) for i, t in enumerate(GOLDEN_DOCS)], "source_path string, name string, raw_text string")
+    chunks = store.build_chunks(with_defaults(parse_frontmatter(raw)))
+    queries = spark.createDataFrame(GOLDEN_QUERIES, "query_id string, query string")
+    done = HybridEngine(chunks, EngineConfig(lexical="plain")).run(queries, SCOPES, TODAY, blocked_hint=True)
+    out = done.answers.join(done.judged.select("query_id", "reason"), "query_id").join(done.validation.select("query_id", "citation_valid"), "query_id")
+    return out.select("query_id", "mode", "reason", "answer", F.array_join("citations", ",").alias("citations"), "citation_valid")
+
+
+_QUERIES = (
+    tokenize_terms, tokenize_literals, term_stats, corpus_stats, hash_embedding, sparse_vector, content_hash, normalize_text, scalar_text, sortable_day,
+    access_reasons, access_counts, visible_docs, access_store_split, access_remote_split, blocked_matches, blocked_recall,
+    bm25_topk, bm25_fts5_topk, sparse_idf_topk, hash_dense_topk, dense_topk, cosine_topk_minscore, rrf_fused, rerank_skip, rerank_scores, rerank_response,
+    mmr_selected, mmr_dropped, dynamic_truncate, hydrate, section_split, chunk_fold, chunk_rows, plain_chunks, parent_expand, siblings,
+    sync_diff, upsert_merge, delete_docs, manifest_first, sufficiency, sufficiency_rrf_only, context_evidence, extractive_answer, citation_validation,
+    prompts, numbered_context, result_summary, casebook_render, retrieval_metrics, eval_report, monitoring_event, monitoring_rollup, fallback_summary,
+    hybrid_golden,
+)
+
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rrf_fused(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
