@@ -143,7 +143,10 @@ class IndexStore:
             self._write("postings", postings(self.chunks()).join(doc_ids, "chunk_id"), None)
             changes = docs.select("doc_id", F.lit("added").alias("change"))
         else:
-            changes = diff(docs, self.manifest()).where("change <> 'same'").cache()
+            # written first: the tables it is derived from are about to change
+            written = f"{self.path}/_snapshot/changes-{uuid.uuid4().hex}"
+            diff(docs, self.manifest()).where("change <> 'same'").write.parquet(written)
+            changes = self.spark.read.parquet(written)
             if not changes.isEmpty():
                 fresh = docs.join(changes.where("change <> 'removed'").select("doc_id"), "doc_id", "left_semi")
                 chunks = build_chunks(fresh, self.config)
