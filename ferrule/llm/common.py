@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -79,7 +80,10 @@ def map_texts(
     """
     names = {n for n, _ in added}
     passed = [c for c in (df.columns if keep is None else keep) if c not in names]
-    source = df.select(*[f"`{c}`" for c in passed], df[column].cast("string").alias("__text"))
+    free = "__text"
+    while free in passed:
+        free += "_"
+    source = df.select(*[F.col(f"`{c}`") for c in passed], F.col(f"`{column}`").cast("string").alias(free))
     schema = T.StructType([source.schema[c] for c in passed] + [T.StructField(n, t) for n, t in added])
     kinds = to_arrow_schema(schema)
 

@@ -304,7 +304,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = materialise(sketch(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size), "sketches")
     named = docs.where("digest IS NOT NULL AND doc_id IS NOT NULL")
@@ -319,7 +319,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int =
     stars = keys.join(crowded, "key").where("rep <> pivot").select("pivot", "rep").distinct()
     stars = materialise(stars, "stars")
     heads = stars.groupBy("pivot").agg(F.count("*").alias("n"))
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    n_blocks = F.ceil(F.col("n") / block).cast("long")
     placed = stars.join(heads, "pivot").select(F.col("pivot").alias("g"), F.pmod(F.xxhash64("rep"), n_blocks).alias("h"), "rep", n_blocks.alias("blocks"))
     pivots = heads.select(F.col("pivot").alias("g"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("h"), F.col("pivot").alias("rep"))
     facts = classes.select("rep", "n_shingles", "signature")
@@ -334,7 +334,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int =
     found = components(links)
 
     if not large.isEmpty():
-        links = links.unionByName(_across_blocks(large, found, facts, texts, size, similarity))
+        links = links.unionByName(_across_blocks(large, found, facts, texts, size, similarity, block))
         found = components(materialise(links, "links"))
 
     ends = classes.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left")
@@ -344,7 +344,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int =
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across_blocks(large: DataFrame, found: DataFrame, facts: DataFrame, texts: DataFrame, size: int, similarity: int) -> DataFrame:
+def _across_blocks(large: DataFrame, found: DataFrame, facts: DataFrame, texts: DataFrame, size: int, similarity: int, block: int) -> DataFrame:
     """Confirmed links between blocks of a group, for members that are not in one component yet.
 
     A group's most frequent component is settled within itself, so only pairs with a
@@ -359,12 +359,12 @@ def _across_blocks(large: DataFrame, found: DataFrame, facts: DataFrame, texts:
     rows = rows.join(main, "g").withColumn("outside", F.col("comp") != F.col("main"))
     n_out = rows.groupBy("g").agg(F.count(F.when(F.col("outside"), 1)).alias("n_out"))
     rows = rows.join(n_out, "g")
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    n_loose = F.ceil(F.col("n_out") / BLOCK).cast("long")
-    block, loose = F.pmod(F.xxhash64("rep"), n_blocks), F.pmod(F.xxhash64("rep", F.lit(1)), n_loose)
+    n_blocks = F.ceil(F.col("n") / block).cast("long")
+    n_loose = F.ceil(F.col("n_out") / block).cast("long")
+    place, loose = F.pmod(F.xxhash64("rep"), n_blocks), F.pmod(F.xxhash64("rep", F.lit(1)), n_loose)
     pair = lambda i, j: i * n_blocks + j
     left = rows.where("outside").select("g", "rep", "comp", F.lit(0).cast("long").alias("side"), F.explode(F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: pair(loose, j))).alias("h"))
-    right = rows.select("g", "rep", "comp", F.lit(1).cast("long").alias("side"), F.explode(F.transform(F.sequence(F.lit(0), n_loose - 1), lambda i: pair(i, block))).alias("h"))
+    right = rows.select("g", "rep", "comp", F.lit(1).cast("long").alias("side"), F.explode(F.transform(F.sequence(F.lit(0), n_loose - 1), lambda i: pair(i, place))).alias("h"))
     members = materialise(_screen(left.unionByName(right).join(facts, "rep"), similarity), "members")
     return _confirm(members, texts, size, similarity)
 
