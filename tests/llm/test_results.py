@@ -1,0 +1,293 @@
+"""Operators against brute force, exact round trips and held-out accuracy on small fixtures."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from ferrule.llm import common, decontaminate, extract, language, licenses, mix, neardup, neighbours, pii, secrets, suffixes
+
+
+def prose(r, n, vocabulary=400):
+    return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(n))
+
+
+def corpus(seed=1, n=120):
+    """Documents with near copies of many degrees, shared passages and exact copies."""
+    r = random.Random(seed)
+    texts = [prose(r, r.randrange(1, 90)) for _ in range(n)]
+    base = prose(r, 60)
+    for k in range(60):
+        words = base.split()
+        for _ in range(k % 12):
+            words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    passage = prose(r, 30, 50)
+    texts += [prose(r, 20) + " " + passage + " " + prose(r, r.randrange(1, 20)) for _ in range(15)]
+    texts += [texts[3], texts[130].upper(), texts[5] + "\n", "é" * 40 + passage, ""]
+    r.shuffle(texts)
+    return list(enumerate(texts, 1))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_duplicates_equal_brute_force(spark, block):
+    rows = corpus()
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a in sets:
+        for b in sets:
+            common_ = len(sets[a] & sets[b])
+            if a < b and common_ and 100 * common_ >= 80 * (len(sets[a]) + len(sets[b]) - common_):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows), 4, block=block).collect()}
+    assert got == {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+
+
+def test_components_of_long_chains(spark):
+    chain = [(i, i + 1) for i in range(1, 200)] + [(500, 400), (400, 450)]
+    random.Random(2).shuffle(chain)
+    got = {r.node: r.component for r in neardup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert {got[i] for i in range(2, 201)} == {1} and got[450] == got[500] == 400
+
+
+def test_variants_meet_within_one_error_a_chunk():
+    r = np.random.default_rng(0)
+    a = r.integers(0, 2**16, (1, neardup.HASHES), dtype=np.uint16)
+    b = a.copy()
+    places = r.permutation(neardup.HASHES)[: neardup.THRESHOLD]
+    b[0, places] ^= 1
+    assert set(neardup.variants(a)[0]) & set(neardup.variants(b)[0])
+
+
+@pytest.mark.parametrize(("slice_bytes", "rank_rows", "piece"), [(2_000_000, 400_000, 24_000_000), (500, 40, 900)])
+def test_repeats_equal_brute_force(spark, monkeypatch, slice_bytes, rank_rows, piece):
+    monkeypatch.setattr(common, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(suffixes, "RANK_ROWS", rank_rows)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", piece)
+    r = random.Random(4)
+    rows = corpus(7, 60)
+    rows += [(1000 + k, "ab" * 40 + "é" * k) for k in range(5)] + [(2000, "x" * 49), (2001, "x" * 49), (2002, "y" * 50), (2003, "zzz" + "y" * 50 + "q")]
+    r.shuffle(rows)
+    seen, want = {}, {}
+    for i, t in sorted(rows):
+        b = t.encode()
+        marks = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if seen.setdefault(b[p : p + 50], i) < i:
+                marks[p : p + 50] = b"\1" * 50
+        kept = bytes(c for c, m in zip(b, marks, strict=True) if not m)
+        want[i] = (len(b), sum(marks), len(re.findall(b"\1+", bytes(marks))), hashlib.sha256(kept).hexdigest())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.remove_repeats(frame(spark, rows)).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("slice_bytes", [16_000_000, 300])
+def test_contamination_equals_brute_force(spark, slice_bytes):
+    r = random.Random(5)
+    vocabulary = 12
+    items = [(k, prose(r, r.choice([1, 3, 9, 10, 11, 25]), vocabulary)) for k in range(12)] + [(None, "q1 q2 q3"), (90, ""), (91, None)]
+    docs = [(k, prose(r, r.randrange(0, 80), vocabulary)) for k in range(40)] + [(100, "Q1-q2, Q3!"), (101, items[5][1]), (102, None)]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    fold = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    want = {}
+    for i, t in docs:
+        w, hit, found = fold(t), set(), set()
+        for item, text in items:
+            iw = fold(text)
+            n = min(10, len(iw))
+            windows = {tuple(iw[k : k + n]) for k in range(len(iw) - n + 1)} if n else set()
+            for k in range(len(w)):
+                if n and tuple(w[k : k + n]) in windows:
+                    hit |= set(range(k, k + n))
+                    found |= {str(item)} if item is not None else set()
+        want[i] = (len(w), len(hit), sorted(found))
+    got = decontaminate.find_contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), slice_bytes=slice_bytes)
+    assert {r.doc_id: (r.n_words, sum(r.hits), r["items"]) for r in got.collect()} == want
+
+
+def test_mix_comes_near_targets_and_agrees_with_itself(spark):
+    r = random.Random(6)
+    sources = ["b", "a", "é", None, "c", "big"]
+    rows = [(k, prose(r, r.randrange(0, 60)), r.choice(sources[:-1] + ["big"] * 6)) for k in range(2_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for cell_rows in (2_000, 20):
+        out = mix.mix(docs.repartition(5), keep=("doc_id", "source"), cell_rows=cell_rows).collect()
+        size, target, taken = {}, {}, {}
+        for x in out:
+            size[x.source] = size.get(x.source, 0) + x["size"]
+            target[x.source] = x.target
+            taken[x.source] = taken.get(x.source, 0) + x.taken
+            assert x.taken <= 3 * x["size"] and (x["size"] == 0 or x.taken % x["size"] == 0)
+        total = sum(size.values())
+        assert sum(target.values()) == pytest.approx(total) and abs(sum(taken.values()) - total) <= 60
+        weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(["a", "b", "big", "c", "é", None])}
+        free = [s for s in target if target[s] < 3 * size[s] - 1e-6]
+        assert len({round(target[s] / weights[s], 6) for s in free}) == 1
+        assert all(target[s] <= 3 * size[s] + 1e-6 for s in target)
+        assert all(abs(taken[s] - target[s]) <= 60 for s in target)
+        again = mix.mix(docs.repartition(2), keep=("doc_id", "source"), cell_rows=cell_rows).collect()
+        assert sorted((x.doc_id, x.taken) for x in again) == sorted((x.doc_id, x.taken) for x in out)
+
+
+def test_language_on_held_out_rows(spark):
+    r = random.Random(8)
+    syllables = {"aa": "the ing er on st".split(), "bb": "é ion que eau ment".split(), "cc": "sch ü ung keit ver".split(), "dd": "ñ ado ción os ar".split()}
+    rows = [(k, " ".join("".join(r.choice(syllables[lang]) for _ in range(3)) for _ in range(r.randrange(3, 60))), lang) for k in range(600) for lang in [r.choice(list(syllables))]]
+    rows += [(k, "the other ring", None) for k in range(600, 610)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    said = language.identify(docs, language.train(docs), keep=["doc_id", "lang"]).select("*", language.held_out().alias("out")).collect()
+    told = [x for x in said if x.out and x.lang]
+    assert len(told) > 100 and sum(x.lang == x.lang_pred for x in told) >= 0.98 * len(told)
+    assert all(0 <= x.score <= 1 for x in said)
+
+
+def test_codewords_are_far_apart():
+    for k in (2, 4, 6, 9, 30):
+        c = language.codewords(k)
+        apart = [(c[i] != c[j]).sum() for i in range(k) for j in range(i)]
+        assert len(c) == k and min(apart) >= (1 if k == 2 else 3 if k > 6 else 2 ** (k - 2))
+
+
+def plain_base(text):
+    """The contract's patterns as they are written, without the shortcuts of the operator."""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in re.sub("[ -]", "", m[0])]
+        if 14 <= len(d) <= 19 and (sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def test_base_patterns_equal_the_contract():
+    r = random.Random(9)
+    pieces = ["a", "b.c", "@", "@@", ".", "..", "1", "255", "256", "0001", "-", " ", "+", "(", ")", "4111111111111111", "4111 1111 1111 1111", "é", "+1 (017) 555-7713", "x@y.z", "%", "10.0.0.1", "7" * 30]
+    for _ in range(3_000):
+        text = "".join(r.choice(pieces) for _ in range(r.randrange(1, 14)))
+        assert pii.base_spans(text) == plain_base(text), text
+
+
+def test_tagger_on_fresh_spans_and_clean_text():
+    tagger = pii.trained()
+    x, y = pii.labelled_spans(200, seed=5)
+    said = tagger.decode(x)
+    assert (said == y)[y > 0].mean() > 0.9 and (said[y == 0] > 0).mean() < 0.03
+    base, every = pii.find_personal_data(["call +1 (826) 555-4081 190.137.223.204 now"], tagger)[0]
+    assert [s[1] for s in base] == [1] and {s[1] for s in every} == {1, 3}
+    clean = ["version 2.0 of 2024-01-31, 3 apples for $12.50 at 10:30", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "nothing here", "1234567890123456"]
+    assert all(every == [] for _, every in pii.find_personal_data(clean, tagger))
+    long = "word " * 3_000 + "4111111111111111" + " word" * 3_000 + " me@host.example.org"
+    assert [s[1] for s in pii.find_personal_data([long], tagger)[0][1]] == [2, 0]
+    assert pii.redact("mail a@b.cd now", [(5, 0, 11)]) == "mail <EMAIL> now"
+
+
+def test_secrets_by_held_out_findings():
+    forest = secrets.trained()
+    rows = secrets.generated_findings(600, seed=99)
+    said = forest.predict(np.array([secrets.describe(b, t, a) for b, t, a, _ in rows])) >= 0.5
+    assert (said == np.array([s for *_, s in rows])).mean() > 0.97
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'x token = "{key}" y', f"commit {key} fixed it", "plain words only", None]
+    found = secrets.find_secrets(texts, forest)
+    assert found[0][1] == [(11, 51)] and [f[1] for f in found[1:]] == [[], [], []]
+
+
+def test_licenses():
+    parsed = {k: licenses.words(v) for k, v in licenses.TEMPLATES.items()}
+    names = lambda t: [f[0] for f in licenses.find_licenses(t, parsed)]
+    mit = licenses.TEMPLATES["MIT"]
+    assert names("Copyright me\n" + mit) == ["MIT"]
+    assert licenses.find_licenses(mit + " and again " + mit, parsed)[0][2] == 2
+    assert names("foo. Licensed under CC BY-NC 4.0.") == ["CC-BY-NC-4.0-line"]
+    assert names("the software is provided to you under the license of friendship, without warranty") == []
+    r = random.Random(3)
+    for _ in range(200):
+        values = [r.randrange(30) for _ in range(r.randrange(0, 15))]
+        got = [values[i] for i in licenses.longest_increasing(values)]
+        best = [0] * len(values)
+        for i, v in enumerate(values):
+            best[i] = 1 + max((best[j] for j in range(i) if values[j] < v), default=0)
+        assert all(a < b for a, b in zip(got, got[1:], strict=False)) and len(got) == max(best, default=0)
+    a, b = "p q the r s".split(), "the p q x r the s".split()
+    pairs = licenses.align(a, b)
+    assert all(a[i] == b[j] for i, j in pairs) and len(pairs) >= 4
+
+
+@pytest.mark.parametrize("spread", [0.1, 1.0, 30.0])
+def test_neighbours_reach_recall(spark, spread):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((30, 32))[r.integers(0, 30, 3_000)] + spread * r.standard_normal((3_000, 32))
+    x *= r.uniform(0.5, 2.0, (3_000, 1))
+    vectors = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest_neighbours(vectors.repartition(3), F.col("vec_id") % 100 == 0).collect()
+    near = x[::100] @ x.T
+    near[np.arange(30), np.arange(0, 3_000, 100)] = -np.inf
+    want = np.argsort(-near, axis=1)[:, :20]
+    got: dict = {}
+    for row in found:
+        got.setdefault(row.query_id // 100, set()).add(row.vec_id)
+        assert row.score == pytest.approx(float(x[row.query_id] @ x[row.vec_id]))
+    assert all(len(v) == 20 for v in got.values())
+    assert np.mean([len(got[k] & set(want[k].tolist())) / 20 for k in range(30)]) >= 0.9
+
+
+def test_shard_probing_finds_every_code_in_the_radius():
+    r = np.random.default_rng(4)
+    codes = r.integers(0, 2**16, (500, 4), dtype=np.uint16)
+    shard = neighbours.Shard(np.arange(500), np.zeros((500, 1)), codes)
+    for radius in (0, 5, 22, 27, 40):
+        asked = codes[7] ^ np.uint16(5)
+        want = np.flatnonzero(np.bitwise_count(codes ^ asked).sum(1) <= radius)
+        assert shard.within(asked, radius).tolist() == want.tolist()
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body class="has-sidebar">
+<header><a href="/">Site</a></header><nav><ul><li>Home</li></ul></nav><div class="cookie-notice">We use cookies</div>
+{0}<aside>Related</aside><form action="/s"><input name="q"><button>Go</button></form>
+<section id="comments"><h2>Comments</h2><p>A very long reader comment that goes on and on and on and on and on and on.</p></section>
+<footer>&copy; me</footer><script>var a = "<p>no</p>";</script></body></html>"""
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", '<div class="post-body">{}</div>', '<div id="content"><div>{}</div></div>'])
+def test_main_text(wrap):
+    inner = '<h1>Head &amp; line</h1><p>First  <b>bo</b>ld\n paragraph of some length here.</p><div class="ad-slot">Buy now</div><p>Short.<br>Tail &lt;x&gt; &#233;<p>Unclosed end'
+    want = "Head & line First bold paragraph of some length here. Short. Tail <x> é Unclosed end"
+    assert extract.main_text(PAGE.format(wrap.format(inner))) == want
+
+
+def test_pipeline_stages_against_plain_versions(spark, tmp_path):
+    r = random.Random(11)
+    rows = [(k, prose(r, 40, 900), "en", f"s{k % 3}") for k in range(60)]
+    rows += [(100 + k, rows[k][1] + " tail", "en", "s0") for k in range(5)] + [(200, "1234 !!", "en", "s1"), (201, rows[9][1][:20] + " q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11", "en", "s2")]
+    rows += [(202, "write to jo@mail.example.com soon please " + prose(r, 20), "en", "s2")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, str(tmp_path)), name)
+        seen.append({x.doc_id: x for x in docs.collect()})
+    everything = {k for k, *_ in rows}
+    assert set(seen[0]) == everything - {200}
+    assert set(seen[1]) == everything - {200, 100, 101, 102, 103, 104}
+    assert set(seen[2]) == set(seen[1]) - {201}
+    assert set(seen[3]) == set(seen[2]) and "<EMAIL>" in seen[3][202].text and seen[3][202].n_chars == len(seen[3][202].text)
+    assert all(seen[3][k].text == seen[2][k].text for k in seen[3] if k != 202)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in out} <= set(seen[3]) and sum(x.taken for x in out) > 0
