@@ -10,6 +10,9 @@ strings of ``length`` bytes have the same anchor at the same offset, so no repea
 2. The strings around the anchors that stay are dealt out by rank; within each class the
    strings of ``length`` bytes are ranked by the pair of ranks at doubled length and
    sorted again; a string whose smallest document is smaller than its own is a repeat.
+   Ranks that very many documents hold are left out of both steps: their strings are rows of
+   their own, whose smallest document is found by an aggregation that combines before it
+   shuffles, so no class has to fit a task.
 3. The runs of repeated strings go back to their documents, which drop the bytes covered.
 
 Texts that equal a text of a smaller document are repeats as a whole and take no part in
@@ -31,12 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, materialise, slices, table
+from .common import discard, map_texts, materialise, slices, table
 
 LENGTH = 50
 GRAM = 24
 #: Bytes of text whose anchors share a bucket, on average.
 BUCKET_BYTES = 24_000_000
+#: Bytes of text a task works on at once.
+SLICE = 1_000_000
+#: A rank that so many documents are estimated to hold is too large a class for one task; the
+#: estimate comes from a sample, and the list of such ranks has a bound (the rest is ranked as usual).
+FREQUENT_DOCS, SAMPLE, MOST_FREQUENT = 100_000, 64, 20_000
 #: Strings of ``length`` bytes ranked at once within a bucket; a class is never split.
 RANK_ROWS = 400_000
 
@@ -117,7 +125,7 @@ def _text_slices(batches, column: int):
     """(record batch, texts as bytes) of bounded size."""
     for batch in batches:
         texts = batch.column(column).cast(pa.large_binary()).to_pylist()
-        for lo, hi in slices([len(t or b"") for t in texts]):
+        for lo, hi in slices([len(t or b"") for t in texts], SLICE):
             yield batch.slice(lo, hi - lo), [t or b"" for t in texts[lo:hi]]
 
 
@@ -170,7 +178,69 @@ def _by_bucket(batches):
         yield bucket, held
 
 
-def _repeated_anchors(documents: DataFrame, n_buckets: int, length: int) -> DataFrame:
+def _pairs(b: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of the strings of ``length`` bytes at ``at``: pairs of ranks of two overlapping parts."""
+    part = length - length // 3
+    h = gram_hashes(b, part)
+    return h[at] * np.uint64(0xC2B2AE3D27D4EB4F) + h[at + length - part]
+
+
+def _frequent_ranks(documents: DataFrame, length: int, least: int, sample: int = SAMPLE) -> np.ndarray:
+    """Ranks of anchors that about ``least`` documents or more hold, by a sample of documents; sorted."""
+    rate = sample if least >= 100 * sample else 1
+    rows = documents if rate == 1 else documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(rate)) == 0)
+    schema = T.StructType([T.StructField("rank", T.LongType()), T.StructField("mark", T.LongType())])
+
+    def list_ranks(batches):
+        for part, texts in _text_slices(batches, 1):
+            position, rank, _, _ = anchors(*_joined(texts), length)
+            doc = np.searchsorted(np.cumsum([len(t) for t in texts]), position, side="right")
+            marks = np.array([int.from_bytes(_digest(t)[:8], "little", signed=True) for t in texts])
+            held = np.unique(np.c_[rank.astype(np.int64), doc], axis=0)
+            yield _rows_of(schema, [pa.array(held[:, 0]), pa.array(marks[held[:, 1]])])
+
+    counts = rows.mapInArrow(list_ranks, schema).groupBy("rank").agg(F.count("*").alias("n"), F.min("mark").alias("a"), F.max("mark").alias("b"))
+    found = counts.where((F.col("n") * rate >= least) & (F.col("a") != F.col("b"))).orderBy(F.desc("n"), "rank").limit(MOST_FREQUENT)
+    return np.sort(np.array([r["rank"] for r in found.select("rank").collect()], np.int64).astype(np.uint64))
+
+
+def _frequent_repeats(documents: DataFrame, frequent: np.ndarray, length: int) -> DataFrame:
+    """(doc_id, runs) of the strings whose anchors have frequent ranks."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("pair", "rank", "doc_id", "start")])
+
+    def strings(batches):
+        for part, texts in _text_slices(batches, 1):
+            b, starts, ends = _joined(texts)
+            position, rank, first, last = anchors(b, starts, ends, length)
+            own = np.flatnonzero(np.isin(rank, frequent))
+            if not len(own):
+                continue
+            number = last[own] - first[own] + 1
+            at = np.repeat(first[own] - (np.cumsum(number) - number), number) + np.arange(number.sum())
+            doc = np.repeat(np.searchsorted(ends, position[own], side="right"), number)
+            columns = [_pairs(b, at, length).astype(np.int64), np.repeat(rank[own], number).astype(np.int64), part.column(0).to_numpy()[doc], at - starts[doc]]
+            yield _rows_of(schema, [pa.array(c) for c in columns])
+
+    rows = documents.select("doc_id", "text").mapInArrow(strings, schema)
+    first = rows.groupBy("pair", "rank").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    repeats = rows.join(first, ["pair", "rank"]).where("doc_id > least").select("doc_id", "start")
+    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("runs", T.BinaryType())])
+
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, start = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.lexsort((start, doc))
+            doc, start = doc[order], start[order]
+            cuts = np.flatnonzero(np.diff(doc)) + 1
+            runs = [np.c_[s, s + length].astype(np.uint64).tobytes() for s in np.split(start, cuts)]
+            yield _rows_of(out, [pa.array(doc[np.r_[0, cuts]]), pa.array(runs, pa.binary())])
+
+    return repeats.mapInArrow(pack, out)
+
+
+def _repeated_anchors(documents: DataFrame, frequent: np.ndarray, n_buckets: int, length: int) -> DataFrame:
     """(doc_id, bucket, bits): which of a text's anchors in a bucket have ranks that other texts have too."""
 
     def deal(batches):
@@ -178,6 +248,8 @@ def _repeated_anchors(documents: DataFrame, n_buckets: int, length: int) -> Data
             ids = part.column(0).to_numpy()
             marks = np.array([int.from_bytes(_digest(t)[:8], "little") for t in texts], np.uint64)
             position, rank, _, _ = anchors(*_joined(texts), length)
+            usual = ~np.isin(rank, frequent)
+            position, rank = position[usual], rank[usual]
             if not len(position):
                 continue
             doc = np.searchsorted(np.cumsum([len(t) for t in texts]), position, side="right")
@@ -216,7 +288,7 @@ def _repeated_anchors(documents: DataFrame, n_buckets: int, length: int) -> Data
     return dealt.mapInArrow(sift, out)
 
 
-def _repeats(texts: DataFrame, sifted: int, n_buckets: int, length: int) -> DataFrame:
+def _repeats(texts: DataFrame, frequent: np.ndarray, sifted: int, n_buckets: int, length: int) -> DataFrame:
     """(doc_id, runs): starts and ends of runs of strings that a smaller document has."""
 
     def deal(batches):
@@ -225,6 +297,8 @@ def _repeats(texts: DataFrame, sifted: int, n_buckets: int, length: int) -> Data
             stays = part.column(2).to_pylist()
             b, starts, ends = _joined(whole)
             position, rank, first, last = anchors(b, starts, ends, length)
+            usual = ~np.isin(rank, frequent)
+            position, rank, first, last = position[usual], rank[usual], first[usual], last[usual]
             doc = np.searchsorted(ends, position, side="right")
             bucket, bucket_then = _bucket(rank, n_buckets), _bucket(rank, sifted)
             keep = np.zeros(len(position), bool)
@@ -256,11 +330,9 @@ def _repeats(texts: DataFrame, sifted: int, n_buckets: int, length: int) -> Data
     def rank_again(ids, first, size, rank, raw):
         """(doc_id, start, end) of the runs of repeats among strings around anchors."""
         number = size - length + 1
-        half = length - length // 3  # two overlapping halves make the doubled length
-        h = gram_hashes(raw, half)
         begin = np.cumsum(size) - size
         at = np.repeat(begin - (np.cumsum(number) - number), number) + np.arange(number.sum())
-        pair = h[at] * np.uint64(0xC2B2AE3D27D4EB4F) + h[at + length - half]
+        pair = _pairs(raw, at, length)
         pair ^= _mixed(np.repeat(rank, number))
         order = np.argsort(pair, kind="stable")
         doc = np.repeat(ids, number)
@@ -324,8 +396,10 @@ def merged(runs: list[bytes]) -> np.ndarray:
     return np.c_[pairs[heads, 0], reach[np.r_[heads[1:], len(pairs)] - 1]]
 
 
-def repeated_passages(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id and ``text`` with ``whole`` (equals a smaller document's text) and ``runs`` (repeats, unordered pairs)."""
+def repeated_passages(documents: DataFrame, length: int = LENGTH, frequent_docs: int = FREQUENT_DOCS) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """Documents (doc_id, text), their runs of repeats (doc_id, runs: unordered pairs of offsets in
+    bytes), those that equal a smaller document's text (doc_id, digest), and the written tables
+    behind these, which the caller discards."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sums = materialise(_summaries(docs.where("doc_id IS NOT NULL")), "texts")
     total = sums.agg(F.sum("n_bytes")).first()[0] or 0
@@ -335,20 +409,25 @@ def repeated_passages(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     copies = long_ones.join(first, "digest").where("doc_id > first").select("doc_id", "digest").distinct()
 
     named = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    stays = _repeated_anchors(named, n_buckets, length)
+    frequent = _frequent_ranks(named, length, frequent_docs)
+    stays = _repeated_anchors(named, frequent, n_buckets, length)
     stays = stays.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
     stays = stays.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "bits")).alias("stays"))
     stays = materialise(stays, "anchors")
-    runs = _repeats(named.join(stays, "doc_id").select("doc_id", "text", "stays"), n_buckets, n_buckets * 2, length)
-    return docs, runs, copies
+    runs = _repeats(named.join(stays, "doc_id").select("doc_id", "text", "stays"), frequent, n_buckets, n_buckets * 2, length)
+    if len(frequent):
+        runs = runs.unionByName(_frequent_repeats(named, frequent, length))
+    return docs, runs, copies, [sums, stays]
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, frequent_docs: int = FREQUENT_DOCS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the bytes that remain) of every document."""
-    docs, runs, copies = repeated_passages(documents, length)
+    docs, runs, copies, written = repeated_passages(documents, length, frequent_docs)
     found = runs.groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
     whole = copies.groupBy("doc_id").agg(F.collect_list("digest").alias("copies"))
     found = materialise(found.join(whole, "doc_id", "full"), "repeats")
+    for done in written:
+        discard(done)
     rows = docs.join(found, "doc_id", "left").select("doc_id", "text", "runs", "copies")
     out = T.StructType(
         [T.StructField("doc_id", T.LongType())]

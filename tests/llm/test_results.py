@@ -75,9 +75,11 @@ def test_variants_meet_within_one_error_a_chunk():
     assert set(neardup.variants(a)[0]) & set(neardup.variants(b)[0])
 
 
-@pytest.mark.parametrize(("slice_bytes", "rank_rows", "piece"), [(2_000_000, 400_000, 24_000_000), (500, 40, 900)])
-def test_repeats_equal_brute_force(spark, monkeypatch, slice_bytes, rank_rows, piece):
-    monkeypatch.setattr(common, "SLICE_BYTES", slice_bytes)
+@pytest.mark.parametrize(
+    ("slice_bytes", "rank_rows", "piece", "frequent"), [(1_000_000, 400_000, 24_000_000, 100_000), (500, 40, 900, 100_000), (2_000, 400_000, 24_000_000, 6)]
+)
+def test_repeats_equal_brute_force(spark, monkeypatch, slice_bytes, rank_rows, piece, frequent):
+    monkeypatch.setattr(suffixes, "SLICE", slice_bytes)
     monkeypatch.setattr(suffixes, "RANK_ROWS", rank_rows)
     monkeypatch.setattr(suffixes, "BUCKET_BYTES", piece)
     r = random.Random(4)
@@ -93,8 +95,10 @@ def test_repeats_equal_brute_force(spark, monkeypatch, slice_bytes, rank_rows, p
                 marks[p : p + 50] = b"\1" * 50
         kept = bytes(c for c, m in zip(b, marks, strict=True) if not m)
         want[i] = (len(b), sum(marks), len(re.findall(b"\1+", bytes(marks))), hashlib.sha256(kept).hexdigest())
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.remove_repeats(frame(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.remove_repeats(frame(spark, rows), frequent_docs=frequent).collect()}
     assert got == want
+    named = frame(spark, rows)
+    assert (len(suffixes._frequent_ranks(named, 50, frequent)) > 0) == (frequent < 100)
 
 
 @pytest.mark.parametrize("slice_bytes", [16_000_000, 300])
