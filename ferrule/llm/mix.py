@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -118,6 +118,8 @@ def mix(
         (F.col("__offset") + F.sum("size").over(within) - F.col("size") / 2).alias("__middle"),
     )
     queued = materialise(queued, "mix-queued")
+    discard(docs)
+    discard(sources)
 
     live = (F.col("size") > 0) & (F.col("target") > 0)
     finishes = F.array(*[(F.col("__middle") + F.col("source_size") * i) / F.col("target") for i in range(repeats)])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, materialise, table
+from .common import discard, map_texts, materialise, table
 
 #: Words in a shingle, and the similarity of a link in hundredths.
 SHINGLE = 5
@@ -300,7 +300,8 @@ def components(links: DataFrame) -> DataFrame:
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        edges = materialise(small, "edges")
+        last, edges = edges, materialise(small, "edges")
+        discard(last)
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
@@ -320,7 +321,11 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int =
     stars = materialise(stars, "stars")
     heads = stars.groupBy("pivot").agg(F.count("*").alias("n"))
     n_blocks = F.ceil(F.col("n") / block).cast("long")
-    placed = stars.join(heads, "pivot").select(F.col("pivot").alias("g"), F.pmod(F.xxhash64("rep"), n_blocks).alias("h"), "rep", n_blocks.alias("blocks"))
+    several = heads.where(F.col("n") > block).select("pivot", n_blocks.alias("blocks"))  # few, so mostly broadcast
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    placed = stars.join(several, "pivot", "left").select(
+        F.col("pivot").alias("g"), F.pmod(F.xxhash64("rep"), blocks).alias("h"), "rep", blocks.alias("blocks")
+    )
     pivots = heads.select(F.col("pivot").alias("g"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("h"), F.col("pivot").alias("rep"))
     facts = classes.select("rep", "n_shingles", "signature")
     rows = placed.drop("blocks").unionByName(pivots).withColumns({"side": F.lit(-1).cast("long"), "comp": F.col("rep")})
@@ -334,8 +339,10 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int =
     found = components(links)
 
     if not large.isEmpty():
-        links = links.unionByName(_across_blocks(large, found, facts, texts, size, similarity, block))
-        found = components(materialise(links, "links"))
+        more = materialise(_across_blocks(large, found, facts, texts, size, similarity, block), "links")
+        found = components(links.unionByName(more))
+    for done in (stars, members, large, texts, links):
+        discard(done)
 
     ends = classes.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left")
     ends = ends.select("digest", F.coalesce("component", "rep").alias("component_id"))
