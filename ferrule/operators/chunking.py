@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_text, split_sentences, strip, token_count, tokenize
+from ..functions.text import normalize_text, strip, token_count, tokenize
 
 _SENTENCE_END = "(?<=[。！？!?])"
 
@@ -105,7 +105,3 @@ def section_chunks(sections: DataFrame, chars: int = 280, overlap: int = 60, del
         token_count("text").alias("token_count"), tokenize(titled).alias("terms"),
     )
 
-
-def sentences(rows: DataFrame, text: str = "text") -> DataFrame:
-    """One row a sentence, with its place."""
-    return rows.select("*", F.posexplode(split_sentences(text)).alias("sentence_no", "sentence"))

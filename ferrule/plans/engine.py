@@ -11,6 +11,7 @@ from ..config import EngineConfig
 from ..functions.text import tokenize
 from ..functions.vectors import hash_embeddings
 from ..operators import access, context, dense, fusion, lexical, selection
+from ..operators.plugins import embed
 
 
 @dataclass
@@ -30,16 +31,21 @@ class Answered:
 class HybridEngine:
     """Hybrid retrieval over a chunk table (as ``IndexStore.chunks()`` gives it)."""
 
-    def __init__(self, chunks: DataFrame, config: EngineConfig = EngineConfig(), score_model=None, model_name: str = ""):
-        self.chunks, self.config, self.score_model, self.model_name = chunks, config, score_model, model_name
+    def __init__(self, chunks: DataFrame, config: EngineConfig = EngineConfig(), score_model=None, model_name: str = "", embedder=None):
+        self.chunks, self.config, self.score_model, self.model_name, self.embedder = chunks, config, score_model, model_name, embedder
+
+    def _vectors(self, rows: DataFrame, key: str, text: str, terms: str) -> DataFrame:
+        if self.embedder is None:
+            return hash_embeddings(rows.select(key, terms), key, terms, self.config.dimensions)
+        return embed(rows, key, text, self.embedder, self.config.dimensions)
 
     def run(self, queries: DataFrame, allowed=(), today: int = 20260607, blocked_hint: bool = False) -> Answered:
         """``queries``: query_id, query."""
         c = self.config
         allowed = access.effective_scopes(allowed, c)
         visible = self.chunks.where(access.visible(allowed, today))
-        vectors = hash_embeddings(visible.select(F.col("chunk_id").alias("key"), "terms"), "key", "terms", c.dimensions)
-        asked = hash_embeddings(queries.select("query_id", tokenize("query").alias("terms")), "query_id", "terms", c.dimensions)
+        vectors = self._vectors(visible.select(F.col("chunk_id").alias("key"), "text", "terms"), "key", "text", "terms")
+        asked = self._vectors(queries.select("query_id", "query", tokenize("query").alias("terms")), "query_id", "query", "terms")
         near = dense.dense_topk(asked, vectors, c.dense_top_n, block=c.query_block).withColumnRenamed("key", "chunk_id")
         index, stats = lexical.postings(self.chunks), lexical.corpus_statistics(self.chunks)
         words = lexical.bm25(queries, index, stats, c.lexical_top_n, c.lexical, among=visible)

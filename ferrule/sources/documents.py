@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import normalize_text, strip
 
@@ -91,10 +90,3 @@ def read_index(spark: SparkSession, path: str, embedding_model: str) -> DataFram
     rows = spark.read.parquet(path).where(F.col("embedding_model") == embedding_model)
     return None if rows.isEmpty() else rows
 
-
-def chunk_schema() -> T.StructType:
-    return T.StructType.fromDDL(
-        "chunk_id string, parent_id string, doc_id string, chunk_no int, title_path array<string>, text string, token_count int,"
-        " terms array<string>, permission_scope string, effective_from string, effective_to string, source_path string, version string,"
-        " scopes array<string>, from_day int, to_day int"
-    )

@@ -17,6 +17,7 @@ from ..functions.text import content_hash
 from ..operators.access import with_access_columns
 from ..operators.chunking import section_chunks, split_sections
 from ..operators.lexical import postings
+from .documents import read_index
 
 TABLES = ("documents", "chunks", "postings")
 
@@ -170,3 +171,31 @@ def append_json(df: DataFrame, path: str) -> None:
 def write_markdown(docs: DataFrame, path: str) -> None:
     """One text file a document, in a folder named after it."""
     docs.select("filename", F.col("content").alias("value")).repartition("filename").write.mode("overwrite").partitionBy("filename").text(path)
+
+
+def write_index(chunks: DataFrame, path: str, embedding_model: str) -> None:
+    """A plain chunk index beside those of other models: one partition a model."""
+    rows = chunks.withColumn("embedding_model", F.lit(embedding_model))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("embedding_model").parquet(path)
+
+
+def get_or_build(spark: SparkSession, path: str, embedding_model: str, build, rebuild: bool = False) -> DataFrame:
+    """The stored index of a model; ``build()`` makes it where there is none, it is empty, or ``rebuild`` asks for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    found = read_index(spark, path, embedding_model) if there and not rebuild else None
+    if found is None:
+        write_index(build(), path, embedding_model)
+        found = spark.read.parquet(path).where(F.col("embedding_model") == embedding_model)
+    return found
+
+
+def payloads(chunks: DataFrame) -> DataFrame:
+    """What an external vector store keeps beside a vector: no text, no terms, scopes as a sorted list."""
+    kept = [c for c in ("chunk_id", "parent_id", "doc_id", "title_path", "token_count", "source_path", "version", "from_day", "to_day", "content_hash", "embedding_model") if c in chunks.columns]
+    return chunks.select(*kept, F.array_sort("scopes").alias("permission_scopes"))
+
+
+def append_traces(traces: DataFrame, path: str) -> None:
+    """One JSON document a query, as a line."""
+    traces.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
