@@ -41,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = decontaminate.find_contamination(_packed(docs), table(spark, sf_dir, "benchmark"), keep=["__row", "text"])
-    return _unpacked(found.where(F.size("items") == 0).where(~F.hex("hits").contains("01")), docs.columns)
+    return _unpacked(found.where(decontaminate.n_hit() == 0), docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

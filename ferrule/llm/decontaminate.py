@@ -145,19 +145,23 @@ def find_contamination(
     return out if keep is None or "text" in keep else out.drop("text")
 
 
+def n_hit(hits: str = "hits") -> F.Column:
+    """How many words of a document are hit: the bytes of ``hits`` that are not 0."""
+    return F.length(F.replace(F.decode(F.col(hits), "ISO-8859-1"), F.lit("\x00"), F.lit(""))).cast("long")
+
+
 def op5_decontaminate(spark, sf_dir) -> DataFrame:
     """Per document: words, words hit, items found, their digest and the verdict."""
     from .common import table
 
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
-    n_hit = F.length(F.regexp_replace(F.hex("hits"), "00", "")) / 2
     return found.select(
         "doc_id",
         "n_words",
-        n_hit.cast("long").alias("n_hit"),
+        n_hit().alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (n_hit > 0).alias("contaminated"),
+        (n_hit() > 0).alias("contaminated"),
     )
 
 

@@ -42,16 +42,18 @@ _BLOCK = frozenset(
 )
 #: Words in class, id or role that mark an element as no part of an article.
 _BOILERPLATE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu"
-    " submenu breadcrumb breadcrumbs sidebar side aside rail widget widgets footer foot header masthead topbar toolbar cookie cookies consent"
+    "ad ads adsbygoogle adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu"
+    " submenu breadcrumb breadcrumbs sidebar aside rail widget widgets footer foot header masthead topbar toolbar cookie cookies consent"
     " gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social"
-    " related recommended recommendations comment comments commentlist disqus discussion replies respond pagination pager skip"
+    " related recommended recommendations comment comments commentlist disqus discussion replies respond responses pagination pager skip"
     " copyright legal disclaimer complementary contentinfo".split()
 )
 #: Words that say how a container is arranged ("has-sidebar"), not what it holds.
 _ARRANGEMENT = frozenset("has with no without layout".split())
 _MARKS = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN_ATTRIBUTE = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -64,10 +66,10 @@ def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
     for m in _MARKS.finditer(attributes):
         for mark in (m[1] or m[2] or m[3] or "").lower().split():
             words = set(_WORD.findall(mark))
-            marks = words & _BOILERPLATE - ({"header", "side", "rail"} if in_article else set())
+            marks = words & _BOILERPLATE - ({"header", "rail"} if in_article else set())
             if marks and words.isdisjoint(_ARRANGEMENT):
                 return True
-    return _HIDDEN.search(attributes) is not None
+    return bool(_HIDDEN.search(attributes) or _HIDDEN_ATTRIBUTE.search(_QUOTED.sub("", attributes)))
 
 
 class Line:

@@ -276,6 +276,11 @@ def test_main_text(wrap):
     assert extract.main_text(PAGE.format(wrap.format(inner))) == want
 
 
+def test_hidden_and_arranged_containers():
+    shown = '<div style="overflow:hidden" class="layout-sidebar main">Kept text <span hidden>not this</span> here</div><p style="display: none">nor this</p>'
+    assert extract.main_text(shown) == "Kept text here"
+
+
 def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     r = random.Random(11)
     rows = [(k, prose(r, 40, 900), "en", f"s{k % 3}") for k in range(60)]
