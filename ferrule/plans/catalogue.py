@@ -364,7 +364,7 @@ def manifest_first(spark, d):
 def _selected(spark, d):
     rows = _truncated(spark, d).where("selected")
     docs = _docs(spark, d).select("doc_id", "text", "source", fx.tokenize("text").alias("terms"))
-    return context.evidence(rows.join(docs, "doc_id"))
+    return context.evidence(rows.join(docs, "doc_id")).persist()  # five rows a query, read several times
 
 
 def _judged(spark, d, selected=None):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,12 @@ class Answered:
     answers: DataFrame
     validation: DataFrame
     packets: DataFrame
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Give back the memory of the rows that several results share."""
+        for rows in self.held:
+            rows.unpersist()
 
 
 class HybridEngine:
@@ -40,7 +46,11 @@ class HybridEngine:
         return embed(rows, key, text, self.embedder, self.config.dimensions)
 
     def run(self, queries: DataFrame, allowed=(), today: int = 20260607, blocked_hint: bool = False) -> Answered:
-        """``queries``: query_id, query."""
+        """``queries``: query_id, query.
+
+        What several results share is a dozen rows a query; those rows are kept in memory
+        (or on disk) until ``release``, so recall runs once however many results are read.
+        """
         c = self.config
         allowed = access.effective_scopes(allowed, c)
         visible = self.chunks.where(access.visible(allowed, today))
@@ -50,10 +60,11 @@ class HybridEngine:
         index, stats = lexical.postings(self.chunks), lexical.corpus_statistics(self.chunks)
         words = lexical.bm25(queries, index, stats, c.lexical_top_n, c.lexical, among=visible)
         fused = fusion.rrf_fuse(near, words, c.rrf_k)
-        ranked = fusion.rerank_or_skip(fused, self.score_model, self.model_name, c.rerank_top_n)
+        fused = fused.persist()
+        ranked = fusion.rerank_or_skip(fused, self.score_model, self.model_name, c.rerank_top_n).persist()
         rrf_only = self.score_model is None
         with_vectors = ranked.join(vectors.withColumnRenamed("key", "chunk_id"), "chunk_id")
-        diversified = selection.mmr(with_vectors, c.rerank_top_n, c.mmr_lambda, c.duplicate_threshold)
+        diversified = selection.mmr(with_vectors, c.rerank_top_n, c.mmr_lambda, c.duplicate_threshold).persist()
         kept = diversified.where("NOT dropped AND mmr_rank IS NOT NULL").select("query_id", "chunk_id", "mmr_rank", "mmr_score")
         facts = ranked.select("query_id", "chunk_id", "rerank_score", "bm25_rank")
         rows = kept.join(facts, ["query_id", "chunk_id"]).join(visible, "chunk_id")
@@ -61,7 +72,7 @@ class HybridEngine:
         cut = selection.truncate(
             rows, rrf_only=rrf_only, min_score=c.min_rerank_score, gap=c.gap_threshold, max_k=c.final_max_k, budget=c.context_token_budget
         )
-        selected = context.evidence(cut.where("selected"))
+        selected = context.evidence(cut.where("selected")).persist()
         blocked = None
         if blocked_hint:
             hidden = self.chunks.where(~access.scope_allowed(allowed))
@@ -70,6 +81,9 @@ class HybridEngine:
         judged = context.sufficiency(
             covered, blocked, rrf_only=rrf_only, min_score=c.min_rerank_score, min_coverage=c.min_coverage, high_confidence=c.high_confidence
         )
-        answers = context.extractive_answers(queries, judged, selected)
+        judged = judged.persist()
+        answers = context.extractive_answers(queries, judged, selected).persist()
         packets = context.context_packets(queries, judged, selected)
-        return Answered(fused, ranked, diversified, selected, judged, answers, context.validate_citations(answers, selected), packets)
+        validation = context.validate_citations(answers, selected)
+        held = [fused, ranked, diversified, selected, judged, answers]
+        return Answered(fused, ranked, diversified, selected, judged, answers, validation, packets, held)
