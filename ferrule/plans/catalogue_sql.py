@@ -280,5 +280,5 @@ FROM an JOIN benchmark b ON b.item_id = an.query_id LEFT JOIN ex USING (query_id
 SELECT item_id AS query_id, 'ok' AS status, left(sha256(text), 16) AS query_hash, length(text) AS query_chars, item_id % 3 = 0 AS permission_denied, coalesce(n, 0) AS bm25_hits, coalesce(n, 0) AS selected_count, coalesce(docs, '') AS selected_doc_ids
 FROM benchmark LEFT JOIN f ON f.query_id = item_id""",
     "monitoring_rollup": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(round(sum(value) * 100) AS BIGINT) AS total_key, CAST(round(max(value) * 1000000) AS BIGINT) AS most_key FROM events GROUP BY 1, 2""",
-    "fallback_summary": "SELECT n_name AS component, 'local' AS mode, '' AS reason, '' AS error, CASE WHEN n_nationkey % 2 = 0 THEN 3 ELSE 0 END AS attempts FROM nation WHERE n_nationkey % 3 = 0",
+    "fallback_summary": "SELECT n_name AS component, 'local' AS mode, '' AS reason, '' AS error, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 3 ELSE 0 END AS BIGINT) AS attempts FROM nation WHERE n_nationkey % 3 = 0",
 }
