@@ -317,6 +317,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int =
     # groups: a pivot and the classes that meet it under some key
     keys = _keys(classes)
     crowded = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot <> top").drop("top")
+    crowded = materialise(crowded, "crowded")  # a join of two plain shuffles, so Spark can split a hot key
     stars = keys.join(crowded, "key").where("rep <> pivot").select("pivot", "rep").distinct()
     stars = materialise(stars, "stars")
     heads = stars.groupBy("pivot").agg(F.count("*").alias("n"))
@@ -341,11 +342,11 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int =
     if not large.isEmpty():
         more = materialise(_across_blocks(large, found, facts, texts, size, similarity, block), "links")
         found = components(links.unionByName(more))
-    for done in (stars, members, large, texts, links):
-        discard(done)
 
     ends = classes.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left")
-    ends = ends.select("digest", F.coalesce("component", "rep").alias("component_id"))
+    ends = materialise(ends.select("digest", F.coalesce("component", "rep").alias("component_id")), "components")
+    for done in (classes, crowded, stars, members, large, texts, links):
+        discard(done)
     out = named.select("doc_id", "n_shingles", "digest").join(ends, "digest").drop("digest")
     alone = docs.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -405,7 +405,8 @@ def repeated_passages(documents: DataFrame, length: int = LENGTH, frequent_docs:
     total = sums.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = int(max(16, -(-total // BUCKET_BYTES)))
     long_ones = sums.where(F.col("n_bytes") >= length)
-    first = long_ones.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    first = long_ones.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = materialise(first.drop("last"), "first")  # a join of two plain shuffles, so Spark can split a hot digest
     copies = long_ones.join(first, "digest").where("doc_id > first").select("doc_id", "digest").distinct()
 
     named = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
@@ -417,7 +418,7 @@ def repeated_passages(documents: DataFrame, length: int = LENGTH, frequent_docs:
     runs = _repeats(named.join(stays, "doc_id").select("doc_id", "text", "stays"), frequent, n_buckets, n_buckets * 2, length)
     if len(frequent):
         runs = runs.unionByName(_frequent_repeats(named, frequent, length))
-    return docs, runs, copies, [sums, stays]
+    return docs, runs, copies, [sums, first, stays]
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, frequent_docs: int = FREQUENT_DOCS) -> DataFrame:
