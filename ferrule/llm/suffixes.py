@@ -30,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,12 +42,12 @@ GRAM = 24
 #: Bytes of text whose anchors share a bucket, on average.
 BUCKET_BYTES = 24_000_000
 #: Bytes of text a task works on at once.
-SLICE = 1_000_000
+SLICE = 400_000
 #: A rank that so many documents are estimated to hold is too large a class for one task; the
 #: estimate comes from a sample, and the list of such ranks has a bound (the rest is ranked as usual).
 FREQUENT_DOCS, SAMPLE, MOST_FREQUENT = 100_000, 64, 20_000
 #: Strings of ``length`` bytes ranked at once within a bucket; a class is never split.
-RANK_ROWS = 400_000
+RANK_ROWS = 80_000
 
 _rng = np.random.default_rng(50)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -57,7 +58,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(which: str, base: np.uint64, n: int) -> np.ndarray:
     if which not in _powers or len(_powers[which]) < n:
-        factors = np.full(max(n, 1 << 21), base, np.uint64)
+        factors = np.full(max(n, 1 << 19), base, np.uint64)
         factors[0] = 1
         _powers[which] = np.multiply.accumulate(factors)
     return _powers[which][:n]
@@ -124,9 +125,10 @@ def _bucket(rank: np.ndarray, n: int) -> np.ndarray:
 def _text_slices(batches, column: int):
     """(record batch, texts as bytes) of bounded size."""
     for batch in batches:
-        texts = batch.column(column).cast(pa.large_binary()).to_pylist()
-        for lo, hi in slices([len(t or b"") for t in texts], SLICE):
-            yield batch.slice(lo, hi - lo), [t or b"" for t in texts[lo:hi]]
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        for lo, hi in slices(sizes, SLICE):
+            part = batch.slice(lo, hi - lo)
+            yield part, [t or b"" for t in part.column(column).cast(pa.large_binary()).to_pylist()]
 
 
 def _digest(text: bytes) -> bytes:
