@@ -8,7 +8,7 @@ the words beside it.
 
 Labelled findings come as rows (text before, candidate, text after, is_secret); without
 any, a generator writes them from public shapes of keys and of their look-alikes
-(checksums of files, identifiers, numbers, placeholders, prose).
+(checksums of files, identifiers, numbers, placeholders, prose, embedded images, rules of dashes).
 
 Defined results: null and empty texts have no candidates; texts are read whole; spans are
 code points, ends exclusive; equal texts get equal results; candidates do not overlap
@@ -30,9 +30,9 @@ from .common import map_texts, table
 _CANDIDATE = re.compile(
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
     r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
-    r"|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,512}={0,2}(?![A-Za-z0-9+/_=-])"
+    r"|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])"
 )
-_QUOTED = re.compile(r"""(?:[=:]\s{0,4})(["'])([^"'\s]{8,200})\1""")
+_QUOTED = re.compile(r"""(?:[=:]\s{0,4})(["'])([^"'\s]{8,}+)\1""")
 _WORD = re.compile(r"[A-Za-z]+")
 _KEYED = re.compile(r"(?:secret|token|passw|pwd|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|signature)", re.I)
 _HARMLESS = re.compile(r"(?:sha(?:1|256|512)?|md5|checksum|digest|commit|hash|etag|uuid|guid|integrity|revision|example|sample|placeholder|dummy|id)(?![A-Za-z])", re.I)
@@ -63,8 +63,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
         found += [m.span(2) for m in _QUOTED.finditer(text)]
     out, last = [], 0
     for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
-        token = text[start:end]
-        if start >= last and (any("0" <= c <= "9" for c in token) or token.startswith("-----") or _SHAPE.match(token)):
+        if start >= last:
             out.append((start, end))
             last = end
     return out
@@ -86,7 +85,11 @@ def describe(before: str, token: str, after: str) -> list[float]:
     pieces = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token))
     covered = sum(len(p) for p in pieces if p.lower() in _DICTIONARY)
     letters = [c for c in lowered if "a" <= c <= "z"]
-    twos = [lowered[i : i + 2] for i in range(n - 1) if lowered[i].isalpha() and lowered[i + 1].isalpha()]
+    twos = common = 0
+    for a, b in zip(lowered, lowered[1:], strict=False):
+        if a.isalpha() and b.isalpha():
+            twos += 1
+            common += a + b in _BIGRAMS
     near = before[-24:]
     return [
         min(n, 200), share[2], share[0], share[1], share[3],
@@ -99,7 +102,7 @@ def describe(before: str, token: str, after: str) -> list[float]:
         float(re.search(r"[=:]\s*[\"']?$", before) is not None), float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
         float(_KEYED.search(near) is not None), float(_HARMLESS.search(near) is not None),
         float(_SHAPE.match(token) is not None), len(counts) / n, float(share[2] == 1.0),
-        sum(t in _BIGRAMS for t in twos) / max(1, len(twos)), float(token.count("-")),
+        common / max(1, twos), float(token.count("-")),
     ]
 
 
@@ -167,26 +170,32 @@ def generated_findings(n: int, seed: int = 23) -> list[tuple[str, str, str, bool
     chars = lambda alphabet, k: "".join(alphabet[int(i)] for i in r.integers(0, len(alphabet), k))
     hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     syllables = "th er in on an re ed ti es or st en at to nt ha nd ou ea is de ci ón ie au le ment tion ung sch ver".split()
+    ascii_syllables = [x for x in syllables if x.isascii()]
     word = lambda: "".join(pick(syllables) for _ in range(int(r.integers(1, 5))))
     prose = lambda: " ".join(word() for _ in range(int(r.integers(2, 6))))
     names = ["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "API_TOKEN", "passwd", "bearer"]
+    key_ids = ["access_key_id", "aws_access_key_id", "AWS_ACCESS_KEY_ID"]
+    attributes = [' class="', ' href="', ' name: "', " title = '", '"label": "', "?ref=", "&utm_campaign=", " file=", " lang: '", " alt='"]
+    plain = lambda: "".join(pick(ascii_syllables) for _ in range(int(r.integers(2, 4))))
+    phrase = lambda: pick(["-", "-", "_", ""]).join(plain() for _ in range(int(r.integers(3, 6))))
     out = []
     for _ in range(n):
         shout = (lambda s: s.upper()) if r.random() < 0.1 else (lambda s: s)
         if r.random() < 0.5:
-            kind = int(r.integers(6))
+            kind = int(r.integers(8))
             token = [
                 lambda: chars(hexes, pick([32, 40, 40, 40, 64])), lambda: chars(mixed, int(r.integers(20, 60))),
                 lambda: pick(["AKIA", "ASIA"]) + chars(mixed[:26] + "234567", 16), lambda: pick(["ghp_", "gho_", "glpat-", "sk_live_", "npm_"]) + chars(mixed, 36),
                 lambda: chars(mixed + "+/", pick([40, 44, 64])), lambda: pick(["xoxb-", "xoxp-"]) + chars("0123456789", 12) + "-" + chars(mixed, 24),
+                lambda: chars(mixed + "+/", int(r.integers(200, 1_800))), lambda: pick([phrase, phrase, lambda: chars(mixed[:52], int(r.integers(16, 40)))])(),
             ][kind]()
             quote = pick(['"', '"', "'", ""])
-            before = prose() + " " + pick(names) + pick([" = ", "=", ": ", " : "]) + quote
+            before = prose() + pick([" ", " ", "?", "&"]) + pick(key_ids if kind == 2 and r.random() < 0.3 else names) + pick([" = ", "=", ": ", " : "]) + quote
             if kind in (2, 3, 5) and r.random() < 0.5:
                 quote, before = "", prose() + " "
             out.append((shout(before), shout(token), quote + " " + prose(), True))
         else:
-            kind = int(r.integers(9))
+            kind = int(r.integers(14))
             before, after = prose() + " ", " " + prose()
             if kind == 0:
                 token, before = chars(hexes, pick([32, 40, 64])), prose() + pick([" sha256: ", " md5=", " commit ", " checksum: ", " etag: ", " sha1 "])
@@ -204,8 +213,20 @@ def generated_findings(n: int, seed: int = 23) -> list[tuple[str, str, str, bool
                 token = pick(["-", "_"]).join(word() for _ in range(4)) + "-" + chars("0123456789", 4)
             elif kind == 7:
                 token, before = chars(hexes, pick([16, 24, 32, 40])), prose() + pick([" id=", " object id: ", " uuid ", " revision ", ' id = "'])
-            else:
+            elif kind == 8:
                 token, before = pick(["public", "main", "images", "product"]) + "/" + word() + "/" + chars("0123456789", 6) + "/" + word() + word(), before + pick(["http://host/", "/"])
+            elif kind == 9:
+                token = pick([phrase, lambda: plain() + plain() + plain() + plain(), lambda: "/".join(plain() for _ in range(4))])()
+            elif kind == 10:
+                token, before = phrase(), prose() + pick(attributes)
+                after = (before[-1] if before[-1] in "\"'" else "") + after
+            elif kind == 11:
+                token, quote = pick(["your-token-goes-here", "changeme-changeme", "insert-password-here", "example_secret_key", "xxxxxxxxxxxxxxxxxxxx", "get_user_access_token", "YOUR_API_KEY_HERE", "user_password_default", "placeholder"]), pick(['"', "'", ""])
+                before, after = prose() + " " + pick(names) + pick([" = ", "=", ": "]) + quote, quote + after
+            elif kind == 12:
+                token, before, after = chars(mixed + "+/", int(r.integers(100, 1_800))), prose() + pick([' src="', " url(", " "]) + pick(["data:image/png;base64,", "data:font/woff2;base64,"]), pick(['"', ")", " "]) + after
+            else:
+                token = pick(["-", "_", "-_", "+-", "/"]) * int(r.integers(16, 80))
             out.append((shout(before), shout(token), after, False))
     return out
 
