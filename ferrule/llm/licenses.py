@@ -4,8 +4,9 @@ A text and a template are aligned on the words that are unique in both: the long
 increasing subsequence of their places holds, the gaps between its members are aligned the
 same way, and equal words next to what is aligned join it.  Coverage is the aligned share
 of the template's words, or of the words they span in the text where those are more.  As a license that stands twice in a text has no
-unique words there, a text is first cut into regions by the template's words that are
-rarest in it; a word seen again starts the next region.
+unique words there, windows of a text are aligned.  So many of the template's words, rarest
+in the text first, that no copy with enough coverage can lack them all propose a window
+at each of their places; windows overlap, coverage decides, and of overlapping hits the best one counts.
 
 Defined results: null, empty and wordless texts have no license; texts are read whole;
 equal texts get equal results; of equal coverages the template named first in order of
@@ -15,8 +16,11 @@ kept by name.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
+from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -85,16 +89,16 @@ def longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Aligned places of two word lists, in order."""
+def align(a: list[str], b: list[str], whole: bool = True) -> list[tuple[int, int]]:
+    """Aligned places of two word lists, in order; unless ``whole``, b may begin before a and end behind it."""
     out: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
+    todo = [(0, len(a), 0, len(b), whole, whole)]
     while todo:
-        a_lo, a_hi, b_lo, b_hi = todo.pop()
-        while a_lo < a_hi and b_lo < b_hi and a[a_lo] == b[b_lo]:
+        a_lo, a_hi, b_lo, b_hi, from_left, from_right = todo.pop()
+        while from_left and a_lo < a_hi and b_lo < b_hi and a[a_lo] == b[b_lo]:
             out.append((a_lo, b_lo))
             a_lo, b_lo = a_lo + 1, b_lo + 1
-        while a_lo < a_hi and b_lo < b_hi and a[a_hi - 1] == b[b_hi - 1]:
+        while from_right and a_lo < a_hi and b_lo < b_hi and a[a_hi - 1] == b[b_hi - 1]:
             a_hi, b_hi = a_hi - 1, b_hi - 1
             out.append((a_hi, b_hi))
         if a_lo >= a_hi or b_lo >= b_hi:
@@ -107,7 +111,8 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             continue
         out += kept
         edges = [(a_lo - 1, b_lo - 1), *kept, (a_hi, b_hi)]
-        todo += [(i + 1, i2, j + 1, j2) for (i, j), (i2, j2) in zip(edges, edges[1:], strict=False)]
+        last = len(edges) - 2
+        todo += [(i + 1, i2, j + 1, j2, from_left or k > 0, from_right or k < last) for k, ((i, j), (i2, j2)) in enumerate(zip(edges, edges[1:], strict=False))]
     return sorted(out)
 
 
@@ -118,38 +123,70 @@ def _unique(found: list[str], lo: int, hi: int) -> dict[str, int]:
     return places
 
 
-def regions(places: dict[str, list[int]], template: list[str], n: int) -> list[tuple[int, int]]:
-    """Ranges of a text in which the template may stand, by its words that are rarest in the text."""
-    unique = {w: i for w, i in _unique(template, 0, len(template)).items() if i >= 0}
-    counts = {w: len(places[w]) for w in unique if w in places}
-    if not counts:
+def proposed(places: dict[str, list[int]], template: list[str], need: int) -> set[int]:
+    """Where the template's first word would stand, by every place of words of which a copy with ``need`` words holds one at least."""
+    at: dict[str, list[int]] = {}
+    for i, w in enumerate(template):
+        at.setdefault(w, []).append(i)
+    out: set[int] = set()
+    left = len(template) - need + 1
+    for w in sorted(at, key=lambda w: (len(places.get(w, ())), at[w][0])):
+        if left <= 0:
+            break
+        out.update(p - i for p in places.get(w, ()) for i in at[w])
+        left -= len(at[w])
+    return out
+
+
+def covered(pairs: list[tuple[int, int]], size: int, need: int) -> tuple[float, int, int]:
+    """(coverage, first, last place): aligned words as a share of the template, or of the stretch they span if that is longer; strays at its ends are left out."""
+    best = (0.0, 0, -1)
+    for i in range(len(pairs) - need + 1):
+        for j in range(len(pairs) - 1, i + need - 2, -1):
+            span = pairs[j][1] - pairs[i][1] + 1
+            best = max(best, ((j - i + 1) / max(size, span), pairs[i][1], pairs[j][1]), key=lambda x: x[0])
+            if span <= size:
+                break
+    return best
+
+
+def hits(found: list[str], places: dict[str, list[int]], template: list[str], enough: float) -> list[float]:
+    """The coverage of each copy of the template that covers enough, the best first; copies do not overlap."""
+    size, n = len(template), len(found)
+    need = max(1, math.ceil(enough * size - 1e-9))
+    # words put in or left out move a word of a copy by so much at most
+    margin = min(n, math.ceil(size / enough - size)) if enough > 0 else n
+    step = max(1, size // 8)
+    starts = proposed(places, template, need)
+    if not starts:
         return []
-    least = min(counts.values())
-    marks = sorted((p, w) for w, c in counts.items() if c <= 2 * least for p in places[w])
-    size, out, seen, start, last = len(template), [], set(), None, None
-    for p, w in marks:
-        if start is not None and (w in seen or p - last > size):
-            out.append((start, last))
-            start, seen = None, set()
-        if start is None:
-            start = p
-        seen.add(w)
-        last = p
-    out.append((start, last))
-    # a region reaches to its neighbours, but not further than the template is long
-    reach = size + size // 4
-    edges = [-1, *[x for r in out for x in r], n]
-    return [(max(edges[2 * k] + 1, lo - reach), min(edges[2 * k + 3], hi + reach + 1)) for k, (lo, hi) in enumerate(out)]
-
-
-def covered(template: list[str], found: list[str]) -> float:
-    """Aligned words as a share of the template, or of the stretch they span if that is longer."""
-    pairs = align(template, found)
-    return len(pairs) / max(len(template), pairs[-1][1] - pairs[0][1] + 1) if pairs else 0.0
+    known = dict.fromkeys(template)
+    shared = [0, *accumulate(w in known for w in found)]
+    asked = Counter(template)
+
+    def could_cover(lo, hi):
+        return shared[hi] - shared[lo] >= need and (asked & Counter(found[lo:hi])).total() >= need
+
+    windows = {(max(0, d), min(n, d + size), True) for d in starts if d < n and d + size > 0}
+    windows |= {(max(0, d - margin), min(n, d + step + size + margin), False) for d in {d - d % step for d in starts}}
+    good = []
+    for lo, hi, whole in windows:
+        if could_cover(lo, hi):
+            share, first, last = covered(align(template, found[lo:hi], whole), size, need)
+            if share >= enough and last >= first:
+                good.append((-share, lo + first, lo + last))
+    out: list[float] = []
+    taken: list[tuple[int, int]] = []
+    for share, first, last in sorted(set(good)):
+        k = bisect_left(taken, (first, -1))
+        if (k == 0 or taken[k - 1][1] < first) and (k == len(taken) or taken[k][0] > last):
+            taken.insert(k, (first, last))
+            out.append(-share)
+    return out
 
 
 def find_licenses(text: str | None, templates: dict[str, list[str]], coverage: float = COVERAGE) -> list[tuple[str, float, int]]:
-    """(template id, coverage, number of regions) of each template that covers enough, in order of id."""
+    """(template id, coverage, number of copies) of each template that covers enough, in order of id."""
     found = words(text)
     places: dict[str, list[int]] = {}
     for i, w in enumerate(found):
@@ -160,10 +197,9 @@ def find_licenses(text: str | None, templates: dict[str, list[str]], coverage: f
         enough = max(coverage, SHORT_COVERAGE) if len(template) <= SHORT else coverage
         if sum(w in places for w in template) < enough * len(template):
             continue
-        shares = [covered(template, found[lo:hi]) for lo, hi in regions(places, template, len(found))]
-        good = [s for s in shares if s >= enough]
+        good = hits(found, places, template, enough)
         if good:
-            out.append((name, max(good), len(good)))
+            out.append((name, good[0], len(good)))
     return out
 
 

@@ -245,6 +245,21 @@ def test_licenses():
     assert all(a[i] == b[j] for i, j in pairs) and len(pairs) >= 4
 
 
+def test_licenses_beside_prose_with_their_words():
+    parsed = {k: licenses.words(v) for k, v in licenses.TEMPLATES.items()}
+    got = lambda t: [(f[0], f[2]) for f in licenses.find_licenses(t, parsed)]
+    assert got("See the notes. This work is licensed under the GNU General Public License, version 3.") == [("GPL-3.0-line", 1)]
+    mit, r = licenses.TEMPLATES["MIT"], random.Random(13)
+    for word in ("event", "permission", "dealings", "merchantability", "the"):
+        for gap in (0, 3, 40, 150):
+            assert licenses.find_licenses(f"{word} {prose(r, gap)} {mit} {prose(r, gap)} {word}", parsed) == [("MIT", 1.0, 1)], (word, gap)
+    changed = mit.split()
+    for k in r.sample(range(len(changed)), 20):
+        changed[k] = f"x{k}"
+    assert got(f"event {prose(r, 9)} {' '.join(changed)} {mit} {prose(r, 9)} {' '.join(changed)}") == [("MIT", 3)]
+    assert got("Licensed under CC BY 4.0 licensed under CC BY 4.0. The license: licensed under CC BY 4.0") == [("CC-BY-4.0-line", 3)]
+
+
 @pytest.mark.parametrize("spread", [0.1, 1.0, 30.0])
 def test_neighbours_reach_recall(spark, spread):
     r = np.random.default_rng(3)
