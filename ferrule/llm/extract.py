@@ -6,7 +6,11 @@ comments) is a gap of empty lines as wide as the window.  The text lengths of th
 are summed over a sliding window; where the sums leave zero the text surges, where they
 fall back to zero it dives.  Regions between a surge and the next dive are the candidates:
 those inside the page's article element, or else the heaviest region and the regions of
-the same container, are kept whole, short lines between the two points included.
+the same article, are kept whole, short lines between the two points included.  Without an
+article element the page's frame is the outermost container around the heaviest region that
+holds a header, menu or footer itself, or else the body; regions in the heaviest one's
+container within the frame are of its article, and so are regions that no header, menu,
+sidebar or footer of the frame parts from it, unless half of their text is links.
 
 Defined results: a null or empty page has an empty text; character references are decoded
 once; white space inside a block is one blank; blocks are joined in page order by one
@@ -48,6 +52,9 @@ _BOILERPLATE = frozenset(
     " related recommended recommendations comment comments commentlist disqus discussion replies respond responses pagination pager skip"
     " copyright legal disclaimer complementary contentinfo".split()
 )
+#: Elements of a page's frame, and the words that mark them.
+_FRAME = frozenset("header nav footer".split())
+_FRAME_MARKS = frozenset("header masthead topbar nav navbar navigation menu footer contentinfo sidebar".split())
 #: Words that say how a container is arranged ("has-sidebar"), not what it holds.
 _ARRANGEMENT = frozenset("has with no without layout".split())
 _MARKS = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -81,9 +88,32 @@ class Line:
         self.text, self.place, self.article, self.linked = text, place, article, linked
 
 
-def lines(page: str) -> list[Line]:
+class Layout:
+    """The container of each container (the body and what is above it are 0), and which container held a part of the frame before which line."""
+
+    __slots__ = ("parents", "frame")
+
+    def __init__(self):
+        self.parents: dict[int, int] = {}
+        self.frame: list[tuple[int, int]] = []
+
+    def path(self, place: int) -> list[int]:
+        """The containers around a place, the body first."""
+        out = []
+        while place:
+            out.append(place)
+            place = self.parents[place]
+        return [0, *out[::-1]]
+
+
+def _is_frame(name: str, attributes: str) -> bool:
+    return name in _FRAME or any(not _FRAME_MARKS.isdisjoint(_WORD.findall((m[1] or m[2] or m[3] or "").lower())) for m in _MARKS.finditer(attributes))
+
+
+def lines(page: str) -> tuple[list[Line], Layout]:
     """The page's lines; a line without text is a gap that an element left out has made."""
     out: list[Line] = []
+    layout = Layout()
     buffer: list[str] = []
     stack: list[tuple[str, int]] = []
     places = article = articles = at = linked = in_link = 0
@@ -133,21 +163,25 @@ def lines(page: str) -> list[Line]:
             continue
         if name not in _VOID and not m[3].endswith("/") and _is_boilerplate(name, m[3], article > 0):
             flush()
+            if not article and _is_frame(name, m[3]):
+                layout.frame.append((stack[-1][1] if stack else 0, len(out)))
             gap()
             at = _past(page, at, name)
             continue
         if name in _BLOCK:
             flush()
             if name not in _VOID and name != "p":
-                places += 1
+                if name not in ("html", "body"):
+                    places += 1
+                    layout.parents[places] = stack[-1][1] if stack else 0
                 if name in ("article", "main") and not article:
                     articles += 1
                     article = articles
-                stack.append((name, places))
+                stack.append((name, 0 if name in ("html", "body") else places))
         elif name == "a":
             in_link = 1
     flush()
-    return out
+    return out, layout
 
 
 def _past(page: str, at: int, name: str) -> int:
@@ -184,7 +218,7 @@ def regions(found: list[Line]) -> list[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = lines(page)
+    found, layout = lines(page)
     cut = regions(found)
     if not cut:
         return ""
@@ -198,7 +232,22 @@ def main_text(page: str | None) -> str:
     weight = lambda lo, hi: sum(len(x.text) - min(x.linked, len(x.text)) for x in found[lo:hi])
     lo, hi = max(cut, key=lambda r: (weight(*r), -r[0]))
     homes = {x.place for x in found[lo:hi] if x.text}
-    kept = [(a, b) for a, b in cut if (a, b) == (lo, hi) or homes & {x.place for x in found[a:b] if x.text} and weight(a, b) * 2 >= sum(len(x.text) for x in found[a:b])]
+    paths = [layout.path(p) for p in sorted(homes)]
+    around = [level[0] for level in zip(*paths, strict=False) if len(set(level)) == 1]
+    holders = {p for p, _ in layout.frame}
+    depth = next((k for k, p in enumerate(around) if p in holders), 0)
+    frame = around[depth]
+    articles = {p[depth + 1] for p in paths if len(p) > depth + 1}
+    parted = lambda at: sum(p == frame and i <= at for p, i in layout.frame)
+
+    def belongs(a, b):
+        places = {x.place for x in found[a:b] if x.text}
+        inner = [p[depth:] for p in map(layout.path, places) if len(p) > depth and p[depth] == frame]
+        if homes & places or any(len(p) > 1 and p[1] in articles for p in inner):
+            return True
+        return bool(inner) and parted(a) == parted(lo) and weight(a, b) * 2 >= sum(len(x.text) for x in found[a:b])
+
+    kept = [r for r in cut if r == (lo, hi) or belongs(*r)]
     return " ".join(x.text for a, b in kept for x in found[a:b] if x.text)
 
 

@@ -302,6 +302,26 @@ def test_main_text(wrap):
     assert extract.main_text(PAGE.format(wrap.format(inner))) == want
 
 
+@pytest.mark.parametrize("apart", ['<div class="ad-slot">Buy now</div>', "<aside>Aside</aside>", '<form><input name="q"><button>Go</button></form>'])
+@pytest.mark.parametrize("wrap", ['<div id="content">{}</div>', '<div id="page"><div id="content">{}</div></div>', "{}"])
+def test_main_text_on_both_sides_of_what_is_left_out(wrap, apart):
+    long, short = "A long paragraph that outweighs the other one by far, as it goes on.", "The lighter paragraph."
+    for block in ("<section><h2>Part</h2><p>{}</p></section>", "<div>{}</div>", "<section><p>{}</p></section>", "<div><div>{}</div></div>"):
+        for a, b in ((long, short), (short, long)):
+            want = " ".join(re.sub("<[^>]*>", " ", block.format(a) + block.format(b)).split())
+            assert extract.main_text(PAGE.format(wrap.format(block.format(a) + apart + block.format(b)))) == want
+            framed = f'<body><div id="w"><header>Site</header><nav>Menu</nav>{wrap.format(block.format(a) + apart + block.format(b))}<footer>me</footer></div></body>'
+            assert extract.main_text(framed) == want
+    links = '<p>See <a href="/a">one linked source</a> and <a href="/b">another linked source</a></p>'
+    assert extract.main_text(PAGE.format(f'<div id="content"><section><p>{long}</p></section>{apart}<section>{links}</section></div>')) == long + " See one linked source and another linked source"
+
+
+def test_main_text_leaves_what_the_frame_parts():
+    long = "A long paragraph that outweighs the other one by far, as it goes on."
+    page = f'<body><div>Welcome to the site</div><nav>Menu</nav><div id="content"><p>{long}</p></div><div class="ad">Buy</div><div><a href="/x">Another page to read</a></div><div class="sidebar">Side</div><div>Imprint of the site</div></body>'
+    assert extract.main_text(page) == long
+
+
 def test_hidden_and_arranged_containers():
     shown = '<div style="overflow:hidden" class="layout-sidebar main">Kept text <span hidden>not this</span> here</div><p style="display: none">nor this</p>'
     assert extract.main_text(shown) == "Kept text here"
