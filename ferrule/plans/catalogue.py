@@ -413,7 +413,7 @@ def prompts(spark, d):
 
 def numbered_context(spark, d):
     found = bm25_topk(spark, d, 3).join(_docs(spark, d), "doc_id")
-    rows = found.select("query_id", F.col("rank").cast("int").alias("rank"), "source", F.col("doc_id").cast("int").alias("position"), F.col("score_key").cast("double").alias("score"), F.substring("text", 1, 200).alias("text"))
+    rows = found.select("query_id", F.col("rank").cast("int").alias("rank"), "source", F.col("doc_id").cast("int").alias("position"), F.col("score_key").cast("double").alias("score"), "text")
     return context.numbered_context(rows).select("query_id", F.sha2("context", 256).alias("context_sha256"))
 
 

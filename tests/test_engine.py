@@ -1,5 +1,7 @@
 """Operators of the engine on small fixtures."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +180,17 @@ def test_golden_questions(spark):
     assert all(r.citation_valid for r in found.values())
 
 
+def test_numbered_context_holds_whole_texts(spark, tmp_path):
+    texts = [(1, "refund rules " + "and more of them " * 60 + "the end", "en", "a"), (2, "refund of parcels", "en", "b"), (3, "nothing else here", "en", "c")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "refund")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    ranked = sorted((r["rank"], r.doc_id, r.score_key) for r in catalogue.bm25_topk(spark, str(tmp_path), 3).collect())
+    assert {1, 2} <= {doc_id for _, doc_id, _ in ranked}
+    whole = {doc_id: (text, source) for doc_id, text, _, source in texts}
+    want = "\n\n---\n\n".join(f"[{rank}] source={whole[i][1]} chunk={i} score={score:.4f}\n{whole[i][0]}" for rank, i, score in ranked)
+    assert [tuple(r) for r in catalogue.numbered_context(spark, str(tmp_path)).collect()] == [(7, hashlib.sha256(want.encode()).hexdigest())]
+
+
 def test_casebook(spark):
     schema = "issue_area string, issue_category string, issue_sub_category string, product_category string, product_sub_category string, issue_complexity string, conversation string, qa string, n int"
     qa = '{"knowledge":[{"customer_summary_question":"How long?","agent_summary_solution":"A week"},null]}'
