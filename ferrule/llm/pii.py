@@ -2,12 +2,14 @@
 
 The patterns give the base spans (e-mail, IPv4, payment card, phone).  The model, trained
 here in numpy from labelled spans, adds spans that the patterns miss: numbers without a
-country code, and cards or phones that run into a neighbouring number.  Every kind's span
-holds a digit or an ``@`` (and a card passes its checksum), so windows are laid around
-each of these characters wherever they stand in the text; what is further than the
-window's context from all of them cannot be part of a span.  Overlapping windows are
-decoded by Viterbi and reconciled over the whole text: a character takes the tag of the
-window in which it stands furthest from an edge.
+country code, and cards or phones that run into a neighbouring number.  Two forms are plain
+enough to be added whether the model finds them or not: addresses written with ``(at)`` or
+``[at]``, and digits alone behind a word for phones (without one they look like any number, so
+those stay).  Every kind's span holds a digit, an ``@`` or such an at (and a card passes its
+checksum), so windows are laid around each of these wherever they stand in the text; what is
+further than the window's context from all of them cannot be part of a span of the model.
+Overlapping windows are decoded by Viterbi and reconciled over the whole text: a character
+takes the tag of the window in which it stands furthest from an edge.
 
 Defined results: a null text is an empty one; an empty text has no spans; offsets are
 code points, ends exclusive; equal rows get equal results; texts of any length are read
@@ -34,6 +36,15 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _PIECE = re.compile(r"\S+")
+_AT = re.compile(r"[(\[] ?[Aa][Tt] ?[)\]]")
+_AT_DOMAIN = re.compile(r"[(\[] ?[Aa][Tt] ?[)\]] ?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_NUMBER = re.compile(r"[0-9]{10,}+")
+_JOINED_BEFORE, _JOINED_BEHIND = re.compile(r"[0-9][.,:/-]\Z"), re.compile(r"[.,:/-][0-9]")
+_PHONE_WORD = re.compile(
+    r"(?<![^\W_])(?:tele)?(?:phones?|phoned|tel|fax|calls?|called|dial|mobile|mob|cell|ring|sms|whatsapp|hotline|fon|telefon|telefono|handy|téléphone|tél|teléfono|móvil|portable)"
+    r"[^\w\n]{0,3}(?:(?:number|no|nr|me|us|at|on|is|under|now|numéro|número|nummer)[^\w\n]{1,3}){0,3}\Z",
+    re.I,
+)
 
 
 def luhn(digits: str) -> bool:
@@ -358,13 +369,16 @@ def model_spans(texts: list[str], tagger: Tagger, batch: int = 512) -> list[list
     """(start, kind, end) that the model finds in each text."""
     coded, jobs = [], []
     for k, text in enumerate(texts):
-        if "@" not in text and not _DIGIT.search(text):
+        ats = [i for m in (_AT.finditer(text) if "(" in text or "[" in text else ()) for i in range(*m.span())]
+        if "@" not in text and not ats and not _DIGIT.search(text):
             coded.append(None)
             continue
         x = classes(text)
         coded.append(x)
         digit, at = len(_CLASSES) + 1, 1 + _CLASSES.index("@")
-        marks = np.flatnonzero((x == digit) | (x == at))
+        marks = (x == digit) | (x == at)
+        marks[ats] = True
+        marks = np.flatnonzero(marks)
         jobs += [(hi - lo, k, lo, hi) for lo, hi in _windows(marks, len(x))]
     jobs.sort()
     depth = {}
@@ -411,12 +425,30 @@ def plausible(text: str, start: int, kind: int, end: int) -> bool:
     if start and text[start - 1].isalnum() or end < len(text) and text[end].isalnum():
         return False
     if kind == 0:
-        return "@" in span and "." in span and len(span) >= 6
+        return ("@" in span or _AT.search(span) is not None) and "." in span and len(span) >= 6
     if kind == 1:
         return n >= 4 and span.count(".") == 3
     if kind == 2:
         return 14 <= n <= 19 and n >= len(span) - 5 and luhn("".join(c for c in span if "0" <= c <= "9"))
-    return 10 <= n <= 15 and len(span) > n
+    return 10 <= n <= 15 and (len(span) > n or _PHONE_WORD.search(text[max(0, start - 2 * CONTEXT) : start]) is not None)
+
+
+def plain_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of addresses with an at in brackets and of bare numbers behind a word for phones."""
+    found = []
+    last = 0
+    for m in _AT_DOMAIN.finditer(text) if "(" in text or "[" in text else ():
+        start = mark = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < mark:
+            found.append((start, 0, m.end()))
+            last = m.end()
+    for m in _NUMBER.finditer(text):
+        joined = _JOINED_BEFORE.search(text[max(0, m.start() - 2) : m.start()]) or _JOINED_BEHIND.match(text, m.end())
+        if not joined and plausible(text, m.start(), 3, m.end()):
+            found.append((m.start(), 3, m.end()))
+    return sorted(found)
 
 
 def find_personal_data(texts: list[str | None], tagger: Tagger) -> list[tuple[list, list]]:
@@ -426,6 +458,9 @@ def find_personal_data(texts: list[str | None], tagger: Tagger) -> list[tuple[li
     for text, more in zip(whole, model_spans(whole, tagger), strict=True):
         base = base_spans(text)
         every = list(base)
+        for lo, kind, hi in plain_spans(text):
+            if all(hi <= a or b <= lo for a, _, b in every):
+                every.append((lo, kind, hi))
         for start, kind, end in more:
             pieces = [(start, end)]
             if not plausible(text, start, kind, end):  # neighbours that the model took for one

@@ -202,6 +202,21 @@ def test_tagger_on_fresh_spans_and_clean_text():
     assert pii.redact("mail a@b.cd now", [(5, 0, 11)]) == "mail <EMAIL> now"
 
 
+def test_addresses_with_an_at_in_brackets_and_phones_of_digits():
+    tagger = pii.trained()
+    for kind, before, span in [
+        (0, "write to ", "jane.doe42(at)host.org"), (0, "mail ", "john(at)host.org"), (0, "", "john [at] host-name.co.uk"), (0, "a ", "j_d(AT)host.org"),
+        (0, "x ", "a.very.long.name.of.a.person.with.many.parts(at)a-host-with-a-very-long-name.example.org"),
+        (3, "call ", "8265554081"), (3, "Tel.: ", "0048318281143"), (3, "my mobile number is ", "024595050246"),
+    ]:
+        for after in ("", " now", ", and more", ".\nNext"):
+            base, every = pii.find_personal_data([before + span + after], tagger)[0]
+            assert base == [] and every == [(len(before), kind, len(before) + len(span))], before + span + after
+            assert pii.redact(before + span + after, every) == before + ("<EMAIL>", "", "", "<PHONE>")[kind] + after
+    clean = ["look (at) this page", "order 8265554081 shipped", "called 12 times at 1700000000", "(at) host.org", "a phone for 1234567890.50"]
+    assert all(every == [] for _, every in pii.find_personal_data(clean, tagger))
+
+
 def test_secrets_by_held_out_findings():
     forest = secrets.trained()
     rows = secrets.generated_findings(600, seed=99)
