@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.llm import decontaminate, language, mix, neardup, pii
-from ferrule.llm.common import materialise, table
+from ferrule.llm.common import discard, materialise, table
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -32,8 +32,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _unpacked(found.where(F.col("lang_pred") != language.UNKNOWN), docs.columns)
 
 
+def _one_row_a_copy(docs: DataFrame) -> DataFrame:
+    """One row of each id and text; rows without an id go where a row with one has their text, else one a text stays.  Null texts stay."""
+    digest = F.unhex(F.sha2("text", 256))
+    seen = materialise(docs.where("text IS NOT NULL").groupBy(F.col("doc_id").alias("__id"), digest.alias("__digest")).agg(F.count("*").alias("__n")), "copies")
+    more = seen.where("__n > 1 OR __id IS NULL")
+    if more.isEmpty():
+        discard(seen)
+        return docs
+    named = seen.where("__id IS NOT NULL").select("__digest").distinct().withColumn("__named", F.lit(True))
+    more = more.join(named, "__digest", "left").withColumn("__held", F.col("__id").isNull() & F.col("__named").isNotNull()).where("__held OR __n > 1")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__doc"), digest.alias("__text"))
+    rows = rows.join(more, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__digest")), "left")
+    single = rows.where("__digest IS NULL").select("__row")
+    one = rows.where("NOT __held").groupBy("__id", "__digest").agg(F.min("__row").alias("__row")).select("__row")
+    out = materialise(single.unionByName(one).select("__row.*"), "copies")
+    discard(seen)
+    return out
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; rows without an id stay."""
+    """The document with the smallest id of each group stays, one row of it; rows without an id stay, one a text that no document has."""
+    docs = _one_row_a_copy(docs)
     dropped = neardup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
     return docs.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti").select(*[f"`{c}`" for c in docs.columns])
 

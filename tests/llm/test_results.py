@@ -342,6 +342,15 @@ def test_hidden_and_arranged_containers():
     assert extract.main_text(shown) == "Kept text here"
 
 
+def test_pipeline_keeps_one_row_of_exact_copies(spark, tmp_path):
+    r = random.Random(14)
+    a, b, c, d = (prose(r, 30, 900) for _ in range(4))
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "w"), (2, a, "x"), (3, b, "x"), (3, c, "x"), (None, d, "x"), (None, d, "x"), (None, b, "x"), (5, None, "x"), (5, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = [tuple(x) for x in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert sorted(out, key=str) == sorted([(1, a, "w"), (3, b, "x"), (3, c, "x"), (None, d, "x"), (5, None, "x"), (5, None, "x")], key=str)
+
+
 def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     r = random.Random(11)
     rows = [(k, prose(r, 40, 900), "en", f"s{k % 3}") for k in range(60)]
