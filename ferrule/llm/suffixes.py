@@ -1,4 +1,4 @@
-"""Repeated passages across documents by distributed prefix doubling over sampled suffixes.
+"""Repeated passages across documents by fingerprints of strings sampled by content, in place of prefix doubling.
 
 A suffix position is ranked by the hash of its first ``GRAM`` bytes.  Ranking every byte
 would move many times the input, so positions are sampled by content: of the ``GRAM``-byte
@@ -8,8 +8,8 @@ strings of ``length`` bytes have the same anchor at the same offset, so no repea
 1. Anchors are dealt out by rank and sorted; ranks that occur in one text only are unique
    and leave (a bitmap a text and bucket says which anchors stay).
 2. The strings around the anchors that stay are dealt out by rank; within each class the
-   strings of ``length`` bytes are ranked by the pair of ranks at doubled length and
-   sorted again; a string whose smallest document is smaller than its own is a repeat.
+   strings of ``length`` bytes are told apart by a second hash, taken from their text, and
+   sorted; a string whose smallest document is smaller than its own is a repeat.
    Ranks that very many documents hold are left out of both steps: their strings are rows of
    their own, whose smallest document is found by an aggregation that combines before it
    shuffles, so no class has to fit a task.
