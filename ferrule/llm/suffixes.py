@@ -1,27 +1,33 @@
-"""Repeated passages across documents by fingerprints of strings sampled by content, in place of prefix doubling.
+"""Repeated passages across documents by prefix doubling over positions sampled by content.
 
-A suffix position is ranked by the hash of its first ``GRAM`` bytes.  Ranking every byte
-would move many times the input, so positions are sampled by content: of the ``GRAM``-byte
-strings inside any ``length`` bytes, the one with the smallest rank is its anchor.  Equal
-strings of ``length`` bytes have the same anchor at the same offset, so no repeat escapes.
+A position is ranked by its first ``GRAM`` bytes, and the ranks of two positions an offset
+apart name the longer string that both cover; the offset grows until the strings are
+``length`` bytes long, the threshold.  Ranking every byte would move many times the input
+through each sort, so positions are sampled by content: of the strings of ``GRAM`` bytes
+inside any ``length`` bytes, the one with the smallest rank is its anchor.  Equal strings of
+``length`` bytes have the same anchor at the same offset, so no repeat escapes.
 
 1. Anchors are dealt out by rank and sorted; ranks that occur in one text only are unique
    and leave (a bitmap a text and bucket says which anchors stay).
-2. The strings around the anchors that stay are dealt out by rank; within each class the
-   strings of ``length`` bytes are told apart by a second hash, taken from their text, and
-   sorted; a string whose smallest document is smaller than its own is a repeat.
-   Ranks that very many documents hold are left out of both steps: their strings are rows of
-   their own, whose smallest document is found by an aggregation that combines before it
-   shuffles, so no class has to fit a task.
+2. The strings around the anchors that stay are dealt out by rank and ranked again by pairs
+   of ranks at growing offsets; pairs are sorted within the class of their anchor, and a
+   string whose smallest document is smaller than its own is a repeat.
+   Ranks that occur very often are left out of both steps: their strings are rows of their
+   own, whose smallest document is found by an aggregation that combines before it shuffles,
+   so no class has to fit a task.
 3. The runs of repeated strings go back to their documents, which drop the bytes covered.
 
+Spark deals and sorts by bucket of ranks, one bucket a partition, and their number grows with
+the input; within a bucket ranks are sorted in numpy.  Ranks are 64-bit hashes, named in
+place of sort positions, so a rank is the same in every task.
+
 Texts that equal a text of a smaller document are repeats as a whole and take no part in
 2.  All steps stream over bounded buckets; texts are shuffled by document, never gathered.
 
 Defined results: a null text is an empty one; texts shorter than ``length`` bytes lose and
 lend nothing; rows with a null ``doc_id`` lose and lend nothing; rows that repeat an id do
-not repeat each other (no smaller id); positions are judged on the input; an empty table
-gives an empty result; other columns are left out.
+not repeat each other (no smaller id), and each row's text is judged by itself; positions
+are judged on the input; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -38,14 +44,15 @@ from pyspark.sql import types as T
 from .common import discard, map_texts, materialise, slices, table
 
 LENGTH = 50
-GRAM = 24
-#: Bytes of text whose anchors share a bucket, on average.
-BUCKET_BYTES = 24_000_000
-#: Bytes of text a task works on at once.
-SLICE = 400_000
-#: A rank that so many documents are estimated to hold is too large a class for one task; the
-#: estimate comes from a sample, and the list of such ranks has a bound (the rest is ranked as usual).
-FREQUENT_DOCS, SAMPLE, MOST_FREQUENT = 100_000, 64, 20_000
+GRAM = 26
+#: Bytes of text whose anchors share a bucket, on average; a bucket is a partition.
+BUCKET_BYTES = 8_000_000
+#: Bytes of text a task works on at once, and bytes whose anchors it deals out together.
+SLICE, DEAL = 400_000, 6_000_000
+#: A rank that is estimated to occur so often is too large a class for one task.  The estimate
+#: counts every text beyond ``HUGE_BYTES`` and a sample of the others, and equal texts once; the
+#: list of such ranks has a bound (the rest is ranked as usual).
+FREQUENT, SAMPLE, HUGE_BYTES, MOST_FREQUENT = 100_000, 64, 1_000_000, 20_000
 #: Strings of ``length`` bytes ranked at once within a bucket; a class is never split.
 RANK_ROWS = 80_000
 
@@ -140,11 +147,13 @@ def _rows_of(schema: T.StructType, columns: list) -> pa.RecordBatch:
 
 
 def _summaries(documents: DataFrame) -> DataFrame:
+    """doc_id, mark, digest and size of every text."""
+
     def make(texts):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         return {"digest": [_digest(t) for t in raw], "n_bytes": [len(t) for t in raw]}
 
-    return map_texts(documents, "text", make, [("digest", T.BinaryType()), ("n_bytes", T.LongType())], keep=["doc_id"])
+    return map_texts(documents, "text", make, [("digest", T.BinaryType()), ("n_bytes", T.LongType())], keep=["doc_id", "mark"])
 
 
 _PACKED = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("packed", T.BinaryType())])
@@ -180,38 +189,62 @@ def _by_bucket(batches):
         yield bucket, held
 
 
-def _pairs(b: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of the strings of ``length`` bytes at ``at``: pairs of ranks of two overlapping parts."""
-    part = length - length // 3
-    h = gram_hashes(b, part)
-    return h[at] * np.uint64(0xC2B2AE3D27D4EB4F) + h[at + length - part]
+def doubled(b: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of all strings of ``length`` bytes of ``b``: pairs of ranks at growing offsets, from ``GRAM`` bytes on."""
+    size = min(GRAM, length)
+    rank = gram_hashes(b, size)
+    while size < length and len(rank):
+        step = min(size, length - size)
+        rank = _mixed(rank[:-step] * np.uint64(0xC2B2AE3D27D4EB4F) + rank[step:])
+        size += step
+    return rank
+
+
+_LONGS = lambda *names: T.StructType([T.StructField(n, T.LongType()) for n in names])
+#: A text's rows are told apart by its document and by a hash of the text.
+_OWNER = ("doc_id", "mark")
 
 
 def _frequent_ranks(documents: DataFrame, length: int, least: int, sample: int = SAMPLE) -> np.ndarray:
-    """Ranks of anchors that about ``least`` documents or more hold, by a sample of documents; sorted."""
+    """Ranks of anchors that occur about ``least`` times or more, equal texts counted once; sorted."""
     rate = sample if least >= 100 * sample else 1
-    rows = documents if rate == 1 else documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(rate)) == 0)
-    schema = T.StructType([T.StructField("rank", T.LongType()), T.StructField("mark", T.LongType())])
+    size = F.octet_length("text")
+    drawn = (size > HUGE_BYTES) | (F.pmod(F.col("mark"), F.lit(rate)) == 0)
+    rows = documents.where(drawn).withColumn("weight", F.when(size > HUGE_BYTES, F.lit(1)).otherwise(F.lit(rate)).cast("long"))
+    schema = _LONGS("rank", "mark", "n")
 
     def list_ranks(batches):
-        for part, texts in _text_slices(batches, 1):
+        for part, texts in _text_slices(batches, 2):
             position, rank, _, _ = anchors(*_joined(texts), length)
             doc = np.searchsorted(np.cumsum([len(t) for t in texts]), position, side="right")
-            marks = np.array([int.from_bytes(_digest(t)[:8], "little", signed=True) for t in texts])
-            held = np.unique(np.c_[rank.astype(np.int64), doc], axis=0)
-            yield _rows_of(schema, [pa.array(held[:, 0]), pa.array(marks[held[:, 1]])])
+            held, n = np.unique(np.c_[rank.astype(np.int64), doc], axis=0, return_counts=True)
+            mark, weight = part.column(1).to_numpy()[held[:, 1]], part.column(3).to_numpy()[held[:, 1]]
+            yield _rows_of(schema, [pa.array(held[:, 0]), pa.array(mark), pa.array(n * weight)])
 
-    counts = rows.mapInArrow(list_ranks, schema).groupBy("rank").agg(F.count("*").alias("n"), F.min("mark").alias("a"), F.max("mark").alias("b"))
-    found = counts.where((F.col("n") * rate >= least) & (F.col("a") != F.col("b"))).orderBy(F.desc("n"), "rank").limit(MOST_FREQUENT)
+    counts = rows.mapInArrow(list_ranks, schema).groupBy("rank", "mark").agg(F.max("n").alias("n"))
+    counts = counts.groupBy("rank").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = counts.orderBy(F.desc("n"), "rank").limit(MOST_FREQUENT)
     return np.sort(np.array([r["rank"] for r in found.select("rank").collect()], np.int64).astype(np.uint64))
 
 
+_RUNS = T.StructType([*_LONGS(*_OWNER).fields, T.StructField("runs", T.BinaryType())])
+
+
+def _packed_runs(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """A row of runs for each text among the (start, end) given."""
+    order = np.lexsort((start, mark, doc))
+    doc, mark, pairs = doc[order], mark[order], np.c_[start, end][order].astype(np.uint64)
+    cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])) + 1
+    heads = np.r_[0, cuts]
+    return _rows_of(_RUNS, [pa.array(doc[heads]), pa.array(mark[heads]), pa.array([p.tobytes() for p in np.split(pairs, cuts)], pa.binary())])
+
+
 def _frequent_repeats(documents: DataFrame, frequent: np.ndarray, length: int) -> DataFrame:
-    """(doc_id, runs) of the strings whose anchors have frequent ranks."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("pair", "rank", "doc_id", "start")])
+    """(doc_id, mark, runs) of the strings whose anchors have frequent ranks."""
+    schema = _LONGS("pair", "rank", *_OWNER, "start")
 
     def strings(batches):
-        for part, texts in _text_slices(batches, 1):
+        for part, texts in _text_slices(batches, 2):
             b, starts, ends = _joined(texts)
             position, rank, first, last = anchors(b, starts, ends, length)
             own = np.flatnonzero(np.isin(rank, frequent))
@@ -220,56 +253,85 @@ def _frequent_repeats(documents: DataFrame, frequent: np.ndarray, length: int) -
             number = last[own] - first[own] + 1
             at = np.repeat(first[own] - (np.cumsum(number) - number), number) + np.arange(number.sum())
             doc = np.repeat(np.searchsorted(ends, position[own], side="right"), number)
-            columns = [_pairs(b, at, length).astype(np.int64), np.repeat(rank[own], number).astype(np.int64), part.column(0).to_numpy()[doc], at - starts[doc]]
+            pair, rank = doubled(b, length)[at].astype(np.int64), np.repeat(rank[own], number).astype(np.int64)
+            columns = [pair, rank, part.column(0).to_numpy()[doc], part.column(1).to_numpy()[doc], at - starts[doc]]
             yield _rows_of(schema, [pa.array(c) for c in columns])
 
-    rows = documents.select("doc_id", "text").mapInArrow(strings, schema)
+    rows = documents.select(*_OWNER, "text").mapInArrow(strings, schema)
     first = rows.groupBy("pair", "rank").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    repeats = rows.join(first, ["pair", "rank"]).where("doc_id > least").select("doc_id", "start")
-    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("runs", T.BinaryType())])
+    repeats = rows.join(first, ["pair", "rank"]).where("doc_id > least").select(*_OWNER, "start")
 
     def pack(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            doc, start = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            order = np.lexsort((start, doc))
-            doc, start = doc[order], start[order]
-            cuts = np.flatnonzero(np.diff(doc)) + 1
-            runs = [np.c_[s, s + length].astype(np.uint64).tobytes() for s in np.split(start, cuts)]
-            yield _rows_of(out, [pa.array(doc[np.r_[0, cuts]]), pa.array(runs, pa.binary())])
+            if batch.num_rows:
+                doc, mark, start = (batch.column(i).to_numpy() for i in range(3))
+                yield _packed_runs(doc, mark, start, start + length)
+
+    return repeats.mapInArrow(pack, _RUNS)
 
-    return repeats.mapInArrow(pack, out)
+
+def _dealt(batches, column: int, places):
+    """(bucket, packed) rows of what ``places(part, texts)`` finds, a bounded number of bytes at a time.
+
+    ``places`` gives the bucket of each find and a function that packs chosen finds' arrays;
+    finds of several slices of text share a row, so rows stay few.
+    """
+    held, size = [], 0
+
+    def flush():
+        buckets = np.unique(np.concatenate([h[0][h[1]] for h in held])) if held else []
+        names, blobs, reach = [], [], [0] * len(held)
+        for bucket in buckets:
+            parts = []
+            for k, (found, order, pack) in enumerate(held):
+                lo = reach[k]
+                hi = int(np.searchsorted(found[order], bucket, side="right")) if lo < len(order) else lo
+                if hi > lo:
+                    parts.append(pack(order[lo:hi]))
+                    reach[k] = hi
+            names.append(int(bucket))
+            blobs.append(_pack(*[np.concatenate(c) for c in zip(*parts, strict=True)]))
+        held.clear()
+        return _rows_of(_PACKED, [pa.array(names, pa.int64()), pa.array(blobs, pa.binary())])
+
+    for part, texts in _text_slices(batches, column):
+        found, pack = places(part, texts)
+        if len(found):
+            held.append((found, np.argsort(found, kind="stable"), pack))
+        size += sum(map(len, texts))
+        if size >= DEAL:
+            yield flush()
+            size = 0
+    if held:
+        yield flush()
+
+
+def _sorted_buckets(dealt: DataFrame, n_buckets: int) -> DataFrame:
+    """A bucket a partition, sorted by Spark."""
+    return dealt.repartitionById(n_buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
 
 
 def _repeated_anchors(documents: DataFrame, frequent: np.ndarray, n_buckets: int, length: int) -> DataFrame:
-    """(doc_id, bucket, bits): which of a text's anchors in a bucket have ranks that other texts have too."""
+    """(doc_id, mark, bucket, bits): which of a text's anchors in a bucket have ranks that other texts have too."""
 
-    def deal(batches):
-        for part, texts in _text_slices(batches, 1):
-            ids = part.column(0).to_numpy()
-            marks = np.array([int.from_bytes(_digest(t)[:8], "little") for t in texts], np.uint64)
-            position, rank, _, _ = anchors(*_joined(texts), length)
-            usual = ~np.isin(rank, frequent)
-            position, rank = position[usual], rank[usual]
-            if not len(position):
-                continue
-            doc = np.searchsorted(np.cumsum([len(t) for t in texts]), position, side="right")
-            bucket = _bucket(rank, n_buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            names, blobs = [], []
-            for at in np.split(order, cuts):
-                own, counts = np.unique(doc[at], return_counts=True)
-                names.append(int(bucket[at[0]]))
-                blobs.append(_pack(ids[own], marks[own], counts.astype(np.uint32), rank[at].astype(np.uint32)))
-            yield _rows_of(_PACKED, [pa.array(names, pa.int64()), pa.array(blobs, pa.binary())])
-
-    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("bucket", T.LongType()), T.StructField("bits", T.BinaryType())])
+    def places(part, texts):
+        ids, marks = part.column(0).to_numpy(), part.column(1).to_numpy()
+        position, rank, _, _ = anchors(*_joined(texts), length)
+        usual = ~np.isin(rank, frequent)
+        position, rank = position[usual], rank[usual]
+        doc = np.searchsorted(np.cumsum([len(t) for t in texts]), position, side="right")
+
+        def pack(at):
+            own, counts = np.unique(doc[at], return_counts=True)
+            return ids[own], marks[own], counts.astype(np.uint32), rank[at].astype(np.uint32)
+
+        return _bucket(rank, n_buckets), pack
+
+    out = T.StructType([*_LONGS(*_OWNER, "bucket").fields, T.StructField("bits", T.BinaryType())])
 
     def sift(batches):
         for bucket, blobs in _by_bucket(batches):
-            parts = [_unpack(b, [np.int64, np.uint64, np.uint32, np.uint32]) for b in blobs]
+            parts = [_unpack(b, [np.int64, np.int64, np.uint32, np.uint32]) for b in blobs]
             ids, marks, counts, rank = (np.concatenate([p[i] for p in parts]) for i in range(4))
             counts = counts.astype(np.int64)
             order = np.argsort(rank, kind="stable")
@@ -284,57 +346,48 @@ def _repeated_anchors(documents: DataFrame, frequent: np.ndarray, n_buckets: int
             for lo in range(0, len(some), 10_000):
                 rows = some[lo : lo + 10_000]
                 bits = [np.packbits(stays[cuts[i] : cuts[i] + counts[i]]).tobytes() for i in rows]
-                yield _rows_of(out, [pa.array(ids[rows]), pa.array(np.full(len(rows), bucket)), pa.array(bits, pa.binary())])
-
-    dealt = documents.mapInArrow(deal, _PACKED).repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(sift, out)
-
-
-def _repeats(texts: DataFrame, frequent: np.ndarray, sifted: int, n_buckets: int, length: int) -> DataFrame:
-    """(doc_id, runs): starts and ends of runs of strings that a smaller document has."""
-
-    def deal(batches):
-        for part, whole in _text_slices(batches, 1):
-            ids = part.column(0).to_numpy()
-            stays = part.column(2).to_pylist()
-            b, starts, ends = _joined(whole)
-            position, rank, first, last = anchors(b, starts, ends, length)
-            usual = ~np.isin(rank, frequent)
-            position, rank, first, last = position[usual], rank[usual], first[usual], last[usual]
-            doc = np.searchsorted(ends, position, side="right")
-            bucket, bucket_then = _bucket(rank, n_buckets), _bucket(rank, sifted)
-            keep = np.zeros(len(position), bool)
-            cuts = np.searchsorted(doc, np.arange(len(whole) + 1))
-            for k, found in enumerate(stays):
-                lo, hi = cuts[k], cuts[k + 1]
-                own = bucket_then[lo:hi]
-                for row in found:
-                    at = np.flatnonzero(own == row["bucket"])
-                    bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: len(at)].astype(bool)
-                    if len(bits) == len(at):  # else the bitmap is that of another row with this id
-                        keep[lo + at] |= bits
-            at = np.flatnonzero(keep)
-            at = at[np.argsort(bucket[at], kind="stable")]
-            if not len(at):
-                continue
-            names, blobs = [], []
-            for own in np.split(at, np.flatnonzero(np.diff(bucket[at])) + 1):
-                size = last[own] + length - first[own]
-                where = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                names.append(int(bucket[own[0]]))
-                blobs.append(
-                    _pack(ids[doc[own]], (first[own] - starts[doc[own]]).astype(np.int64), size.astype(np.int64), rank[own], b[where])
-                )
-            yield _rows_of(_PACKED, [pa.array(names, pa.int64()), pa.array(blobs, pa.binary())])
-
-    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("runs", T.BinaryType())])
-
-    def rank_again(ids, first, size, rank, raw):
-        """(doc_id, start, end) of the runs of repeats among strings around anchors."""
+                yield _rows_of(out, [pa.array(ids[rows]), pa.array(marks[rows]), pa.array(np.full(len(rows), bucket)), pa.array(bits, pa.binary())])
+
+    dealt = documents.mapInArrow(lambda batches: _dealt(batches, 2, places), _PACKED)
+    return _sorted_buckets(dealt, n_buckets).mapInArrow(sift, out)
+
+
+def _repeats(texts: DataFrame, frequent: np.ndarray, n_buckets: int, length: int) -> DataFrame:
+    """(doc_id, mark, runs): starts and ends of runs of strings that a smaller document has."""
+
+    def places(part, whole):
+        ids, marks = part.column(0).to_numpy(), part.column(1).to_numpy()
+        stays = part.column(3).to_pylist()
+        b, starts, ends = _joined(whole)
+        position, rank, first, last = anchors(b, starts, ends, length)
+        usual = ~np.isin(rank, frequent)
+        position, rank, first, last = position[usual], rank[usual], first[usual], last[usual]
+        doc = np.searchsorted(ends, position, side="right")
+        bucket = _bucket(rank, n_buckets)
+        keep = np.zeros(len(position), bool)
+        cuts = np.searchsorted(doc, np.arange(len(whole) + 1))
+        for k, found in enumerate(stays):
+            own = bucket[cuts[k] : cuts[k + 1]]
+            for row in found:
+                at = np.flatnonzero(own == row["bucket"])
+                keep[cuts[k] + at] |= np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: len(at)].astype(bool)
+        live = np.flatnonzero(keep)
+
+        def pack(chosen):
+            own = live[chosen]
+            size = last[own] + length - first[own]
+            where = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            begin = (first[own] - starts[doc[own]]).astype(np.int64)
+            return ids[doc[own]], marks[doc[own]], begin, size.astype(np.int64), rank[own], b[where]
+
+        return bucket[live], pack
+
+    def rank_again(ids, marks, first, size, rank, raw):
+        """(doc_id, mark, start, end) of the runs of repeats among strings around anchors."""
         number = size - length + 1
         begin = np.cumsum(size) - size
         at = np.repeat(begin - (np.cumsum(number) - number), number) + np.arange(number.sum())
-        pair = _pairs(raw, at, length)
+        pair = doubled(raw, length)[at]
         pair ^= _mixed(np.repeat(rank, number))
         order = np.argsort(pair, kind="stable")
         doc = np.repeat(ids, number)
@@ -350,12 +403,13 @@ def _repeats(texts: DataFrame, frequent: np.ndarray, sifted: int, n_buckets: int
         new = np.r_[True, (np.diff(hit) > 1) | (block[hit][1:] != block[hit][:-1])]
         heads = np.flatnonzero(new)
         tails = np.r_[heads[1:], len(hit)] - 1
-        return doc[hit[heads]], start[hit[heads]], start[hit[tails]] + length
+        own = block[hit[heads]]
+        return ids[own], marks[own], start[hit[heads]], start[hit[tails]] + length
 
     def sift(batches):
         for _, blobs in _by_bucket(batches):
-            parts = [_unpack(b, [np.int64, np.int64, np.int64, np.uint64, np.uint8]) for b in blobs]
-            ids, first, size, rank, raw = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            parts = [_unpack(b, [np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint8]) for b in blobs]
+            ids, marks, first, size, rank, raw = (np.concatenate([p[i] for p in parts]) for i in range(6))
             del parts
             order = np.argsort(rank, kind="stable")
             begin = np.cumsum(size) - size
@@ -372,21 +426,15 @@ def _repeats(texts: DataFrame, frequent: np.ndarray, sifted: int, n_buckets: int
                     hi = len(order)
                 own = order[lo:hi]
                 where = np.repeat(begin[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(size[own].sum())
-                got = rank_again(ids[own], first[own], size[own], rank[own], raw[where])
+                got = rank_again(ids[own], marks[own], first[own], size[own], rank[own], raw[where])
                 if got is not None:
                     found.append(got)
                 lo = hi
             if found:
-                doc, start, end = (np.concatenate([f[i] for f in found]) for i in range(3))
-                order = np.lexsort((start, doc))
-                pairs = np.c_[start, end][order]
-                cuts = np.flatnonzero(np.diff(doc[order])) + 1
-                owners = doc[order][np.r_[0, cuts]]
-                runs = [p.astype(np.uint64).tobytes() for p in np.split(pairs, cuts)]
-                yield _rows_of(out, [pa.array(owners), pa.array(runs, pa.binary())])
+                yield _packed_runs(*(np.concatenate([f[i] for f in found]) for i in range(4)))
 
-    dealt = texts.mapInArrow(deal, _PACKED).repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(sift, out)
+    dealt = texts.mapInArrow(lambda batches: _dealt(batches, 2, places), _PACKED)
+    return _sorted_buckets(dealt, n_buckets).mapInArrow(sift, _RUNS)
 
 
 def merged(runs: list[bytes]) -> np.ndarray:
@@ -398,45 +446,44 @@ def merged(runs: list[bytes]) -> np.ndarray:
     return np.c_[pairs[heads, 0], reach[np.r_[heads[1:], len(pairs)] - 1]]
 
 
-def repeated_passages(documents: DataFrame, length: int = LENGTH, frequent_docs: int = FREQUENT_DOCS) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
-    """Documents (doc_id, text), their runs of repeats (doc_id, runs: unordered pairs of offsets in
-    bytes), those that equal a smaller document's text (doc_id, digest), and the written tables
-    behind these, which the caller discards."""
+def repeated_passages(documents: DataFrame, length: int = LENGTH, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """Documents (doc_id, mark, text), their runs of repeats (doc_id, mark, runs: unordered pairs of
+    offsets in bytes), those that equal a smaller document's text (doc_id, mark, digest), and the
+    written tables behind these, which the caller discards."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     sums = materialise(_summaries(docs.where("doc_id IS NOT NULL")), "texts")
     total = sums.agg(F.sum("n_bytes")).first()[0] or 0
-    n_buckets = int(max(16, -(-total // BUCKET_BYTES)))
+    n_buckets = int(max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)))
     long_ones = sums.where(F.col("n_bytes") >= length)
     first = long_ones.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     first = materialise(first.drop("last"), "first")  # a join of two plain shuffles, so Spark can split a hot digest
-    copies = long_ones.join(first, "digest").where("doc_id > first").select("doc_id", "digest").distinct()
+    copies = long_ones.join(first, "digest").where("doc_id > first").select(*_OWNER, "digest").distinct()
 
     named = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    frequent = _frequent_ranks(named, length, frequent_docs)
-    stays = _repeated_anchors(named, frequent, n_buckets, length)
-    stays = stays.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    stays = stays.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "bits")).alias("stays"))
+    often = _frequent_ranks(named, length, frequent)
+    stays = _repeated_anchors(named, often, n_buckets, length)
+    stays = stays.join(copies.select(*_OWNER), list(_OWNER), "left_anti")
+    stays = stays.groupBy(*_OWNER).agg(F.collect_list(F.struct("bucket", "bits")).alias("stays"))
     stays = materialise(stays, "anchors")
-    runs = _repeats(named.join(stays, "doc_id").select("doc_id", "text", "stays"), frequent, n_buckets, n_buckets * 2, length)
-    if len(frequent):
-        runs = runs.unionByName(_frequent_repeats(named, frequent, length))
+    runs = _repeats(named.join(stays, list(_OWNER)).select(*_OWNER, "text", "stays"), often, n_buckets, length)
+    if len(often):
+        runs = runs.unionByName(_frequent_repeats(named.join(copies.select(*_OWNER), list(_OWNER), "left_anti"), often, length))
     return docs, runs, copies, [sums, first, stays]
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, frequent_docs: int = FREQUENT_DOCS) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the bytes that remain) of every document."""
-    docs, runs, copies, written = repeated_passages(documents, length, frequent_docs)
-    found = runs.groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
-    whole = copies.groupBy("doc_id").agg(F.collect_list("digest").alias("copies"))
-    found = materialise(found.join(whole, "doc_id", "full"), "repeats")
+    if length < GRAM:
+        raise ValueError(f"length must be {GRAM} or more")
+    docs, runs, copies, written = repeated_passages(documents, length, frequent)
+    found = runs.groupBy(*_OWNER).agg(F.collect_list("runs").alias("runs"))
+    whole = copies.groupBy(*_OWNER).agg(F.collect_list("digest").alias("copies"))
+    found = materialise(found.join(whole, list(_OWNER), "full"), "repeats")
     for done in written:
         discard(done)
-    rows = docs.join(found, "doc_id", "left").select("doc_id", "text", "runs", "copies")
-    out = T.StructType(
-        [T.StructField("doc_id", T.LongType())]
-        + [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
-        + [T.StructField("kept", T.BinaryType())]
-    )
+    rows = docs.join(found, list(_OWNER), "left").select("doc_id", "text", "runs", "copies")
+    out = T.StructType([*_LONGS("doc_id", "n_bytes", "n_removed", "n_spans").fields, T.StructField("kept", T.BinaryType())])
 
     def cut(batches):
         for part, texts in _text_slices(batches, 1):
@@ -445,8 +492,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, frequent_docs: in
                 spans = np.zeros((0, 2), np.int64)
                 if copies and _digest(text) in copies:
                     spans = np.array([[0, len(text)]])
-                elif runs and len(text) >= length:
-                    spans = np.minimum(merged(runs), len(text))
+                elif runs:
+                    spans = merged(runs)
                 kept, at = [], 0
                 for lo, hi in spans:
                     kept.append(text[at:lo])

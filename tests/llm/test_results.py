@@ -76,7 +76,7 @@ def test_variants_meet_within_one_error_a_chunk():
 
 
 @pytest.mark.parametrize(
-    ("slice_bytes", "rank_rows", "piece", "frequent"), [(1_000_000, 400_000, 24_000_000, 100_000), (500, 40, 900, 100_000), (2_000, 400_000, 24_000_000, 6)]
+    ("slice_bytes", "rank_rows", "piece", "frequent"), [(1_000_000, 400_000, 24_000_000, 100_000), (500, 40, 900, 100_000), (2_000, 400_000, 24_000_000, 12)]
 )
 def test_repeats_equal_brute_force(spark, monkeypatch, slice_bytes, rank_rows, piece, frequent):
     monkeypatch.setattr(suffixes, "SLICE", slice_bytes)
@@ -95,12 +95,30 @@ def test_repeats_equal_brute_force(spark, monkeypatch, slice_bytes, rank_rows, p
                 marks[p : p + 50] = b"\1" * 50
         kept = bytes(c for c, m in zip(b, marks, strict=True) if not m)
         want[i] = (len(b), sum(marks), len(re.findall(b"\1+", bytes(marks))), hashlib.sha256(kept).hexdigest())
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.remove_repeats(frame(spark, rows), frequent_docs=frequent).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.remove_repeats(frame(spark, rows), frequent=frequent).collect()}
     assert got == want
-    named = frame(spark, rows)
+    named = frame(spark, rows).withColumn("mark", F.xxhash64("text")).select("doc_id", "mark", "text")
     assert (len(suffixes._frequent_ranks(named, 50, frequent)) > 0) == (frequent < 100)
 
 
+def test_repeats_of_rows_that_share_an_id(spark):
+    r = random.Random(15)
+    a, b, c = (prose(r, 30, 10**6) for _ in range(3))
+    rows = [(1, a), (2, "xx" + a + "yy"), (2, b), (3, b), (3, c), (4, c), (4, a), (4, a)]
+    out = sorted((x.doc_id, x.n_bytes, x.n_removed) for x in suffixes.remove_repeats(frame(spark, rows)).collect())
+    want = [(1, len(a), 0), (2, len(a) + 4, len(a)), (2, len(b), 0), (3, len(b), len(b)), (3, len(c), 0), (4, len(c), len(c)), (4, len(a), len(a)), (4, len(a), len(a))]
+    assert out == sorted(want)
+
+
+def test_doubled_ranks_tell_strings_apart():
+    r = np.random.default_rng(2)
+    b = r.integers(0, 2, 4_000).astype(np.uint8)
+    for length in (26, 30, 50, 120):
+        rank = suffixes.doubled(b, length)
+        strings = [b[k : k + length].tobytes() for k in range(len(b) - length + 1)]
+        assert len(rank) == len(strings) and len(set(rank.tolist())) == len(set(strings)) == len(set(zip(strings, rank.tolist(), strict=True)))
+
+
 @pytest.mark.parametrize("slice_bytes", [16_000_000, 300])
 def test_contamination_equals_brute_force(spark, slice_bytes):
     r = random.Random(5)
