@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import citation_ids, is_out_of_domain, sentence_score, split_sentences, tokenize
+from .plugins import Patience
 
 # Texts that reach the reader.
 PERMISSION_ANSWER = "当前权限不足，不能可靠回答这个问题。"
@@ -155,11 +156,11 @@ def prompts(packets: DataFrame) -> DataFrame:
     return packets.select("query_id", F.concat_ws("\n\n", *parts, *[F.lit(r) for r in PROMPT_RULE_LINES]).alias("prompt"))
 
 
-def answer_with(packets: DataFrame, fallback: DataFrame, model=None, attempts: int = 3) -> DataFrame:
+def answer_with(packets: DataFrame, fallback: DataFrame, model=None, patience: Patience = Patience()) -> DataFrame:
     """Answers by ``model(prompt) -> text`` where the context is enough, else the extractive ones.
 
-    The model runs once a row, in batches on the executors; what fails ``attempts`` times
-    falls back, and rows without enough context never reach it.
+    The model runs once a row, in batches on the executors; what it fails on for good falls
+    back, and rows without enough context never reach it.
     """
     base = fallback.select("query_id", "mode", "answer", "citations")
     if model is None:
@@ -168,22 +169,9 @@ def answer_with(packets: DataFrame, fallback: DataFrame, model=None, attempts: i
     id_type = packets.schema["query_id"].dataType.simpleString()
 
     def call(batches):
-        import time
-
         for pdf in batches:
-            texts, tries = [], []
-            for prompt in pdf["prompt"]:
-                text = None
-                for n in range(1, attempts + 1):
-                    try:
-                        text = model(prompt)
-                        break
-                    except Exception:  # whatever the plugged-in model raises
-                        if n < attempts:
-                            time.sleep(0.05 * 2 ** (n - 1))
-                texts.append(text)
-                tries.append(n)
-            yield pdf[["query_id"]].assign(text=texts, attempts=tries)
+            got = [patience.ask(model, prompt) for prompt in pdf["prompt"]]
+            yield pdf[["query_id"]].assign(text=[g.value for g in got], attempts=[g.attempts for g in got])
 
     told = asked.mapInPandas(call, f"query_id {id_type}, text string, attempts int")
     rows = base.join(told, "query_id", "left")

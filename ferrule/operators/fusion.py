@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .lexical import score_key, top_k
 
@@ -38,13 +39,27 @@ def rerank(fused: DataFrame, scores: DataFrame, model: str, top_n: int = 12, key
 
 
 def rerank_or_skip(fused: DataFrame, score_model, model: str, top_n: int = 12, key: str = "chunk_id") -> DataFrame:
-    """``rerank`` with ``score_model(fused) -> scores``; without a model, or if it fails, ``skip_rerank``."""
+    """``rerank`` with ``score_model(fused) -> scores``; queries the model failed on keep their fused order.
+
+    Scores may carry a ``failed`` column (see ``plugins.score_candidates``): one error of a
+    query lets that query fall back, when the plan runs.  Without a model, or if it cannot be
+    planned, all do.
+    """
     if score_model is None:
         return skip_rerank(fused, "no_configured_model", top_n, key)
     try:
-        return rerank(fused, score_model(fused), model, top_n, key)
+        scores = score_model(fused)
     except Exception:  # whatever a plugged-in model raises, recall results stand
         return skip_rerank(fused, "reranker_error", top_n, key)
+    if "failed" not in scores.columns:
+        return rerank(fused, scores, model, top_n, key)
+    rows = fused.join(scores.select("query_id", key, "model_score", "failed"), ["query_id", key], "left")
+    fell = F.max(F.col("failed").isNotNull()).over(Window.partitionBy("query_id"))
+    rows = rows.withColumn("fell", F.coalesce(fell, F.lit(False)))
+    value = F.when(F.col("fell"), F.col("rrf_score")).otherwise(F.coalesce("model_score", F.lit(0.0)))
+    kept = top_k(rows.withColumn("rerank_score", value), top_n, [F.desc(score_key("rerank_score")), *fused_order(key)])
+    reason = F.when(F.col("fell"), "rerank_skipped:reranker_error").otherwise(f"external_reranker:{model}")
+    return kept.withColumn("reason", reason).drop("fell", "failed", "model_score")
 
 
 def parse_scores(response: DataFrame, documents: DataFrame) -> DataFrame:

@@ -1,9 +1,17 @@
-"""Plug-in models: retries, fallbacks, and rows that say which component answered."""
+"""Services beside the engine (embedders, rerankers, language models, stores): patience, and rows that say which answered.
+
+A service is any callable.  It is asked through a ``Patience``, which gives back an
+``Outcome`` whether it worked or not, so a caller decides by a column or a field and never
+by an exception.
+"""
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -15,97 +23,134 @@ from ..config import EngineConfig
 from ..functions.text import tokenize
 from ..functions.vectors import hash_embeddings
 
-#: Texts sent to an embedder at once; attempts at a call, and the first pause between them.
-BATCH, ATTEMPTS, PAUSE_S = 64, 3, 0.05
+#: Texts sent to an embedder at once.
+BATCH = 64
 
 STATUS_SCHEMA = "component string, mode string, configured boolean, fallback_used boolean, reason string, error string, attempts int"
 
 
-class RetryExhausted(RuntimeError):
-    """A call failed as often as it may."""
+class Unavailable(Exception):
+    """A service raises this where asking again is of no use; its text says why."""
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """What a service gave; ``error`` is None where it worked."""
+
+    value: Any
+    error: str | None
+    attempts: int
+
+
+@dataclass(frozen=True)
+class Patience:
+    """How often a service is asked, and how long the first pause is; pauses double."""
 
-    def __init__(self, message: str, attempts: int):
-        super().__init__(message)
-        self.attempts = attempts
+    # Defaults that results report.
+    attempts: int = 3
+    pause_s: float = 0.05
 
+    def ask(self, service: Callable, *given) -> Outcome:
+        error = ""
+        for n in itertools.count(1):
+            try:
+                return Outcome(service(*given), None, n)
+            except Exception as e:  # whatever a plugged-in service raises
+                error = str(e) or type(e).__name__
+                if n >= self.attempts or isinstance(e, Unavailable):
+                    return Outcome(None, error, n)
+            time.sleep(self.pause_s * (1 << (n - 1)))
 
-class ComponentFallback(RuntimeError):
-    """A component cannot do its work and says what stands in; it is never retried."""
 
-    def __init__(self, component: str, reason: str, error: str = "", attempts: int = 0):
-        super().__init__(f"{component}: {reason}: {error}")
-        self.component, self.reason, self.error, self.attempts = component, reason, error, attempts
+def _status(spark: SparkSession, component: str, mode: str, reason: str, failed: Outcome | None = None, configured: bool = True) -> DataFrame:
+    """A status row; a component with a ``failed`` outcome has fallen back."""
+    error, attempts = (failed.error, failed.attempts) if failed else ("", 0)
+    return spark.createDataFrame([(component, mode, configured, failed is not None, reason, error, attempts)], STATUS_SCHEMA)
 
 
-def call_with_retries(operation: Callable, attempts: int = ATTEMPTS, pause_s: float = PAUSE_S):
-    """``operation()``, tried again after pauses that double."""
-    for n in range(1, attempts + 1):
-        try:
-            return operation()
-        except ComponentFallback:
-            raise
-        except Exception as e:
-            if n == attempts:
-                raise RetryExhausted(str(e), n) from e
-            time.sleep(pause_s * 2 ** (n - 1))
+# ------------------------------------------------------------------ embedders
 
 
-def embed(rows: DataFrame, key: str, text: str, embedder: Callable, dims: int, attempts: int = ATTEMPTS) -> DataFrame:
-    """(key, vector) by ``embedder(texts) -> vectors``, called on the executors for ``BATCH`` texts at a time."""
+def embed(rows: DataFrame, key: str, text: str, embedder: Callable, dims: int, patience: Patience = Patience()) -> DataFrame:
+    """(key, vector) by ``embedder(texts) -> vectors``, called on the executors for ``BATCH`` texts at a time.
+
+    Texts that fail for good fail the task, which Spark tries again on another executor.
+    """
     schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("vector", T.ArrayType(T.DoubleType()))])
 
+    def checked(texts):
+        vectors = [np.asarray(v, float) for v in embedder(texts)]
+        if [v.shape for v in vectors] != [(dims,)] * len(texts):
+            raise ValueError(f"the embedder must give {len(texts)} vectors of {dims} places")
+        return vectors
+
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            vectors: list = []
+            texts, vectors = [t or "" for t in batch.column(1).to_pylist()], []
             for lo in range(0, len(texts), BATCH):
-                part = texts[lo : lo + BATCH]
-                got = call_with_retries(lambda part=part: embedder(part), attempts)
-                if len(got) != len(part) or any(len(v) != dims for v in got):
-                    raise ValueError(f"the embedder must give {len(part)} vectors of {dims} places")
-                vectors += [np.asarray(v, float) for v in got]
+                got = patience.ask(checked, texts[lo : lo + BATCH])
+                if got.error is not None:
+                    raise RuntimeError(f"embedder failed {got.attempts} times: {got.error}")
+                vectors += got.value
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64()))], names=schema.names)
 
     return rows.select(key, F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def embed_or_hash(spark: SparkSession, rows: DataFrame, key: str, text: str, embedder: Callable | None, dims: int) -> tuple[DataFrame, DataFrame]:
-    """Vectors by the embedder if a probe succeeds, else hashed ones; and a status row.
+def embed_or_hash(spark: SparkSession, rows: DataFrame, key: str, text: str, embedder: Callable | None, dims: int, patience: Patience = Patience()) -> tuple[DataFrame, DataFrame]:
+    """Vectors by the embedder if a probe succeeds, else hashed ones; and a status row."""
+    probe = patience.ask(embedder, ["probe"]) if embedder else None
+    if probe and probe.error is None:
+        return embed(rows, key, text, embedder, dims, patience), _status(spark, "embedding", "external", "configured_model")
+    vectors = hash_embeddings(rows.select(key, tokenize(text).alias("terms")), key, "terms", dims)
+    why = "embedding_error" if probe else "not_configured"
+    return vectors, _status(spark, "embedding", "hash_fallback", why, probe, configured=probe is not None)
+
+
+# ------------------------------------------------------------------ rerankers
+
 
-    A failure after the probe is a failed task, which Spark tries again on another executor.
+def score_candidates(candidates: DataFrame, model: Callable, key: str = "chunk_id", patience: Patience = Patience()) -> DataFrame:
+    """(query_id, key, model_score, failed, attempts) by ``model(query, texts) -> scores``, a call a query.
+
+    ``candidates``: query_id, query, key, text; a dozen or two a query.  Where the model fails
+    for good, or gives another number of scores than there are texts, the query's rows carry
+    the error in ``failed`` and no score.
     """
-    hashed = lambda: hash_embeddings(rows.select(key, tokenize(text).alias("terms")), key, "terms", dims)
-    if embedder is None:
-        return hashed(), status_row(spark, "embedding", "local_hash", configured=False)
-    try:
-        call_with_retries(lambda: embedder(["probe"]))
-    except RetryExhausted as e:
-        return hashed(), status_row(spark, "embedding", "local_hash", fallback=True, reason="embedding_error", error=str(e), attempts=e.attempts)
-    except ComponentFallback as e:
-        return hashed(), status_row(spark, "embedding", "local_hash", fallback=True, reason=e.reason, error=e.error, attempts=e.attempts)
-    return embed(rows, key, text, embedder, dims), status_row(spark, "embedding", "external")
+    id_type, key_type = (candidates.schema[c].dataType.simpleString() for c in ("query_id", key))
+
+    def checked(query, texts):
+        scores = [float(s) for s in model(query, texts)]
+        if len(scores) != len(texts):
+            raise ValueError(f"{len(scores)} scores for {len(texts)} documents")
+        return scores
+
+    def run(group):
+        group = group.sort_values(key, kind="stable")
+        got = patience.ask(checked, group["query"].iloc[0], group["text"].fillna("").tolist())
+        return group[["query_id", key]].assign(model_score=got.value or [None] * len(group), failed=got.error, attempts=got.attempts)
 
+    rows = candidates.select("query_id", "query", key, "text")
+    return rows.groupBy("query_id").applyInPandas(run, f"query_id {id_type}, {key} {key_type}, model_score double, failed string, attempts int")
 
-def status_row(spark: SparkSession, component: str, mode: str, *, configured=True, fallback=False, reason="", error="", attempts=0) -> DataFrame:
-    return spark.createDataFrame([(component, mode, configured, fallback, reason, error, attempts)], STATUS_SCHEMA)
 
+def reranker_status(spark: SparkSession, model: str | None, scores: DataFrame | None = None) -> DataFrame:
+    """A status row with ``model`` and ``score_policy``: a model's scores can be compared with a minimum, fused ranks cannot.
 
-def describe_reranker(spark: SparkSession, model: str | None, failed: str = "") -> DataFrame:
-    """A status row with ``model`` and ``score_policy``: a model's scores can be compared with a minimum, fused ranks cannot."""
+    ``scores`` as ``score_candidates`` gives them; one failed query counts as a failure.
+    """
+    last = None if scores is None else scores.agg(F.max("failed").alias("error"), F.max("attempts").alias("n")).first()
+    failed = Outcome(None, last.error, last.n) if last and last.error is not None else None
+    # Modes, reasons and policies that reports name.
     if not model:
-        row = status_row(spark, "reranker", "rrf_only", configured=False, reason="no_configured_model")
+        row, policy = _status(spark, "reranker", "skipped", "not_configured", configured=False), "rrf_only"
     elif failed:
-        row = status_row(spark, "reranker", "rrf_only", fallback=True, reason="reranker_error", error=failed, attempts=1)
+        row, policy = _status(spark, "reranker", "skipped", "reranker_error", failed), "rrf_only"
     else:
-        row = status_row(spark, "reranker", "external")
-    policy = "external_rerank" if model and not failed else "rrf_only"
+        row, policy = _status(spark, "reranker", "external", "configured_model"), "external_rerank"
     return row.withColumns({"model": F.lit(model or ""), "score_policy": F.lit(policy)})
 
 
-def describe_llm(spark: SparkSession, model: Callable | None) -> DataFrame:
-    return status_row(spark, "llm", "external" if model else "extractive", configured=model is not None)
-
-
 def checked_documents(request: DataFrame) -> DataFrame:
     """Documents of a rerank request (request_id, index, query, text); a blank query or text is an error."""
     blank = lambda c: F.coalesce(F.regexp_replace(c, r"(?U)\s+", ""), F.lit("")) == ""
@@ -113,27 +158,45 @@ def checked_documents(request: DataFrame) -> DataFrame:
     return request.withColumn("text", F.when(failed.isNotNull(), F.raise_error(failed)).otherwise(F.col("text")))
 
 
-def open_store(spark: SparkSession, primary, local, attempts: int = ATTEMPTS) -> tuple[object, DataFrame]:
-    """``primary()`` if it opens, else ``local()``; and a status row.  Both give a store."""
-    if primary is None:
-        return local(), status_row(spark, "vector_store", "local", configured=False, reason="not_configured")
-    try:
-        return call_with_retries(primary, attempts), status_row(spark, "vector_store", "primary")
-    except RetryExhausted as e:
-        return local(), status_row(spark, "vector_store", "local", fallback=True, reason="store_error", error=str(e), attempts=e.attempts)
-    except ComponentFallback as e:
-        return local(), status_row(spark, "vector_store", "local", fallback=True, reason=e.reason, error=e.error, attempts=e.attempts)
+def checked_response(scores: DataFrame, documents: DataFrame) -> DataFrame:
+    """Scores (request_id, index, score) of requests that got exactly one a document; another number is an error."""
+    sizes = [d.groupBy("request_id").agg(F.count("*").alias(n)) for d, n in ((documents, "n_documents"), (scores, "n_scores"))]
+    told = sizes[0].join(sizes[1], "request_id", "left").fillna(0, ["n_scores"])
+    odd = F.concat(F.lit("the model gave "), "n_scores", F.lit(" scores for "), "n_documents", F.lit(" documents"))
+    fine = told.withColumn("ok", F.when(F.col("n_scores") != F.col("n_documents"), F.raise_error(odd).cast("boolean")).otherwise(F.lit(True)))
+    return fine.where("ok").select("request_id").join(scores, "request_id")
+
+
+# ------------------------------------------------------------------ language models and stores
+
+
+def llm_status(spark: SparkSession, model: Callable | None, answers: DataFrame | None = None) -> DataFrame:
+    """A status row; ``answers`` as ``context.answer_with`` gives them, where one that fell back counts as a failure."""
+    if model is None:
+        return _status(spark, "llm", "extractive", "not_configured", configured=False)
+    last = answers.where("fallback_reason = 'llm_error'").agg(F.count("*").alias("n"), F.max("attempts").alias("attempts")).first() if answers else None
+    failed = Outcome(None, f"{last.n} answers fell back", last.attempts) if last and last.n else None
+    return _status(spark, "llm", "extractive" if failed else "external", "llm_error" if failed else "configured_model", failed)
+
+
+def open_store(spark: SparkSession, primary: Callable | None, local: Callable, patience: Patience = Patience()) -> tuple[object, DataFrame]:
+    """The store ``primary`` opens, or else ``local``'s; and a status row."""
+    got = patience.ask(primary) if primary else None
+    if got and got.error is None:
+        return got.value, _status(spark, "vector_store", "primary", "configured_backend")
+    return local(), _status(spark, "vector_store", "local", "store_error" if got else "not_configured", got, configured=got is not None)
 
 
-def sync_or_fall_back(spark: SparkSession, target, local, docs: DataFrame, config: EngineConfig = EngineConfig()):
-    """Sync ``target``; where it fails for good, sync ``local()`` instead.  (report, store, status row)."""
-    try:
-        return call_with_retries(lambda: target.sync(docs)), target, status_row(spark, "vector_store", "primary")
-    except RetryExhausted as e:
-        other = local()
-        return other.sync(docs), other, status_row(spark, "vector_store", "local", fallback=True, reason="sync_error", error=str(e), attempts=e.attempts)
+def sync_or_fall_back(spark: SparkSession, target, local: Callable, docs: DataFrame, config: EngineConfig = EngineConfig(), patience: Patience = Patience()):
+    """Sync ``target``; where it fails for good, sync ``local()`` instead.  (changes, store, status row)."""
+    got = patience.ask(target.sync, docs)
+    if got.error is None:
+        return got.value, target, _status(spark, "vector_store", "primary", "configured_backend")
+    other = local()
+    return other.sync(docs), other, _status(spark, "vector_store", "local", "sync_error", got)
 
 
-def index_status(target, reason: str = "rebuild_not_requested") -> dict:
-    """What is there when no sync was asked for."""
-    return {"rebuilt": False, "reason": reason, "path": target.path, "embedding_identity": target.identity, "chunks": target.count() if target.exists() else 0}
+def stored_state(spark: SparkSession, target, reason: str = "rebuild_not_requested") -> DataFrame:
+    """(path, embedding_identity, n_chunks, rebuilt, reason) of a store that no sync was asked of."""
+    n = target.count() if target.exists() else 0
+    return spark.createDataFrame([(target.path, target.identity, n, False, reason)], "path string, embedding_identity string, n_chunks long, rebuilt boolean, reason string")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrule.config import EngineConfig
-from ferrule.operators import context, plugins, reports
+from ferrule.operators import context, fusion, plugins, reports
 from ferrule.plans.engine import HybridEngine
 from ferrule.sources import documents, store
 
@@ -40,8 +40,8 @@ def test_engine_with_embedder(spark):
     assert "refund" in done.answers.first().answer and done.fused.where("dense_rank IS NOT NULL").count() == 3
 
 
-def test_retries():
-    calls = []
+def test_patience():
+    calls, swift = [], plugins.Patience(pause_s=0)
 
     def third_time():
         calls.append(1)
@@ -49,18 +49,36 @@ def test_retries():
             raise ValueError("no")
         return "yes"
 
-    assert plugins.call_with_retries(third_time, pause_s=0) == "yes"
-    with pytest.raises(plugins.RetryExhausted) as e:
-        plugins.call_with_retries(lambda: 1 / 0, pause_s=0)
-    assert e.value.attempts == 3
+    assert swift.ask(third_time) == plugins.Outcome("yes", None, 3)
+    assert swift.ask(lambda: 1 / 0) == plugins.Outcome(None, "division by zero", 3)
 
-    def typed():
+    def off():
         calls.append(2)
-        raise plugins.ComponentFallback("x", "not_configured")
+        raise plugins.Unavailable("switched off")
 
-    with pytest.raises(plugins.ComponentFallback):
-        plugins.call_with_retries(typed, pause_s=0)
-    assert calls.count(2) == 1
+    assert swift.ask(off) == plugins.Outcome(None, "switched off", 1) and calls.count(2) == 1
+
+
+def test_reranker_that_fails_when_the_plan_runs(spark):
+    fused = spark.createDataFrame(
+        [(q, c, 1, None, 1 / (60 + n)) for q in ("a", "b") for n, c in enumerate(("x", "y", "z"), 1)], "query_id string, chunk_id string, dense_rank int, bm25_rank int, rrf_score double"
+    )
+    rows = fused.withColumns({"query": F.concat(F.lit("ask "), "query_id"), "text": F.col("chunk_id")})
+
+    def model(query, texts):
+        if query == "ask b":
+            raise OSError("model is down")
+        return [{"x": 0.1, "y": 0.9, "z": 0.5}[t] for t in texts]
+
+    scores = plugins.score_candidates(rows, model, patience=plugins.Patience(pause_s=0))
+    assert {(r.query_id, r.failed, r.attempts) for r in scores.collect()} == {("a", None, 1), ("b", "model is down", 3)}
+    got = {q: [(r.chunk_id, r.reason) for r in fusion.rerank_or_skip(fused, lambda f: scores, "m").where(F.col("query_id") == q).orderBy("rank").collect()] for q in ("a", "b")}
+    assert got["a"] == [(c, "external_reranker:m") for c in "yzx"]
+    assert got["b"] == [(c, "rerank_skipped:reranker_error") for c in "xyz"]
+    status = plugins.reranker_status(spark, "m", scores).first()
+    assert (status.fallback_used, status.error, status.attempts, status.score_policy) == (True, "model is down", 3, "rrf_only")
+    short = plugins.score_candidates(rows, lambda q, t: [1.0], patience=plugins.Patience(attempts=1))
+    assert {r.failed for r in short.collect()} == {"1 scores for 3 documents"}
 
 
 def test_model_answers_and_fallback(spark):
@@ -79,10 +97,10 @@ def test_model_answers_and_fallback(spark):
 
 
 def test_status_rows(spark):
-    assert plugins.describe_reranker(spark, None).first().score_policy == "rrf_only"
-    assert plugins.describe_reranker(spark, "m").first().score_policy == "external_rerank"
-    assert plugins.describe_reranker(spark, "m", "boom").first().fallback_used
-    assert plugins.describe_llm(spark, None).first().mode == "extractive"
+    assert plugins.reranker_status(spark, None).first().score_policy == "rrf_only"
+    assert plugins.reranker_status(spark, "m").first().score_policy == "external_rerank"
+    assert plugins.llm_status(spark, None).first().mode == "extractive"
+    assert plugins.llm_status(spark, len).first().reason == "configured_model"
 
 
 def test_rerank_requests_are_checked(spark):
@@ -93,14 +111,22 @@ def test_rerank_requests_are_checked(spark):
             plugins.checked_documents(spark.createDataFrame([row], good.schema)).collect()
 
 
+def test_rerank_responses_are_checked(spark):
+    documents = spark.createDataFrame([(1, 0), (1, 1)], "request_id long, index int")
+    scores = documents.withColumn("score", F.lit(0.5))
+    assert plugins.checked_response(scores, documents).count() == 2
+    with pytest.raises(Exception, match="1 scores for 2 documents"):
+        plugins.checked_response(scores.where("index = 0"), documents).collect()
+
+
 def test_store_fallbacks_and_mirror(spark, tmp_path):
     local = lambda: store.IndexStore(spark, str(tmp_path / "local"), buckets=2)
 
     def closed():
         raise OSError("closed")
 
-    opened, status = plugins.open_store(spark, closed, local, attempts=1)
-    assert status.first().fallback_used and plugins.index_status(opened)["chunks"] == 0
+    opened, status = plugins.open_store(spark, closed, local, plugins.Patience(attempts=1))
+    assert status.first().fallback_used and plugins.stored_state(spark, opened).first().n_chunks == 0
 
     class Failing:
         def sync(self, docs):
