@@ -45,15 +45,15 @@ from .common import discard, map_texts, materialise, slices, table
 
 LENGTH = 50
 GRAM = 26
-#: Bytes of text whose anchors share a bucket, on average; a bucket is a partition.
-BUCKET_BYTES = 8_000_000
+#: Bytes of text whose anchors share a bucket, on average, and the least number of buckets; a bucket is a partition.
+BUCKET_BYTES, LEAST_BUCKETS = 16_000_000, 32
 #: Bytes of text a task works on at once, and bytes whose anchors it deals out together.
-SLICE, DEAL = 400_000, 6_000_000
+SLICE, DEAL = 400_000, 4_000_000
 #: A rank that is estimated to occur so often is too large a class for one task.  The estimate
 #: counts every text beyond ``HUGE_BYTES`` and a sample of the others, and equal texts once; the
 #: list of such ranks has a bound (the rest is ranked as usual).
-FREQUENT, SAMPLE, HUGE_BYTES, MOST_FREQUENT = 100_000, 64, 1_000_000, 20_000
-#: Strings of ``length`` bytes ranked at once within a bucket; a class is never split.
+FREQUENT, SAMPLE, HUGE_BYTES, MOST_FREQUENT = 500_000, 64, 1_000_000, 20_000
+#: Strings of ``length`` bytes ranked at once within a bucket; a larger class takes two passes.
 RANK_ROWS = 80_000
 
 _rng = np.random.default_rng(50)
@@ -259,6 +259,7 @@ def _frequent_repeats(documents: DataFrame, frequent: np.ndarray, length: int) -
 
     rows = documents.select(*_OWNER, "text").mapInArrow(strings, schema)
     first = rows.groupBy("pair", "rank").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    first = materialise(first.drop("most"), "first")  # a join of two plain shuffles, so Spark can split a hot pair
     repeats = rows.join(first, ["pair", "rank"]).where("doc_id > least").select(*_OWNER, "start")
 
     def pack(batches):
@@ -382,22 +383,25 @@ def _repeats(texts: DataFrame, frequent: np.ndarray, n_buckets: int, length: int
 
         return bucket[live], pack
 
-    def rank_again(ids, marks, first, size, rank, raw):
-        """(doc_id, mark, start, end) of the runs of repeats among strings around anchors."""
+    def pairs_of(first, size, rank, raw):
+        """Each string's rank, entry and start."""
         number = size - length + 1
         begin = np.cumsum(size) - size
         at = np.repeat(begin - (np.cumsum(number) - number), number) + np.arange(number.sum())
         pair = doubled(raw, length)[at]
         pair ^= _mixed(np.repeat(rank, number))
+        start = np.repeat(first - (np.cumsum(number) - number), number) + np.arange(number.sum())
+        return pair, np.repeat(np.arange(len(first)), number), start
+
+    def least_of(pair, doc):
+        """The distinct ranks, sorted, and the smallest document of each."""
         order = np.argsort(pair, kind="stable")
-        doc = np.repeat(ids, number)
         heads = np.flatnonzero(np.r_[True, pair[order][1:] != pair[order][:-1]])
-        least = np.minimum.reduceat(doc[order], heads)
-        repeat = np.zeros(len(pair), bool)
-        repeat[order] = doc[order] > np.repeat(least, np.diff(np.r_[heads, len(pair)]))
-        start = np.repeat(first - (np.cumsum(number) - number), number) + np.arange(number.sum())
-        block = np.repeat(np.arange(len(ids)), number)
-        hit = np.flatnonzero(repeat)
+        return pair[order][heads], np.minimum.reduceat(doc[order], heads)
+
+    def runs_of(ids, marks, pair, block, start, known):
+        """(doc_id, mark, start, end) of the runs of strings whose smallest document is smaller than their own."""
+        hit = np.flatnonzero(ids[block] > known[1][np.searchsorted(known[0], pair)])
         if not len(hit):
             return None
         new = np.r_[True, (np.diff(hit) > 1) | (block[hit][1:] != block[hit][:-1])]
@@ -415,6 +419,25 @@ def _repeats(texts: DataFrame, frequent: np.ndarray, n_buckets: int, length: int
             begin = np.cumsum(size) - size
             heads = np.flatnonzero(np.r_[True, rank[order][1:] != rank[order][:-1]])
             total = np.cumsum(size[order] - length + 1)
+
+            def strings(own):
+                where = np.repeat(begin[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(size[own].sum())
+                return pairs_of(first[own], size[own], rank[own], raw[where])
+
+            def ranked(own):
+                pair, block, start = strings(own)
+                return runs_of(ids[own], marks[own], pair, block, start, least_of(pair, ids[own][block]))
+
+            def ranked_in_pieces(own):
+                pieces = np.array_split(own, -(-int((size[own] - length + 1).sum()) // RANK_ROWS))
+                known = []
+                for piece in pieces:
+                    pair, block, _ = strings(piece)
+                    known.append(least_of(pair, ids[piece][block]))
+                known = least_of(*(np.concatenate([k[i] for k in known]) for i in range(2)))
+                for piece in pieces:
+                    yield runs_of(ids[piece], marks[piece], *strings(piece), known)
+
             found, lo = [], 0
             while lo < len(order):
                 done = total[lo - 1] if lo else 0
@@ -425,11 +448,9 @@ def _repeats(texts: DataFrame, frequent: np.ndarray, n_buckets: int, length: int
                 if total[-1] - done <= RANK_ROWS:
                     hi = len(order)
                 own = order[lo:hi]
-                where = np.repeat(begin[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(size[own].sum())
-                got = rank_again(ids[own], marks[own], first[own], size[own], rank[own], raw[where])
-                if got is not None:
-                    found.append(got)
+                found += ranked_in_pieces(own) if total[hi - 1] - done > 2 * RANK_ROWS else [ranked(own)]
                 lo = hi
+            found = [f for f in found if f is not None]
             if found:
                 yield _packed_runs(*(np.concatenate([f[i] for f in found]) for i in range(4)))
 
@@ -454,7 +475,7 @@ def repeated_passages(documents: DataFrame, length: int = LENGTH, frequent: int
     docs = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     sums = materialise(_summaries(docs.where("doc_id IS NOT NULL")), "texts")
     total = sums.agg(F.sum("n_bytes")).first()[0] or 0
-    n_buckets = int(max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)))
+    n_buckets = int(max(LEAST_BUCKETS, -(-total // BUCKET_BYTES)))
     long_ones = sums.where(F.col("n_bytes") >= length)
     first = long_ones.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     first = materialise(first.drop("last"), "first")  # a join of two plain shuffles, so Spark can split a hot digest
