@@ -12,8 +12,11 @@ than among all rows.  A query for which the radius holds fewer than ``k`` candid
 asked again with the full radius, so every query gets ``k`` neighbours if there are as many.
 
 Every row is indexed.  The tables are built shard by shard on the executors; the stated
-queries visit all shards, in blocks of a bounded size that are broadcast one after the
-other.  Only each shard's best ``k`` of a query are shuffled.
+queries visit all shards, in blocks of a bounded number of bytes that are broadcast one after
+the other.  Only each shard's best ``k`` of a query are shuffled.  A query enumerates the keys
+within its share of the radius and looks them up; a radius so wide that the keys enumerated
+would name most of a shard's rows anyway is met by comparing all its codes, which finds the
+same rows.
 
 Defined results: rows whose id is null, and vectors that are null, empty, zero or hold
 null or non-finite components, take no part; vectors of different lengths are searched
@@ -37,10 +40,15 @@ SUBSTRING = 16
 SAMPLE_ROWS = 8_192
 SAMPLE_QUERIES = 256
 #: Share of the sample's true neighbours that lie within the radius.
-COVERAGE = 0.99
-SHARD_ROWS = 65_536
-#: Queries broadcast at once.
-BLOCK_QUERIES = 50_000
+COVERAGE = 0.97
+#: Rows and bytes of vectors whose tables are held at once.
+SHARD_ROWS, SHARD_BYTES = 65_536, 64_000_000
+#: Bytes of queries' vectors broadcast at once.
+QUERY_BYTES = 32_000_000
+#: Queries that a shard answers at once where codes are compared.
+SCAN_QUERIES = 32
+#: Probing must spare at least this share of a shard's rows to be worth its lookups.
+SPARED = 0.75
 
 
 class Codes:
@@ -85,45 +93,80 @@ class Codes:
         return int(np.quantile(apart, COVERAGE, method="higher"))
 
 
+def _errors(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All patterns of ``bits`` bits, fewest errors first, and how many have 0, 0 to 1, ... errors."""
+    patterns = np.arange(1 << bits, dtype=np.uint16)
+    weight = np.bitwise_count(patterns)
+    return patterns[np.argsort(weight, kind="stable")], np.cumsum(np.bincount(weight, minlength=bits + 1))
+
+
+_PATTERNS, _BALL = _errors(SUBSTRING)
+
+
 class Shard:
     """Tables of substrings over some rows."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray):
         self.ids, self.x, self.codes = ids, x, codes
-        self.tables = []
-        for j in range(codes.shape[1]):
-            order = np.argsort(codes[:, j], kind="stable")
-            keys, starts = np.unique(codes[order, j], return_index=True)
-            self.tables.append((keys, starts, np.append(starts[1:], len(order)), order))
-
-    def within(self, asked: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose codes differ from ``asked`` in at most ``radius`` bits."""
-        m = len(self.tables)
-        share, rest = divmod(radius, m)
+        self.order = [np.argsort(c, kind="stable") for c in codes.T]
+        keys = np.arange((1 << SUBSTRING) + 1)
+        self.starts = [np.searchsorted(c[o], keys) for c, o in zip(codes.T, self.order, strict=True)]
+
+    def shares(self, radius: int) -> list[int]:
+        """Errors allowed in each substring: more errors in all of them than that exceed the radius."""
+        share, rest = divmod(radius, len(self.order))
+        return [share if j <= rest else share - 1 for j in range(len(self.order))]
+
+    def probes(self, radius: int) -> bool:
+        """Whether the enumerated keys name few enough rows."""
+        named = sum(_BALL[min(a, SUBSTRING)] for a in self.shares(radius) if a >= 0)
+        return named <= (1 - SPARED) * (1 << SUBSTRING)
+
+    def probed(self, asked: np.ndarray, radius: int) -> np.ndarray:
+        """Rows whose codes differ from ``asked`` in at most ``radius`` bits, by looking up keys."""
         seen = np.zeros(len(self.ids), bool)
-        for j, (keys, starts, ends, order) in enumerate(self.tables):
-            allowed = share if j <= rest else share - 1
-            if allowed < 0:
-                continue
-            hit = np.flatnonzero(np.bitwise_count(keys ^ asked[j]) <= allowed)
-            if len(hit):
-                sizes = ends[hit] - starts[hit]
-                at = np.repeat(starts[hit] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-                seen[order[at]] = True
+        for j, allowed in enumerate(self.shares(radius)):
+            if allowed >= 0:
+                keys = asked[j] ^ _PATTERNS[: _BALL[min(allowed, SUBSTRING)]]
+                lo, hi = self.starts[j][keys], self.starts[j][keys.astype(np.int64) + 1]
+                held = hi > lo
+                lo, sizes = lo[held], (hi - lo)[held]
+                at = np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                seen[self.order[j][at]] = True
         rows = np.flatnonzero(seen)
         return rows[np.bitwise_count(self.codes[rows] ^ asked).sum(1) <= radius]
 
-    def nearest(self, query_id: int, q: np.ndarray, asked: np.ndarray, radius: int, k: int):
-        rows = self.within(asked, radius)
-        rows = rows[self.ids[rows] != query_id]
+    def apart(self, asked: np.ndarray) -> np.ndarray:
+        """(queries, rows) bits in which codes differ."""
+        kind = "<u8" if self.codes.shape[1] % 4 == 0 else "<u2"
+        out = np.zeros((len(asked), len(self.ids)), np.uint8)
+        for theirs, own in zip(asked.view(kind).T, self.codes.view(kind).T, strict=True):
+            out += np.bitwise_count(theirs[:, None] ^ own)
+        return out
+
+    def ranked(self, rows: np.ndarray, q: np.ndarray, k: int):
+        """The ``k`` nearest of some rows, ties to the smaller id."""
         score = (self.x[rows] * q).sum(1)
-        if len(rows) > k:
-            edge = np.partition(score, len(score) - k)[len(score) - k]
-            close = score >= edge
-            rows, score = rows[close], score[close]
         order = np.lexsort((self.ids[rows], -score))[:k]
         return self.ids[rows[order]], score[order]
 
+    def nearest(self, ids: np.ndarray, q: np.ndarray, asked: np.ndarray, radius: int, k: int):
+        """Of each query, the ``k`` nearest rows among those within the radius: (ids, scores)."""
+        n = len(self.ids)
+        if self.probes(radius):
+            for i in range(len(ids)):
+                rows = self.probed(asked[i], radius)
+                yield self.ranked(rows[self.ids[rows] != ids[i]], q[i], k)
+            return
+        for lo in range(0, len(ids), SCAN_QUERIES):
+            near = q[lo : lo + SCAN_QUERIES] @ self.x.T
+            near[(self.apart(asked[lo : lo + SCAN_QUERIES]) > radius) | (self.ids == ids[lo : lo + SCAN_QUERIES, None])] = -np.inf
+            # a product of matrices may differ in the last bits, so what is near the edge is scored again
+            edge = np.partition(near, n - k, axis=1)[:, n - k] if n > k else np.full(len(near), -np.inf)
+            slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(edge), edge, 0.0)))
+            for i, row in enumerate(near):
+                yield self.ranked(np.flatnonzero((row >= edge[i] - slack[i]) & (row > -np.inf)), q[lo + i], k)
+
 
 _RESULT = T.StructType(
     [T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())]
@@ -133,6 +176,7 @@ _RESULT = T.StructType(
 def _search(rows: DataFrame, ids: np.ndarray, q: np.ndarray, codes: Codes, radius: int, k: int) -> DataFrame:
     """Each shard's nearest rows of every query."""
     shipped = rows.sparkSession.sparkContext.broadcast((ids, q))
+    shard_rows = max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * q.shape[1])))
 
     def run(batches):
         ids, q = shipped.value
@@ -144,7 +188,7 @@ def _search(rows: DataFrame, ids: np.ndarray, q: np.ndarray, codes: Codes, radiu
             x = np.concatenate([w[1] for w in waiting])
             shard = Shard(own, x, codes.encode(x, False))
             for lo in range(0, len(ids), 512):
-                got = [shard.nearest(ids[i], q[i], asked[i], radius, k) for i in range(lo, min(lo + 512, len(ids)))]
+                got = list(shard.nearest(ids[lo : lo + 512], q[lo : lo + 512], asked[lo : lo + 512], radius, k))
                 sizes = [len(g[0]) for g in got]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -157,11 +201,12 @@ def _search(rows: DataFrame, ids: np.ndarray, q: np.ndarray, codes: Codes, radiu
 
         for batch in batches:
             vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            waiting.append((batch.column(0).to_numpy(), vectors))
-            n += batch.num_rows
-            if n >= SHARD_ROWS:
-                yield from searched()
-                waiting, n = [], 0
+            for lo in range(0, batch.num_rows, shard_rows):
+                waiting.append((batch.column(0).to_numpy()[lo : lo + shard_rows], vectors[lo : lo + shard_rows]))
+                n += len(waiting[-1][0])
+                if n >= shard_rows:
+                    yield from searched()
+                    waiting, n = [], 0
         if n:
             yield from searched()
 
@@ -173,7 +218,14 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: F.Column, k: int = 20, block: int = BLOCK_QUERIES) -> DataFrame:
+def _vectors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of some rows, brought to the driver as arrays."""
+    got = rows.select("vec_id", "x").toArrow().combine_chunks()
+    ids, x = got.column(0).to_numpy(), got.column(1).combine_chunks()
+    return ids, x.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+
+def nearest_neighbours(vectors: DataFrame, is_query: F.Column, k: int = 20, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows of every row with ``is_query``."""
     spark = vectors.sparkSession
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
@@ -181,29 +233,30 @@ def nearest_neighbours(vectors: DataFrame, is_query: F.Column, k: int = 20, bloc
     clean = clean.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~odd & F.exists("x", lambda v: v != 0))
     clean = clean.where(F.size("x") > 0)
     square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
-    kinds = clean.groupBy(F.size("x").alias("size")).agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("longest")).collect()
+    kinds = clean.groupBy(F.size("x").alias("width")).agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("longest")).collect()
     results = []
     for kind in sorted(kinds):
-        rows = clean.where(F.size("x") == kind.size)
+        rows = clean.where(F.size("x") == kind.width)
         digest = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
         share = min(1.0, 1.2 * SAMPLE_ROWS / kind.n)
-        sample = rows.where(digest < int(share * (1 << 40))).orderBy(digest, "vec_id").limit(SAMPLE_ROWS).select("x").collect()
-        codes = Codes(np.array([r.x for r in sample]) if sample else np.ones((1, kind.size)), kind.longest, k)
+        sample = _vectors(rows.where(digest < int(share * (1 << 40))).orderBy(digest, "vec_id").limit(SAMPLE_ROWS))[1]
+        codes = Codes(sample if len(sample) else np.ones((1, kind.width)), kind.longest, k)
         asking = rows.where(is_query)
-        n_blocks = max(1, -(-asking.count() // block))
+        n_blocks = max(1, -(-asking.count() * 8 * kind.width // query_bytes))
         for b in range(n_blocks):
             part = asking if n_blocks == 1 else asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b)
-            got = part.orderBy("vec_id").collect()
-            if not got:
+            ids, q = _vectors(part.orderBy("vec_id"))
+            if not len(ids):
                 continue
-            ids, q = np.array([r.vec_id for r in got]), np.array([r.x for r in got])
             found = materialise(_best(_search(rows, ids, q, codes, codes.radius, k), k), "neighbours")
-            results.append(found)
-            short = {r.query_id: r["n"] for r in found.groupBy("query_id").agg(F.count("*").alias("n")).collect()}
-            again = np.array([short.get(int(i), 0) < min(k, kind.n - 1) for i in ids])
+            counts = found.groupBy("query_id").agg(F.count("*").alias("n")).toArrow()  # a row a query of the block
+            have = dict(zip(counts["query_id"].to_pylist(), counts["n"].to_pylist(), strict=True))
+            again = np.array([have.get(i, 0) < min(k, kind.n - 1) for i in ids.tolist()])
             if again.any():
+                asked_again = spark.createDataFrame(pa.table({"query_id": ids[again]}))
                 whole = _best(_search(rows, ids[again], q[again], codes, codes.n_bits, k), k)
-                results[-1] = found.where(~F.col("query_id").isin([int(i) for i in ids[again]])).unionByName(whole)
+                found = found.join(asked_again, "query_id", "left_anti").select(*whole.columns).unionByName(whole)
+            results.append(found)
     if not results:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     out = results[0]

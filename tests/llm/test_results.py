@@ -311,14 +311,32 @@ def test_neighbours_reach_recall(spark, spread):
     assert np.mean([len(got[k] & set(want[k].tolist())) / 20 for k in range(30)]) >= 0.9
 
 
-def test_shard_probing_finds_every_code_in_the_radius():
+def test_shard_finds_every_code_in_the_radius():
     r = np.random.default_rng(4)
     codes = r.integers(0, 2**16, (500, 4), dtype=np.uint16)
-    shard = neighbours.Shard(np.arange(500), np.zeros((500, 1)), codes)
-    for radius in (0, 5, 22, 27, 40):
-        asked = codes[7] ^ np.uint16(5)
-        want = np.flatnonzero(np.bitwise_count(codes ^ asked).sum(1) <= radius)
-        assert shard.within(asked, radius).tolist() == want.tolist()
+    x = r.standard_normal((500, 6))
+    x[3] = x[7] = x[11]  # ties
+    shard = neighbours.Shard(np.arange(500)[::-1].copy(), x, codes)
+    q, asked = r.standard_normal((40, 6)), codes[:40] ^ np.uint16(5)
+    q[0] = x[3]
+    for radius in (0, 5, 9, 22, 27, 40, 64):
+        within = [np.flatnonzero(np.bitwise_count(codes ^ a).sum(1) <= radius) for a in asked]
+        assert all(shard.probed(a, radius).tolist() == w.tolist() for a, w in zip(asked, within, strict=True))
+        for (ids, scores), w, v, me in zip(shard.nearest(shard.ids[:40], q, asked, radius, 7), within, q, shard.ids[:40], strict=True):
+            want = sorted((-float((x[i] * v).sum()), int(shard.ids[i])) for i in w if shard.ids[i] != me)[:7]
+            assert ids.tolist() == [i for _, i in want] and scores.tolist() == [-s for s, _ in want]
+    assert shard.probes(9) and not shard.probes(27)
+
+
+def test_neighbours_in_several_blocks_with_clashing_names_and_ties(spark):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((200, 5)).round(1)
+    rows = [(int(i), [float(v) for v in x[i % 50]], 0, 0, "c") for i in range(200)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, x int, width int, rank string")
+    got = neighbours.nearest_neighbours(vectors, F.col("vec_id") % 20 == 0, 9, query_bytes=120).orderBy("query_id", "rank").collect()
+    for i in range(0, 200, 20):
+        want = sorted((-float((np.array(rows[j][1]) * x[i % 50]).sum()), j) for j in range(200) if j != i)[:9]
+        assert [(g.vec_id, g.score) for g in got if g.query_id == i] == [(j, -s) for s, j in want]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body class="has-sidebar">
