@@ -3,14 +3,16 @@
 Every language has a codeword.  Linear classifiers over hashed byte n-grams (one to three
 bytes, words padded with blanks) each predict a bit; decoding charges a language the
 logistic loss of its bits, weighted by how well each classifier separates the training
-rows, and takes the cheapest.  A small gap to the runner-up flags the text as ambiguous.
+rows, and takes the cheapest.  A small gap to the runner-up flags the text as ambiguous.  A text whose
+cheapest codeword still costs nearly as much as tossed coins, though it is long enough to
+judge, is flagged as foreign: no language learned is its own.
 
-Training uses a bounded sample: at most ``PER_LANGUAGE`` rows a language and
-``TRAINING_ROWS`` in all, picked by a digest among labelled rows that are not held out.
-Predictions read whole texts and nothing else.
+Training uses a bounded sample: at most ``PER_LANGUAGE`` rows a language, ``MOST_LANGUAGES``
+languages (the most frequent) and ``TRAINING_ROWS`` rows in all, picked by a digest among
+labelled rows that are not held out.  Predictions read whole texts and nothing else.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; texts of
-letters with no labelled row to learn from are ``und`` too; rows with a null ``doc_id`` are
+letters with no labelled row to learn from are ``und`` too, and none of these is foreign; rows with a null ``doc_id`` are
 not held out and not learned from; equal texts get equal predictions; extra columns are
 left out unless kept by name.
 """
@@ -28,10 +30,13 @@ from pyspark.sql import types as T
 from .common import map_texts, table
 
 PER_LANGUAGE = 400
+MOST_LANGUAGES = 1_000
 TRAINING_ROWS = 4_000
 BUCKETS = 4_096
 #: A gap of weighted losses between the two best languages under which a text is ambiguous.
 AMBIGUOUS = 0.01
+#: A weighted loss (tossed coins have 0.69) from which a text of so many bytes in letters is foreign.
+FOREIGN, FOREIGN_BYTES = 0.45, 24
 UNKNOWN = "und"
 
 #: ASCII bytes other than letters become blanks.
@@ -43,9 +48,13 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and _LETTER.search(text) is not None
 
 
+def _letters(text: str) -> bytes:
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_LETTER_BYTES).split())
+
+
 def features(text: str) -> np.ndarray:
     """Square roots of hashed n-gram shares, as a unit vector."""
-    joined = b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_LETTER_BYTES).split())
+    joined = _letters(text)
     b = np.frombuffer(b" " + joined + b" ", np.uint8).astype(np.uint32)
     two = b[:-1] * np.uint32(256) + b[1:]
     three = two[:-1] * np.uint32(256) + b[2:]
@@ -110,8 +119,8 @@ class CodeClassifier:
         z = (x @ self.w + self.bias)[:, None, :] * self.code
         return (np.logaddexp(0, -z) * self.trust).sum(2)
 
-    def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Languages, scores between 0 and 1, and gaps to the runner-up."""
+    def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Languages, scores between 0 and 1, gaps to the runner-up, and losses."""
         loss = self.losses(x)
         best = loss.argmin(1)
         p = np.exp(-(loss - loss.min(1, keepdims=True)) * self.code.shape[1])
@@ -120,7 +129,7 @@ class CodeClassifier:
         else:
             two = np.partition(loss, 1, axis=1)
             gap = two[:, 1] - two[:, 0]
-        return [self.names[i] for i in best], (1 / p.sum(1)).astype(float), gap
+        return [self.names[i] for i in best], (1 / p.sum(1)).astype(float), gap, loss.min(1)
 
 
 def held_out() -> F.Column:
@@ -130,7 +139,8 @@ def held_out() -> F.Column:
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE, rows: int = TRAINING_ROWS) -> CodeClassifier | None:
     """Fit on a bounded sample of labelled rows; None where there is none."""
     labelled = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {r.lang: r["n"] for r in labelled.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    counts = labelled.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n"))
+    counts = {r.lang: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(min(MOST_LANGUAGES, rows)).collect()}
     if not counts:
         return None
     each = max(1, min(per_language, rows // len(counts)))
@@ -155,23 +165,24 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE, rows: int = TR
 
 
 def identify(documents: DataFrame, model: CodeClassifier | None, keep: list[str] | None = None) -> DataFrame:
-    """Adds ``lang_pred``, ``score`` and ``ambiguous``."""
+    """Adds ``lang_pred``, ``score``, ``ambiguous`` and ``foreign``."""
 
     def make(texts):
-        made = {"lang_pred": [UNKNOWN] * len(texts), "score": [0.0] * len(texts), "ambiguous": [True] * len(texts)}
+        made = {"lang_pred": [UNKNOWN] * len(texts), "score": [0.0] * len(texts), "ambiguous": [True] * len(texts), "foreign": [False] * len(texts)}
         rows = [i for i, t in enumerate(texts) if has_letter(t)] if model is not None else []
         for lo in range(0, len(rows), 256):
             part = rows[lo : lo + 256]
-            names, scores, gaps = model.predict(np.array([features(texts[i]) for i in part], np.float32))
-            for i, name, score, gap in zip(part, names, scores, gaps, strict=True):
+            names, scores, gaps, losses = model.predict(np.array([features(texts[i]) for i in part], np.float32))
+            for i, name, score, gap, loss in zip(part, names, scores, gaps, losses, strict=True):
                 made["lang_pred"][i], made["score"][i], made["ambiguous"][i] = name, float(score), bool(gap < AMBIGUOUS)
+                made["foreign"][i] = bool(loss >= FOREIGN) and len(_letters(texts[i])) >= FOREIGN_BYTES
         return made
 
-    added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType())]
+    added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType()), ("foreign", T.BooleanType())]
     return map_texts(documents, "text", make, added, keep)
 
 
 def op3_language(spark, sf_dir) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = identify(documents, train(documents), keep=["doc_id"])
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous", "foreign")

@@ -176,7 +176,35 @@ def test_language_on_held_out_rows(spark):
     said = language.identify(docs, language.train(docs), keep=["doc_id", "lang"]).select("*", language.held_out().alias("out")).collect()
     told = [x for x in said if x.out and x.lang]
     assert len(told) > 100 and sum(x.lang == x.lang_pred for x in told) >= 0.98 * len(told)
-    assert all(0 <= x.score <= 1 for x in said)
+    assert all(0 <= x.score <= 1 for x in said) and not any(x.foreign for x in said)
+    odd = spark.createDataFrame([(k, t) for k, t in enumerate(["这是一个关于退款的文件，需要审核和确认", "Это документ на русском языке о погоде", "xqz wkv jjx pqm zzk wvx qqj kzx", "zz"])], "doc_id long, text string")
+    assert [x.foreign for x in language.identify(odd, language.train(docs)).orderBy("doc_id").collect()] == [True, True, True, False]
+
+
+def plain_prediction(model, text):
+    """Bits from dense n-gram counts, codewords by weighted logistic loss, a text at a time."""
+    joined = b" " + b" ".join(bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in text.lower().encode()).split()) + b" "
+    counts = [0.0] * language.BUCKETS
+    for size, add, factor in ((1, 0, 2654435761), (2, 65_537, 2246822519), (3, 40_503, 3266489917)):
+        for k in range(len(joined) - size + 1):
+            counts[((int.from_bytes(joined[k : k + size], "big") + add) * factor % 2**32) >> 20] += 1
+    x = np.sqrt(np.array(counts))
+    z = (x / np.linalg.norm(x)) @ model.w + model.bias
+    losses = {name: float(sum(t * np.log1p(np.exp(-a * b)) for t, a, b in zip(model.trust, z, word, strict=True))) for name, word in zip(model.names, model.code, strict=True)}
+    return min(sorted(losses), key=losses.get), losses
+
+
+def test_decoding_equals_a_plain_version():
+    r = random.Random(16)
+    words = {"aa": "the ing er on st", "bb": "é ion que eau ment", "cc": "sch ü ung keit ver", "dd": "ñ ado ción os ar", "ee": "ij een oo cht aa"}
+    write = lambda lang, n: " ".join("".join(r.choice(words[lang].split()) for _ in range(3)) for _ in range(n))
+    rows = [(write(lang, r.randrange(2, 30)), lang) for _ in range(60) for lang in words]
+    model = language.CodeClassifier(np.array([language.features(t) for t, _ in rows], np.float32), [lang for _, lang in rows])
+    fresh = [write(r.choice(list(words)), r.randrange(1, 20)) + r.choice(["", " 12!", "\n"]) for _ in range(100)]
+    names, _, _, losses = model.predict(np.array([language.features(t) for t in fresh], np.float32))
+    for text, name, loss in zip(fresh, names, losses, strict=True):
+        want, all_losses = plain_prediction(model, text)
+        assert loss == pytest.approx(all_losses[want], rel=1e-3, abs=1e-4) and all_losses[name] == pytest.approx(all_losses[want], rel=1e-3, abs=1e-4)
 
 
 def test_codewords_are_far_apart():
