@@ -27,9 +27,13 @@ def _unpacked(rows: DataFrame, columns: list[str], text=None) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in which no language is recognised (none at all, or no letter) go."""
+    """Texts without a letter go, and texts that are in none of the languages learned.
+
+    A null text has no letter and goes; short and ambiguous texts stay; rows that repeat an id
+    are judged one by one; an empty table stays empty.
+    """
     found = language.identify(_packed(docs), language.train(docs), keep=["__row", "text"])
-    return _unpacked(found.where(F.col("lang_pred") != language.UNKNOWN), docs.columns)
+    return _unpacked(found.where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("foreign")), docs.columns)
 
 
 def _one_row_a_copy(docs: DataFrame) -> DataFrame:
@@ -59,13 +63,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts hold none and stay; rows that repeat an id are judged one by one; an
+    empty table, or an empty benchmark, takes nothing away.
+    """
     found = decontaminate.find_contamination(_packed(docs), table(spark, sf_dir, "benchmark"), keep=["__row", "text"])
     return _unpacked(found.where(decontaminate.n_hit() == 0), docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; ``n_chars`` follows the text."""
+    """Personal data is replaced by its kind; ``n_chars`` follows the text.
+
+    Every row stays; a null text stays null, and its ``n_chars`` is null.
+    """
     found = pii.scan(_packed(docs), keep=["__row"], redacted=True)
     out = _unpacked(found, docs.columns, F.col("redacted_text"))
     if "n_chars" in docs.columns:
@@ -74,7 +85,11 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each document that takes part, with the words it gives, repeats counted."""
+    """The mix: a row for each document that takes part, with the words it gives, repeats counted.
+
+    Texts without words give none and take no part; a null source is a source of its own; rows
+    that repeat an id take part one by one; an empty table gives an empty mix.
+    """
     return mix.mix(docs, keep=("doc_id", "source")).where("taken > 0")
 
 
