@@ -40,8 +40,8 @@ SIMILARITY = 80
 HASHES = 48
 CHUNK = 4
 THRESHOLD = 2 * (HASHES // CHUNK) - 1
-#: Documents in a block of a group.
-BLOCK = 512
+#: Documents in a block of a group, and shingles of their sets (one document at least).
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 #: A single text beyond this many bytes is hashed in pieces.
 PIECE_BYTES = 4_000_000
 
@@ -166,6 +166,11 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "signature").mapInArrow(run, schema)
 
 
+def _parts(rows: DataFrame) -> int:
+    """Partitions for steps whose rows are few but dear: a number of its own is not coalesced by size."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _whole_groups(batches, n_keys: int):
     """Record batches cut at the ends of groups; rows come sorted by the first ``n_keys`` columns."""
     held = None
@@ -226,7 +231,7 @@ def _screen(rows: DataFrame, similarity: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(c).to_numpy()[kept] for c in out.names], names=out.names)
 
     columns = ["g", "h", "rep", "side", "comp", "n_shingles", "signature"]
-    return rows.select(*columns).repartition("g", "h").sortWithinPartitions("g", "h", "rep").mapInArrow(run, out)
+    return rows.select(*columns).repartition(_parts(rows), "g", "h").sortWithinPartitions("g", "h", "rep").mapInArrow(run, out)
 
 
 def _confirm(members: DataFrame, texts: DataFrame, size: int, similarity: int) -> DataFrame:
@@ -275,7 +280,7 @@ def _confirm(members: DataFrame, texts: DataFrame, size: int, similarity: int) -
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     rows = members.join(texts, "rep").select("g", "h", "rep", "side", "comp", "text")
-    return rows.repartition("g", "h").sortWithinPartitions("g", "h", "rep").mapInArrow(run, out)
+    return rows.repartition(_parts(rows), "g", "h").sortWithinPartitions("g", "h", "rep").mapInArrow(run, out)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -305,6 +310,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
+def _n_blocks(n, weight, block: int) -> F.Column:
+    """Blocks of a group of ``n`` documents whose sets hold ``weight`` shingles."""
+    n, weight = (F.col(c) if isinstance(c, str) else c for c in (n, weight))
+    return F.greatest(F.ceil(n / block), F.ceil(weight / BLOCK_SHINGLES), F.lit(1)).cast("long")
+
+
 def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = materialise(sketch(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size), "sketches")
@@ -319,17 +330,18 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int =
     crowded = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot <> top").drop("top")
     crowded = materialise(crowded, "crowded")  # a join of two plain shuffles, so Spark can split a hot key
     stars = keys.join(crowded, "key").where("rep <> pivot").select("pivot", "rep").distinct()
-    stars = materialise(stars, "stars")
-    heads = stars.groupBy("pivot").agg(F.count("*").alias("n"))
-    n_blocks = F.ceil(F.col("n") / block).cast("long")
-    several = heads.where(F.col("n") > block).select("pivot", n_blocks.alias("blocks"))  # few, so mostly broadcast
+    stars = materialise(stars.join(classes.select("rep", "n_shingles"), "rep"), "stars")
+    heads = stars.groupBy("pivot").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    n_blocks = _n_blocks("n", "weight", block)
+    # a written table of its real size: Spark broadcasts it if it is small, else it can split a hot pivot
+    several = materialise(heads.where(n_blocks > 1).select("pivot", n_blocks.alias("blocks")), "several")
     blocks = F.coalesce("blocks", F.lit(1).cast("long"))
     placed = stars.join(several, "pivot", "left").select(
-        F.col("pivot").alias("g"), F.pmod(F.xxhash64("rep"), blocks).alias("h"), "rep", blocks.alias("blocks")
+        F.col("pivot").alias("g"), F.pmod(F.xxhash64("rep"), blocks).alias("h"), "rep", "n_shingles", blocks.alias("blocks")
     )
     pivots = heads.select(F.col("pivot").alias("g"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("h"), F.col("pivot").alias("rep"))
     facts = classes.select("rep", "n_shingles", "signature")
-    rows = placed.drop("blocks").unionByName(pivots).withColumns({"side": F.lit(-1).cast("long"), "comp": F.col("rep")})
+    rows = placed.drop("blocks", "n_shingles").unionByName(pivots).withColumns({"side": F.lit(-1).cast("long"), "comp": F.col("rep")})
     members = materialise(_screen(rows.join(facts, "rep"), similarity), "members")
 
     large = materialise(placed.where("blocks > 1"), "large")
@@ -345,7 +357,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int =
 
     ends = classes.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left")
     ends = materialise(ends.select("digest", F.coalesce("component", "rep").alias("component_id")), "components")
-    for done in (classes, crowded, stars, members, large, texts, links):
+    for done in (classes, crowded, stars, several, members, large, texts, links):
         discard(done)
     out = named.select("doc_id", "n_shingles", "digest").join(ends, "digest").drop("digest")
     alone = docs.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -358,17 +370,16 @@ def _across_blocks(large: DataFrame, found: DataFrame, facts: DataFrame, texts:
     A group's most frequent component is settled within itself, so only pairs with a
     member outside it are looked at: blocks of such members (side 0) meet all blocks.
     """
-    rows = large.join(found, F.col("rep") == F.col("node"), "left").select("g", "rep", F.coalesce("component", "rep").alias("comp"))
+    rows = large.join(found, F.col("rep") == F.col("node"), "left").select("g", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
     rows = materialise(rows, "large")
-    main = rows.groupBy("g", "comp").agg(F.count("*").alias("n")).groupBy("g").agg(
-        F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("comps")
-    )
-    main = main.where("comps > 1")
+    main = rows.groupBy("g", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).groupBy("g").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.sum("weight").alias("weight"),
+        F.max_by("weight", F.struct("n", "comp")).alias("weight_main"), F.count("*").alias("comps"),
+    )
+    main = materialise(main.where("comps > 1"), "main")  # a row a large group
     rows = rows.join(main, "g").withColumn("outside", F.col("comp") != F.col("main"))
-    n_out = rows.groupBy("g").agg(F.count(F.when(F.col("outside"), 1)).alias("n_out"))
-    rows = rows.join(n_out, "g")
-    n_blocks = F.ceil(F.col("n") / block).cast("long")
-    n_loose = F.ceil(F.col("n_out") / block).cast("long")
+    n_blocks = _n_blocks("n", "weight", block)
+    n_loose = _n_blocks(F.col("n") - F.col("n_main"), F.col("weight") - F.col("weight_main"), block)
     place, loose = F.pmod(F.xxhash64("rep"), n_blocks), F.pmod(F.xxhash64("rep", F.lit(1)), n_loose)
     pair = lambda i, j: i * n_blocks + j
     left = rows.where("outside").select("g", "rep", "comp", F.lit(0).cast("long").alias("side"), F.explode(F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: pair(loose, j))).alias("h"))

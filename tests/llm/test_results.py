@@ -37,8 +37,9 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
 
 
-@pytest.mark.parametrize("block", [512, 8])
-def test_near_duplicates_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "shingles"), [(512, 4_000_000), (8, 4_000_000), (512, 300)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, shingles):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
     rows = corpus()
     sets = {}
     for i, t in rows:
