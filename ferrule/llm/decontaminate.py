@@ -1,10 +1,12 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
-Patterns are windows of consecutive benchmark words.  A table of shifts, keyed by
-blocks of two words, says how far the search may move on; where the shift is zero the
-block's bucket, split by the patterns' first words, names the few patterns that are
-then compared word by word.  Patterns of one length share a set of tables, so a short
-item never shortens the shifts of the others.
+Patterns are windows of consecutive benchmark words, held as places in the benchmark's own
+bytes.  A hashed table of shifts, keyed by blocks of two words, says how far the search may
+move on (blocks that share a cell take the smaller shift); where the shift is zero the
+hash of the block and of the pattern's first word names the few patterns that are then
+compared byte by byte.  Patterns of one length share a set of tables, so a short item never
+shortens the shifts of the others.  All tables are arrays of whole numbers, built once on the
+driver from a slice of the benchmark of a bounded size: some 8 times its bytes.
 
 Defined results: null and empty texts have no words, no hits and no items; null item
 texts and items without words are no patterns; rows with a null ``item_id`` mark hits
@@ -14,79 +16,163 @@ contaminates nothing; extra columns of either table are left out.
 
 from __future__ import annotations
 
-import hashlib
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import map_texts, table
 
 WINDOW = 10
 #: Benchmark bytes searched for in one pass; a larger benchmark takes several chained passes.
-SLICE_BENCHMARK_BYTES = 16_000_000
+SLICE_BENCHMARK_BYTES = 8_000_000
+#: Bytes of text whose words are hashed at once (a longer word makes a longer piece).
+PIECE_BYTES = 1 << 20
 
 #: A-Z to lower case; all bytes that are no word bytes to blanks.  Bytes from 0x80 on
 #: belong to words, so UTF-8 needs no decoding.
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
+_BYTE = np.random.default_rng(60).integers(1, 2**63, 256, dtype=np.uint64)
+_BYTE[32] = 0
+_BASE, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def words(text: str | None) -> bytes:
+    """The words of a text, joined by one blank."""
+    return b" ".join(text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()) if text else b""
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
 
+class Words:
+    """Words of several texts in one row of bytes: where each starts and ends, its hash, and its text's number."""
 
-def words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
+    def __init__(self, texts: list[bytes]):
+        self.counts = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
+        self.bytes = b" ".join(t for t in texts if t)
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), self.counts)
+        b = np.frombuffer(self.bytes, np.uint8)
+        gaps = np.flatnonzero(b == 32)
+        self.starts, self.ends = (np.r_[0, gaps + 1], np.r_[gaps, len(b)]) if len(b) else (gaps, gaps)
+        self.hash = np.zeros(len(self.starts), np.uint64)
+        lo = 0
+        while lo < len(self.starts):
+            hi = max(lo + 1, int(np.searchsorted(self.ends, self.starts[lo] + PIECE_BYTES)))
+            self.hash[lo:hi] = self._hashed(b, lo, hi)
+            lo = hi
+
+    def _hashed(self, b: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        first, starts, sizes = self.starts[lo], self.starts[lo:hi], self.ends[lo:hi] - self.starts[lo:hi]
+        part = b[first : self.ends[hi - 1]]
+        power = np.full(int(sizes.max()) + 1, _BASE)
+        power[0] = 1
+        power = np.multiply.accumulate(power)
+        inside = np.arange(len(part)) - np.repeat(starts - first, np.diff(np.r_[starts - first, len(part)]))
+        return _mixed(np.add.reduceat(_BYTE[part] * power[inside], starts - first))
+
+    def blocks(self, size: int) -> np.ndarray:
+        """The hash of the block of ``size`` words that ends at each word."""
+        if size == 1 or not len(self.hash):
+            return self.hash
+        return np.r_[np.zeros(1, np.uint64), _mixed(self.hash[:-1] * _NEXT + self.hash[1:])]
 
 
 class WuManber:
-    """Tables for patterns of one length, in words."""
-
-    def __init__(self, length: int):
-        self.length = length
-        self.block = min(2, length)
-        self.default = length - self.block + 1
-        self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[bytes, dict[tuple, set]]] = {}
-
-    def add(self, pattern: tuple, item: str | None) -> None:
-        b = self.block
-        for end in range(b, self.length + 1):
-            key = pattern[end - b : end]
-            distance = self.length - end
-            if distance < self.shift.get(key, self.default):
-                self.shift[key] = distance
-        by_first = self.buckets.setdefault(pattern[-b:], {})
-        by_first.setdefault(pattern[0], {}).setdefault(pattern, set()).add(item)
-
-    def search(self, text: list[bytes], hits: bytearray, items: set) -> None:
-        length, b, default = self.length, self.block, self.default
-        shift, n, end = self.shift.get, len(text), self.length
-        while end <= n:
-            key = (text[end - 2], text[end - 1]) if b == 2 else (text[end - 1],)
-            step = shift(key, default)
+    """Tables for the windows of one length, in words, of some benchmark items."""
+
+    def __init__(self, length: int, bench: Words, windows: np.ndarray):
+        """``windows``: the first word of each window."""
+        self.length, self.block = length, min(2, length)
+        default = length - self.block + 1
+        cells = 1 << max(10, int(4 * len(windows)).bit_length())
+        self.shift = np.full(cells, default, np.uint8)
+        blocks = bench.blocks(self.block)
+        for end in range(self.block, length + 1):  # the last written, and so the smallest, shift stays
+            self.shift[self._cell(blocks[windows + end - 1])] = length - end
+        key, whole = self._key(blocks, bench.hash, windows), np.zeros(len(windows), np.uint64)
+        for k in range(length):
+            whole = whole * _NEXT + bench.hash[windows + k]
+        order = np.lexsort((windows, whole, key))
+        key, whole, windows = key[order], whole[order], windows[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])]
+        self.keys, first = key[new], windows[new]
+        self.lo, self.hi = bench.starts[first], bench.ends[first + length - 1]
+        items, window = bench.owner[windows], np.cumsum(new) - 1
+        own = np.r_[True, (items[1:] != items[:-1]) | new[1:]]
+        self.items, self.item_from = items[own], np.searchsorted(window[own], np.arange(len(self.keys) + 1)).astype(np.int32)
+
+    def _cell(self, blocks: np.ndarray) -> np.ndarray:
+        return (blocks & np.uint64(len(self.shift) - 1)).astype(np.int64)
+
+    def _key(self, blocks: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The bucket of a window: its last block and its first word."""
+        return _mixed(blocks[starts + self.length - 1] * _NEXT + hashes[starts])
+
+    def _ends(self, steps: bytes) -> list[int]:
+        """Words at which a window may end; shifts skip the others."""
+        out, end, n = [], self.length - 1, len(steps)
+        while end < n:
+            step = steps[end]
             if step:
                 end += step
-                continue
-            start = end - length
-            found = self.buckets[key].get(text[start])
-            if found:
-                ids = found.get(tuple(text[start:end]))
-                if ids is not None:
-                    hits[start:end] = b"\x01" * length
-                    items |= ids
-            end += 1
-
-
-def build(rows: list[tuple], window: int = WINDOW) -> list[WuManber]:
-    """Search tables, one per pattern length, for (item_id, text) rows."""
-    by_length: dict[int, WuManber] = {}
-    for item, text in rows:
-        found = words(text)
-        length = min(window, len(found))
-        if length:
-            tables = by_length.setdefault(length, WuManber(length))
-            for i in range(len(found) - length + 1):
-                tables.add(tuple(found[i : i + length]), None if item is None else str(item))
-    return list(by_length.values())
+            else:
+                out.append(end)
+                end += 1
+        return out
+
+    def search(self, text: Words, pattern_bytes: bytes):
+        """(first words, windows): where in ``text`` which windows occur."""
+        blocks = text.blocks(self.block)
+        starts = np.array(self._ends(self.shift[self._cell(blocks)].tobytes()), np.int64) - (self.length - 1)
+        starts = starts[text.owner[starts] == text.owner[starts + self.length - 1]]
+        key = self._key(blocks, text.hash, starts)
+        lo, hi = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
+        for k in np.flatnonzero(hi > lo):
+            at = int(starts[k])
+            told = text.bytes[text.starts[at] : text.ends[at + self.length - 1]]
+            for w in range(lo[k], hi[k]):
+                if told == pattern_bytes[self.lo[w] : self.hi[w]]:
+                    yield at, w
+
+
+class Tables:
+    """A slice of the benchmark: its items' names, its bytes, and tables for each length of window."""
+
+    def __init__(self, rows: list[tuple], window: int = WINDOW):
+        bench = Words([words(text) for _, text in rows])
+        self.names, self.bytes = [None if item is None else str(item) for item, _ in rows], bench.bytes
+        lengths, first = np.minimum(bench.counts, window), np.cumsum(bench.counts) - bench.counts
+        self.searchers = []
+        for length in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == length)
+            number = bench.counts[own] - length + 1
+            at = np.repeat(first[own] - (np.cumsum(number) - number), number) + np.arange(number.sum())
+            self.searchers.append(WuManber(length, bench, at))
+
+    def size(self) -> int:
+        """Bytes of the tables."""
+        arrays = [a for s in self.searchers for a in vars(s).values() if isinstance(a, np.ndarray)]
+        return len(self.bytes) + sum(a.nbytes for a in arrays)
+
+    def search(self, texts: list[str | None]) -> tuple[np.ndarray, list[bytes], list[list[str]]]:
+        """Each text's number of words, a byte a word (1 if hit), and the names of the items found, sorted."""
+        text = Words([words(t) for t in texts])
+        edges = np.zeros(len(text.hash) + 1, np.int32)
+        found: list[set] = [set() for _ in texts]
+        for s in self.searchers if len(text.hash) else ():
+            for at, w in s.search(text, self.bytes):
+                edges[at] += 1
+                edges[at + s.length] -= 1
+                found[text.owner[at]].update(s.items[s.item_from[w] : s.item_from[w + 1]].tolist())
+        hits = (np.cumsum(edges[:-1]) > 0).astype(np.uint8).tobytes()
+        ends = np.cumsum(text.counts)
+        named = [sorted({self.names[i] for i in f} - {None}) for f in found]
+        return text.counts, [hits[e - n : e] for e, n in zip(ends.tolist(), text.counts.tolist(), strict=True)], named
 
 
 def _benchmark_slices(benchmark: DataFrame, slice_bytes: int) -> list[list[tuple]]:
@@ -99,6 +185,10 @@ def _benchmark_slices(benchmark: DataFrame, slice_bytes: int) -> list[list[tuple
     return [[(r.i, r.t) for r in (rows if n == 1 else rows.where(key == k)).collect()] for k in range(n)]
 
 
+def _either(a: bytes, b: bytes) -> bytes:
+    return (int.from_bytes(a, "big") | int.from_bytes(b, "big")).to_bytes(len(a), "big")
+
+
 def find_contamination(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -116,29 +206,18 @@ def find_contamination(
     parts = _benchmark_slices(benchmark, slice_bytes) or [[]]
     out = None
     for part in parts:
-        shipped = spark.sparkContext.broadcast(part)
-        tables: list = []
-
-        def make(texts, shipped=shipped, tables=tables, previous=None):
-            if not tables:
-                tables.append(build(shipped.value, window))
-            made = {"n_words": [], "hits": [], "items": []}
-            for text in texts:
-                found = words(text)
-                hits, items = bytearray(len(found)), set()
-                for searcher in tables[0]:
-                    searcher.search(found, hits, items)
-                made["n_words"].append(len(found))
-                made["hits"].append(bytes(hits))
-                made["items"].append(sorted(i for i in items if i is not None))
-            return made
+        shipped = spark.sparkContext.broadcast(Tables(part, window))
+
+        def make(texts, shipped=shipped):
+            counts, hits, items = shipped.value.search(texts)
+            return {"n_words": counts.tolist(), "hits": hits, "items": items}
 
         if out is None:
             out = map_texts(documents, "text", make, added, keep=list(dict.fromkeys([*(keep or documents.columns), "text"])))
         else:
             more = out.withColumnsRenamed({"hits": "__hits", "items": "__items"})
             more = map_texts(more, "text", make, added)
-            merged = F.udf(lambda a, b: bytes(x | y for x, y in zip(a, b, strict=True)), T.BinaryType(), useArrow=True)
+            merged = F.udf(_either, T.BinaryType(), useArrow=True)
             out = more.withColumn("hits", merged("hits", "__hits")).withColumn(
                 "items", F.array_sort(F.array_union("items", "__items"))
             ).drop("__hits", "__items")
@@ -152,8 +231,6 @@ def n_hit(hits: str = "hits") -> F.Column:
 
 def op5_decontaminate(spark, sf_dir) -> DataFrame:
     """Per document: words, words hit, items found, their digest and the verdict."""
-    from .common import table
-
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
         "doc_id",

@@ -144,6 +144,16 @@ def test_contamination_equals_brute_force(spark, slice_bytes):
     assert {r.doc_id: (r.n_words, sum(r.hits), r["items"]) for r in got.collect()} == want
 
 
+def test_search_tables_stay_small():
+    r = random.Random(17)
+    rows = [(k, prose(r, 200, 30_000)) for k in range(1_500)] + [(9_000 + k, prose(r, 40, 5)) for k in range(200)]
+    size = sum(len(t) for _, t in rows)
+    tables = decontaminate.Tables(rows)
+    assert tables.size() < 10 * size
+    counts, hits, items = tables.search([None, "", "!!", rows[3][1], "x" * 3_000_000 + " " + rows[4][1][:150], rows[5][1] + " " + rows[6][1]])
+    assert counts[:3].tolist() == [0, 0, 0] and sum(hits[3]) == 200 and items[3] == ["3"] and "4" in items[4] and items[5] == ["5", "6"]
+
+
 def test_mix_comes_near_targets_and_agrees_with_itself(spark):
     r = random.Random(6)
     sources = ["b", "a", "é", None, "c", "big"]
