@@ -1,21 +1,30 @@
 """Main text of web pages by line-block distribution.
 
-Markup is turned into lines: a block element is a line of text, an element that never
-belongs to an article (menus, footers, sidebars, notices, adverts, forms, scripts, reader
-comments) is a gap of empty lines as wide as the window.  The text lengths of the lines
-are summed over a sliding window; where the sums leave zero the text surges, where they
-fall back to zero it dives.  Regions between a surge and the next dive are the candidates:
-those inside the page's article element, or else the heaviest region and the regions of
-the same article, are kept whole, short lines between the two points included.  Without an
-article element the page's frame is the outermost container around the heaviest region that
-holds a header, menu or footer itself, or else the body; regions in the heaviest one's
-container within the frame are of its article, and so are regions that no header, menu,
-sidebar or footer of the frame parts from it, unless half of their text is links.
+Markup is turned into lines: a block element is a line of text.  What a line weighs is its own
+text, links taken off.  The weights are summed over a sliding window of lines; text surges
+where the sums leave zero and dives where a whole window weighs nothing, so runs of bare links
+and gaps lie between the regions, and short lines beside text stay.  The sums decide
+
+* which regions of the article are text, and which are lists of links;
+* whether an element whose class or id is of a doubtful kind (a notice, a discussion, related
+  things) is text after all: one that surges within the article stays;
+* which of several article elements belong to the page's text: those that surge.
+
+Elements that are never text of an article (menus, footers, sidebars, adverts, forms, scripts,
+reader comments, and what is hidden) become gaps of empty lines as wide as the window.
+
+Without an article element the heaviest region and the regions of the same article are kept.
+The page's frame is then the outermost container around the heaviest region that holds a
+header, menu or footer itself, or else the body; regions in the heaviest one's container
+within the frame are of its article, and so are regions that no header, menu, sidebar or
+footer of the frame parts from it, unless half of their text is links.
 
 Defined results: a null or empty page has an empty text; character references are decoded
 once; white space inside a block is one blank; blocks are joined in page order by one
 blank; nothing is capped; equal pages get equal texts; a page without any block of text
-gets an empty one; unclosed and stray tags are tolerated.
+gets an empty one; unclosed and stray tags are tolerated: an element left out that is never
+closed ends at the next block (a footer, or a script, at the end of the page).  The work is
+proportional to the page.
 """
 
 from __future__ import annotations
@@ -31,10 +40,12 @@ from .common import map_texts, table
 
 #: Lines in a window of the distribution.
 WINDOW = 3
+#: Characters of own text in a window at which text surges, or half of the page's largest sum if that is less.
+SURGE = 80
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>",
+    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^\"'<>]++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>",
     re.S,
 )
 _RAW = frozenset("script style template noscript iframe object svg math canvas textarea title xmp noembed noframes audio video".split())
@@ -44,13 +55,18 @@ _BLOCK = frozenset(
     "address article blockquote body br caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup"
     " hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that, if they are never closed, take the rest of the page with them.
+_TO_THE_END = frozenset("head footer script style".split())
 #: Words in class, id or role that mark an element as no part of an article.
-_BOILERPLATE = frozenset(
-    "ad ads adsbygoogle adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu"
-    " submenu breadcrumb breadcrumbs sidebar aside rail widget widgets footer foot header masthead topbar toolbar cookie cookies consent"
-    " gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social"
-    " related recommended recommendations comment comments commentlist disqus discussion replies respond responses pagination pager skip"
-    " copyright legal disclaimer complementary contentinfo".split()
+_NEVER = frozenset(
+    "ad ads adsbygoogle adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu"
+    " submenu breadcrumb breadcrumbs sidebar cookie cookies consent gdpr newsletter subscribe subscription signup share sharing"
+    " comment comments commentlist disqus pagination pager complementary contentinfo".split()
+)
+#: Words that mark an element as doubtful: its lines' weights decide.
+_DOUBTFUL = frozenset(
+    "banner aside widget widgets footer foot header masthead topbar toolbar notice notices alert popup modal overlay login search social"
+    " related recommended recommendations discussion replies respond responses skip copyright legal disclaimer rail".split()
 )
 #: Elements of a page's frame, and the words that mark them.
 _FRAME = frozenset("header nav footer".split())
@@ -64,28 +80,41 @@ _HIDDEN_ATTRIBUTE = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
+TEXT, DOUBT, LEFT_OUT = range(3)
+
 
-def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
+def _kind(name: str, attributes: str, in_article: bool) -> int:
+    """Whether an element's lines are text, doubtful, or left out."""
     if name in _DROPPED or name == "header" and not in_article:
-        return True
-    if not attributes or name in ("html", "body", "main", "article"):
-        return False
+        return LEFT_OUT
+    if not attributes or name in ("html", "body"):
+        return TEXT
+    kind = TEXT
     for m in _MARKS.finditer(attributes):
         for mark in (m[1] or m[2] or m[3] or "").lower().split():
             words = set(_WORD.findall(mark))
-            marks = words & _BOILERPLATE - ({"header", "rail"} if in_article else set())
-            if marks and words.isdisjoint(_ARRANGEMENT):
-                return True
-    return bool(_HIDDEN.search(attributes) or _HIDDEN_ATTRIBUTE.search(_QUOTED.sub("", attributes)))
+            if not words.isdisjoint(_ARRANGEMENT):
+                continue
+            if name in ("main", "article"):
+                words &= {"comment", "comments"}
+            if not words.isdisjoint(_NEVER) or not in_article and not words.isdisjoint(_FRAME_MARKS):
+                return LEFT_OUT
+            if not words.isdisjoint(_DOUBTFUL):
+                kind = DOUBT
+    return LEFT_OUT if _HIDDEN.search(attributes) or _HIDDEN_ATTRIBUTE.search(_QUOTED.sub("", attributes)) else kind
 
 
 class Line:
-    """A block's text, its container's number, and whether it stands in an article element."""
+    """A block's text and what it weighs, its container, the article element and the doubtful element it stands in (0: none)."""
 
-    __slots__ = ("text", "place", "article", "linked")
+    __slots__ = ("text", "weight", "place", "article", "doubt")
 
-    def __init__(self, text: str, place: int, article: int, linked: int):
-        self.text, self.place, self.article, self.linked = text, place, article, linked
+    def __init__(self, text: str, weight: int, place: int, article: int, doubt: int):
+        self.text, self.weight, self.place, self.article, self.doubt = text, weight, place, article, doubt
+
+
+def _gap(article: int) -> list[Line]:
+    return [Line("", 0, -1, article, 0) for _ in range(WINDOW)]
 
 
 class Layout:
@@ -110,13 +139,48 @@ def _is_frame(name: str, attributes: str) -> bool:
     return name in _FRAME or any(not _FRAME_MARKS.isdisjoint(_WORD.findall((m[1] or m[2] or m[3] or "").lower())) for m in _MARKS.finditer(attributes))
 
 
+def tags(page: str) -> tuple[list[tuple], list[int]]:
+    """(start, end, name, closes, attributes) of each tag outside comments and raw elements, and the
+    number of the tag that closes it (-1: none).  Comments and raw elements are tags without a name."""
+    out: list[tuple] = []
+    closed_by: list[int] = []
+    opened: dict[str, list[int]] = {}
+    never_closed: set[str] = set()
+    at, end = 0, page.rfind(">") + 1
+    while at < end:
+        m = _TOKEN.search(page, at, end) if page.find("<", at, end) >= 0 else None
+        if m is None:
+            break
+        at, name = m.end(), (m[2] or "").lower()
+        if name in _RAW and not m[1]:
+            close = None if name in never_closed else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if close:
+                at = close.end()
+            else:
+                never_closed.add(name)
+                at = at if name in ("title", "svg", "math", "object") else len(page)
+            out.append((m.start(), at, "iframe" if name in ("iframe", "noscript", "textarea") else "", False, ""))
+            closed_by.append(-1)
+            continue
+        out.append((m.start(), at, name, bool(m[1]), m[3] or ""))
+        closed_by.append(-1)
+        if m[1]:
+            if opened.get(name):
+                closed_by[opened[name].pop()] = len(out) - 1
+        elif name and name not in _VOID and not m[3].endswith("/"):
+            opened.setdefault(name, []).append(len(out) - 1)
+    return out, closed_by
+
+
 def lines(page: str) -> tuple[list[Line], Layout]:
-    """The page's lines; a line without text is a gap that an element left out has made."""
+    """The page's lines; a line without text is part of a gap that an element left out has made."""
     out: list[Line] = []
     layout = Layout()
     buffer: list[str] = []
     stack: list[tuple[str, int]] = []
-    places = article = articles = at = linked = in_link = 0
+    places = article = articles = linked = doubt = doubts = 0
+    in_link = mute = False
+    found, closed_by = tags(page)
 
     def flush():
         nonlocal linked
@@ -124,52 +188,62 @@ def lines(page: str) -> tuple[list[Line], Layout]:
             text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
             buffer.clear()
             if text:
-                out.append(Line(text, stack[-1][1] if stack else 0, article, linked))
+                out.append(Line(text, max(0, len(text) - linked), stack[-1][1] if stack else 0, article, doubt))
         linked = 0
 
-    def gap():
-        out.extend(Line("", -1, article, 0) for _ in range(WINDOW))
-
-    end = len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            buffer.append(page[at:])
+    at = k = 0
+    doubt_ends = -1
+    while True:
+        start = found[k][0] if k < len(found) else len(page)
+        if start > at and not mute:
+            buffer.append(page[at:start])
+            linked += in_link * (start - at)
+        if k == len(found):
             break
-        if m.start() > at:
-            buffer.append(page[at : m.start()])
-            linked += in_link * (m.start() - at)
-        at = m.end()
-        name = m[2]
-        if name is None:
+        _, at, name, closes, attributes = found[k]
+        if k == doubt_ends:
+            flush()
+            doubt, doubt_ends = 0, -1
+        k += 1
+        if not name:
             continue
-        name = name.lower()
-        if m[1]:
-            if name == "a":
-                in_link = 0
+        if name == "iframe":
+            flush()
+            continue
+        if closes:
+            in_link = in_link and name != "a"
             if name in _BLOCK:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
+                mute = False
+                for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
                     if stack[i][0] == name:
                         del stack[i:]
                         break
                 if name in ("article", "main") and article and all(t not in ("article", "main") for t, _ in stack):
                     article = 0
             continue
-        if name in _RAW:
-            flush() if name in ("iframe", "noscript", "textarea") else None
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else (end if name not in ("title", "svg", "math", "object") else at)
-            continue
-        if name not in _VOID and not m[3].endswith("/") and _is_boilerplate(name, m[3], article > 0):
+        kind = TEXT if name in _VOID or attributes.endswith("/") else _kind(name, attributes, article > 0)
+        if kind == LEFT_OUT:
             flush()
-            if not article and _is_frame(name, m[3]):
+            if not article and _is_frame(name, attributes):
                 layout.frame.append((stack[-1][1] if stack else 0, len(out)))
-            gap()
-            at = _past(page, at, name)
+            out.extend(_gap(article))
+            close = closed_by[k - 1]
+            mute = close < 0
+            if close >= 0:
+                at, k = found[close][1], close + 1
+                if close == doubt_ends or 0 <= doubt_ends < k:
+                    doubt, doubt_ends = 0, -1
+            elif name in _TO_THE_END:
+                break
             continue
+        if kind == DOUBT and not doubt and closed_by[k - 1] >= 0:
+            flush()
+            doubts += 1
+            doubt, doubt_ends = doubts, closed_by[k - 1]
         if name in _BLOCK:
             flush()
+            mute = False
             if name not in _VOID and name != "p":
                 if name not in ("html", "body"):
                     places += 1
@@ -179,39 +253,58 @@ def lines(page: str) -> tuple[list[Line], Layout]:
                     article = articles
                 stack.append((name, 0 if name in ("html", "body") else places))
         elif name == "a":
-            in_link = 1
+            in_link = True
     flush()
     return out, layout
 
 
-def _past(page: str, at: int, name: str) -> int:
-    """The position behind the element's end tag; nested elements of its name are counted."""
-    depth = 1
-    for m in re.compile(rf"<(/?){name}(?![\w:-])[^>]*>", re.I).finditer(page, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return len(page) if name in ("head", "script", "style") else at
-
-
-def regions(found: list[Line]) -> list[tuple[int, int]]:
-    """(surge, dive) line ranges: where the sums of WINDOW lines' lengths are above zero."""
-    out: list[tuple[int, int]] = []
-    surge = -1
-    run = 0
-    sums = [len(x.text) for x in found]
-    for i, size in enumerate(sums):
-        if size:
-            if surge < 0:
-                surge = i
-            run = 0
-        elif surge >= 0:
-            run += 1
-            if run >= WINDOW:  # every window over the gap sums to zero: the dive is behind us
-                out.append((surge, i - run + 1))
-                surge, run = -1, 0
-    if surge >= 0:
-        out.append((surge, len(found) - run))
+def sums(weights: list[int]) -> list[int]:
+    """Sums over each window of lines; fewer lines than a window are one window."""
+    now = sum(weights[:WINDOW])
+    out = [now]
+    for i in range(WINDOW, len(weights)):
+        now += weights[i] - weights[i - WINDOW]
+        out.append(now)
+    return out
+
+
+def regions(weights: list[int]) -> list[tuple[int, int]]:
+    """(surge, dive) line ranges: what is left of the lines when those in a window that weighs nothing are taken out."""
+    dived = [False] * len(weights)
+    over = 0
+    for i, total in enumerate(sums(weights)):
+        if not total:
+            for j in range(max(i, over), min(i + WINDOW, len(weights))):
+                dived[j] = True
+            over = i + WINDOW
+    out, surge = [], -1
+    for i, down in enumerate([*dived, True]):
+        if not down and surge < 0:
+            surge = i
+        elif down and surge >= 0:
+            out.append((surge, i))
+            surge = -1
+    return out
+
+
+def _settled(found: list[Line]) -> list[Line]:
+    """Lines of doubtful elements that do not surge as the page's text does become gaps."""
+    groups: dict[int, list[Line]] = {}
+    for x in found:
+        if x.doubt:
+            groups.setdefault(x.doubt, []).append(x)
+    if not groups:
+        return found
+    plain = max(sums([x.weight for x in found if not x.doubt]))
+    body = any(x.article and x.text for x in found)
+    limit = 2 * min(SURGE, plain / 2) or 1
+    text = {g for g, own in groups.items() if max(sums([x.weight for x in own])) >= limit and (own[0].article or not body)}
+    out: list[Line] = []
+    for x, before in zip(found, [None, *found], strict=False):
+        if not x.doubt or x.doubt in text:
+            out.append(x)
+        elif before is None or before.doubt != x.doubt:
+            out.extend(_gap(x.article))
     return out
 
 
@@ -219,17 +312,24 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found, layout = lines(page)
-    cut = regions(found)
-    if not cut:
-        return ""
-    in_article: dict[int, int] = {}
+    places = {id(x): i for i, x in enumerate(found)}
+    found = _settled(found)
+    weights = [x.weight for x in found]
+    cut = regions(weights)
+    in_article: dict[int, list[int]] = {}
     for x in found:
         if x.article and x.text:
-            in_article[x.article] = in_article.get(x.article, 0) + len(x.text)
+            in_article.setdefault(x.article, []).append(x.weight)
     if in_article:
-        best = max(in_article, key=lambda k: (in_article[k], -k))
-        return " ".join(x.text for lo, hi in cut for x in found[lo:hi] if x.text and x.article == best)
-    weight = lambda lo, hi: sum(len(x.text) - min(x.linked, len(x.text)) for x in found[lo:hi])
+        # a page may hold several articles and teasers of others: those that surge are its text
+        peaks = {k: max(sums(v)) for k, v in in_article.items()}
+        surge = min(SURGE, max(peaks.values()) / 2)
+        told = {k for k, v in peaks.items() if v >= surge}
+        own = [x for lo, hi in cut for x in found[lo:hi] if x.text and x.article in told]
+        return " ".join(x.text for x in own or [x for x in found if x.text and x.article in told])
+    if not cut:
+        return ""
+    weight = lambda lo, hi: sum(weights[lo:hi])
     lo, hi = max(cut, key=lambda r: (weight(*r), -r[0]))
     homes = {x.place for x in found[lo:hi] if x.text}
     paths = [layout.path(p) for p in sorted(homes)]
@@ -238,7 +338,8 @@ def main_text(page: str | None) -> str:
     depth = next((k for k, p in enumerate(around) if p in holders), 0)
     frame = around[depth]
     articles = {p[depth + 1] for p in paths if len(p) > depth + 1}
-    parted = lambda at: sum(p == frame and i <= at for p, i in layout.frame)
+    first = lambda a: next(places[id(x)] for x in found[a:] if x.text)
+    parted = lambda a: sum(p == frame and i <= first(a) for p, i in layout.frame)
 
     def belongs(a, b):
         places = {x.place for x in found[a:b] if x.text}

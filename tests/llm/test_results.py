@@ -412,6 +412,44 @@ def test_main_text_leaves_what_the_frame_parts():
     assert extract.main_text(page) == long
 
 
+def test_windows_that_weigh_nothing_part_the_regions():
+    r = random.Random(18)
+    for _ in range(2_000):
+        weights = [r.choice([0, 0, 0, 1, 7]) for _ in range(r.randrange(0, 14))]
+        w = extract.WINDOW
+        windows = [range(i, i + w) for i in range(max(1, len(weights) - w + 1))]
+        down = {j for win in windows if not sum(weights[j] for j in win if j < len(weights)) for j in win}
+        kept = [i for i in range(len(weights)) if i not in down]
+        got = extract.regions(weights)
+        assert [i for lo, hi in got for i in range(lo, hi)] == kept and all(a[1] < b[0] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_window_sums_decide(monkeypatch):
+    long = "A paragraph that goes on for a while, so that its window surges well over the least sum there is, and more."
+    links = "<ul>" + "".join(f'<li><a href="/{k}">Another page, number {k}</a></li>' for k in range(5)) + "</ul>"
+    page = f"<body><article><h1>Head</h1><p>{long}</p>{links}<p>{long}</p><p>End.</p></article></body>"
+    assert extract.main_text(page) == f"Head {long} {long} End."
+    doubtful = lambda body: f'<body><article><p>{long}</p><section id="discussion">{body}</section><p>End.</p></article></body>'
+    assert extract.main_text(doubtful(f"<h2>Discussion</h2><p>{long}</p><p>{long}</p>")) == f"{long} Discussion {long} {long} End."
+    assert extract.main_text(doubtful("<p>Join in</p>")) == f"{long} End."
+    two = f"<body><article><p>{long}</p><p>One.</p></article><article><p>{long}</p></article><article><p>A teaser</p></article></body>"
+    assert extract.main_text(two) == f"{long} One. {long}"
+    monkeypatch.setattr(extract, "regions", lambda weights: [(0, len(weights))])
+    assert "number 3" in extract.main_text(page)
+
+
+def test_malformed_pages():
+    assert extract.main_text('<div class="ad">Buy now<p>real story') == "real story"
+    assert extract.main_text("<article><p>story</p></article><footer>me and <p>mine") == "story"
+    assert extract.main_text("<p>a < b and c > d <b") == "a < b and c > d <b"
+    import time
+
+    for piece in ('<div class="ad">x', "<svg>", "<svg><p>x", "<a ", '<a "x>" ', "<div>", "</div>", "<!--", "<p><b>", "<article>", '<div class="legal">', "</p><article>", "<a '", "<x", '<nav class="a">y'):
+        start = time.time()
+        extract.main_text(piece * (1_000_000 // len(piece)))
+        assert time.time() - start < 5, piece
+
+
 def test_hidden_and_arranged_containers():
     shown = '<div style="overflow:hidden" class="layout-sidebar main">Kept text <span hidden>not this</span> here</div><p style="display: none">nor this</p>'
     assert extract.main_text(shown) == "Kept text here"
