@@ -1,12 +1,12 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
-Patterns are windows of consecutive benchmark words, held as places in the benchmark's own
-bytes.  A hashed table of shifts, keyed by blocks of two words, says how far the search may
-move on (blocks that share a cell take the smaller shift); where the shift is zero the
-hash of the block and of the pattern's first word names the few patterns that are then
-compared byte by byte.  Patterns of one length share a set of tables, so a short item never
-shortens the shifts of the others.  All tables are arrays of whole numbers, built once on the
-driver from a slice of the benchmark of a bounded size: some 8 times its bytes.
+Words of the benchmark are numbered, and patterns are windows of consecutive numbers, held as
+places in the benchmark.  A hashed table of shifts, keyed by blocks of two words, says how far
+the search may move on (blocks that share a cell take the smaller shift); where the shift is
+zero the hash of the block and of the pattern's first word names the few patterns that are
+then compared word by word.  Patterns of one length share a set of tables, so a short item
+never shortens the shifts of the others.  All tables are arrays of whole numbers, built once
+on the driver from a slice of the benchmark of a bounded size: some 8 times its bytes.
 
 Defined results: null and empty texts have no words, no hits and no items; null item
 texts and items without words are no patterns; rows with a null ``item_id`` mark hits
@@ -16,6 +16,9 @@ contaminates nothing; extra columns of either table are left out.
 
 from __future__ import annotations
 
+import sys
+from itertools import repeat
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,22 +29,17 @@ from .common import map_texts, table
 WINDOW = 10
 #: Benchmark bytes searched for in one pass; a larger benchmark takes several chained passes.
 SLICE_BENCHMARK_BYTES = 8_000_000
-#: Bytes of text whose words are hashed at once (a longer word makes a longer piece).
-PIECE_BYTES = 1 << 20
 
 #: A-Z to lower case; all bytes that are no word bytes to blanks.  Bytes from 0x80 on
 #: belong to words, so UTF-8 needs no decoding.
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
-_BYTE = np.random.default_rng(60).integers(1, 2**63, 256, dtype=np.uint64)
-_BYTE[32] = 0
-_BASE, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_NEXT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def words(text: str | None) -> bytes:
-    """The words of a text, joined by one blank."""
-    return b" ".join(text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()) if text else b""
+def words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -49,59 +47,42 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Words:
-    """Words of several texts in one row of bytes: where each starts and ends, its hash, and its text's number."""
+class Numbered:
+    """Words of several texts as one row of numbers (0: a word the benchmark lacks), and each word's text."""
 
-    def __init__(self, texts: list[bytes]):
-        self.counts = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
-        self.bytes = b" ".join(t for t in texts if t)
+    def __init__(self, texts: list[list[bytes]], number: dict[bytes, int]):
+        self.counts = np.array([len(t) for t in texts], np.int64)
+        self.ids = np.concatenate([np.zeros(0, np.uint32)] + [np.fromiter(map(number.get, t, repeat(0)), np.uint32, len(t)) for t in texts])
         self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), self.counts)
-        b = np.frombuffer(self.bytes, np.uint8)
-        gaps = np.flatnonzero(b == 32)
-        self.starts, self.ends = (np.r_[0, gaps + 1], np.r_[gaps, len(b)]) if len(b) else (gaps, gaps)
-        self.hash = np.zeros(len(self.starts), np.uint64)
-        lo = 0
-        while lo < len(self.starts):
-            hi = max(lo + 1, int(np.searchsorted(self.ends, self.starts[lo] + PIECE_BYTES)))
-            self.hash[lo:hi] = self._hashed(b, lo, hi)
-            lo = hi
-
-    def _hashed(self, b: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        first, starts, sizes = self.starts[lo], self.starts[lo:hi], self.ends[lo:hi] - self.starts[lo:hi]
-        part = b[first : self.ends[hi - 1]]
-        power = np.full(int(sizes.max()) + 1, _BASE)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        inside = np.arange(len(part)) - np.repeat(starts - first, np.diff(np.r_[starts - first, len(part)]))
-        return _mixed(np.add.reduceat(_BYTE[part] * power[inside], starts - first))
+        self.bytes = self.ids.tobytes()
 
     def blocks(self, size: int) -> np.ndarray:
         """The hash of the block of ``size`` words that ends at each word."""
-        if size == 1 or not len(self.hash):
-            return self.hash
-        return np.r_[np.zeros(1, np.uint64), _mixed(self.hash[:-1] * _NEXT + self.hash[1:])]
+        ids = self.ids.astype(np.uint64)
+        if size == 1 or not len(ids):
+            return _mixed(ids)
+        ids[1:] += ids[:-1] * np.uint64(1 << 32)
+        return _mixed(ids)
 
 
 class WuManber:
     """Tables for the windows of one length, in words, of some benchmark items."""
 
-    def __init__(self, length: int, bench: Words, windows: np.ndarray):
+    def __init__(self, length: int, bench: Numbered, windows: np.ndarray):
         """``windows``: the first word of each window."""
         self.length, self.block = length, min(2, length)
         default = length - self.block + 1
-        cells = 1 << max(10, int(4 * len(windows)).bit_length())
-        self.shift = np.full(cells, default, np.uint8)
+        self.shift = np.full(1 << max(10, int(2 * len(windows)).bit_length()), default, np.uint8)
         blocks = bench.blocks(self.block)
         for end in range(self.block, length + 1):  # the last written, and so the smallest, shift stays
             self.shift[self._cell(blocks[windows + end - 1])] = length - end
-        key, whole = self._key(blocks, bench.hash, windows), np.zeros(len(windows), np.uint64)
+        key, whole = self._key(blocks, bench.ids, windows), np.zeros(len(windows), np.uint64)
         for k in range(length):
-            whole = whole * _NEXT + bench.hash[windows + k]
+            whole = _mixed(whole * _NEXT + bench.ids[windows + k])
         order = np.lexsort((windows, whole, key))
         key, whole, windows = key[order], whole[order], windows[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])]
-        self.keys, first = key[new], windows[new]
-        self.lo, self.hi = bench.starts[first], bench.ends[first + length - 1]
+        self.keys, self.first = key[new], windows[new].astype(np.int32)
         items, window = bench.owner[windows], np.cumsum(new) - 1
         own = np.r_[True, (items[1:] != items[:-1]) | new[1:]]
         self.items, self.item_from = items[own], np.searchsorted(window[own], np.arange(len(self.keys) + 1)).astype(np.int32)
@@ -109,9 +90,9 @@ class WuManber:
     def _cell(self, blocks: np.ndarray) -> np.ndarray:
         return (blocks & np.uint64(len(self.shift) - 1)).astype(np.int64)
 
-    def _key(self, blocks: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def _key(self, blocks: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The bucket of a window: its last block and its first word."""
-        return _mixed(blocks[starts + self.length - 1] * _NEXT + hashes[starts])
+        return _mixed(blocks[starts + self.length - 1] * _NEXT + ids[starts])
 
     def _ends(self, steps: bytes) -> list[int]:
         """Words at which a window may end; shifts skip the others."""
@@ -125,46 +106,48 @@ class WuManber:
                 end += 1
         return out
 
-    def search(self, text: Words, pattern_bytes: bytes):
+    def search(self, text: Numbered, pattern_bytes: bytes):
         """(first words, windows): where in ``text`` which windows occur."""
-        blocks = text.blocks(self.block)
+        blocks, size = text.blocks(self.block), 4 * self.length
         starts = np.array(self._ends(self.shift[self._cell(blocks)].tobytes()), np.int64) - (self.length - 1)
         starts = starts[text.owner[starts] == text.owner[starts + self.length - 1]]
-        key = self._key(blocks, text.hash, starts)
+        key = self._key(blocks, text.ids, starts)
         lo, hi = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
         for k in np.flatnonzero(hi > lo):
             at = int(starts[k])
-            told = text.bytes[text.starts[at] : text.ends[at + self.length - 1]]
+            told = text.bytes[4 * at : 4 * at + size]
             for w in range(lo[k], hi[k]):
-                if told == pattern_bytes[self.lo[w] : self.hi[w]]:
+                if told == pattern_bytes[4 * int(self.first[w]) : 4 * int(self.first[w]) + size]:
                     yield at, w
 
 
 class Tables:
-    """A slice of the benchmark: its items' names, its bytes, and tables for each length of window."""
+    """A slice of the benchmark: its items' names, its words, and tables for each length of window."""
 
     def __init__(self, rows: list[tuple], window: int = WINDOW):
-        bench = Words([words(text) for _, text in rows])
+        found = [words(text) for _, text in rows]
+        self.number = {w: k for k, w in enumerate(sorted({w for f in found for w in f}), 1)}
+        bench = Numbered(found, self.number)
         self.names, self.bytes = [None if item is None else str(item) for item, _ in rows], bench.bytes
         lengths, first = np.minimum(bench.counts, window), np.cumsum(bench.counts) - bench.counts
         self.searchers = []
         for length in np.unique(lengths[lengths > 0]).tolist():
             own = np.flatnonzero(lengths == length)
-            number = bench.counts[own] - length + 1
-            at = np.repeat(first[own] - (np.cumsum(number) - number), number) + np.arange(number.sum())
+            n = bench.counts[own] - length + 1
+            at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             self.searchers.append(WuManber(length, bench, at))
 
     def size(self) -> int:
         """Bytes of the tables."""
         arrays = [a for s in self.searchers for a in vars(s).values() if isinstance(a, np.ndarray)]
-        return len(self.bytes) + sum(a.nbytes for a in arrays)
+        return len(self.bytes) + sum(a.nbytes for a in arrays) + sys.getsizeof(self.number) + sum(map(sys.getsizeof, self.number))
 
     def search(self, texts: list[str | None]) -> tuple[np.ndarray, list[bytes], list[list[str]]]:
         """Each text's number of words, a byte a word (1 if hit), and the names of the items found, sorted."""
-        text = Words([words(t) for t in texts])
-        edges = np.zeros(len(text.hash) + 1, np.int32)
+        text = Numbered([words(t) for t in texts], self.number)
+        edges = np.zeros(len(text.ids) + 1, np.int32)
         found: list[set] = [set() for _ in texts]
-        for s in self.searchers if len(text.hash) else ():
+        for s in self.searchers if len(text.ids) else ():
             for at, w in s.search(text, self.bytes):
                 edges[at] += 1
                 edges[at + s.length] -= 1
