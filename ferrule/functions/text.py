@@ -10,6 +10,7 @@ from ..config import SPARSE_BUCKETS, STOPWORDS
 Text = Column | str
 
 _TERM = r"([a-z0-9_/\-]+|[\x{4e00}-\x{9fff}]{2,})"
+_CJK = r"[\x{4e00}-\x{9fff}]"
 _LONG_RUN = r"^[\x{4e00}-\x{9fff}]{4,}$"
 _EDGES = r"(?U)^\s+|\s+$"
 
@@ -46,12 +47,15 @@ def path_slug(c: Text, max_length: int = 80, default: str = "default") -> Column
 
 
 def tokenize(c: Text) -> Column:
-    """Lower-case terms in text order: Latin runs and CJK runs; long CJK runs also give their bigrams."""
+    """Lower-case terms in text order: Latin runs and CJK runs; long CJK runs also give their bigrams.
+
+    Only texts with CJK characters have words that are no terms or runs to spread.
+    """
     runs = F.regexp_extract_all(F.lower(_col(c)), F.lit(_TERM), F.lit(1))
     kept = F.filter(runs, lambda t: ~t.isin(*STOPWORDS))
     pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: t.substr(i, F.lit(2)))
     spread = F.transform(kept, lambda t: F.when(t.rlike(_LONG_RUN), F.concat(F.array(t), pairs(t))).otherwise(F.array(t)))
-    return F.flatten(spread)
+    return F.when(_col(c).rlike(_CJK), F.flatten(spread)).otherwise(runs)
 
 
 def split_values(c: Text) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import hash_slot, sparse_bucket
+from .text import sparse_bucket
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,12 +30,39 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
-def hashed_weights(terms: DataFrame, keys: list[str], term: str = "term", dims: int = 1024) -> DataFrame:
-    """(keys, idx, weight): unit-length hashed embeddings from one row a term occurrence, zeros left out."""
-    slots = terms.select(*keys, hash_slot(term, dims).alias("slot"))
-    sums = slots.groupBy(*keys, F.col("slot.idx").alias("idx")).agg(F.sum("slot.sign").alias("raw")).where("raw <> 0")
-    sizes = sums.groupBy(*keys).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("size"))
-    return sums.join(sizes, keys).select(*keys, "idx", (F.col("raw") / F.col("size")).alias("weight"))
+def _hashed(found: list, dims: int, slots: dict) -> np.ndarray:
+    """Unit-length hashed embeddings of lists of terms; zeros for a list without terms.  ``slots`` keeps what terms hash to."""
+    out = np.zeros((len(found), dims))
+    for row, terms in enumerate(found):
+        for term in terms or ():
+            slot = slots.get(term)
+            if slot is None:
+                digest = hashlib.sha256(term.encode("utf-8")).digest()
+                slot = (int.from_bytes(digest[:4], "big") % dims, -1.0 if digest[4] & 1 else 1.0)
+                if len(slots) < 200_000:
+                    slots[term] = slot
+            out[row, slot[0]] += slot[1]
+    return out / np.maximum(np.sqrt((out * out).sum(1)), 1e-300)[:, None]
+
+
+#: Rows whose dense embeddings a kernel holds at once.
+ROWS = 2_000
+
+
+def hashed_weights(rows: DataFrame, key: str, terms: str = "terms", dims: int = 1024) -> DataFrame:
+    """(key, idx, weight): unit-length hashed embeddings, a row a place that is not zero."""
+    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("idx", T.IntegerType()), T.StructField("weight", T.DoubleType())])
+
+    def run(batches):
+        slots: dict = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                x = _hashed(part.column(1).to_pylist(), dims, slots)
+                i, j = np.nonzero(x)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(j, pa.int32()), pa.array(x[i, j])], names=schema.names)
+
+    return rows.select(key, terms).mapInArrow(run, schema)
 
 
 def hash_embeddings(rows: DataFrame, key: str, terms: str, dims: int) -> DataFrame:
@@ -49,19 +76,11 @@ def hash_embeddings(rows: DataFrame, key: str, terms: str, dims: int) -> DataFra
     def run(batches):
         slots: dict = {}
         for batch in batches:
-            out = np.zeros((batch.num_rows, dims))
-            for row, found in enumerate(batch.column(1).to_pylist()):
-                for term in found or ():
-                    slot = slots.get(term)
-                    if slot is None:
-                        digest = hashlib.sha256(term.encode("utf-8")).digest()
-                        slot = (int.from_bytes(digest[:4], "big") % dims, -1.0 if digest[4] & 1 else 1.0)
-                        if len(slots) < 200_000:
-                            slots[term] = slot
-                    out[row, slot[0]] += slot[1]
-            out /= np.maximum(np.sqrt((out * out).sum(1)), 1e-300)[:, None]
-            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dims), pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=schema.names)
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                x = _hashed(part.column(1).to_pylist(), dims, slots)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dims), pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors], names=schema.names)
 
     return rows.select(key, terms).mapInArrow(run, schema)
 

@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from ..config import EngineConfig
 from ..functions.text import sortable_day, split_values, tokenize
+from ..storage import materialise
+from .lexical import term_rows
 
 FIRST_DAY, LAST_DAY = 0, 99991231
 
@@ -108,9 +110,10 @@ def blocked_matches(queries: DataFrame, blocked: DataFrame, limit: int = 5) -> D
     ``queries``: query_id, query.  ``blocked``: chunk_id, doc_id, terms.  Rows meet over
     their terms, so a query only touches rows that share one.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokenize("query"))).alias("term"))
+    distinct = lambda rows, c: rows.withColumn("terms", F.array_distinct(c))
+    asked = materialise(term_rows(distinct(queries, tokenize("query")), "query_id"), "asked")
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    held = blocked.select("chunk_id", "doc_id", F.explode(F.array_distinct("terms")).alias("term"))
+    held = term_rows(distinct(blocked, "terms"), "chunk_id", "doc_id")
     telling = F.col("term").rlike(r"\d|[-_/]") | (F.length("term") >= 4)
     met = asked.join(held, "term").groupBy("query_id", "chunk_id", "doc_id").agg(
         F.count("*").alias("n_matched"), F.max(telling).alias("telling"), F.array_sort(F.collect_set("term")).alias("matched_terms")

@@ -18,8 +18,8 @@ def split_sections(docs: DataFrame, doc_id="doc_id", title="title", body="body")
     """
     name = F.coalesce(F.col(title).cast("string"), F.col(doc_id).cast("string"))
     rows = docs.where(F.col(body) != "").select(
-        F.col(doc_id).alias("doc_id"), name.alias("title"), F.posexplode(F.split(F.col(body), r"\n(?=## )")).alias("section_no", "piece")
-    )
+        F.col(doc_id).alias("doc_id"), name.alias("title"), F.posexplode_outer(F.split(F.col(body), r"\n(?=## )")).alias("section_no", "piece")
+    )  # outer: an inner explode would split every body a second time to test its size
     heading = strip(F.regexp_extract("piece", r"^## ([^\n]*)", 1))
     section = F.when(F.col("piece").startswith("## "), heading).otherwise(F.col("title"))
     return rows.select(
@@ -89,15 +89,16 @@ def plain_chunks(docs: DataFrame, source: str, text: str, chars: int = 240, over
     """(chunk_id, source, position, text) of whole documents; long paragraphs are packed by sentence first."""
     found = paragraphs(F.col(text), delimiter)
     spread = F.flatten(F.transform(found, lambda p: F.when(F.length(p) > chars, sentence_pack(p, chars)).otherwise(F.array(p))))
-    rows = docs.select(F.col(source).cast("string").alias("source"), F.posexplode(pack(spread, chars, overlap)).alias("position", "text"))
+    rows = docs.select(F.col(source).cast("string").alias("source"), F.posexplode_outer(pack(spread, chars, overlap)).alias("position", "text"))
+    rows = rows.where("position IS NOT NULL")
     return rows.select(F.concat("source", F.lit("#chunk-"), F.col("position")).alias("chunk_id"), "source", "position", "text")
 
 
 def section_chunks(sections: DataFrame, chars: int = 280, overlap: int = 60, delimiter="\n\n") -> DataFrame:
     """(chunk_id, parent_id, doc_id, chunk_no, title_path, text, token_count, terms) of sections."""
     rows = sections.select(
-        "doc_id", "parent_id", "title_path", F.posexplode(pack(paragraphs(F.col("text"), delimiter), chars, overlap)).alias("chunk_no", "text")
-    )
+        "doc_id", "parent_id", "title_path", F.posexplode_outer(pack(paragraphs(F.col("text"), delimiter), chars, overlap)).alias("chunk_no", "text")
+    ).where("chunk_no IS NOT NULL")
     titled = F.concat(F.array_join("title_path", " "), F.lit(" "), F.col("text"))
     return rows.select(
         F.format_string("%s:chunk_%02d", "parent_id", "chunk_no").alias("chunk_id"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import citation_ids, is_out_of_domain, sentence_score, split_sentences, tokenize
+from .lexical import term_rows
 from .plugins import Patience
 
 # Texts that reach the reader.
@@ -23,19 +24,21 @@ PROMPT_RULE_LINES = (
 )
 
 
-def coverage(queries: DataFrame, selected: DataFrame, rrf_only: bool = False) -> DataFrame:
+def coverage(queries: DataFrame, selected: DataFrame, rrf_only: bool | str = False) -> DataFrame:
     """(query_id, n_selected, best_score, coverage): share of a query's distinct terms that its evidence holds.
 
-    ``selected``: query_id, rerank_score, bm25_rank, terms.  With ``rrf_only`` only evidence
-    that the lexical route found counts.
+    ``selected``: query_id, rerank_score, bm25_rank, terms.  With ``rrf_only`` (for all, or the
+    name of a column that says so, which the result keeps) only evidence that the lexical route
+    found counts.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokenize("query"))).alias("term"))
-    held = selected.where("bm25_rank IS NOT NULL") if rrf_only else selected
-    held = held.select("query_id", F.explode("terms").alias("term")).distinct()
+    asked = term_rows(queries.select("query_id", F.array_distinct(tokenize("query")).alias("terms")), "query_id")
+    ranks = F.coalesce(F.col(rrf_only), F.lit(False)) if isinstance(rrf_only, str) else F.lit(rrf_only)
+    held = term_rows(selected.where(~ranks | F.col("bm25_rank").isNotNull()), "query_id").distinct()
     n_terms = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     met = asked.join(held, ["query_id", "term"]).groupBy("query_id").agg(F.count("*").alias("n_met"))
     lexical = F.count_if(F.col("bm25_rank").isNotNull()).alias("n_lexical")
-    best = selected.groupBy("query_id").agg(F.count("*").alias("n_selected"), F.max("rerank_score").alias("best_score"), lexical)
+    kept = [F.max(ranks).alias(rrf_only)] if isinstance(rrf_only, str) else []
+    best = selected.groupBy("query_id").agg(F.count("*").alias("n_selected"), F.max("rerank_score").alias("best_score"), lexical, *kept)
     rows = queries.select("query_id", "query")
     for part in (n_terms, met, best):
         rows = rows.join(part, "query_id", "left")
@@ -44,7 +47,7 @@ def coverage(queries: DataFrame, selected: DataFrame, rrf_only: bool = False) ->
     )
 
 
-def sufficiency(covered: DataFrame, blocked: DataFrame | None = None, *, rrf_only: bool = False, min_score=0.12, min_coverage=0.18, high_confidence=0.35) -> DataFrame:
+def sufficiency(covered: DataFrame, blocked: DataFrame | None = None, *, rrf_only: bool | str = False, min_score=0.12, min_coverage=0.18, high_confidence=0.35) -> DataFrame:
     """Adds ``reason`` and ``enough`` to the rows of ``coverage``; the first rule that applies decides.
 
     ``blocked``: query_id and overlap_ratio of what the asker may not see.
@@ -55,15 +58,10 @@ def sufficiency(covered: DataFrame, blocked: DataFrame | None = None, *, rrf_onl
         best = blocked.groupBy("query_id").agg(F.count("*").alias("n_blocked"), F.max("overlap_ratio").alias("blocked_ratio"))
         rows = covered.join(best, "query_id", "left").fillna(0, ["n_blocked", "blocked_ratio"])
     share, score = F.col("coverage"), F.coalesce("best_score", F.lit(0.0))
-    if rrf_only:
-        by_policy = (
-            F.when(share >= min_coverage, "pass")
-            .when(F.col("n_lexical") == 0, "rrf_only_missing_lexical_signal")
-            .otherwise("low_query_evidence_overlap")
-        )
-    else:
-        good = (score >= min_score) & ((share >= min_coverage) | (score >= high_confidence))
-        by_policy = F.when(good, "pass").otherwise("low_query_evidence_overlap")
+    ranks = F.coalesce(F.col(rrf_only), F.lit(False)) if isinstance(rrf_only, str) else F.lit(rrf_only)
+    by_rank = F.when(share >= min_coverage, "pass").when(F.col("n_lexical") == 0, "rrf_only_missing_lexical_signal")
+    good = (score >= min_score) & ((share >= min_coverage) | (score >= high_confidence))
+    by_policy = F.when(ranks, by_rank.otherwise("low_query_evidence_overlap")).otherwise(F.when(good, "pass").otherwise("low_query_evidence_overlap"))
     reason = (
         F.when(is_out_of_domain("query"), "out_of_domain_query")
         .when((F.col("n_selected") == 0) & (F.col("n_blocked") > 0), "permission_denied")
@@ -101,7 +99,7 @@ def extractive_answers(queries: DataFrame, judged: DataFrame, cited: DataFrame,
     """(query_id, mode, answer, citations): each piece of evidence's best sentence, the first two; or a refusal."""
     text = F.col("expanded_text") if "expanded_text" in cited.columns else F.col("text")
     asked = queries.select("query_id", "query", F.array_distinct(tokenize("query")).alias("query_terms"))
-    rows = cited.select("query_id", "position", "citation_id", F.posexplode(split_sentences(text)).alias("at", "sentence"))
+    rows = cited.select("query_id", "position", "citation_id", F.posexplode_outer(split_sentences(text)).alias("at", "sentence")).where("at IS NOT NULL")
     rows = rows.join(asked, "query_id").withColumn("points", sentence_score("sentence", "query", "query_terms"))
     best = Window.partitionBy("query_id", "position").orderBy(F.desc("points"), "at")
     rows = rows.withColumn("n", F.row_number().over(best)).where("n = 1 AND points > -1")

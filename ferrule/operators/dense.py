@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import materialise
 from .lexical import score_key, top_k
 
-_FOUND = "query_id string, key string, score double"
+#: Bytes of queries' vectors shipped at once.
+BLOCK_BYTES = 32_000_000
 
 
 def _matrix(vectors, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -28,59 +31,65 @@ def _matrix(vectors, width: int) -> tuple[np.ndarray, np.ndarray]:
     return x, sizes
 
 
+def _best(keys: np.ndarray, k: int) -> np.ndarray:
+    """Which places hold a row's ``k`` largest keys; of equal ones at the edge the first."""
+    n = keys.shape[1]
+    if n <= k:
+        return np.ones(keys.shape, bool)
+    edge = np.partition(keys, n - k, axis=1)[:, n - k, None]
+    hit = keys >= edge
+    for i in np.flatnonzero(hit.sum(1) > k):
+        level = np.flatnonzero(keys[i] == edge[i])
+        hit[i, level[k - int((keys[i] > edge[i]).sum()) :]] = False
+    return hit
+
+
 def dense_topk(
-    queries: DataFrame, rows: DataFrame, k: int, *, normalised: bool = False, min_score: float | None = None, block: int = 20_000
+    queries: DataFrame, rows: DataFrame, k: int, *, normalised: bool = False, min_score: float | None = None, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """(query_id, key, score, rank): the ``k`` rows with the largest inner product, or cosine if ``normalised``.
 
     ``queries``: query_id, vector.  ``rows``: key, vector.  Ids may be of any type and keep
-    it.  Queries are shipped in blocks of a bounded number; each task multiplies a batch of
-    rows with a block and passes on its own best ``k`` of each query, so what is shuffled is
-    ``k`` rows a query and task.  A pair with an empty vector scores 0; vectors of different
-    lengths are compared over the shorter one.
+    it.  Queries are shipped in blocks of a bounded number of bytes; each task multiplies a
+    batch of rows with a block and passes on its own best ``k`` of each query, ties to the
+    smaller key, so what is shuffled is ``k`` rows a query and batch.  A pair with an empty
+    vector scores 0; vectors of different lengths are compared over the shorter one.
     """
     spark = queries.sparkSession
     q_type, key_type = queries.schema["query_id"].dataType, rows.schema["key"].dataType
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    held = rows.select("key", F.coalesce(F.col("vector").cast("array<double>"), F.array().cast("array<double>")).alias("vector"))
-    n = asked.count()
-    blocks = max(1, -(-n // block))
+    filled = F.coalesce(F.col("vector").cast("array<double>"), F.array().cast("array<double>")).alias("vector")
+    asked, held = materialise(queries.select("query_id", filled), "asked"), rows.select("key", filled)
+    found = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
+    width = max(found.width or 0, 1)
+    blocks = max(1, -(-found.n * width * 8 // block_bytes))
     schema = T.StructType([T.StructField("query_id", q_type), T.StructField("key", key_type), T.StructField("score", T.DoubleType())])
     out = None
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        got = part.orderBy("query_id").collect()
-        shipped = spark.sparkContext.broadcast(([r.query_id for r in got], [r.vector or [] for r in got]))
+        got = part.toArrow().combine_chunks()
+        q, sizes = _matrix(got["vector"].chunk(0), width) if got.num_rows else (np.zeros((0, width)), np.zeros(0))
+        if normalised:
+            q /= np.maximum(sizes, 1e-300)[:, None]
+        shipped = spark.sparkContext.broadcast((got["query_id"].combine_chunks(), q))
 
         def run(batches, shipped=shipped):
-            ids, vectors = shipped.value
-            width = max([len(v) for v in vectors], default=0)
-            q = np.zeros((len(ids), width))
-            for i, v in enumerate(vectors):
-                q[i, : len(v)] = v
-            if normalised:
-                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            ids, q = shipped.value
             for batch in batches:
-                keys = batch.column(0)
-                if not batch.num_rows:
+                if not batch.num_rows or not len(q):
                     continue
+                batch = batch.take(pc.array_sort_indices(batch.column(0)))  # so that the first of equal ones has the smaller key
+                keys = batch.column(0)
                 x, sizes = _matrix(batch.column(1), width)
                 if normalised:
                     x /= np.maximum(sizes, 1e-300)[:, None]
-                for lo in range(0, len(ids), 256):
+                for lo in range(0, len(q), 256):
                     near = q[lo : lo + 256] @ x.T
-                    keep = min(k, near.shape[1])
-                    edge = np.partition(near, near.shape[1] - keep, axis=1)[:, near.shape[1] - keep]
-                    hit = near >= edge[:, None] - 1e-6  # near ties are settled by the final order
+                    hit = _best(np.round(near * 1_000_000), k)
                     if min_score is not None:
-                        hit &= near >= min_score - 1e-6
+                        hit &= near >= min_score
                     i, j = np.nonzero(hit)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[lo + a] for a in i]), keys.take(pa.array(j)), pa.array(near[i, j])], names=schema.names
-                    )
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + i)), keys.take(pa.array(j)), pa.array(near[i, j])], names=schema.names)
 
         found = held.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    if min_score is not None:
-        out = out.where(F.col("score") >= min_score)
     return top_k(out, k, [F.desc(score_key()), F.col("key")])

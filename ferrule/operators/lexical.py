@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import sparse_bucket, tokenize
+from ..storage import materialise
+
+
+def term_rows(rows: DataFrame, *columns, terms: str = "terms") -> DataFrame:
+    """(columns, term): a row a term.
+
+    An inner explode of an expression makes Spark test the expression's size as well, which
+    tokenises every text twice; an outer one does not.
+    """
+    return rows.select(*columns, F.explode_outer(terms).alias("term")).where("term IS NOT NULL")
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", terms: str = "terms") -> DataFrame:
     """(key, term, tf, length): one row for each distinct term of a row."""
-    rows = chunks.select(key, F.size(terms).alias("length"), F.explode(terms).alias("term"))
+    rows = term_rows(chunks, key, F.size(terms).alias("length"), terms=terms)
     return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
@@ -22,7 +32,8 @@ def corpus_statistics(chunks: DataFrame, terms: str = "terms") -> DataFrame:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, times): terms of each query, with their multiplicity."""
-    return queries.select("query_id", F.explode(tokenize("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    rows = term_rows(queries.select("query_id", tokenize("query").alias("terms")), "query_id")
+    return rows.groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
 def top_k(scored: DataFrame, k: int, order: list[Column], by: str = "query_id") -> DataFrame:
@@ -45,11 +56,12 @@ def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int, variant
     """(query_id, key, score, rank): the ``k`` best rows above zero.
 
     ``index`` and ``stats`` say what the statistics are of; ``among`` (keys) which rows may
-    be found.  Only postings of asked terms take part, and frequencies are counted on them.
+    be found.  Only postings of asked terms take part; they are written once, frequencies are
+    counted on them, and their size decides how they are joined.
     """
     k1, b = VARIANTS[variant]
-    asked = query_terms(queries)
-    held = index.join(asked.select("term").distinct(), "term", "left_semi")
+    asked = materialise(query_terms(queries), "asked")
+    held = materialise(index.join(asked.select("term").distinct(), "term", "left_semi"), "postings")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     odds = (F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.log(1 + odds) if variant == "plain" else F.when(F.log(odds) <= 0, F.lit(LEAST_IDF)).otherwise(F.log(odds))
@@ -62,10 +74,17 @@ def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int, variant
 
 
 def sparse_idf(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id", among: DataFrame | None = None) -> DataFrame:
-    """(query_id, key, score, rank) by hashed term frequencies times idf: no saturation, no length norm."""
-    held = chunks.select(key, F.explode("terms").alias("term")).groupBy(key, sparse_bucket("term").alias("bucket")).agg(F.count("*").alias("tf"))
+    """(query_id, key, score, rank) by hashed term frequencies times idf: no saturation, no length norm.
+
+    Each distinct term is hashed once; only terms in a bucket that a query asks for are counted.
+    """
     asked = query_terms(queries).groupBy("query_id", sparse_bucket("term").alias("bucket")).agg(F.sum("times").alias("times"))
-    held = held.join(asked.select("bucket").distinct(), "bucket", "left_semi")
+    asked = materialise(asked, "asked")
+    rows = term_rows(chunks, key)
+    vocabulary = rows.select("term").distinct().withColumn("bucket", sparse_bucket("term"))
+    vocabulary = materialise(vocabulary.join(asked.select("bucket").distinct(), "bucket", "left_semi"), "vocabulary")
+    held = rows.join(vocabulary, "term").groupBy(key, "bucket").agg(F.count("*").alias("tf"))
+    held = materialise(held, "postings")
     df = held.groupBy("bucket").agg(F.count("*").alias("df"))
     n = chunks.agg(F.count("*").alias("n_rows"))
     idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

@@ -68,9 +68,20 @@ def _status(spark: SparkSession, component: str, mode: str, reason: str, failed:
     return spark.createDataFrame([(component, mode, configured, failed is not None, reason, error, attempts)], STATUS_SCHEMA)
 
 
+def status_columns() -> list[str]:
+    return [c.split()[0] for c in STATUS_SCHEMA.split(", ")]
+
+
 # ------------------------------------------------------------------ embedders
 
 
+def embedding_status(spark: SparkSession, embedder: Callable | None) -> DataFrame:
+    """The status row of an embedder that was not probed."""
+    if embedder is None:
+        return _status(spark, "embedding", "hash_fallback", "not_configured", configured=False)
+    return _status(spark, "embedding", "external", "configured_model")
+
+
 def embed(rows: DataFrame, key: str, text: str, embedder: Callable, dims: int, patience: Patience = Patience()) -> DataFrame:
     """(key, vector) by ``embedder(texts) -> vectors``, called on the executors for ``BATCH`` texts at a time.
 
@@ -101,7 +112,7 @@ def embed_or_hash(spark: SparkSession, rows: DataFrame, key: str, text: str, emb
     """Vectors by the embedder if a probe succeeds, else hashed ones; and a status row."""
     probe = patience.ask(embedder, ["probe"]) if embedder else None
     if probe and probe.error is None:
-        return embed(rows, key, text, embedder, dims, patience), _status(spark, "embedding", "external", "configured_model")
+        return embed(rows, key, text, embedder, dims, patience), embedding_status(spark, embedder)
     vectors = hash_embeddings(rows.select(key, tokenize(text).alias("terms")), key, "terms", dims)
     why = "embedding_error" if probe else "not_configured"
     return vectors, _status(spark, "embedding", "hash_fallback", why, probe, configured=probe is not None)

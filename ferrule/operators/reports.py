@@ -57,8 +57,11 @@ def monitoring_events(traces: DataFrame) -> DataFrame:
                  "reranker_mode", "reranker_model", "reranker_score_policy")
     return traces.select(
         "query_id",
+        col("trace_id", "string"),
+        F.coalesce(col("timestamp", "timestamp"), F.current_timestamp()).alias("timestamp"),
         col("status", "string", "ok"),
         col("latency_ms", "long"),
+        col("stage_latencies_ms", "map<string,bigint>"),
         *[col(c, "string") for c in constants],
         F.left(F.sha2(text, 256), F.lit(16)).alias("query_hash"),
         F.length(text).alias("query_chars"),

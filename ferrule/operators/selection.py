@@ -89,7 +89,8 @@ def expand(selected: DataFrame, chunks: DataFrame, max_chars: int = 1200) -> Dat
     Siblings join in order of their ids while the whole stays within ``max_chars``; one that
     does not fit is passed over, and the row itself always stays.
     """
-    rows = selected.join(by_parent(chunks), "parent_id", "left")
+    asked = chunks.join(selected.select("parent_id").distinct(), "parent_id", "left_semi")
+    rows = selected.join(by_parent(asked), "parent_id", "left")
     empty = F.array().cast("array<string>")
     state = F.struct(empty.alias("ids"), empty.alias("texts"), F.lit(0).alias("size"), F.lit(0).alias("tokens"))
 
@@ -113,19 +114,22 @@ def expand(selected: DataFrame, chunks: DataFrame, max_chars: int = 1200) -> Dat
 
 
 def truncate(
-    candidates: DataFrame, order: str = "mmr_rank", *, rrf_only: bool = False, min_score: float = 0.12, gap: float = 0.28, max_k: int = 5, budget: int = 900
+    candidates: DataFrame, order: str = "mmr_rank", *, rrf_only: bool | str = False, min_score: float = 0.12, gap: float = 0.28, max_k: int = 5, budget: int = 900
 ) -> DataFrame:
     """Candidates with ``position`` and ``selected``: minimum score, first large gap, number and token budget.
 
-    ``candidates``: query_id, ``order``, rerank_score, expanded_tokens.  With ``rrf_only``
-    scores are ranks in disguise, so neither minimum nor gap applies.
+    ``candidates``: query_id, ``order``, rerank_score, expanded_tokens.  With ``rrf_only`` (for
+    all, or the name of a column that says so) scores are ranks in disguise, so neither minimum
+    nor gap applies.
     """
+    ranks = F.coalesce(F.col(rrf_only), F.lit(False)) if isinstance(rrf_only, str) else F.lit(rrf_only)
     line = Window.partitionBy("query_id").orderBy(order)
     upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = candidates if rrf_only else candidates.where(F.col("rerank_score") >= min_score)
+    rows = candidates.where(ranks | (F.col("rerank_score") >= min_score))
     rows = rows.withColumn("position", F.row_number().over(line))
-    wide = F.lit(False) if rrf_only else F.coalesce(F.lag("rerank_score").over(line) - F.col("rerank_score") >= gap, F.lit(False))
-    rows = rows.withColumn("behind_gap", F.max(wide.cast("int")).over(upto) > 0 if not rrf_only else F.lit(False))
+    wide = ~ranks & F.coalesce(F.lag("rerank_score").over(line) - F.col("rerank_score") >= gap, F.lit(False))
+    rows = rows.withColumn("wide", wide)
+    rows = rows.withColumn("behind_gap", F.max(F.col("wide").cast("int")).over(upto) > 0).drop("wide")
     rows = rows.withColumn("running_tokens", F.sum("expanded_tokens").over(upto))
     fits = ~F.col("behind_gap") & (F.col("position") <= max_k) & (F.col("running_tokens") <= budget)
     return rows.withColumn("selected", fits).drop("behind_gap")

@@ -1,25 +1,35 @@
-"""A keyed index on Parquet: documents, chunks and postings, replaced document by document.
+"""A keyed index on Parquet: documents, chunks, postings and vectors, replaced document by document.
 
-Tables are partitioned by ``bucket``, a hash of ``doc_id``.  A sync rewrites only the buckets
-that hold changed or removed documents, through dynamic partition overwrite; what a bucket
-keeps is read from a snapshot written first, so a lost executor never meets half a table.
+Tables are divided into buckets by a hash of ``doc_id``.  A sync writes new generations of the
+buckets that hold changed or removed documents beside the old ones, and last a version that
+says which generation of each bucket counts.  A reader takes the newest version there is, so
+it sees a whole index before, during and after a sync, and after one that failed.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import EngineConfig
 from ..functions.text import content_hash
+from ..functions.vectors import hash_embeddings
 from ..operators.access import with_access_columns
 from ..operators.chunking import section_chunks, split_sections
 from ..operators.lexical import postings
+from ..operators.plugins import embed
+from ..storage import names_in, remove
 from .documents import read_index
 
-TABLES = ("documents", "chunks", "postings")
+TABLES = ("documents", "chunks", "postings", "vectors")
+#: Bytes of documents a bucket is meant to hold, and files a bucket is written in at most.
+BUCKET_BYTES, BUCKET_FILES = 512 << 20, 8
+_ACCESS = ("scopes", "from_day", "to_day")
 
 
 def diff(current: DataFrame, stored: DataFrame) -> DataFrame:
@@ -53,114 +63,188 @@ def build_chunks(docs: DataFrame, config: EngineConfig = EngineConfig()) -> Data
     return with_access_columns(chunks.join(kept, "doc_id"))
 
 
+@dataclass(frozen=True)
+class Synced:
+    """What a sync did: the changes, a row a document (doc_id, change), and how many there were of each kind."""
+
+    changes: DataFrame
+    added: int
+    changed: int
+    removed: int
+
+
 class IndexStore:
-    def __init__(self, spark: SparkSession, path: str, config: EngineConfig = EngineConfig(), buckets: int = 16, mirror: IndexStore | None = None):
-        self.spark, self.path, self.config, self.buckets, self.mirror = spark, path.rstrip("/"), config, buckets, mirror
+    """``buckets`` is for a new index; by default it follows from the size of the first documents."""
+
+    def __init__(
+        self, spark: SparkSession, path: str, config: EngineConfig = EngineConfig(), buckets: int | None = None, mirror: IndexStore | None = None, embedder=None
+    ):
+        self.spark, self.path, self.config, self.buckets, self.mirror, self.embedder = spark, path.rstrip("/"), config, buckets, mirror, embedder
         self.identity = f"{config.embedding_provider.strip().lower()}:{config.embedding_model.strip()}"
 
-    def _path(self, name: str) -> str:
-        return f"{self.path}/{name}"
+    @classmethod
+    def of_identity(cls, spark: SparkSession, path: str, config: EngineConfig = EngineConfig(), **more) -> IndexStore:
+        """The index beside ``path`` for the configured embedder: each identity has a folder of its own."""
+        identity = f"{config.embedding_provider.strip().lower()}:{config.embedding_model.strip()}"
+        slug = "".join(c if c.isascii() and (c.isalnum() or c in "_.-") else "_" for c in identity).strip("._") or "embedding"
+        return cls(spark, f"{path.rstrip('/')}.{slug[:80]}.{hashlib.sha256(identity.encode()).hexdigest()[:12]}", config, **more)
 
-    def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path("documents"))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    # -------------------------------------------------------------- versions
+
+    def _version(self) -> dict[str, dict]:
+        """Of each table: ``schema``, ``buckets``, and which generation holds each bucket."""
+        done = [n for n in names_in(self.spark, f"{self.path}/versions") if "_SUCCESS" in names_in(self.spark, f"{self.path}/versions/{n}")]
+        if not done:
+            return {}
+        return {r.name: json.loads(r.held) for r in self.spark.read.schema("name string, held string").json(f"{self.path}/versions/{max(done)}").collect()}
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(name))
+    def _next_generation(self) -> int:
+        return max([int(n.rpartition("=")[2]) for n in names_in(self.spark, f"{self.path}/versions")], default=0) + 1
+
+    def exists(self) -> bool:
+        return bool(self._version())
+
+    def read(self, name: str, among: list[int] | None = None) -> DataFrame:
+        """A table of the newest version, or some of its buckets."""
+        held = self._version().get(name)
+        if held is None:
+            raise FileNotFoundError(f"no index in {self.path}")
+        schema = T.StructType.fromJson(held["schema"])
+        parts = [f"{self.path}/{name}/gen={g:09d}/bucket={b}" for b, g in held["generation"].items() if among is None or int(b) in among]
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*parts)
+        return rows.select(*schema.names)
 
     def manifest(self) -> DataFrame:
-        return self.read("documents").drop("bucket")
+        return self.read("documents")
 
     def chunks(self) -> DataFrame:
-        return self.read("chunks").drop("bucket")
+        return self.read("chunks")
 
     def postings(self) -> DataFrame:
-        return self.read("postings").drop("bucket")
+        return self.read("postings")
 
-    def reset(self) -> None:
-        for name in TABLES:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        if self.mirror:
-            self.mirror.reset()
+    def vectors(self) -> DataFrame:
+        """(chunk_id, doc_id, vector) and the access columns, as embedded when the document last changed."""
+        held = self._version().get("vectors")
+        if held and held["identity"] != self.identity:
+            raise ValueError(f"{self.path} was embedded by {held['identity']}, not by {self.identity}")
+        return self.read("vectors")
+
+    def statistics(self) -> DataFrame:
+        """One row: number of chunks and mean number of terms, from one narrow column."""
+        return self.chunks().agg(F.count("*").alias("n_rows"), F.avg("n_terms").alias("mean_length"))
 
     def count(self) -> int:
         return self.chunks().count()
 
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int"))
+    def reset(self) -> None:
+        for name in (*TABLES, "versions", "changes", "incoming"):
+            remove(self.spark, f"{self.path}/{name}")
+        if self.mirror:
+            self.mirror.reset()
 
-    def _write(self, name: str, df: DataFrame, touched: DataFrame | None) -> None:
-        """All of the table, or the touched buckets: their other rows are kept through a snapshot."""
-        rows = self._bucketed(df)
-        path = self._path(name)
-        if touched is None:
-            rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-            return
-        keys = touched.select("doc_id").distinct()
-        hit = self._bucketed(keys).select("bucket").distinct()
-        kept = self.read(name).join(F.broadcast(hit), "bucket", "left_semi").join(keys, "doc_id", "left_anti")
-        snapshot = f"{self.path}/_snapshot/{name}-{uuid.uuid4().hex}"
-        kept.unionByName(rows, allowMissingColumns=True).write.parquet(snapshot)
-        fresh = self.spark.read.parquet(snapshot)
-        # buckets that lost their last row stay as an empty file of the overwrite below
-        lost = self.read(name).join(F.broadcast(hit), "bucket", "left_semi").select("bucket").distinct()
-        gone = [r.bucket for r in lost.join(fresh.select("bucket").distinct(), "bucket", "left_anti").collect()]
-        fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-        jvm = self.spark._jvm.org.apache.hadoop.fs
-        for bucket in gone:  # at most as many as there are buckets
-            dead = jvm.Path(f"{path}/bucket={bucket}")
-            dead.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(dead, True)
-        dead = jvm.Path(snapshot)
-        dead.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(dead, True)
+    def vacuum(self) -> int:
+        """Delete generations that the newest version does not name; how many.  Not while others read older versions."""
+        version, gone = self._version(), 0
+        for name, held in version.items():
+            live = {f"gen={g:09d}/bucket={b}" for b, g in held["generation"].items()}
+            for gen in names_in(self.spark, f"{self.path}/{name}"):
+                for bucket in names_in(self.spark, f"{self.path}/{name}/{gen}"):
+                    if bucket.startswith("bucket=") and f"{gen}/{bucket}" not in live:
+                        remove(self.spark, f"{self.path}/{name}/{gen}/{bucket}")
+                        gone += 1
+        return gone
+
+    # -------------------------------------------------------------- writing
 
     def with_hashes(self, docs: DataFrame) -> DataFrame:
         hashed = content_hash("raw_text", F.lit(self.identity), self.config.dimensions)
         return docs.withColumns({"content_hash": hashed, "embedding_model": F.lit(self.identity)})
 
+    def _embedded(self, chunks: DataFrame) -> DataFrame:
+        keyed = chunks.withColumnRenamed("chunk_id", "key")
+        if self.embedder is None:
+            found = hash_embeddings(keyed, "key", "terms", self.config.dimensions)
+        else:
+            found = embed(keyed, "key", "text", self.embedder, self.config.dimensions)
+        return found.withColumnRenamed("key", "chunk_id").join(chunks.select("chunk_id", "doc_id", *_ACCESS), "chunk_id")
+
+    def _tables(self, fresh: DataFrame, incoming: str) -> dict[str, DataFrame]:
+        """The index's rows of some documents; they are split and tokenised once, into ``incoming``."""
+        build_chunks(fresh, self.config).withColumn("n_terms", F.size("terms")).write.mode("overwrite").parquet(incoming)
+        chunks = self.spark.read.parquet(incoming)
+        manifest = fresh.select("doc_id", "source_path", "content_hash", "embedding_model", F.current_timestamp().alias("updated_at"))
+        index = postings(chunks).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+        return {"documents": manifest, "chunks": chunks, "postings": index, "vectors": self._embedded(chunks)}
+
+    def _replace(self, tables: dict[str, DataFrame], keys: DataFrame | None, n_bytes: int, gen: int) -> None:
+        """Version ``gen``, in which the rows of ``tables`` replace those of documents with ``keys`` (None: all there are)."""
+        old = {} if keys is None else self._version()
+        n = old["documents"]["buckets"] if old else self.buckets or max(1, -(-n_bytes // BUCKET_BYTES))
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+        touched = None if keys is None else [r.b for r in keys.select(bucket.alias("b")).distinct().collect()]  # at most as many as there are buckets
+        version = []
+        for name, rows in tables.items():
+            held = dict(old[name]["generation"]) if old else {}
+            if old:
+                rows = self.read(name, touched).join(keys.select("doc_id").distinct(), "doc_id", "left_anti").select(*rows.columns).unionByName(rows)
+                held = {b: g for b, g in held.items() if int(b) not in touched}
+            salt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(BUCKET_FILES))
+            path = f"{self.path}/{name}/gen={gen:09d}"
+            rows.withColumn("bucket", bucket).repartition("bucket", salt).write.mode("overwrite").partitionBy("bucket").parquet(path)
+            held |= {b.removeprefix("bucket="): gen for b in names_in(self.spark, path) if b.startswith("bucket=")}
+            version.append((name, json.dumps({"schema": json.loads(rows.schema.json()), "buckets": n, "generation": held, "identity": self.identity})))
+        # the switch: Spark marks the folder as done when its only file is whole
+        self.spark.createDataFrame(version, "name string, held string").coalesce(1).write.mode("overwrite").json(f"{self.path}/versions/gen={gen:09d}")
+
+    def _commit(self, fresh: DataFrame, keys: DataFrame | None) -> None:
+        gen = self._next_generation()
+        incoming = f"{self.path}/incoming/gen={gen:09d}"
+        n_bytes = 0 if keys is not None or self.buckets else fresh.agg(F.sum(F.octet_length("raw_text"))).first()[0] or 0
+        self._replace(self._tables(fresh, incoming), keys, n_bytes, gen)
+        remove(self.spark, incoming)
+
+    def follow(self, primary: IndexStore) -> None:
+        """Take over the rows of documents that ``primary`` holds otherwise, vectors and all."""
+        gen, there = self._next_generation(), self.exists()
+        if not there:
+            self.buckets = self.buckets or primary._version()["documents"]["buckets"]
+            self._replace({name: primary.read(name) for name in TABLES}, None, 0, gen)
+            return
+        path = f"{self.path}/changes/gen={gen:09d}"
+        diff(primary.manifest(), self.manifest()).where("change <> 'same'").write.mode("overwrite").parquet(path)
+        changes = self.spark.read.parquet(path)
+        if not changes.isEmpty():
+            keys = changes.select("doc_id")
+            self._replace({name: primary.read(name).join(keys, "doc_id", "left_semi") for name in TABLES}, keys, 0, gen)
+
     def add(self, docs: DataFrame) -> None:
         """Index ``docs`` beside what is there; documents of the same id are replaced."""
         docs = self.with_hashes(docs)
-        chunks = build_chunks(docs, self.config)
-        index = postings(chunks).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
-        manifest = docs.select("doc_id", "source_path", "content_hash", "embedding_model", F.current_timestamp().alias("updated_at"))
-        for name, rows in (("chunks", chunks), ("postings", index), ("documents", manifest)):
-            self._write(name, rows, docs)
+        self._commit(docs, docs.select("doc_id") if self.exists() else None)
 
-    def sync(self, docs: DataFrame, rebuild: bool = False) -> dict[str, list[str]]:
-        """Bring the index in line with ``docs``; the ids of changed and removed documents, for the caller's report.
+    def sync(self, docs: DataFrame, rebuild: bool = False) -> Synced:
+        """Bring the index in line with ``docs``.
 
-        Only changed documents are split and tokenised; a second run without changes writes nothing.
+        Only changed documents are split, tokenised and embedded; a second run without changes
+        writes no version.
         """
         if rebuild:
             self.reset()
-        docs = self.with_hashes(docs)
-        manifest = docs.select("doc_id", "source_path", "content_hash", "embedding_model", F.current_timestamp().alias("updated_at"))
-        if not self.exists():
-            chunks = build_chunks(docs, self.config)
-            self._write("documents", manifest, None)
-            self._write("chunks", chunks, None)
-            doc_ids = self.chunks().select("chunk_id", "doc_id")
-            self._write("postings", postings(self.chunks()).join(doc_ids, "chunk_id"), None)
-            changes = docs.select("doc_id", F.lit("added").alias("change"))
-        else:
-            # written first: the tables it is derived from are about to change
-            written = f"{self.path}/_snapshot/changes-{uuid.uuid4().hex}"
-            diff(docs, self.manifest()).where("change <> 'same'").write.parquet(written)
-            changes = self.spark.read.parquet(written)
-            if not changes.isEmpty():
-                fresh = docs.join(changes.where("change <> 'removed'").select("doc_id"), "doc_id", "left_semi")
-                chunks = build_chunks(fresh, self.config)
-                index = postings(chunks).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
-                for name, rows in (("chunks", chunks), ("postings", index)):
-                    self._write(name, rows, changes)
-                self._write("documents", manifest.join(fresh.select("doc_id"), "doc_id", "left_semi"), changes)
+        docs, there = self.with_hashes(docs), self.exists()
+        path = f"{self.path}/changes/gen={self._next_generation():09d}"
+        changes = diff(docs, self.manifest()).where("change <> 'same'") if there else docs.select("doc_id", F.lit("added").alias("change"))
+        changes.write.mode("overwrite").parquet(path)  # kept beside the index, as long as the documents' list is long
+        changes = self.spark.read.parquet(path)
+        number = {r.change: r["n"] for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}
+        if number or not there:
+            fresh = docs.join(changes.where("change <> 'removed'").select("doc_id"), "doc_id", "left_semi") if there else docs
+            self._commit(fresh, changes.select("doc_id") if there else None)
         if self.mirror:
-            self.mirror.sync(docs.drop("content_hash", "embedding_model"))
-        out: dict[str, list[str]] = {"changed": [], "removed": []}
-        for r in changes.orderBy("doc_id").collect():  # a report on the documents of one sync
-            out["removed" if r.change == "removed" else "changed"].append(r.doc_id)
-        return out
+            self.mirror.follow(self)
+        return Synced(changes, number.get("added", 0), number.get("changed", 0), number.get("removed", 0))
 
 
 def append_json(df: DataFrame, path: str) -> None:

@@ -24,12 +24,7 @@ def keep_indexed(docs: DataFrame, store: IndexStore, checkpoint: str) -> Streami
     """Each micro-batch joins the index; documents of earlier batches stay."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
-        if store.exists():
-            store.add(batch)
-        else:
-            store.sync(batch)
-        batch.unpersist()
+        store.add(batch)
 
     return docs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -139,13 +139,14 @@ def test_incremental_sync(spark, tmp_path):
     for name in ("doc_a", "doc_b"):
         (raw / f"{name}.md").write_text(f"# {name}\n\ntext of {name}\n", encoding="utf-8")
     target = store.IndexStore(spark, str(index), buckets=4)
-    assert target.sync(documents.read_corpus(spark, str(raw))) == {"changed": ["doc_a", "doc_b"], "removed": []}
-    assert target.sync(documents.read_corpus(spark, str(raw))) == {"changed": [], "removed": []}
+    said = lambda done: sorted((r.doc_id, r.change) for r in done.changes.collect())
+    assert said(target.sync(documents.read_corpus(spark, str(raw)))) == [("doc_a", "added"), ("doc_b", "added")]
+    assert said(target.sync(documents.read_corpus(spark, str(raw)))) == []
     (raw / "doc_b.md").write_text("# doc_b\n\nother words\n", encoding="utf-8")
-    assert target.sync(documents.read_corpus(spark, str(raw))) == {"changed": ["doc_b"], "removed": []}
+    assert said(target.sync(documents.read_corpus(spark, str(raw)))) == [("doc_b", "changed")]
     assert {r.text for r in target.chunks().collect()} == {"# doc_a\n\ntext of doc_a", "# doc_b\n\nother words"}
     (raw / "doc_a.md").unlink()
-    assert target.sync(documents.read_corpus(spark, str(raw))) == {"changed": [], "removed": ["doc_a"]}
+    assert said(target.sync(documents.read_corpus(spark, str(raw)))) == [("doc_a", "removed")]
     assert [r.doc_id for r in target.manifest().collect()] == ["doc_b"] and target.count() == 1
     assert {r.term for r in target.postings().collect()} >= {"other", "words"}
 

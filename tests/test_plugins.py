@@ -133,7 +133,7 @@ def test_store_fallbacks_and_mirror(spark, tmp_path):
             raise OSError("full")
 
     report, used, status = plugins.sync_or_fall_back(spark, Failing(), local, corpus(spark))
-    assert len(report["changed"]) == 3 and used.count() == 3 and status.first().reason == "sync_error"
+    assert report.added == 3 and used.count() == 3 and status.first().reason == "sync_error"
     mirror = store.IndexStore(spark, str(tmp_path / "mirror"), buckets=2)
     both = store.IndexStore(spark, str(tmp_path / "both"), buckets=2, mirror=mirror)
     both.sync(corpus(spark))
