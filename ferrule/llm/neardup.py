@@ -330,19 +330,20 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int =
     crowded = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot <> top").drop("top")
     crowded = materialise(crowded, "crowded")  # a join of two plain shuffles, so Spark can split a hot key
     stars = keys.join(crowded, "key").where("rep <> pivot").select("pivot", "rep").distinct()
-    stars = materialise(stars.join(classes.select("rep", "n_shingles"), "rep"), "stars")
+    facts = classes.select("rep", "n_shingles", "signature")
+    stars = materialise(stars.join(facts, "rep"), "stars")  # before rows are repeated for pairs of blocks
     heads = stars.groupBy("pivot").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
     n_blocks = _n_blocks("n", "weight", block)
     # a written table of its real size: Spark broadcasts it if it is small, else it can split a hot pivot
     several = materialise(heads.where(n_blocks > 1).select("pivot", n_blocks.alias("blocks")), "several")
     blocks = F.coalesce("blocks", F.lit(1).cast("long"))
     placed = stars.join(several, "pivot", "left").select(
-        F.col("pivot").alias("g"), F.pmod(F.xxhash64("rep"), blocks).alias("h"), "rep", "n_shingles", blocks.alias("blocks")
+        F.col("pivot").alias("g"), F.pmod(F.xxhash64("rep"), blocks).alias("h"), "rep", "n_shingles", "signature", blocks.alias("blocks")
     )
-    pivots = heads.select(F.col("pivot").alias("g"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("h"), F.col("pivot").alias("rep"))
-    facts = classes.select("rep", "n_shingles", "signature")
-    rows = placed.drop("blocks", "n_shingles").unionByName(pivots).withColumns({"side": F.lit(-1).cast("long"), "comp": F.col("rep")})
-    members = materialise(_screen(rows.join(facts, "rep"), similarity), "members")
+    pivots = heads.select(F.col("pivot").alias("g"), F.col("pivot").alias("rep"), n_blocks.alias("blocks")).join(facts, "rep")
+    pivots = pivots.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("h"), "rep", "n_shingles", "signature")
+    rows = placed.drop("blocks").unionByName(pivots).withColumns({"side": F.lit(-1).cast("long"), "comp": F.col("rep")})
+    members = materialise(_screen(rows, similarity), "members")
 
     large = materialise(placed.where("blocks > 1"), "large")
     wanted = members.select("rep").unionByName(large.select("rep")).distinct()
@@ -352,7 +353,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int =
     found = components(links)
 
     if not large.isEmpty():
-        more = materialise(_across_blocks(large, found, facts, texts, size, similarity, block), "links")
+        more = materialise(_across_blocks(large, found, texts, size, similarity, block), "links")
         found = components(links.unionByName(more))
 
     ends = classes.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left")
@@ -364,13 +365,13 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int =
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across_blocks(large: DataFrame, found: DataFrame, facts: DataFrame, texts: DataFrame, size: int, similarity: int, block: int) -> DataFrame:
+def _across_blocks(large: DataFrame, found: DataFrame, texts: DataFrame, size: int, similarity: int, block: int) -> DataFrame:
     """Confirmed links between blocks of a group, for members that are not in one component yet.
 
     A group's most frequent component is settled within itself, so only pairs with a
     member outside it are looked at: blocks of such members (side 0) meet all blocks.
     """
-    rows = large.join(found, F.col("rep") == F.col("node"), "left").select("g", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
+    rows = large.join(found, F.col("rep") == F.col("node"), "left").select("g", "rep", "n_shingles", "signature", F.coalesce("component", "rep").alias("comp"))
     rows = materialise(rows, "large")
     main = rows.groupBy("g", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).groupBy("g").agg(
         F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.sum("weight").alias("weight"),
@@ -382,9 +383,10 @@ def _across_blocks(large: DataFrame, found: DataFrame, facts: DataFrame, texts:
     n_loose = _n_blocks(F.col("n") - F.col("n_main"), F.col("weight") - F.col("weight_main"), block)
     place, loose = F.pmod(F.xxhash64("rep"), n_blocks), F.pmod(F.xxhash64("rep", F.lit(1)), n_loose)
     pair = lambda i, j: i * n_blocks + j
-    left = rows.where("outside").select("g", "rep", "comp", F.lit(0).cast("long").alias("side"), F.explode(F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: pair(loose, j))).alias("h"))
-    right = rows.select("g", "rep", "comp", F.lit(1).cast("long").alias("side"), F.explode(F.transform(F.sequence(F.lit(0), n_loose - 1), lambda i: pair(i, place))).alias("h"))
-    members = materialise(_screen(left.unionByName(right).join(facts, "rep"), similarity), "members")
+    facts = ["g", "rep", "comp", "n_shingles", "signature"]
+    left = rows.where("outside").select(*facts, F.lit(0).cast("long").alias("side"), F.explode(F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: pair(loose, j))).alias("h"))
+    right = rows.select(*facts, F.lit(1).cast("long").alias("side"), F.explode(F.transform(F.sequence(F.lit(0), n_loose - 1), lambda i: pair(i, place))).alias("h"))
+    members = materialise(_screen(left.unionByName(right), similarity), "members")
     return _confirm(members, texts, size, similarity)
 
 
