@@ -7,23 +7,27 @@ millionths.  ``catalogue_sql`` holds the DuckDB counterparts.
 from __future__ import annotations
 
 import functools
+import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import text as fx
-from ..functions.vectors import hash_embeddings, hashed_weights, sparse_weights
-from ..operators import access, casebook, chunking, context, dense, fusion, lexical, reports, selection
+from ..functions.vectors import cosine, dot, hash_embeddings, hashed_weights, norm, sparse_weights
+from ..operators import access, casebook, chunking, context, dense, fusion, lexical, plugins, reports, selection
 from ..sources import store
 from ..sources.documents import parse_frontmatter, with_defaults
+from ..storage import materialise, shared_dir, spread
 from .catalogue_sql import SQL
 from .engine import HybridEngine
+from .fixtures import GATE_ROWS, RULE_QUERIES, RULE_SENTENCES
 
 #: Day of the access checks, and the scopes of the asker.
 TODAY, SCOPES = 20260607, ("internal", "public")
 IDENTITY = "local:local-hash-embedding"
-#: Benchmark items compared with all documents at once.
+#: Short benchmark items looked for in all documents at once.
 BLOCK_ITEMS = 5_000
 
 # Own literal fixtures: terms, dates and documents in Chinese and English.
@@ -44,7 +48,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark, d) -> DataFrame:
-    return _read(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return spread(_read(spark, d, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def _terms(spark, d) -> DataFrame:
@@ -98,12 +102,11 @@ def corpus_stats(spark, d):
 
 
 def hash_embedding(spark, d):
-    rows = _terms(spark, d).select("doc_id", F.explode("terms").alias("term"))
-    return hashed_weights(rows, ["doc_id"]).select("doc_id", F.col("idx").cast("long").alias("idx"), F.round(F.col("weight") * 1e6).cast("long").alias("weight_key"))
+    return hashed_weights(_terms(spark, d), "doc_id").select("doc_id", F.col("idx").cast("long").alias("idx"), F.round(F.col("weight") * 1e6).cast("long").alias("weight_key"))
 
 
 def sparse_vector(spark, d):
-    return sparse_weights(_terms(spark, d).select("doc_id", F.explode("terms").alias("term")), ["doc_id"])
+    return sparse_weights(lexical.term_rows(_terms(spark, d), "doc_id"), ["doc_id"])
 
 
 def content_hash(spark, d):
@@ -221,7 +224,8 @@ def _lexical(spark, d):
 
 
 def _fused(spark, d):
-    return fusion.rrf_fuse(_hash_route(spark, d), _lexical(spark, d), key="doc_id")
+    """Two dozen rows a query at most, written once: what reads them knows how few they are."""
+    return materialise(fusion.rrf_fuse(_hash_route(spark, d), _lexical(spark, d), key="doc_id"), "fused")
 
 
 def rrf_fused(spark, d):
@@ -281,7 +285,7 @@ def dynamic_truncate(spark, d):
 
 
 def hydrate(spark, d):
-    ids = bm25_topk(spark, d).select("doc_id")
+    ids = materialise(bm25_topk(spark, d), "found").select("doc_id")
     return selection.hydrate(ids, _docs(spark, d), "doc_id").select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -364,9 +368,11 @@ def manifest_first(spark, d):
 
 
 def _selected(spark, d):
-    rows = _truncated(spark, d).where("selected")
-    docs = _docs(spark, d).select("doc_id", "text", "source", fx.tokenize("text").alias("terms"))
-    return context.evidence(rows.join(docs, "doc_id")).persist()  # five rows a query, read several times
+    """Five rows a query at most, written once."""
+    rows = materialise(_truncated(spark, d).where("selected"), "truncated")
+    docs = selection.hydrate(rows, _docs(spark, d), "doc_id").select("doc_id", "text", "source")
+    found = context.evidence(rows.join(docs, "doc_id")).withColumn("terms", fx.tokenize("text"))
+    return materialise(found, "selected")
 
 
 def _judged(spark, d, selected=None):
@@ -411,15 +417,20 @@ def prompts(spark, d):
     return found.select("query_id", F.length("prompt").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
+def _found(spark, d, k):
+    """The lexical route's best ``k`` with their documents; the few rows are written before the documents are read."""
+    found = materialise(_lexical(spark, d).where(F.col("rank") <= k), "found")
+    return found.join(_docs(spark, d), "doc_id")
+
+
 def numbered_context(spark, d):
-    found = bm25_topk(spark, d, 3).join(_docs(spark, d), "doc_id")
-    rows = found.select("query_id", F.col("rank").cast("int").alias("rank"), "source", F.col("doc_id").cast("int").alias("position"), F.col("score_key").cast("double").alias("score"), "text")
-    return context.numbered_context(rows).select("query_id", F.sha2("context", 256).alias("context_sha256"))
+    rows = _found(spark, d, 3).select("query_id", F.col("rank").cast("int").alias("rank"), "source", F.col("doc_id").cast("int").alias("position"), "score", "text")
+    return context.numbered_context(rows).select("query_id", F.length("context").cast("long").alias("n_chars"), F.sha2("context", 256).alias("context_sha256"))
 
 
 def result_summary(spark, d):
-    found = bm25_topk(spark, d, 5).join(_docs(spark, d), "doc_id").withColumns({"score": F.floor("score_key").cast("double"), "title_path": F.array("source", "lang")})
-    return fusion.summarise(found.withColumn("chunk_id", F.col("doc_id").cast("string"))).select("query_id", "rank", "chunk_id", "title_path", F.col("score").cast("long").alias("score"))
+    found = _found(spark, d, 5).withColumns({"title_path": F.array("source", "lang"), "chunk_id": F.col("doc_id").cast("string")})
+    return fusion.summarise(found).select("query_id", "rank", "chunk_id", "title_path", F.round(F.col("score") * 10_000).cast("long").alias("score_key"))
 
 
 def casebook_render(spark, d):
@@ -440,20 +451,45 @@ def casebook_render(spark, d):
     return docs.select("filename", "doc_id", "title", F.sha2("content", 256).alias("content_sha256"))
 
 
-def _relevant(spark, d):
-    """Documents that hold a benchmark item word for word: the stated queries against all rows."""
-    docs, items = _docs(spark, d).select("doc_id", "text"), _queries(spark, d)
-    n = -(-items.count() // BLOCK_ITEMS) or 1
-    found = None
-    for b in range(n):
-        block = items.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)
-        met = docs.join(F.broadcast(block), F.contains("text", "query")).select("query_id", "doc_id")
-        found = met if found is None else found.unionByName(met)
+def relevant(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, doc_id): documents that hold an item word for word.
+
+    ``docs``: doc_id, text.  ``items``: query_id, query.  A word inside an item (neither its
+    first nor its last) is a whole word of every text that holds the item, so an item meets
+    only texts with the rarest of these words, and those are confirmed.  Items of one or two
+    words have none; they are looked for in every text, a block of items at a time.
+    """
+    pieces = F.split("query", " ")
+    inner = F.array_distinct(F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: w != ""))
+    items = materialise(items.where("query IS NOT NULL").withColumn("inner", inner), "items")
+    long_ones = lexical.term_rows(items, "query_id", terms="inner").withColumnRenamed("term", "word")
+    words = lexical.term_rows(docs.withColumn("words", F.array_distinct(F.split("text", " "))), "doc_id", terms="words").withColumnRenamed("term", "word")
+    counts = words.join(long_ones.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    rarest = long_ones.join(counts, "word").groupBy("query_id").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    met = materialise(words.join(materialise(rarest, "rarest"), "word").select("query_id", "doc_id").distinct(), "met")
+    found = docs.join(met, "doc_id").join(items.select("query_id", "query"), "query_id").where(F.contains("text", "query")).select("query_id", "doc_id")
+    short = items.where(F.size("inner") == 0).select("query_id", "query")
+    n_blocks = -(-short.count() // BLOCK_ITEMS)
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((items, "query_id"), (docs, "doc_id"))}
+    for b in range(n_blocks):
+        block = [(r.query_id, r["query"]) for r in short.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).collect()]
+
+        def look(batches, block=block):
+            for pdf in batches:
+                hits = [(q, doc) for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True) if text is not None for q, piece in block if piece in text]
+                yield pd.DataFrame(hits, columns=["query_id", "doc_id"])
+
+        more = docs.select("doc_id", "text").mapInPandas(look, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}")
+        found = found.unionByName(more)
     return found.distinct()
 
 
+def _relevant(spark, d):
+    return relevant(_docs(spark, d).select("doc_id", "text"), _queries(spark, d))
+
+
 def retrieval_metrics(spark, d):
-    found = reports.retrieval_metrics(bm25_topk(spark, d), _relevant(spark, d), 5)
+    found = reports.retrieval_metrics(materialise(bm25_topk(spark, d), "found"), materialise(_relevant(spark, d), "relevant"), 5)
     return found.select("n_queries", "n_hit", F.round(F.col("mrr") * 1e6).cast("long").alias("mrr_key"))
 
 
@@ -486,6 +522,121 @@ def fallback_summary(spark, d):
     return reports.fallbacks(rows)
 
 
+def rerank_fallback(spark, d):
+    """A model that fails for every third query when the plan runs: those keep their fused order."""
+
+    def model(query, texts):
+        if int(query) % 3 == 0:
+            raise OSError("model is down")
+        return [(int(t) * 7919 + int(query) * 104729) % 1000 / 1000.0 for t in texts]
+
+    fused = _fused(spark, d)
+    asked = fused.select("query_id", "doc_id", F.col("query_id").cast("string").alias("query"), F.col("doc_id").cast("string").alias("text"))
+    scores = plugins.score_candidates(asked, model, "doc_id", plugins.Patience(pause_s=0.0))
+    found = fusion.rerank_or_skip(fused, lambda _: scores, "stand-in", key="doc_id")
+    return found.select("query_id", "doc_id", "rank", lexical.score_key("rerank_score").alias("score_key"), "reason")
+
+
+def vector_expressions(spark, d):
+    """Inner product and cosine of each vector with its neighbour by id: whole, over the shorter length, and empty."""
+    rows = _read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("a"))
+    pairs = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    short, none = F.slice("b", 1, 32), F.array().cast("array<float>")
+    told = {"dot_key": dot(F.col("a"), F.col("b")), "short_key": dot(F.col("a"), short), "cosine_key": cosine(F.col("a"), F.col("b")), "norm_key": norm(short), "none_key": cosine(F.col("a"), none)}
+    return pairs.select("vec_id", *[F.round(value * 1_000_000).cast("long").alias(name) for name, value in told.items()])
+
+
+def scope_keys(spark, d):
+    return _access(spark, d).select("doc_id", F.sha2(fx.scope_key(F.array_append("scopes", F.lit(" "))), 256).alias("key_sha256"))
+
+
+def frontmatter(spark, d):
+    """Closed, unclosed and absent frontmatter before the documents' texts."""
+    k = F.col("doc_id")
+    head = F.concat(F.lit("---\ntitle: first\nsource : "), "source", F.lit(" : x\nno colon\ndoc_id: d"), k, F.lit("\ntitle: "), "lang", F.lit("\n---\n\n"), "text", F.lit("\n"))
+    raw = F.when(k % 3 == 0, head).when(k % 3 == 1, F.concat(F.lit("---\ntitle: open\n"), "text")).otherwise(F.col("text"))
+    rows = _docs(spark, d).where("text IS NOT NULL").select(F.concat(F.lit("p/"), k).alias("source_path"), F.concat(F.lit("f"), k).alias("name"), raw.alias("raw_text"))
+    found = parse_frontmatter(rows)
+    meta = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return with_defaults(found).select("doc_id", "title", "source_path", "permission_scope", "effective_to", meta.alias("metadata"), F.sha2("body", 256).alias("body_sha256"))
+
+
+def payloads(spark, d):
+    chunks = _line_chunks(spark, d).join(_access(spark, d).select("doc_id", "scopes", "from_day", "to_day"), "doc_id")
+    found = store.payloads(chunks)
+    return found.select("chunk_id", "parent_id", "doc_id", F.array_join("title_path", ">").alias("title_path"), F.col("token_count").cast("long").alias("token_count"), "from_day", "to_day", F.array_join("permission_scopes", ",").alias("scopes"))
+
+
+def sentence_points(spark, d):
+    """Every rule's points: each literal question with each literal sentence."""
+    asked = spark.createDataFrame(list(enumerate(RULE_QUERIES)), "q long, query string")
+    told = spark.createDataFrame(list(enumerate(RULE_SENTENCES)), "s long, sentence string")
+    rows = asked.join(told).withColumn("terms", F.array_distinct(fx.tokenize("query")))
+    return rows.select("q", "s", fx.sentence_score("sentence", "query", "terms").cast("long").alias("points"))
+
+
+def out_of_domain(spark, d):
+    asked = spark.createDataFrame([(-1 - k, q) for k, q in enumerate(RULE_QUERIES)], "query_id long, query string").unionByName(_queries(spark, d))
+    return asked.select("query_id", fx.is_out_of_domain("query").alias("out_of_domain"))
+
+
+def sufficiency_rules(spark, d):
+    """Each outcome of the gate under both score policies."""
+    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(GATE_ROWS)], "query_id long, query string, coverage double, n_selected long, best_score double, n_lexical long, overlap_ratio double")
+    blocked, covered = rows.where("overlap_ratio IS NOT NULL").select("query_id", "overlap_ratio"), rows.drop("overlap_ratio")
+    by_score = context.sufficiency(covered, blocked).select("query_id", F.col("reason").alias("by_score"))
+    mixed = covered.withColumn("fell", F.lit(True))
+    return by_score.join(context.sufficiency(mixed, blocked, rrf_only="fell").select("query_id", F.col("reason").alias("by_rank")), "query_id")
+
+
+# ------------------------------------------------------------------ the stored index
+
+
+def _stored(spark, d) -> store.IndexStore:
+    """An index of the corpus as it was, synced to what it is now (see ``_versions``)."""
+    target = store.IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", EngineConfig(paragraph_delimiter="\n", dimensions=64))
+    for rows in _versions(spark, d):
+        k = F.col("doc_id")
+        docs = rows.where("text IS NOT NULL").select(
+            k, F.lit("t").alias("title"), F.col("text").alias("body"), F.col("text").alias("raw_text"), F.concat(F.lit("p/"), k).alias("source_path"), F.lit("v1").alias("version"),
+            F.when(k % 5 == 0, "public").otherwise("closed").alias("permission_scope"), F.lit("").alias("effective_from"), F.lit("").alias("effective_to"),
+        )
+        target.sync(docs)
+    return target
+
+
+def index_manifest(spark, d):
+    return _stored(spark, d).manifest().select("doc_id", "source_path", "content_hash", "embedding_model")
+
+
+def index_chunks(spark, d):
+    """A filtered scan of the stored chunks: those that the public may see."""
+    rows = _stored(spark, d).chunks().where(access.visible(["public"], TODAY))
+    return rows.select("chunk_id", "parent_id", "doc_id", "token_count", F.col("n_terms").cast("long").alias("n_terms"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def index_postings(spark, d):
+    return _stored(spark, d).postings().groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"), F.sum("length").alias("lengths"))
+
+
+def index_vectors(spark, d):
+    rows = _stored(spark, d).vectors().select("chunk_id", F.posexplode("vector").alias("idx", "weight")).where("weight <> 0")
+    return rows.groupBy("idx").agg(F.count("*").alias("n"), F.round(F.sum("weight") * 1e3).cast("long").alias("weight_key"))
+
+
+def index_counts(spark, d):
+    target = _stored(spark, d)
+    return target.statistics().select("n_rows", F.round(F.col("mean_length") * 1e6).cast("long").alias("mean_length_key"), F.lit(target.count()).alias("n_chunks"))
+
+
+def index_recall(spark, d):
+    """Lexical recall from stored postings and statistics."""
+    target = _stored(spark, d)
+    index = target.postings().select("chunk_id", "term", "tf", "length")
+    found = lexical.bm25(_queries(spark, d), index, target.statistics(), 5)
+    return found.select("query_id", "chunk_id", "rank", lexical.score_key().alias("score_key"))
+
+
 def hybrid_golden(spark, d):
     """The whole engine on literal documents: five questions, one of them out of domain and one not permitted."""
     raw = spark.createDataFrame([(f"f{i}", f"f{i}", t) for i, t in enumerate(GOLDEN_DOCS)], "source_path string, name string, raw_text string")
@@ -503,7 +654,8 @@ _QUERIES = (
     mmr_selected, mmr_dropped, dynamic_truncate, hydrate, section_split, chunk_fold, chunk_rows, plain_chunks, parent_expand, siblings,
     sync_diff, upsert_merge, delete_docs, manifest_first, sufficiency, sufficiency_rrf_only, context_evidence, extractive_answer, citation_validation,
     prompts, numbered_context, result_summary, casebook_render, retrieval_metrics, eval_report, monitoring_event, monitoring_rollup, fallback_summary,
-    hybrid_golden,
+    rerank_fallback, vector_expressions, scope_keys, frontmatter, payloads, sentence_points, out_of_domain, sufficiency_rules,
+    index_manifest, index_chunks, index_postings, index_vectors, index_counts, index_recall, hybrid_golden,
 )
 
 

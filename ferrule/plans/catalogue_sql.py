@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from ..config import SPARSE_BUCKETS, STOPWORDS
+from ..functions import text as fx
 from ..operators import casebook as cb
 from ..operators import context as cx
+from .fixtures import GATE_ROWS, RULE_QUERIES, RULE_SENTENCES
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 _IDENTITY = "local:local-hash-embedding"
@@ -14,6 +16,31 @@ def _tok(column: str) -> str:
     return f"list_filter(regexp_extract_all(lower({column}), '[a-z0-9_/\\-]+|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}'), lambda t: NOT list_contains({_STOP}, t))"
 
 
+def _spread(column: str) -> str:
+    """Terms with the bigrams of long CJK runs, as ``tokenize`` gives them."""
+    bigrams = "list_transform(range(1, length(r)), lambda i: substr(r, CAST(i AS BIGINT), 2))"
+    return f"flatten(list_transform({_tok(column)}, lambda r: CASE WHEN regexp_full_match(r, '[\\x{{4e00}}-\\x{{9fff}}]{{4,}}') THEN list_concat([r], {bigrams}) ELSE [r] END))"
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _points(sentence: str, query: str, terms: str) -> str:
+    """The rules that score a sentence against a query."""
+    says = lambda c, pattern: f"regexp_matches({c}, {_text(pattern)})"
+    when = lambda condition, n: f"CASE WHEN {condition} THEN {n} ELSE 0 END"
+    timed = f"{when(says(sentence, fx.TIME_STRONG), fx.TIME_STRONG_POINTS)} + {when(f'NOT {says(sentence, fx.TIME_STRONG)} AND {says(sentence, fx.TIME_WEAK)}', fx.TIME_WEAK_POINTS)}"
+    timed += f" + {when(f'contains({sentence}, {_text(fx.TIME_EXCESS)})', fx.TIME_EXCESS_POINTS)}"
+    topics = " + ".join(when(f"{says(query, asked)} AND {says(sentence, told)}", n) for asked, told, n in fx.TOPIC_RULES)
+    code = when(f"len(list_filter({terms}, lambda t: regexp_matches(t, {_text(fx.CODE_TERM)}) AND contains(lower({sentence}), t))) > 0", fx.CODE_POINTS)
+    return f"(len(list_intersect({terms}, {_spread(sentence)})) + {code} + {when(says(query, fx.TIME_QUERY), f'({timed})')} + {topics})"
+
+
+def _ood(query: str) -> str:
+    return f"(regexp_matches({query}, {_text(fx.OUT_OF_DOMAIN)}, 'i') AND NOT regexp_matches({query}, {_text(fx.IN_DOMAIN)}, 'i'))"
+
+
 def _strip(column: str) -> str:
     return f"regexp_replace({column}, '^[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{0b}}]+|[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{0b}}]+$', '', 'g')"
 
@@ -106,8 +133,6 @@ bm AS (SELECT query_id, doc_id, count(*) AS n_matched, bool_or(regexp_matches(te
 bo AS (SELECT bm.*, CAST(round(n_matched / n_terms, 4) * 10000 AS BIGINT) AS ratio_key, round(n_matched / n_terms, 4) AS overlap_ratio FROM bm JOIN qn USING (query_id) WHERE n_matched / n_terms >= 0.25 OR telling),
 bl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap_ratio DESC, n_matched DESC, doc_id) AS rank FROM bo) WHERE rank <= 5)"""
 
-_OOD = "(regexp_matches(query, '天气|气温|下雨') AND false)"
-
 _JUDGED = f"""{_SELECTED}, {_BLOCKED},
 sh AS (SELECT DISTINCT query_id, unnest({_tok('text')}) AS term FROM se),
 sm AS (SELECT query_id, count(*) AS n_met FROM qd JOIN sh USING (query_id, term) GROUP BY 1),
@@ -116,7 +141,7 @@ bb AS (SELECT query_id, count(*) AS n_blocked, max(overlap_ratio) AS ratio FROM
 jc AS (SELECT b.item_id AS query_id, b.text AS query, coalesce(n_selected, 0) AS n_selected, coalesce(best, 0) AS best, coalesce(n_met, 0) / greatest(1, coalesce(n_terms, 0)) AS coverage,
   coalesce(n_blocked, 0) AS n_blocked, coalesce(ratio, 0) AS ratio
   FROM benchmark b LEFT JOIN qn ON qn.query_id = b.item_id LEFT JOIN sm ON sm.query_id = b.item_id LEFT JOIN sb ON sb.query_id = b.item_id LEFT JOIN bb ON bb.query_id = b.item_id),
-ju AS (SELECT *, CASE WHEN n_selected = 0 AND n_blocked > 0 THEN 'permission_denied' WHEN n_selected = 0 THEN 'no_selected_evidence'
+ju AS (SELECT *, CASE WHEN {_ood('query')} THEN 'out_of_domain_query' WHEN n_selected = 0 AND n_blocked > 0 THEN 'permission_denied' WHEN n_selected = 0 THEN 'no_selected_evidence'
   WHEN ratio >= 0.45 AND ratio >= coverage + 0.15 THEN 'permission_denied'
   WHEN best >= 0.12 AND (coverage >= 0.18 OR best >= 0.35) THEN 'pass' ELSE 'low_query_evidence_overlap' END AS reason FROM jc)"""
 
@@ -124,9 +149,8 @@ _ANSWERED = f"""{_JUDGED},
 ss AS (SELECT query_id, position, citation_id, i, {_strip('p')} AS sentence FROM (
   SELECT query_id, position, citation_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (
     SELECT query_id, position, citation_id, regexp_extract_all(text, '[^。！？!?]*[。！？!?]|[^。！？!?]+') AS ps FROM se))),
-sq AS (SELECT item_id AS query_id, list_distinct({_tok('text')}) AS qterms FROM benchmark),
-sp AS (SELECT ss.*, len(list_intersect(qterms, {_tok('sentence')}))
-  + CASE WHEN len(list_filter(qterms, lambda t: regexp_matches(t, '[a-z0-9]') AND contains(lower(sentence), t))) > 0 THEN 6 ELSE 0 END AS points
+sq AS (SELECT item_id AS query_id, text AS query, list_distinct({_spread('text')}) AS qterms FROM benchmark),
+sp AS (SELECT ss.*, {_points('sentence', 'query', 'qterms')} AS points
   FROM ss JOIN sq USING (query_id) WHERE sentence <> ''),
 sf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, position ORDER BY points DESC, i) AS n FROM sp) WHERE n = 1),
 sc2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS m FROM sf) WHERE m <= 2),
@@ -137,20 +161,57 @@ an AS (SELECT query_id, CASE WHEN reason = 'pass' THEN 'extractive' ELSE 'refusa
 
 _REL = "rel AS (SELECT DISTINCT item_id AS query_id, doc_id FROM documents d, benchmark b WHERE contains(d.text, b.text))"
 
-# paragraphs of normalised texts, a line each, folded into chunks of 280 with an overlap of 60
-_PARAS = f"""para AS (SELECT doc_id, source, list_filter(list_transform(string_split({_NORMAL('text')}, chr(10)), lambda p: {_strip('p')}), lambda p: p <> '') AS ps FROM documents)"""
-_FOLD = f"""{_PARAS},
+_lines = lambda text: f"list_filter(list_transform(string_split({_NORMAL(text)}, chr(10)), lambda p: {_strip('p')}), lambda p: p <> '')"
+
+
+def _folded(paras: str, parent: str, chars: int = 280, overlap: int = 60) -> str:
+    """``chunks`` from ``paras``, SQL for (doc_id, source, ps): paragraphs folded into chunks of ``chars`` with an overlap."""
+    return f"""para AS ({paras}),
 fold(doc_id, source, ps, i, cur, out) AS (
   SELECT doc_id, source, ps, 1, '', CAST([] AS VARCHAR[]) FROM para
   UNION ALL
   SELECT doc_id, source, ps, i + 1,
-    CASE WHEN length(cand) <= 280 THEN cand WHEN cur <> '' THEN {_strip("right(cur, 60) || chr(10) || chr(10) || p")} ELSE substr(p, 221) END,
-    CASE WHEN length(cand) <= 280 THEN out WHEN cur <> '' THEN list_append(out, cur) ELSE list_append(out, left(p, 280)) END
+    CASE WHEN length(cand) <= {chars} THEN cand WHEN cur <> '' THEN {_strip(f"right(cur, {overlap}) || chr(10) || chr(10) || p")} ELSE substr(p, {chars - overlap + 1}) END,
+    CASE WHEN length(cand) <= {chars} THEN out WHEN cur <> '' THEN list_append(out, cur) ELSE list_append(out, left(p, {chars})) END
   FROM (SELECT *, ps[i] AS p, CASE WHEN cur <> '' THEN {_strip("cur || chr(10) || chr(10) || ps[i]")} ELSE ps[i] END AS cand FROM fold WHERE i <= len(ps))),
 done AS (SELECT doc_id, source, CASE WHEN cur <> '' THEN list_append(out, cur) ELSE out END AS cs FROM fold WHERE i = len(ps) + 1),
-ch AS (SELECT doc_id, source, source || ':' || doc_id AS parent_id, unnest(cs) AS text, generate_subscripts(cs, 1) - 1 AS chunk_no FROM done),
+ch AS (SELECT doc_id, source, {parent} AS parent_id, unnest(cs) AS text, generate_subscripts(cs, 1) - 1 AS chunk_no FROM done),
 chunks AS (SELECT *, parent_id || ':chunk_' || lpad(CAST(chunk_no AS VARCHAR), CAST(greatest(2, length(CAST(chunk_no AS VARCHAR))) AS INT), '0') AS chunk_id, greatest(1, length(text) // 2) AS token_count FROM ch)"""
 
+
+# paragraphs of normalised texts, a line each
+_FOLD = _folded(f"SELECT doc_id, source, {_lines('text')} AS ps FROM documents", "source || ':' || doc_id")
+
+# paragraphs beyond 240 characters are packed by sentence first; a reduction starts from its first element, and sentences are not empty
+_SENTENCES = f"list_filter(list_transform(regexp_extract_all(p, '[^。！？!?]*[。！？!?]|[^。！？!?]+'), lambda x: {_strip('x')}), lambda x: x <> '')"
+_PACKED = f"""list_reduce(list_transform({_SENTENCES}, lambda x: {{'o': x, 'd': CAST([] AS VARCHAR[])}}), lambda a, b:
+  CASE WHEN length(a.o) + length(b.o) <= 240 THEN {{'o': a.o || b.o, 'd': a.d}} ELSE {{'o': b.o, 'd': list_append(a.d, a.o)}} END)"""
+_PLAIN = f"""SELECT doc_id, source, list(piece ORDER BY i, j) AS ps FROM (
+  SELECT doc_id, source, i, unnest(parts) AS piece, generate_subscripts(parts, 1) AS j FROM (
+    SELECT doc_id, source, i, CASE WHEN length(p) <= 240 THEN [p] WHEN len({_SENTENCES}) = 0 THEN [left(p, 240)] ELSE list_append(pk.d, pk.o) END AS parts FROM (
+      SELECT doc_id, source, i, p, CASE WHEN len({_SENTENCES}) > 0 THEN {_PACKED} END AS pk FROM (
+        SELECT doc_id, source, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, source, {_lines('text')} AS ps FROM documents))))) GROUP BY doc_id, source"""
+
+# the greedy choice as a recursion: a step drops near copies of what is chosen, then takes the best of the rest
+_MMR = f"""WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+t AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, e.v, list_inner_product(q.v, e.v) AS score,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY {_key('list_inner_product(q.v, e.v)')} DESC, e.vec_id) AS rank FROM e q, e WHERE q.vec_id % 100 = 0) WHERE rank <= 12),
+m AS (SELECT a.query_id, a.rank AS i, list(list_inner_product(a.v, b.v) ORDER BY b.rank) AS near FROM t a JOIN t b USING (query_id) GROUP BY 1, 2),
+s AS (SELECT t.query_id, list(vec_id ORDER BY rank) AS ids, list(near ORDER BY rank) AS near, list(score / nullif(top, 0) ORDER BY rank) AS rel
+  FROM t JOIN m ON m.query_id = t.query_id AND m.i = t.rank JOIN (SELECT query_id, max(abs(score)) AS top FROM t GROUP BY 1) x ON x.query_id = t.query_id GROUP BY 1),
+r(query_id, ids, near, rel, lef, chosen, gains, drops, dups) AS (
+  SELECT query_id, ids, near, rel, range(1, len(ids) + 1), CAST([] AS BIGINT[]), CAST([] AS DOUBLE[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM s
+  UNION ALL
+  SELECT query_id, ids, near, rel, CASE WHEN len(rest) > 0 THEN list_filter(rest, lambda i: i <> best) ELSE rest END,
+    CASE WHEN len(rest) > 0 THEN list_append(chosen, best) ELSE chosen END, CASE WHEN len(rest) > 0 THEN list_append(gains, list_max(g)) ELSE gains END,
+    list_concat(drops, gone), list_concat(dups, list_transform(gone, lambda i: chosen[list_position(list_transform(chosen, lambda c: near[i][c]), list_max(list_transform(chosen, lambda c: near[i][c])))]))
+  FROM (SELECT *, rest[list_position(g, list_max(g))] AS best FROM (
+    SELECT *, list_transform(rest, lambda i: 0.65::DOUBLE * coalesce(rel[i], 1) - (1 - 0.65::DOUBLE) * CASE WHEN len(chosen) > 0 THEN list_max(list_transform(chosen, lambda c: near[i][c])) ELSE 0 END) AS g FROM (
+      SELECT *, list_filter(lef, lambda i: len(chosen) = 0 OR list_max(list_transform(chosen, lambda c: near[i][c])) < 0.3) AS rest,
+        list_filter(lef, lambda i: len(chosen) > 0 AND list_max(list_transform(chosen, lambda c: near[i][c])) >= 0.3) AS gone
+      FROM r WHERE len(lef) > 0 AND len(chosen) < 8)))),
+f AS (SELECT * FROM r WHERE len(lef) = 0 OR len(chosen) = 8)"""
+
 _EXPAND = f"""WITH RECURSIVE {_FOLD},
 lst AS (SELECT parent_id, arg_max(chunk_id, chunk_no) AS own FROM chunks GROUP BY 1),
 sib AS (SELECT parent_id, list(struct_pack(id := chunk_id, t := text, k := token_count) ORDER BY chunk_id) AS s FROM chunks GROUP BY 1),
@@ -189,6 +250,16 @@ SELECT doc_id || '.md' AS filename, doc_id, title, sha256({_LINES("'---'", "'doc
   *[_Q(f"{k}: {v}") for k, v in (*cb.FRONTMATTER, ("dataset_source", ""), ("dataset_license", "MIT"))],
   "'---'", "''", "'# ' || title", "''", _Q(cb.INTRO), "''", "cases", "''")}) AS content_sha256 FROM h"""
 
+# the index of what the corpus is now: a title of one letter, a section a document
+_INDEXED = f"""{_NOW}, {_folded(f"SELECT doc_id, 't t' AS source, {_lines('text')} AS ps FROM v2 WHERE text <> ''", "doc_id || ':sec_00'")},
+ct AS (SELECT chunk_id, doc_id, {_spread("'t t ' || text")} AS terms FROM chunks),
+cp AS (SELECT chunk_id, term, count(*) AS tf, max(n) AS length FROM (SELECT chunk_id, len(terms) AS n, unnest(terms) AS term FROM ct) GROUP BY 1, 2),
+stats AS (SELECT count(*) AS n_rows, avg(len(terms)) AS mean_length FROM ct)"""
+_RULE_ROWS = lambda rows: ", ".join(f"({k}::BIGINT, {_text(r)})" for k, r in enumerate(rows))
+_GATE = ", ".join("(" + ", ".join("NULL" if v is None else _text(v) if isinstance(v, str) else f"{v}::DOUBLE" for v in (k, *r)) + ")" for k, r in enumerate(GATE_ROWS))
+_GATED = lambda policy: f"""CASE WHEN {_ood('query')} THEN 'out_of_domain_query' WHEN n_selected = 0 AND ratio IS NOT NULL THEN 'permission_denied' WHEN n_selected = 0 THEN 'no_selected_evidence'
+  WHEN ratio >= 0.45 AND ratio >= coverage + 0.15 THEN 'permission_denied' {policy} ELSE 'low_query_evidence_overlap' END"""
+
 _PIECES = "string_split(replace(text, chr(10), chr(10) || '## '), chr(10) || '## ')"
 
 SQL = {
@@ -264,10 +335,11 @@ pb AS (SELECT query_id, string_agg({_LINES("'[' || citation_id || ']'", "'doc_id
 pp AS (SELECT query_id, array_to_string([{_Q(cx.PROMPT_QUESTION)}, query, '', {_Q(cx.PROMPT_EVIDENCE)}, coalesce(blocks, ''), '', {_Q(cx.PROMPT_RULES)}, {', '.join(_Q(r) for r in cx.PROMPT_RULE_LINES)}], chr(10) || chr(10)) AS prompt
   FROM ju LEFT JOIN pb USING (query_id))
 SELECT query_id, length(prompt) AS n_chars, sha256(prompt) AS prompt_sha256 FROM pp""",
-    "numbered_context": f"""WITH {_DT}, {_POST}, {_STATS}, {_QT}, {_bm25('plain')}
-SELECT query_id, sha256(string_agg('[' || rank || '] source=' || source || ' chunk=' || doc_id || ' score=' || {_key('score')} || '.0000' || chr(10) || left(text, 200), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context_sha256
-FROM lex JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY query_id""",
-    "result_summary": f"WITH {_DT}, {_POST}, {_STATS}, {_QT}, {_bm25('plain')} SELECT query_id, rank, CAST(doc_id AS VARCHAR) AS chunk_id, source || ' > ' || lang AS title_path, {_key('score')} AS score FROM lex JOIN documents USING (doc_id) WHERE rank <= 5",
+    "numbered_context": f"""WITH {_DT}, {_POST}, {_STATS}, {_QT}, {_bm25('plain')},
+nc AS (SELECT query_id, string_agg('[' || rank || '] source=' || source || ' chunk=' || doc_id || ' score=' || format('{{:.4f}}', score) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
+FROM lex JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY query_id)
+SELECT query_id, length(context) AS n_chars, sha256(context) AS context_sha256 FROM nc""",
+    "result_summary": f"WITH {_DT}, {_POST}, {_STATS}, {_QT}, {_bm25('plain')} SELECT query_id, rank, CAST(doc_id AS VARCHAR) AS chunk_id, source || ' > ' || lang AS title_path, CAST(round(score * 10000) AS BIGINT) AS score_key FROM lex JOIN documents USING (doc_id) WHERE rank <= 5",
     "casebook_render": _CASEBOOK,
     "retrieval_metrics": f"""WITH {_DT}, {_POST}, {_STATS}, {_QT}, {_bm25('plain')}, {_REL},
 h AS (SELECT query_id, min(rank) AS first FROM lex JOIN rel USING (query_id, doc_id) WHERE rank <= 5 GROUP BY 1)
@@ -281,4 +353,41 @@ SELECT item_id AS query_id, 'ok' AS status, left(sha256(text), 16) AS query_hash
 FROM benchmark LEFT JOIN f ON f.query_id = item_id""",
     "monitoring_rollup": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(round(sum(value) * 100) AS BIGINT) AS total_key, CAST(round(max(value) * 1000000) AS BIGINT) AS most_key FROM events GROUP BY 1, 2""",
     "fallback_summary": "SELECT n_name AS component, 'local' AS mode, '' AS reason, '' AS error, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 3 ELSE 0 END AS BIGINT) AS attempts FROM nation WHERE n_nationkey % 3 = 0",
+    "mmr_selected": f"{_MMR} SELECT query_id, CAST(ids[i] AS VARCHAR) AS chunk_id, n AS mmr_rank, CAST(round(gain * 1000000) AS BIGINT) AS mmr_key FROM (SELECT query_id, ids, unnest(chosen) AS i, unnest(gains) AS gain, generate_subscripts(chosen, 1) AS n FROM f)",
+    "mmr_dropped": f"{_MMR} SELECT query_id, CAST(ids[i] AS VARCHAR) AS chunk_id, CAST(ids[o] AS VARCHAR) AS duplicate_of FROM (SELECT query_id, ids, unnest(drops) AS i, unnest(dups) AS o FROM f)",
+    "plain_chunks": f"""WITH RECURSIVE {_folded(_PLAIN, "CAST(doc_id AS VARCHAR)", 240)}
+SELECT doc_id || '#chunk-' || chunk_no AS chunk_id, chunk_no AS position, length(text) AS n_chars, sha256(text) AS text_sha256 FROM chunks""",
+    "rerank_fallback": f"""{_FUSED}, rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_key('value')} DESC, {_key('rrf_score')} DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST, doc_id) AS rank
+  FROM (SELECT *, CASE WHEN query_id % 3 = 0 THEN rrf_score ELSE ((doc_id * 7919 + query_id * 104729) % 1000) / 1000.0::DOUBLE END AS value FROM fus))
+SELECT query_id, doc_id, rank, {_key('value')} AS score_key, CASE WHEN query_id % 3 = 0 THEN 'rerank_skipped:reranker_error' ELSE 'external_reranker:stand-in' END AS reason FROM rr WHERE rank <= 12""",
+    "vector_expressions": f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id, a.v AS a, b.v AS b FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, {_key('list_inner_product(a, b)')} AS dot_key, {_key('list_inner_product(a[1:32], b[1:32])')} AS short_key, {_key('list_cosine_similarity(a, b)')} AS cosine_key,
+  {_key('sqrt(list_inner_product(b[1:32], b[1:32]))')} AS norm_key, 0::BIGINT AS none_key FROM p""",
+    "scope_keys": f"WITH {_ACC} SELECT doc_id, sha256(array_to_string(list_sort(scopes), chr(31))) AS key_sha256 FROM acc",
+    "frontmatter": f"""WITH raw AS (SELECT doc_id AS k, 'p/' || doc_id AS source_path, 'f' || doc_id AS name, CASE doc_id % 3
+  WHEN 0 THEN '---' || chr(10) || 'title: first' || chr(10) || 'source : ' || source || ' : x' || chr(10) || 'no colon' || chr(10) || 'doc_id: d' || doc_id || chr(10) || 'title: ' || lang || chr(10) || '---' || chr(10) || chr(10) || text || chr(10)
+  WHEN 1 THEN '---' || chr(10) || 'title: open' || chr(10) || text ELSE text END AS raw FROM documents WHERE text IS NOT NULL),
+fm AS (SELECT *, regexp_extract(raw, '(?s)\\A---\n(.*?)\n---', 1) AS block FROM raw),
+ln AS (SELECT k, unnest(string_split(block, chr(10))) AS line, generate_subscripts(string_split(block, chr(10)), 1) AS i FROM fm WHERE block <> ''),
+kv AS (SELECT k, trim(split_part(line, ':', 1)) AS key, arg_max(trim(substr(line, strpos(line, ':') + 1)), i) AS value FROM ln WHERE contains(line, ':') GROUP BY 1, 2),
+md AS (SELECT k, string_agg(key || '=' || value, '|' ORDER BY key || '=' || value) AS metadata, max(value) FILTER (key = 'doc_id') AS doc_id, max(value) FILTER (key = 'title') AS title FROM kv GROUP BY k)
+SELECT coalesce(md.doc_id, name) AS doc_id, coalesce(md.title, name) AS title, source_path, 'internal' AS permission_scope, '' AS effective_to, coalesce(metadata, '') AS metadata,
+  sha256(CASE WHEN block <> '' THEN {_strip("regexp_replace(raw, '(?s)\\A---\n.*?\n---', '')")} ELSE raw END) AS body_sha256 FROM fm LEFT JOIN md USING (k)""",
+    "payloads": f"""WITH RECURSIVE {_FOLD}, {_ACC} SELECT chunk_id, parent_id, chunks.doc_id, source AS title_path, token_count, CAST(from_day AS BIGINT) AS from_day, CAST(to_day AS BIGINT) AS to_day,
+  array_to_string(list_sort(scopes), ',') AS scopes FROM chunks JOIN acc USING (doc_id)""",
+    "sentence_points": f"""SELECT q, s, CAST({_points('sentence', 'query', 'terms')} AS BIGINT) AS points
+FROM (SELECT q, query, list_distinct({_spread('query')}) AS terms FROM (VALUES {_RULE_ROWS(RULE_QUERIES)}) a(q, query)), (VALUES {_RULE_ROWS(RULE_SENTENCES)}) b(s, sentence)""",
+    "out_of_domain": f"""SELECT query_id, {_ood('query')} AS out_of_domain FROM (SELECT -1 - q AS query_id, query FROM (VALUES {_RULE_ROWS(RULE_QUERIES)}) a(q, query) UNION ALL SELECT item_id, text FROM benchmark)""",
+    "sufficiency_rules": f"""SELECT CAST(query_id AS BIGINT) AS query_id,
+  {_GATED("WHEN best >= 0.12 AND (coverage >= 0.18 OR best >= 0.35) THEN 'pass'")} AS by_score,
+  {_GATED("WHEN coverage >= 0.18 THEN 'pass' WHEN n_lexical = 0 THEN 'rrf_only_missing_lexical_signal'")} AS by_rank
+FROM (VALUES {_GATE}) g(query_id, query, coverage, n_selected, best, n_lexical, ratio)""",
+    "index_manifest": f"WITH {_NOW} SELECT doc_id, 'p/' || doc_id AS source_path, {_HASH.replace("'1024'", "'64'")} AS content_hash, '{_IDENTITY}' AS embedding_model FROM v2 WHERE text IS NOT NULL",
+    "index_chunks": f"WITH RECURSIVE {_INDEXED} SELECT chunk_id, parent_id, c.doc_id, token_count, CAST(len(terms) AS BIGINT) AS n_terms, sha256(text) AS text_sha256 FROM chunks c JOIN ct USING (chunk_id) WHERE c.doc_id % 5 = 0",
+    "index_postings": f"WITH RECURSIVE {_INDEXED} SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df, CAST(sum(length) AS BIGINT) AS lengths FROM cp GROUP BY term",
+    "index_vectors": f"""WITH RECURSIVE {_INDEXED}, w AS (SELECT chunk_id, {_HI('term')} % 64 AS idx, sum({_SIGN('term')}) AS raw FROM (SELECT chunk_id, unnest(terms) AS term FROM ct) GROUP BY 1, 2),
+z AS (SELECT chunk_id, sqrt(sum(raw * raw)) AS size FROM w GROUP BY 1) SELECT idx, count(*) AS n, CAST(round(sum(raw / size) * 1000) AS BIGINT) AS weight_key FROM w JOIN z USING (chunk_id) WHERE raw <> 0 GROUP BY idx""",
+    "index_counts": f"WITH RECURSIVE {_INDEXED} SELECT n_rows, {_key('mean_length')} AS mean_length_key, n_rows AS n_chunks FROM stats",
+    "index_recall": f"""WITH RECURSIVE {_INDEXED.replace(' df AS ', ' dif AS ').replace(chr(10) + 'df AS ', chr(10) + 'dif AS ')}, {_QT}, post AS (SELECT chunk_id AS doc_id, term, tf, length FROM cp), {_bm25('plain')}
+SELECT query_id, doc_id AS chunk_id, rank, {_key('score')} AS score_key FROM lex WHERE rank <= 5""",
 }

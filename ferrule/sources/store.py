@@ -218,7 +218,8 @@ class IndexStore:
         changes = self.spark.read.parquet(path)
         if not changes.isEmpty():
             keys = changes.select("doc_id")
-            self._replace({name: primary.read(name).join(keys, "doc_id", "left_semi") for name in TABLES}, keys, 0, gen)
+            stored = {name: primary.read(name) for name in TABLES}
+            self._replace({name: rows.join(keys, "doc_id", "left_semi").select(*rows.columns) for name, rows in stored.items()}, keys, 0, gen)
 
     def add(self, docs: DataFrame) -> None:
         """Index ``docs`` beside what is there; documents of the same id are replaced."""

@@ -58,5 +58,5 @@ def discard(df: DataFrame) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """A small table's rows dealt out to all cores; a table of many splits as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < cores * SPLIT_BYTES else df

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrule.config import EngineConfig
-from ferrule.operators import access, casebook, chunking, context, dense, fusion, lexical, reports, selection
+from ferrule.operators import access, casebook, chunking, context, dense, fusion, lexical, plugins, reports, selection
 from ferrule.plans import catalogue
+from ferrule.plans.engine import HybridEngine
 from ferrule.sources import documents, store
 
 
@@ -185,11 +186,11 @@ def test_numbered_context_holds_whole_texts(spark, tmp_path):
     texts = [(1, "refund rules " + "and more of them " * 60 + "the end", "en", "a"), (2, "refund of parcels", "en", "b"), (3, "nothing else here", "en", "c")]
     spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(7, "refund")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    ranked = sorted((r["rank"], r.doc_id, r.score_key) for r in catalogue.bm25_topk(spark, str(tmp_path), 3).collect())
+    ranked = sorted((r["rank"], r.doc_id, r.score) for r in catalogue._lexical(spark, str(tmp_path)).where("rank <= 3").collect())
     assert {1, 2} <= {doc_id for _, doc_id, _ in ranked}
     whole = {doc_id: (text, source) for doc_id, text, _, source in texts}
     want = "\n\n---\n\n".join(f"[{rank}] source={whole[i][1]} chunk={i} score={score:.4f}\n{whole[i][0]}" for rank, i, score in ranked)
-    assert [tuple(r) for r in catalogue.numbered_context(spark, str(tmp_path)).collect()] == [(7, hashlib.sha256(want.encode()).hexdigest())]
+    assert [tuple(r) for r in catalogue.numbered_context(spark, str(tmp_path)).collect()] == [(7, len(want), hashlib.sha256(want.encode()).hexdigest())]
 
 
 def test_casebook(spark):
@@ -234,3 +235,109 @@ def test_entry_and_catalogue(spark):
 
     assert e.entry(spark).limit(1).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_engine_reads_a_stored_index(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def embedder(texts):
+        import uuid as u
+
+        for t in texts:
+            (calls / u.uuid4().hex).write_text(t)
+        return [[float(len(t)), 1.0] for t in texts]
+
+    def docs(*texts):
+        raw = [(f"f{i}", f"d{i}", f"# D{i}\n\n{t}\n") for i, t in enumerate(texts)]
+        return documents.with_defaults(documents.parse_frontmatter(spark.createDataFrame(raw, "source_path string, name string, raw_text string")))
+
+    config = EngineConfig(dimensions=2, lexical="plain", embedding_provider="test", embedding_model="length")
+    index = store.IndexStore.of_identity(spark, str(tmp_path / "index"), config, buckets=3, embedder=embedder)
+    assert ".test_length." in index.path
+    index.sync(docs("refund takes days", "shipping is slow", "points expire"))
+    assert len(list(calls.iterdir())) == 3 and index.vectors().count() == 3
+    index.sync(docs("refund takes days", "shipping is fast", "points expire"))
+    assert len(list(calls.iterdir())) == 4
+    queries = spark.createDataFrame([("q", "refund days")], "query_id string, query string")
+    done = HybridEngine(index, config, embedder=embedder).run(queries, blocked_hint=True)
+    assert "refund" in done.answers.first().answer and len(list(calls.iterdir())) == 5  # the query only
+    assert index.postings().join(index.chunks(), "chunk_id").count() == index.postings().count()
+    trace, event = done.traces.first(), done.events.first()
+    assert (trace.dense_hits, trace.bm25_hits, trace.mode, trace.doc_ids, trace.citation_valid) == (3, 1, "extractive", ["d0"], True)
+    assert event.status == "ok" and len(event.query_hash) == 16 and event.selected_doc_ids == ["d0"] and "rerank" in event.stage_latencies_ms and event.trace_id
+    assert done.permission.first().visible == 3
+    assert {r.component: r.mode for r in done.status.collect()} == {"reranker": "skipped", "llm": "extractive", "embedding": "external"}
+    done.release()
+    other = store.IndexStore(spark, index.path, EngineConfig(embedding_model="another"))
+    with pytest.raises(ValueError, match="embedded by test:length"):
+        other.vectors()
+
+
+def test_reranker_and_model_fall_back_inside_the_engine(spark):
+    raw = [(f"f{i}", f"d{i}", f"# D{i}\n\n{t}\n") for i, t in enumerate(["refund takes days", "refund is slow", "points expire"])]
+    chunks = store.build_chunks(documents.with_defaults(documents.parse_frontmatter(spark.createDataFrame(raw, "source_path string, name string, raw_text string"))))
+    queries = spark.createDataFrame([("a", "refund days"), ("b", "refund slow")], "query_id string, query string")
+
+    def reranker(query, texts):
+        if query == "refund slow":
+            raise OSError("model is down")
+        return [0.9 if "days" in t else 0.5 for t in texts]
+
+    def llm(prompt):
+        raise OSError("no model")
+
+    engine = HybridEngine(chunks, EngineConfig(lexical="plain"), reranker=reranker, model_name="m", llm=llm, patience=plugins.Patience(pause_s=0))
+    done = engine.run(queries)
+    reasons = {r.query_id: r.reason for r in done.ranked.select("query_id", "reason").distinct().collect()}
+    assert reasons == {"a": "external_reranker:m", "b": "rerank_skipped:reranker_error"}
+    assert {r.query_id: (r.mode, r.fallback_reason, r.attempts) for r in done.answers.collect()} == {q: ("extractive", "llm_error", 3) for q in "ab"}
+    fell = {r.component: (r.fallback_used, r.attempts) for r in reports.fallbacks(done.status).withColumn("fallback_used", F.lit(True)).collect()}
+    assert fell == {"reranker": (True, 3), "llm": (True, 3)}
+    assert {r.query_id: r.reranker_fallback_used for r in done.events.collect()} == {"a": False, "b": True}
+
+
+def test_a_sync_that_fails_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    def docs(*texts):
+        raw = [(f"f{i}", f"d{i}", f"# D{i}\n\n{t}\n") for i, t in enumerate(texts)]
+        return documents.with_defaults(documents.parse_frontmatter(spark.createDataFrame(raw, "source_path string, name string, raw_text string")))
+
+    mirror = store.IndexStore(spark, str(tmp_path / "mirror"))
+    index = store.IndexStore(spark, str(tmp_path / "index"), buckets=2, mirror=mirror)
+    assert index.sync(docs("one", "two")).added == 2
+    monkeypatch.setattr(store.IndexStore, "_embedded", lambda self, chunks: (_ for _ in ()).throw(OSError("full")))
+    with pytest.raises(OSError, match="full"):
+        index.sync(docs("one", "three", "four"))
+    assert sorted(r.text for r in index.chunks().collect()) == ["# D0\n\none", "# D1\n\ntwo"] and index.vectors().count() == 2
+    monkeypatch.undo()
+    done = index.sync(docs("one", "three", "four"))
+    assert (done.added, done.changed, done.removed) == (1, 1, 0)
+    assert sorted(r.text for r in mirror.chunks().collect()) == ["# D0\n\none", "# D1\n\nthree", "# D2\n\nfour"]
+    assert mirror.vectors().exceptAll(index.vectors()).count() == 0
+    assert index.vacuum() > 0 and index.count() == index.vectors().count() == 3
+
+
+def test_equal_vectors_leave_at_most_k_rows_a_batch(spark):
+    rows = spark.range(2_000).select(F.col("id").alias("key"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector")).repartition(2)
+    asked = rows.where("key < 20").withColumnRenamed("key", "query_id")
+    found = dense.dense_topk(asked, rows, 5)
+    assert {(r.key, r["rank"]) for r in found.collect()} == {(i, i + 1) for i in range(5)}
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        keys = r.integers(0, 4, (3, 30)).astype(float)
+        hit = dense._best(keys, 7)
+        for row, h in zip(keys, hit, strict=True):
+            assert np.flatnonzero(h).tolist() == sorted(np.argsort(-row, kind="stable")[:7].tolist())
+
+
+def test_relevant_documents_equal_a_plain_search(spark):
+    texts = ["a b c d", "xa b cd", "", "b  c", "the quick brown fox", "quick brown", "thequick brownfox", "c", "a b c d e quick brown fox", None]
+    items = ["a b c", "quick brown", "b", "x", "the quick brown", " b ", "b  c", "a b cd", "", "brown fox jumps", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(items)), "query_id long, query string")
+    found = catalogue.relevant(docs, asked)
+    assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().toString()
+    want = {(q, d) for q, item in enumerate(items) for d, text in enumerate(texts) if item is not None and text is not None and item in text}
+    assert {tuple(r) for r in found.collect()} == want
