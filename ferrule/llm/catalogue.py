@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontaminate, extract, language, licenses, mix, neardup, neighbours, pii, secrets, suffixes
 
 
@@ -19,7 +17,6 @@ def queries():
         "op8_personal_data": pii.op8_personal_data,
         "op9_licenses": licenses.op9_licenses,
         "op10_neighbours": neighbours.op10_neighbours,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -1,9 +1,7 @@
-"""What several operators share: tables, shared storage, bounded slices of batches."""
+"""What several operators share: tables and bounded slices of batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,43 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..storage import discard, materialise, shared_dir, spread
+
+__all__ = ["discard", "map_texts", "materialise", "shared_dir", "slices", "table"]
+
 #: A slice of texts handed to a numpy kernel holds about this many bytes (one text at least).
 SLICE_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
-
-    Where the session names none (tests, single machine) a temporary folder is
-    made once and remembered in the session's own configuration.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("ferrule.shared.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='ferrule-')}"
-        spark.conf.set("ferrule.shared.dir", found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files that ``materialise`` wrote for ``df``."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if root.removeprefix("file://") in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """A table of the driver; a small one is dealt out to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def slices(sizes: Iterable[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -4,8 +4,9 @@ Every language has a codeword.  Linear classifiers over hashed byte n-grams (one
 bytes, words padded with blanks) each predict a bit; decoding charges a language the
 logistic loss of its bits, weighted by how well each classifier separates the training
 rows, and takes the cheapest.  A small gap to the runner-up flags the text as ambiguous.  A text whose
-cheapest codeword still costs nearly as much as tossed coins, though it is long enough to
-judge, is flagged as foreign: no language learned is its own.
+cheapest codeword still costs nearly as much as tossed coins, as a whole and in most of its
+pieces, is flagged as foreign: no language learned is its own.  (As a whole a text in two
+learned languages costs as much; its pieces do not.)
 
 Training uses a bounded sample: at most ``PER_LANGUAGE`` rows a language, ``MOST_LANGUAGES``
 languages (the most frequent) and ``TRAINING_ROWS`` rows in all, picked by a digest among
@@ -35,8 +36,8 @@ TRAINING_ROWS = 4_000
 BUCKETS = 4_096
 #: A gap of weighted losses between the two best languages under which a text is ambiguous.
 AMBIGUOUS = 0.01
-#: A weighted loss (tossed coins have 0.69) from which a text of so many bytes in letters is foreign.
-FOREIGN, FOREIGN_BYTES = 0.45, 24
+#: A weighted loss (tossed coins have 0.69) from which a text of so many bytes in letters, and a piece of it, is foreign.
+FOREIGN, FOREIGN_BYTES, PIECE_BYTES = 0.45, 128, 64
 UNKNOWN = "und"
 
 #: ASCII bytes other than letters become blanks.
@@ -54,7 +55,10 @@ def _letters(text: str) -> bytes:
 
 def features(text: str) -> np.ndarray:
     """Square roots of hashed n-gram shares, as a unit vector."""
-    joined = _letters(text)
+    return _features(_letters(text))
+
+
+def _features(joined: bytes) -> np.ndarray:
     b = np.frombuffer(b" " + joined + b" ", np.uint8).astype(np.uint32)
     two = b[:-1] * np.uint32(256) + b[1:]
     three = two[:-1] * np.uint32(256) + b[2:]
@@ -70,6 +74,18 @@ def features(text: str) -> np.ndarray:
     return x / (np.linalg.norm(x) + 1e-9)
 
 
+def _pieces(joined: bytes) -> list[bytes]:
+    """Words run together to pieces of some ``PIECE_BYTES``; a short rest joins none."""
+    out, held, size = [], [], 0
+    for word in joined.split(b" "):
+        held.append(word)
+        size += len(word) + 1
+        if size >= PIECE_BYTES:
+            out.append(b" ".join(held))
+            held, size = [], 0
+    return out
+
+
 def codewords(k: int, seed: int = 5) -> np.ndarray:
     """(k, bits) of -1 and 1: all splits of few languages, else random rows far from each other."""
     if k == 1:
@@ -132,6 +148,14 @@ class CodeClassifier:
         return [self.names[i] for i in best], (1 / p.sum(1)).astype(float), gap, loss.min(1)
 
 
+    def is_foreign(self, text: str) -> bool:
+        """Whether most pieces of a text of some length are like no language learned."""
+        joined = _letters(text)
+        pieces = _pieces(joined) if len(joined) >= FOREIGN_BYTES else []
+        odd = sum(int((self.losses(np.array([_features(p) for p in pieces[lo : lo + 256]], np.float32)).min(1) >= FOREIGN).sum()) for lo in range(0, len(pieces), 256))
+        return 2 * odd > len(pieces)
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -175,7 +199,7 @@ def identify(documents: DataFrame, model: CodeClassifier | None, keep: list[str]
             names, scores, gaps, losses = model.predict(np.array([features(texts[i]) for i in part], np.float32))
             for i, name, score, gap, loss in zip(part, names, scores, gaps, losses, strict=True):
                 made["lang_pred"][i], made["score"][i], made["ambiguous"][i] = name, float(score), bool(gap < AMBIGUOUS)
-                made["foreign"][i] = bool(loss >= FOREIGN) and len(_letters(texts[i])) >= FOREIGN_BYTES
+                made["foreign"][i] = bool(loss >= FOREIGN) and model.is_foreign(texts[i])
         return made
 
     added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType()), ("foreign", T.BooleanType())]

@@ -19,6 +19,7 @@ whole; an added span that overlaps a base span, or an earlier added one, is left
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -365,6 +366,18 @@ def _windows(marks: np.ndarray, length: int) -> list[tuple[int, int]]:
     return out
 
 
+def _padded(size: int) -> int:
+    """The width a window is padded to; it hangs on the window alone, so a text's tags do not hang on its neighbours."""
+    return -(-size // 16) * 16
+
+
+def _alike(jobs: list[tuple], batch: int):
+    """Batches of windows, given in order of size, that are padded to one width."""
+    for _, group in itertools.groupby(jobs, lambda job: _padded(job[0])):
+        own = list(group)
+        yield from (own[lo : lo + batch] for lo in range(0, len(own), batch))
+
+
 def model_spans(texts: list[str], tagger: Tagger, batch: int = 512) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) that the model finds in each text."""
     coded, jobs = [], []
@@ -383,9 +396,8 @@ def model_spans(texts: list[str], tagger: Tagger, batch: int = 512) -> list[list
     jobs.sort()
     depth = {}
     tags = {}
-    for lo_job in range(0, len(jobs), batch):
-        part = jobs[lo_job : lo_job + batch]
-        x = np.full((len(part), part[-1][0]), PAD, np.int64)
+    for part in _alike(jobs, batch):
+        x = np.full((len(part), _padded(part[0][0])), PAD, np.int64)
         for row, (_, k, lo, hi) in enumerate(part):
             x[row, : hi - lo] = coded[k][lo:hi]
         y = tagger.decode(x)
@@ -458,16 +470,24 @@ def find_personal_data(texts: list[str | None], tagger: Tagger) -> list[tuple[li
     for text, more in zip(whole, model_spans(whole, tagger), strict=True):
         base = base_spans(text)
         every = list(base)
-        for lo, kind, hi in plain_spans(text):
-            if all(hi <= a or b <= lo for a, _, b in every):
+        held = bytearray(len(text))  # so that many spans are as cheap each as few
+
+        def take(lo, kind, hi, every=every, held=held):
+            if 1 not in held[lo:hi]:
                 every.append((lo, kind, hi))
+                held[lo:hi] = b"\x01" * (hi - lo)
+
+        for lo, _, hi in base:
+            held[lo:hi] = b"\x01" * (hi - lo)
+        for lo, kind, hi in plain_spans(text):
+            take(lo, kind, hi)
         for start, kind, end in more:
             pieces = [(start, end)]
             if not plausible(text, start, kind, end):  # neighbours that the model took for one
                 pieces = [(start + m.start(), start + m.end()) for m in _PIECE.finditer(text[start:end])]
             for lo, hi in pieces:
-                if plausible(text, lo, kind, hi) and all(hi <= a or b <= lo for a, _, b in every):
-                    every.append((lo, kind, hi))
+                if plausible(text, lo, kind, hi):
+                    take(lo, kind, hi)
         out.append((base, sorted(every)))
     return out
 
