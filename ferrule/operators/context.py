@@ -16,6 +16,7 @@ REFUSAL_ANSWER = "资料不足，不能可靠回答这个问题。"
 POLICY = ("只能使用本上下文包中的资料回答", "资料不足时必须拒答", "关键事实必须就近引用资料编号")
 EXCEPTION_WORDS = "不支持|不能|除非"
 PROMPT_QUESTION, PROMPT_EVIDENCE, PROMPT_RULES = "用户问题：", "证据包：", "回答要求："
+PROMPT_SYSTEM = "你是严谨的企业知识库 RAG 问答助手，只能基于给定证据回答，并且必须保留引用编号。"
 PROMPT_RULE_LINES = (
     "1. 只能基于证据包回答，不要使用外部常识补全。",
     "2. 资料不足时直接说资料不足，不能可靠回答。",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, strip
@@ -13,6 +13,13 @@ CASE_SCHEMA = ", ".join(
 )
 
 
+def relative_to(path: Column, base: str) -> Column:
+    """A path below ``base`` without it; any other path as it is."""
+    root = base.rstrip("/") + "/"
+    bare = F.regexp_replace(path, "^file:(//)?(?=/)", "")
+    return F.when(bare.startswith(root), F.substr(bare, F.lit(len(root) + 1))).otherwise(bare)
+
+
 def read_markdown(spark: SparkSession, path: str, required: bool = False) -> DataFrame:
     """(source_path, name, raw_text): a row a ``*.md`` file of the folder, not of folders in it."""
     rows = (

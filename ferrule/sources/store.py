@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..config import EngineConfig
 from ..functions.text import content_hash
 from ..functions.vectors import hash_embeddings
+from ..operators import selection
 from ..operators.access import with_access_columns
 from ..operators.chunking import section_chunks, split_sections
 from ..operators.lexical import postings
@@ -132,6 +133,15 @@ class IndexStore:
             raise ValueError(f"{self.path} was embedded by {held['identity']}, not by {self.identity}")
         return self.read("vectors")
 
+    def hydrate(self, ids: DataFrame) -> DataFrame:
+        """The stored rows of the asked ``chunk_id``, each once; unknown ids are absent."""
+        return selection.hydrate(ids, self.chunks(), "chunk_id")
+
+    def siblings(self, parents: DataFrame) -> DataFrame:
+        """(parent_id, siblings) of the asked ``parent_id``, in order of their ids; an empty array for a parent without chunks."""
+        asked = parents.select("parent_id").distinct()
+        return selection.siblings(asked, self.chunks().join(asked, "parent_id", "left_semi"))
+
     def statistics(self) -> DataFrame:
         """One row: number of chunks and mean number of terms, from one narrow column."""
         return self.chunks().agg(F.count("*").alias("n_rows"), F.avg("n_terms").alias("mean_length"))
