@@ -13,16 +13,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import services
 from ..config import EngineConfig
 from ..functions import text as fx
 from ..functions.vectors import cosine, dot, hash_embeddings, hashed_weights, norm, sparse_weights
 from ..operators import access, casebook, chunking, context, dense, fusion, lexical, plugins, reports, selection
 from ..sources import store
-from ..sources.documents import parse_frontmatter, with_defaults
+from ..sources.documents import parse_frontmatter, read_corpus, read_eval, read_plain, with_defaults
 from ..storage import materialise, shared_dir, spread
 from .catalogue_sql import SQL
 from .engine import HybridEngine
-from .fixtures import GATE_ROWS, RULE_QUERIES, RULE_SENTENCES
+from .fixtures import GATE_ROWS, GOLDEN_DOCS, MARKDOWN_DOCS, RULE_QUERIES, RULE_SENTENCES
 
 #: Day of the access checks, and the scopes of the asker.
 TODAY, SCOPES = 20260607, ("internal", "public")
@@ -33,13 +34,6 @@ BLOCK_ITEMS = 5_000
 # Own literal fixtures: terms, dates and documents in Chinese and English.
 TOKEN_LITERALS = ("跨境订单退款多久到账？", "SKU-A17 是否支持无理由退货？", "用户 可以 的", "refund Refund policy")
 DAY_LITERALS = ("2026-06-07", "", "2026/01/31", "20251231", "soon", "2026-1-1")
-GOLDEN_DOCS = (
-    "---\ndoc_id: refunds\ntitle: 退款规则\npermission_scope: internal\n---\n\n# 退款规则\n\n## 跨境订单退款\n\n"
-    "跨境订单退款要经过平台审核和渠道确认。审核通过后，到账时间通常为 7 到 15 个工作日。\n\n## 特殊商品退款\n\n"
-    "SKU-A17 属于定制商品，不支持 7 天无理由退款。\n",
-    "---\ndoc_id: members\ntitle: 会员规则\npermission_scope: internal\n---\n\n# 会员规则\n\n## 积分\n\n会员积分可以兑换优惠券，积分不能提现，也不能转赠。\n",
-    "---\ndoc_id: finance\ntitle: 财务差异\npermission_scope: finance_restricted\n---\n\n## 差异工单\n\nFR-21 差异工单由财务共享中心处理。\n",
-)
 GOLDEN_QUERIES = (("q1", "跨境订单退款多久到账？"), ("q2", "SKU-A17 是否支持无理由退货？"), ("q3", "会员积分可以提现吗？"), ("q4", "今天北京天气怎么样？"), ("q5", "FR-21 差异工单怎么处理？"))
 
 
@@ -412,8 +406,7 @@ def citation_validation(spark, d):
 
 
 def prompts(spark, d):
-    selected = _selected(spark, d).withColumns({"chunk_id": F.col("doc_id").cast("string"), "parent_id": F.col("doc_id").cast("string"), "title_path": F.array("source"), "source_path": F.col("source"), "version": F.lit("v1"), "expanded_text": F.col("text")})
-    found = context.prompts(context.context_packets(_queries(spark, d), _judged(spark, d, selected), selected))
+    found = context.prompts(_packets(spark, d)[2])
     return found.select("query_id", F.length("prompt").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
@@ -592,15 +585,30 @@ def sufficiency_rules(spark, d):
 # ------------------------------------------------------------------ the stored index
 
 
-def _stored(spark, d) -> store.IndexStore:
-    """An index of the corpus as it was, synced to what it is now (see ``_versions``)."""
-    target = store.IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", EngineConfig(paragraph_delimiter="\n", dimensions=64))
-    for rows in _versions(spark, d):
-        k = F.col("doc_id")
-        docs = rows.where("text IS NOT NULL").select(
+def _folder(spark, name) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _new_index(spark, **more) -> store.IndexStore:
+    return store.IndexStore(spark, _folder(spark, "index"), EngineConfig(paragraph_delimiter="\n", dimensions=64), **more)
+
+
+def _corpora(spark, d) -> list[DataFrame]:
+    """The corpus as it was, and as it is now (see ``_versions``), as an index takes it."""
+    k = F.col("doc_id")
+    return [
+        rows.where("text IS NOT NULL").select(
             k, F.lit("t").alias("title"), F.col("text").alias("body"), F.col("text").alias("raw_text"), F.concat(F.lit("p/"), k).alias("source_path"), F.lit("v1").alias("version"),
             F.when(k % 5 == 0, "public").otherwise("closed").alias("permission_scope"), F.lit("").alias("effective_from"), F.lit("").alias("effective_to"),
-        )
+        )
+        for rows in _versions(spark, d)
+    ]
+
+
+def _stored(spark, d) -> store.IndexStore:
+    """An index of the corpus as it was, synced to what it is now."""
+    target = _new_index(spark)
+    for docs in _corpora(spark, d):
         target.sync(docs)
     return target
 
@@ -637,6 +645,159 @@ def index_recall(spark, d):
     return found.select("query_id", "chunk_id", "rank", lexical.score_key().alias("score_key"))
 
 
+def sync_counts(spark, d):
+    """What three syncs do: the first, one after changes, and one after none; and what a reset leaves."""
+    target, (old, now) = _new_index(spark, buckets=4), _corpora(spark, d)
+    done = [target.sync(docs) for docs in (old, now, now)]
+    rows = [(k, x.added, x.changed, x.removed, target.exists()) for k, x in enumerate(done)]
+    target.reset()
+    return spark.createDataFrame([*rows, (len(rows), 0, 0, 0, target.exists())], "step long, added long, changed long, removed long, there boolean")
+
+
+def mirror_manifest(spark, d):
+    """Documents and numbers of chunks and vectors in an index's mirror after two syncs."""
+    mirror = _new_index(spark)
+    target = _new_index(spark, mirror=mirror)
+    for docs in _corpora(spark, d):
+        target.sync(docs)
+    sizes = [rows.groupBy("doc_id").agg(F.count("*").alias(name)) for rows, name in ((mirror.chunks(), "n_chunks"), (mirror.vectors(), "n_vectors"))]
+    found = mirror.manifest().select("doc_id", "content_hash")
+    for part in sizes:
+        found = found.join(part, "doc_id", "left")
+    return found.fillna(0, ["n_chunks", "n_vectors"])
+
+
+def markdown_folder(spark, d):
+    """Literal documents written as files and read back: frontmatter, defaults, bodies."""
+    folder = _folder(spark, "markdown")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for k, text in enumerate(MARKDOWN_DOCS):
+        place = hadoop.Path(f"{folder}/f{k}.md")
+        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+        out.write(bytearray(text.encode("utf-8")))
+        out.close()
+    corpus = read_corpus(spark, folder).select("doc_id", "title", "permission_scope", F.sha2("body", 256).alias("body_sha256"), F.element_at(F.split("source_path", "/"), -1).alias("file"))
+    plain = read_plain(spark, folder).select(F.col("source").alias("file"), F.sha2("text", 256).alias("plain_sha256"))
+    return corpus.join(plain, "file")
+
+
+def eval_cases(spark, d):
+    folder = _folder(spark, "cases")
+    cases = _queries(spark, d).select(F.concat(F.lit("c"), "query_id").alias("case_id"), "query", F.col("query_id").alias("expected_doc_id"), F.lit("true").alias("must_answer"), F.lit("a, \"b\"").alias("expected_terms"))
+    cases.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    return read_eval(spark, folder).select("case_id", F.sha2("query", 256).alias("query_sha256"), "expected_doc_id", "must_answer", "expected_terms")
+
+
+def index_of_a_model(spark, d):
+    """A plain index is built once a model; another model's stands beside it, and a rebuild replaces only its own."""
+    folder, built = _folder(spark, "plain"), []
+
+    def build(model):
+        built.append(model)
+        return _docs(spark, d).select(F.concat(F.lit(f"{model}{len(built)}:"), "doc_id").alias("chunk_id"), "doc_id")
+
+    for model, rebuild in (("m", False), ("n", False), ("m", False), ("m", True), ("n", False)):
+        found = store.get_or_build(spark, folder, model, lambda model=model: build(model), rebuild)
+    both = found.unionByName(store.get_or_build(spark, folder, "m", lambda: build("m")))
+    return both.select("embedding_model", "chunk_id", F.lit(",".join(built)).alias("built"))
+
+
+def event_log(spark, d):
+    """Events appended twice, read back."""
+    folder = _folder(spark, "events")
+    events = reports.monitoring_events(_queries(spark, d))
+    for _ in range(2):
+        store.append_json(events, folder)
+    return spark.read.json(folder).groupBy("query_id", "query_hash", "status").agg(F.count("*").alias("n"), F.max("query_chars").alias("query_chars"))
+
+
+def embedder_vectors(spark, d):
+    """A plugged-in embedder, called for a batch of texts at a time on the executors."""
+    found = plugins.embed(_docs(spark, d), "doc_id", "text", lambda texts: [[len(t), t.count(" ")] for t in texts], 2)
+    return found.select("doc_id", F.col("vector")[0].cast("long").alias("n_chars"), F.col("vector")[1].cast("long").alias("n_blanks"))
+
+
+def _packets(spark, d):
+    selected = _selected(spark, d).withColumns({"chunk_id": F.col("doc_id").cast("string"), "parent_id": F.col("doc_id").cast("string"), "title_path": F.array("source"), "source_path": F.col("source"), "version": F.lit("v1"), "expanded_text": F.col("text")})
+    judged = materialise(_judged(spark, d, selected), "judged")
+    return selected, judged, context.context_packets(_queries(spark, d), judged, selected)
+
+
+def llm_answers(spark, d):
+    """A model that fails for good on every third prompt; those answers, and refusals, stay extractive."""
+
+    def model(prompt):
+        if len(prompt) % 3 == 0:
+            raise OSError("overloaded")
+        return f"told in {len(prompt)} [E1]"
+
+    selected, judged, packets = _packets(spark, d)
+    extractive = context.extractive_answers(_queries(spark, d), judged, selected)
+    found = context.answer_with(packets, extractive, model, plugins.Patience(pause_s=0.0))
+    return found.select("query_id", "mode", F.sha2("answer", 256).alias("answer_sha256"), F.array_join("citations", ",").alias("citations"), "attempts", "fallback_reason")
+
+
+def component_status(spark, d):
+    """Status rows of components that work, are not configured, or fall back."""
+
+    def broken(*_):
+        raise OSError("down")
+
+    rows, swift, local = _docs(spark, d).limit(0), plugins.Patience(pause_s=0.0), lambda: _new_index(spark)
+    scores = spark.createDataFrame([(1, "down", 3), (2, None, 1)], "query_id long, failed string, attempts int")
+    told = {
+        "a": plugins.embed_or_hash(spark, rows, "doc_id", "text", None, 4)[1], "b": plugins.embed_or_hash(spark, rows, "doc_id", "text", broken, 4, swift)[1],
+        "c": plugins.embed_or_hash(spark, rows, "doc_id", "text", lambda texts: [[0.0] * 4 for _ in texts], 4)[1],
+        "d": plugins.reranker_status(spark, None), "e": plugins.reranker_status(spark, "m"), "f": plugins.reranker_status(spark, "m", scores),
+        "g": plugins.open_store(spark, None, local)[1], "h": plugins.open_store(spark, broken, local, swift)[1], "i": plugins.open_store(spark, local, local)[1],
+        "j": plugins.llm_status(spark, None), "k": plugins.llm_status(spark, len),
+    }
+    out = None
+    for name, row in told.items():
+        row = row.select(F.lit(name).alias("k"), *plugins.status_columns())
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def patience_outcomes(spark, d):
+    """A service that works at the n-th call, one that never does, and one that says it is of no use."""
+    rows = []
+    for k, works in enumerate((1, 2, 3, 4, None)):
+        calls = []
+
+        def service(calls=calls, works=works):
+            calls.append(1)
+            if works is None:
+                raise plugins.Unavailable("switched off")
+            if len(calls) < works:
+                raise OSError(f"call {len(calls)}")
+            return f"after {len(calls)}"
+
+        got = plugins.Patience(pause_s=0.0).ask(service)
+        rows.append((k, got.value, got.error, got.attempts))
+    return spark.createDataFrame(rows, "k long, value string, error string, attempts long")
+
+
+SETTING_LINES = ("a=1", " b = 'x y' ", 'c="q=r"', "# d=1", "", "e", "=f", "g=", "flag=Yes")
+
+
+def setting_lines(spark, d):
+    found = [(k, *(services.setting_line(line) or (None, None))) for k, line in enumerate(SETTING_LINES)]
+    return spark.createDataFrame([(k, key, value, services.flag(value or "", True)) for k, key, value in found], "k long, key string, value string, flag boolean")
+
+
+def response_scores(spark, d):
+    """Scores of a rerank answer as a list, and as results by index with some left out; the text of a chat answer."""
+    rows = []
+    for r in _queries(spark, d).collect():  # a row a benchmark item
+        n = len(r["query"]) % 5 + 1
+        listed = services.scores_of({"scores": [i / 4 for i in range(n)]}, n)
+        by_place = services.scores_of({"results": [{"index": i, "relevance_score": i / 2} for i in range(n) if i % 2]}, n)
+        text = services.text_of({"content": [{"type": "text", "text": "a"}, {"type": "tool"}, {"type": "text", "text": r["query"][:n]}]})
+        rows.append((r.query_id, sum(listed), sum(by_place), text))
+    return spark.createDataFrame(rows, "query_id long, listed double, by_place double, text string").select("query_id", F.round(F.col("listed") * 100).cast("long").alias("listed"), F.round(F.col("by_place") * 100).cast("long").alias("by_place"), "text")
+
+
 def hybrid_golden(spark, d):
     """The whole engine on literal documents: five questions, one of them out of domain and one not permitted."""
     raw = spark.createDataFrame([(f"f{i}", f"f{i}", t) for i, t in enumerate(GOLDEN_DOCS)], "source_path string, name string, raw_text string")
@@ -655,7 +816,8 @@ _QUERIES = (
     sync_diff, upsert_merge, delete_docs, manifest_first, sufficiency, sufficiency_rrf_only, context_evidence, extractive_answer, citation_validation,
     prompts, numbered_context, result_summary, casebook_render, retrieval_metrics, eval_report, monitoring_event, monitoring_rollup, fallback_summary,
     rerank_fallback, vector_expressions, scope_keys, frontmatter, payloads, sentence_points, out_of_domain, sufficiency_rules,
-    index_manifest, index_chunks, index_postings, index_vectors, index_counts, index_recall, hybrid_golden,
+    index_manifest, index_chunks, index_postings, index_vectors, index_counts, index_recall, sync_counts, mirror_manifest, markdown_folder, eval_cases, index_of_a_model, event_log,
+    embedder_vectors, llm_answers, component_status, patience_outcomes, setting_lines, response_scores, hybrid_golden,
 )
 
 

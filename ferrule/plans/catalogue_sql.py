@@ -6,7 +6,7 @@ from ..config import SPARSE_BUCKETS, STOPWORDS
 from ..functions import text as fx
 from ..operators import casebook as cb
 from ..operators import context as cx
-from .fixtures import GATE_ROWS, RULE_QUERIES, RULE_SENTENCES
+from .fixtures import GATE_ROWS, MARKDOWN_DOCS, RULE_QUERIES, RULE_SENTENCES
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 _IDENTITY = "local:local-hash-embedding"
@@ -159,6 +159,11 @@ an AS (SELECT query_id, CASE WHEN reason = 'pass' THEN 'extractive' ELSE 'refusa
   CASE WHEN reason = 'pass' AND answer IS NOT NULL THEN answer WHEN reason = 'permission_denied' THEN '{cx.PERMISSION_ANSWER}' ELSE '{cx.REFUSAL_ANSWER}' END AS answer,
   CASE WHEN reason = 'pass' THEN coalesce(citations, '') ELSE '' END AS citations FROM ju LEFT JOIN sa USING (query_id))"""
 
+_PROMPTS = f"""pb AS (SELECT query_id, string_agg({" || chr(10) || ".join(("'[' || citation_id || ']'", "'doc_id: ' || doc_id", "'title_path: ' || source", "'source_path: ' || source", "'version: v1'", "'role: ' || evidence_role", "'text:'", "text"))},
+  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position) AS blocks FROM se GROUP BY 1),
+pp AS (SELECT query_id, array_to_string([{_text(cx.PROMPT_QUESTION)}, query, '', {_text(cx.PROMPT_EVIDENCE)}, coalesce(blocks, ''), '', {_text(cx.PROMPT_RULES)}, {', '.join(_text(r) for r in cx.PROMPT_RULE_LINES)}], chr(10) || chr(10)) AS prompt
+  FROM ju LEFT JOIN pb USING (query_id))"""
+
 _REL = "rel AS (SELECT DISTINCT item_id AS query_id, doc_id FROM documents d, benchmark b WHERE contains(d.text, b.text))"
 
 _lines = lambda text: f"list_filter(list_transform(string_split({_NORMAL(text)}, chr(10)), lambda p: {_strip('p')}), lambda p: p <> '')"
@@ -329,12 +334,7 @@ SELECT query_id, {_key('coverage')} AS coverage_key, n_lexical, reason, reason =
     "extractive_answer": f"{_ANSWERED} SELECT query_id, mode, sha256(answer) AS answer_sha256, citations FROM an",
     "citation_validation": """WITH s AS (SELECT conv_id AS query_id, 'E' || count(*) AS e FROM conversations GROUP BY 1), u AS (SELECT query_id, list_sort(list_distinct([e, 'E1'])) AS used FROM s)
   SELECT query_id, array_to_string(used, ',') AS used, array_to_string(list_filter(used, lambda c: c NOT IN ('E1', 'E2', 'E4')), ',') AS missing, len(list_filter(used, lambda c: c NOT IN ('E1', 'E2', 'E4'))) = 0 AS citation_valid FROM u""",
-    "prompts": f"""{_JUDGED},
-pb AS (SELECT query_id, string_agg({_LINES("'[' || citation_id || ']'", "'doc_id: ' || doc_id", "'title_path: ' || source", "'source_path: ' || source", "'version: v1'", "'role: ' || evidence_role", "'text:'", "text")},
-  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position) AS blocks FROM se GROUP BY 1),
-pp AS (SELECT query_id, array_to_string([{_Q(cx.PROMPT_QUESTION)}, query, '', {_Q(cx.PROMPT_EVIDENCE)}, coalesce(blocks, ''), '', {_Q(cx.PROMPT_RULES)}, {', '.join(_Q(r) for r in cx.PROMPT_RULE_LINES)}], chr(10) || chr(10)) AS prompt
-  FROM ju LEFT JOIN pb USING (query_id))
-SELECT query_id, length(prompt) AS n_chars, sha256(prompt) AS prompt_sha256 FROM pp""",
+    "prompts": f"{_JUDGED}, {_PROMPTS} SELECT query_id, length(prompt) AS n_chars, sha256(prompt) AS prompt_sha256 FROM pp",
     "numbered_context": f"""WITH {_DT}, {_POST}, {_STATS}, {_QT}, {_bm25('plain')},
 nc AS (SELECT query_id, string_agg('[' || rank || '] source=' || source || ' chunk=' || doc_id || ' score=' || format('{{:.4f}}', score) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
 FROM lex JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY query_id)
@@ -390,4 +390,31 @@ z AS (SELECT chunk_id, sqrt(sum(raw * raw)) AS size FROM w GROUP BY 1) SELECT id
     "index_counts": f"WITH RECURSIVE {_INDEXED} SELECT n_rows, {_key('mean_length')} AS mean_length_key, n_rows AS n_chunks FROM stats",
     "index_recall": f"""WITH RECURSIVE {_INDEXED.replace(' df AS ', ' dif AS ').replace(chr(10) + 'df AS ', chr(10) + 'dif AS ')}, {_QT}, post AS (SELECT chunk_id AS doc_id, term, tf, length FROM cp), {_bm25('plain')}
 SELECT query_id, doc_id AS chunk_id, rank, {_key('score')} AS score_key FROM lex WHERE rank <= 5""",
+    "sync_counts": f"""WITH {_NOW}, live AS (SELECT count(*) AS n FROM v1 WHERE text IS NOT NULL), ch AS (SELECT change FROM df)
+SELECT 0::BIGINT AS step, n AS added, 0::BIGINT AS changed, 0::BIGINT AS removed, true AS there FROM live
+UNION ALL SELECT 1, count(*) FILTER (change = 'added'), count(*) FILTER (change = 'changed'), count(*) FILTER (change = 'removed'), true FROM ch
+UNION ALL SELECT 2, 0, 0, 0, true UNION ALL SELECT 3, 0, 0, 0, false""",
+    "mirror_manifest": f"""WITH RECURSIVE {_INDEXED}, n AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1)
+SELECT doc_id, {_HASH.replace("'1024'", "'64'")} AS content_hash, coalesce(n, 0) AS n_chunks, coalesce(n, 0) AS n_vectors FROM v2 LEFT JOIN n USING (doc_id) WHERE text IS NOT NULL""",
+    "markdown_folder": f"""WITH f(k, raw) AS (VALUES {', '.join(f"({k}, {_text(t)})" for k, t in enumerate(MARKDOWN_DOCS))}),
+b AS (SELECT k, raw, regexp_matches(raw, '(?s)\\A---\n.+?\n---') AS closed FROM f),
+m AS (SELECT *, CASE WHEN closed THEN {_strip("regexp_replace(raw, '(?s)\\A---\n.*?\n---', '')")} ELSE raw END AS body, CASE WHEN closed THEN regexp_extract(raw, '(?s)\\A---\n(.*?)\n---', 1) ELSE '' END AS head FROM b)
+SELECT 'f' || k || '.md' AS file, coalesce(nullif(regexp_extract(head, 'doc_id: ([^\n]*)', 1), ''), 'f' || k) AS doc_id, coalesce(nullif(regexp_extract(head, 'title: ([^\n]*)', 1), ''), 'f' || k) AS title,
+  coalesce(nullif(regexp_extract(head, 'permission_scope: ([^\n]*)', 1), ''), 'internal') AS permission_scope, sha256(body) AS body_sha256, sha256({_NORMAL('raw')}) AS plain_sha256 FROM m""",
+    "eval_cases": """SELECT 'c' || item_id AS case_id, sha256(text) AS query_sha256, CAST(item_id AS VARCHAR) AS expected_doc_id, 'true' AS must_answer, 'a, "b"' AS expected_terms FROM benchmark""",
+    "index_of_a_model": """SELECT 'n' AS embedding_model, 'n2:' || doc_id AS chunk_id, 'm,n,m' AS built FROM documents UNION ALL SELECT 'm', 'm3:' || doc_id, 'm,n,m' FROM documents""",
+    "event_log": "SELECT item_id AS query_id, left(sha256(text), 16) AS query_hash, 'ok' AS status, 2::BIGINT AS n, length(text) AS query_chars FROM benchmark",
+    "embedder_vectors": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) AS n_blanks FROM documents",
+    "llm_answers": f"""{_ANSWERED}, {_PROMPTS}, j AS (SELECT an.*, reason = 'pass' AS asked, length(prompt) AS n FROM an JOIN ju USING (query_id) JOIN pp USING (query_id))
+SELECT query_id, CASE WHEN asked AND n % 3 <> 0 THEN 'llm' ELSE mode END AS mode, sha256(CASE WHEN asked AND n % 3 <> 0 THEN 'told in ' || n || ' [E1]' ELSE answer END) AS answer_sha256,
+  CASE WHEN asked AND n % 3 <> 0 THEN 'E1' ELSE citations END AS citations, CAST(CASE WHEN NOT asked THEN 0 WHEN n % 3 = 0 THEN 3 ELSE 1 END AS BIGINT) AS attempts, CASE WHEN asked AND n % 3 = 0 THEN 'llm_error' END AS fallback_reason FROM j""",
+    "component_status": """SELECT k, component, mode, configured, fell AS fallback_used, reason, error, attempts FROM (VALUES
+  ('a', 'embedding', 'hash_fallback', false, false, 'not_configured', '', 0::BIGINT), ('b', 'embedding', 'hash_fallback', true, true, 'embedding_error', 'down', 3), ('c', 'embedding', 'external', true, false, 'configured_model', '', 0),
+  ('d', 'reranker', 'skipped', false, false, 'not_configured', '', 0), ('e', 'reranker', 'external', true, false, 'configured_model', '', 0), ('f', 'reranker', 'skipped', true, true, 'reranker_error', 'down', 3),
+  ('g', 'vector_store', 'local', false, false, 'not_configured', '', 0), ('h', 'vector_store', 'local', true, true, 'store_error', 'down', 3), ('i', 'vector_store', 'primary', true, false, 'configured_backend', '', 0),
+  ('j', 'llm', 'extractive', false, false, 'not_configured', '', 0), ('k', 'llm', 'external', true, false, 'configured_model', '', 0)) t(k, component, mode, configured, fell, reason, error, attempts)""",
+    "patience_outcomes": "SELECT * FROM (VALUES (0::BIGINT, 'after 1', NULL, 1::BIGINT), (1, 'after 2', NULL, 2), (2, 'after 3', NULL, 3), (3, NULL, 'call 3', 3), (4, NULL, 'switched off', 1)) t(k, value, error, attempts)",
+    "setting_lines": "SELECT * FROM (VALUES (0::BIGINT, 'a', '1', true), (1, 'b', 'x y', false), (2, 'c', 'q=r', false), (3, NULL, NULL, true), (4, NULL, NULL, true), (5, NULL, NULL, true), (6, NULL, NULL, true), (7, 'g', '', true), (8, 'flag', 'Yes', true)) t(k, key, value, flag)",
+    "response_scores": """WITH q AS (SELECT item_id AS query_id, text, length(text) % 5 + 1 AS n FROM benchmark)
+SELECT query_id, CAST(n * (n - 1) * 100 / 8 AS BIGINT) AS listed, CAST(coalesce(list_sum(list_transform(list_filter(range(n), lambda i: i % 2 = 1), lambda i: i * 50)), 0) AS BIGINT) AS by_place, 'a' || left(text, n) AS text FROM q""",
 }

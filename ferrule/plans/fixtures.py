@@ -13,3 +13,13 @@ GATE_ROWS = (
     ("refund", 0.31, 2, 0.4, 1, 0.45), ("refund", 0.18, 1, 0.12, 1, None), ("refund", 0.1, 1, 0.35, 1, None), ("refund", 0.1, 1, 0.34, 1, None),
     ("refund", 0.9, 1, 0.11, 1, None), ("refund", 0.1, 2, 0.02, 0, None), ("refund", 0.1, 2, 0.02, 1, None), ("refund", 0.18, 2, 0.02, 0, 0.2), ("订单退款的天气险", 0.5, 1, 0.5, 1, None),
 )
+
+# Own literal documents.
+GOLDEN_DOCS = (
+    "---\ndoc_id: refunds\ntitle: 退款规则\npermission_scope: internal\n---\n\n# 退款规则\n\n## 跨境订单退款\n\n"
+    "跨境订单退款要经过平台审核和渠道确认。审核通过后，到账时间通常为 7 到 15 个工作日。\n\n## 特殊商品退款\n\n"
+    "SKU-A17 属于定制商品，不支持 7 天无理由退款。\n",
+    "---\ndoc_id: members\ntitle: 会员规则\npermission_scope: internal\n---\n\n# 会员规则\n\n## 积分\n\n会员积分可以兑换优惠券，积分不能提现，也不能转赠。\n",
+    "---\ndoc_id: finance\ntitle: 财务差异\npermission_scope: finance_restricted\n---\n\n## 差异工单\n\nFR-21 差异工单由财务共享中心处理。\n",
+)
+MARKDOWN_DOCS = (*GOLDEN_DOCS, "# no frontmatter\r\n\r\n\r\n\r\nat all \n")

@@ -83,7 +83,8 @@ def read_plain(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_eval(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).schema(EVAL_SCHEMA).csv(path)
+    """Cases of a CSV file; quoted values may hold commas, doubled quotes and line feeds."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(EVAL_SCHEMA).csv(path)
 
 
 def read_cases(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
