@@ -6,12 +6,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import sparse_bucket
-
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product over the shorter length; 0 where either is empty or null."""
@@ -30,18 +29,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
-def _hashed(found: list, dims: int, slots: dict) -> np.ndarray:
-    """Unit-length hashed embeddings of lists of terms; zeros for a list without terms.  ``slots`` keeps what terms hash to."""
-    out = np.zeros((len(found), dims))
-    for row, terms in enumerate(found):
-        for term in terms or ():
-            slot = slots.get(term)
-            if slot is None:
-                digest = hashlib.sha256(term.encode("utf-8")).digest()
-                slot = (int.from_bytes(digest[:4], "big") % dims, -1.0 if digest[4] & 1 else 1.0)
-                if len(slots) < 200_000:
-                    slots[term] = slot
-            out[row, slot[0]] += slot[1]
+def _hashed(found: pa.ListArray, dims: int) -> np.ndarray:
+    """Unit-length hashed embeddings of lists of terms; zeros for a list without terms.  Each distinct term is hashed once."""
+    lengths = pc.list_value_length(found).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    terms = found.flatten().dictionary_encode()
+    digests = [hashlib.sha256(t.encode("utf-8")).digest() for t in terms.dictionary.to_pylist()]
+    slot = np.array([int.from_bytes(d[:4], "big") % dims for d in digests], np.int64)
+    sign = np.array([-1.0 if d[4] & 1 else 1.0 for d in digests])
+    code = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    place = np.repeat(np.arange(len(lengths)), lengths) * dims + slot[code]
+    out = np.bincount(place, sign[code], len(lengths) * dims).reshape(len(lengths), dims)
     return out / np.maximum(np.sqrt((out * out).sum(1)), 1e-300)[:, None]
 
 
@@ -54,11 +51,10 @@ def hashed_weights(rows: DataFrame, key: str, terms: str = "terms", dims: int =
     schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("idx", T.IntegerType()), T.StructField("weight", T.DoubleType())])
 
     def run(batches):
-        slots: dict = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
-                x = _hashed(part.column(1).to_pylist(), dims, slots)
+                x = _hashed(part.column(1), dims)
                 i, j = np.nonzero(x)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(j, pa.int32()), pa.array(x[i, j])], names=schema.names)
 
@@ -74,17 +70,11 @@ def hash_embeddings(rows: DataFrame, key: str, terms: str, dims: int) -> DataFra
     schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("vector", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        slots: dict = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
-                x = _hashed(part.column(1).to_pylist(), dims, slots)
+                x = _hashed(part.column(1), dims)
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dims), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), vectors], names=schema.names)
 
     return rows.select(key, terms).mapInArrow(run, schema)
-
-
-def sparse_weights(terms: DataFrame, keys: list[str], term: str = "term") -> DataFrame:
-    """(keys, bucket, tf): hashed term frequencies; terms that share a bucket add up."""
-    return terms.where(F.col(term) != "").groupBy(*keys, sparse_bucket(term).alias("bucket")).agg(F.count("*").alias("tf"))

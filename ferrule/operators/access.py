@@ -110,16 +110,19 @@ def blocked_matches(queries: DataFrame, blocked: DataFrame, limit: int = 5) -> D
     ``queries``: query_id, query.  ``blocked``: chunk_id, doc_id, terms.  Rows meet over
     their terms, so a query only touches rows that share one.
     """
-    distinct = lambda rows, c: rows.withColumn("terms", F.array_distinct(c))
-    asked = materialise(term_rows(distinct(queries, tokenize("query")), "query_id"), "asked")
-    sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    held = term_rows(distinct(blocked, "terms"), "chunk_id", "doc_id")
+    terms = F.array_distinct(tokenize("query"))
+    asked = materialise(queries.select("query_id", terms.alias("asked"), F.size(terms).alias("n_terms")), "asked")
+    wanted = term_rows(asked, "query_id", "n_terms", terms="asked")
+    held = term_rows(blocked.withColumn("terms", F.array_distinct("terms")), "chunk_id", "doc_id")
     telling = F.col("term").rlike(r"\d|[-_/]") | (F.length("term") >= 4)
-    met = asked.join(held, "term").groupBy("query_id", "chunk_id", "doc_id").agg(
-        F.count("*").alias("n_matched"), F.max(telling).alias("telling"), F.array_sort(F.collect_set("term")).alias("matched_terms")
+    met = wanted.join(held, "term").groupBy("query_id", "chunk_id", "doc_id").agg(
+        F.count("*").alias("n_matched"), F.max(telling).alias("telling"), F.first("n_terms").alias("n_terms")
     )
-    ratio = F.round(F.col("n_matched") / F.col("n_terms"), 4)
-    met = met.join(sizes, "query_id").withColumn("overlap_ratio", ratio)
     met = met.where((F.col("n_matched") / F.col("n_terms") >= 0.25) | F.col("telling"))
+    met = met.withColumn("overlap_ratio", F.round(F.col("n_matched") / F.col("n_terms"), 4))
     order = Window.partitionBy("query_id").orderBy(F.desc("overlap_ratio"), F.desc("n_matched"), "doc_id", "chunk_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("telling", "n_terms")
+    best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("telling", "n_terms")
+    best = materialise(best, "blocked")  # the terms that matched are looked up for these few only
+    texts = blocked.join(best.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "terms")
+    found = best.join(texts, "chunk_id").join(asked.select("query_id", "asked"), "query_id")
+    return found.withColumn("matched_terms", F.array_sort(F.array_intersect("asked", "terms"))).drop("asked", "terms")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import SPARSE_BUCKETS
 from ..functions.text import sparse_bucket, tokenize
 from ..storage import materialise
 
@@ -19,10 +25,45 @@ def term_rows(rows: DataFrame, *columns, terms: str = "terms") -> DataFrame:
     return rows.select(*columns, F.explode_outer(terms).alias("term")).where("term IS NOT NULL")
 
 
+def _counted(rows: DataFrame, key: str, terms: str, columns: str, name_terms) -> DataFrame:
+    """(key, name, tf, length): how often each name occurs among a row's terms, counted where the row lies.
+
+    ``name_terms`` maps a batch's distinct terms to names, or gives None to keep the terms.
+    The key is a row's own, so nothing is shuffled.
+    """
+    key_type = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = lists.flatten().dictionary_encode()
+            code, names = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+            if name_terms is not None:
+                told = name_terms(names.to_pylist())
+                names, place = np.unique(told, return_inverse=True)
+                code, names = place[code], pa.array(names)
+            n = max(len(names), 1)
+            pairs, tf = np.unique(np.repeat(np.arange(batch.num_rows), lengths) * n + code, return_counts=True)
+            row = pairs // n
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), names.take(pa.array(pairs % n)), pa.array(tf), pa.array(lengths[row])], names=kinds)
+
+    kinds = [key, columns.split()[0], "tf", "length"]
+    return rows.select(key, F.col(terms).cast("array<string>")).mapInArrow(run, f"`{key}` {key_type}, {columns}, tf long, length long")
+
+
 def postings(chunks: DataFrame, key: str = "chunk_id", terms: str = "terms") -> DataFrame:
-    """(key, term, tf, length): one row for each distinct term of a row."""
-    rows = term_rows(chunks, key, F.size(terms).alias("length"), terms=terms)
-    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    """(key, term, tf, length): one row for each distinct term of a row; the key is a row's own."""
+    return _counted(chunks, key, terms, "term string", None)
+
+
+def sparse_postings(chunks: DataFrame, key: str = "chunk_id", terms: str = "terms") -> DataFrame:
+    """(key, bucket, tf): hashed term frequencies; terms that share a bucket add up.  A batch hashes each distinct term once."""
+
+    def hashed(found: list) -> np.ndarray:
+        return np.array([int.from_bytes(hashlib.sha256(t.encode("utf-8")).digest()[:8], "big") % SPARSE_BUCKETS for t in found], np.int64)
+
+    return _counted(chunks, key, terms, "bucket long", hashed).drop("length")
 
 
 def corpus_statistics(chunks: DataFrame, terms: str = "terms") -> DataFrame:
@@ -76,15 +117,11 @@ def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int, variant
 def sparse_idf(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id", among: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, rank) by hashed term frequencies times idf: no saturation, no length norm.
 
-    Each distinct term is hashed once; only terms in a bucket that a query asks for are counted.
+    Only postings of buckets that a query asks for take part.
     """
     asked = query_terms(queries).groupBy("query_id", sparse_bucket("term").alias("bucket")).agg(F.sum("times").alias("times"))
     asked = materialise(asked, "asked")
-    rows = term_rows(chunks, key)
-    vocabulary = rows.select("term").distinct().withColumn("bucket", sparse_bucket("term"))
-    vocabulary = materialise(vocabulary.join(asked.select("bucket").distinct(), "bucket", "left_semi"), "vocabulary")
-    held = rows.join(vocabulary, "term").groupBy(key, "bucket").agg(F.count("*").alias("tf"))
-    held = materialise(held, "postings")
+    held = materialise(sparse_postings(chunks, key).join(asked.select("bucket").distinct(), "bucket", "left_semi"), "postings")
     df = held.groupBy("bucket").agg(F.count("*").alias("df"))
     n = chunks.agg(F.count("*").alias("n_rows"))
     idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

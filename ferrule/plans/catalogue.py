@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import services
 from ..config import EngineConfig
 from ..functions import text as fx
-from ..functions.vectors import cosine, dot, hash_embeddings, hashed_weights, norm, sparse_weights
+from ..functions.vectors import cosine, dot, hash_embeddings, hashed_weights, norm
 from ..operators import access, casebook, chunking, context, dense, fusion, lexical, plugins, reports, selection
 from ..sources import store
 from ..sources.documents import parse_frontmatter, read_corpus, read_eval, read_plain, with_defaults
@@ -100,7 +100,7 @@ def hash_embedding(spark, d):
 
 
 def sparse_vector(spark, d):
-    return sparse_weights(lexical.term_rows(_terms(spark, d), "doc_id"), ["doc_id"])
+    return lexical.sparse_postings(_terms(spark, d), "doc_id")
 
 
 def content_hash(spark, d):
