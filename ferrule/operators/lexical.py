@@ -98,7 +98,7 @@ def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int, variant
 
     ``index`` and ``stats`` say what the statistics are of; ``among`` (keys) which rows may
     be found.  Only postings of asked terms take part; they are written once, frequencies are
-    counted on them, and their size decides how they are joined.
+    counted on them, and the sizes of what is written decide how it is joined.
     """
     k1, b = VARIANTS[variant]
     asked = materialise(query_terms(queries), "asked")
@@ -107,6 +107,7 @@ def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int, variant
     odds = (F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.log(1 + odds) if variant == "plain" else F.when(F.log(odds) <= 0, F.lit(LEAST_IDF)).otherwise(F.log(odds))
     weighed = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", "mean_length", idf.alias("idf"))
+    weighed = materialise(weighed, "weights")
     if among is not None:
         held = held.join(among.select(key), key, "left_semi")
     saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
@@ -126,6 +127,7 @@ def sparse_idf(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_
     n = chunks.agg(F.count("*").alias("n_rows"))
     idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weighed = asked.join(df, "bucket").crossJoin(F.broadcast(n)).select("query_id", "bucket", "times", idf.alias("idf"))
+    weighed = materialise(weighed, "weights")
     if among is not None:
         held = held.join(among.select(key), key, "left_semi")
     scored = held.join(weighed, "bucket").groupBy("query_id", key).agg(F.sum(F.col("times") * F.col("tf") * F.col("idf")).alias("score"))

@@ -75,6 +75,6 @@ def test_dot_and_cosine(spark):
 def test_hash_embeddings_agree_with_weights(spark):
     rows = spark.createDataFrame([("a", ["alpha", "beta", "alpha"]), ("b", [])], "key string, terms array<string>")
     dense = {r.key: r.vector for r in vx.hash_embeddings(rows, "key", "terms", 64).collect()}
-    sparse = vx.hashed_weights(rows.select("key", F.explode("terms").alias("term")), ["key"], dims=64).collect()
+    sparse = vx.hashed_weights(rows, "key", dims=64).collect()
     assert len(dense["a"]) == 64 and not any(dense["b"])
     assert {i: v for i, v in enumerate(dense["a"]) if v} == pytest.approx({r.idx: r.weight for r in sparse})
