@@ -446,6 +446,17 @@ def test_licenses():
     assert all(a[i] == b[j] for i, j in pairs) and len(pairs) >= 4
 
 
+def test_whole_licenses_are_told_apart():
+    parsed = {k: licenses.words(v) for k, v in licenses.TEMPLATES.items()}
+    r = random.Random(26)
+    for name, text in licenses.TEMPLATES.items():
+        found = {f[0]: f[1] for f in licenses.find_licenses(prose(r, 50) + "\n" + text + "\n" + prose(r, 50), parsed)}
+        assert found[name] == 1.0 and max(found, key=lambda k: (found[k], k == name)) == name, name
+    two = {f[0] for f in licenses.find_licenses(licenses.TEMPLATES["BSD-2-Clause"], parsed)}
+    assert "BSD-2-Clause" in two and "MIT" not in two
+    assert licenses.find_licenses("a" * 100_000 + " " + "the " * 50_000, parsed) == []
+
+
 def common_words(a, b):
     """The length of a longest common subsequence."""
     row = [0] * (len(b) + 1)
