@@ -457,6 +457,13 @@ def test_whole_licenses_are_told_apart():
     assert licenses.find_licenses("a" * 100_000 + " " + "the " * 50_000, parsed) == []
 
 
+def test_ties_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta", "c"), (2, None, "c"), (3, "alpha beta gamma delta", "c")], "doc_id long, text string, best string")
+    docs = docs.withColumns({c: F.lit("clash") for c in ("licenses", "n_licenses", "best_coverage", "x", "size", "rank")})
+    found = licenses.scan(docs, {"B": "alpha beta gamma delta", "A": "alpha beta gamma delta", "C": ""}).orderBy("doc_id").collect()
+    assert [(r.best, r.licenses, r.best_coverage, r.x) for r in found] == [("A", "A,B", 1.0, "clash"), (None, "", 0.0, "clash"), ("A", "A,B", 1.0, "clash")]
+
+
 def common_words(a, b):
     """The length of a longest common subsequence."""
     row = [0] * (len(b) + 1)
