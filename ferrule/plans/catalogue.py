@@ -311,14 +311,14 @@ def plain_chunks(spark, d):
 
 
 def parent_expand(spark, d):
-    chunks = _line_chunks(spark, d)
+    chunks = materialise(_line_chunks(spark, d).select("chunk_id", "parent_id", "chunk_no", "text", "token_count"), "chunks")  # folded once, read three times
     last = chunks.groupBy("parent_id").agg(F.max_by(F.struct("chunk_id", "text", "token_count"), "chunk_no").alias("c")).select("parent_id", "c.*")
     found = selection.expand(last, chunks)
     return found.select("chunk_id", F.array_join("expanded_ids", ",").alias("expanded_ids"), F.col("expanded_tokens").cast("long").alias("expanded_tokens"), F.sha2("expanded_text", 256).alias("text_sha256"))
 
 
 def siblings(spark, d):
-    chunks = _line_chunks(spark, d)
+    chunks = materialise(_line_chunks(spark, d).select("chunk_id", "parent_id", "text", "token_count"), "chunks")
     asked = chunks.select("parent_id").unionByName(_docs(spark, d).select(F.concat(F.lit("none:"), "doc_id").alias("parent_id")))
     found = selection.siblings(asked, chunks)
     return found.select("parent_id", F.size("siblings").cast("long").alias("n"), F.array_join(F.transform("siblings", lambda s: s["chunk_id"]), ",").alias("ids"))
