@@ -23,7 +23,7 @@ from ..sources.documents import parse_frontmatter, read_corpus, read_eval, read_
 from ..storage import materialise, shared_dir, spread
 from .catalogue_sql import SQL
 from .engine import HybridEngine
-from .fixtures import GATE_ROWS, GOLDEN_DOCS, MARKDOWN_DOCS, RULE_QUERIES, RULE_SENTENCES
+from .fixtures import GATE_ROWS, GOLDEN_DOCS, GOLDEN_QUERIES, MARKDOWN_DOCS, RULE_QUERIES, RULE_SENTENCES
 
 #: Day of the access checks, and the scopes of the asker.
 TODAY, SCOPES = 20260607, ("internal", "public")
@@ -34,7 +34,6 @@ BLOCK_ITEMS = 5_000
 # Own literal fixtures: terms, dates and documents in Chinese and English.
 TOKEN_LITERALS = ("跨境订单退款多久到账？", "SKU-A17 是否支持无理由退货？", "用户 可以 的", "refund Refund policy")
 DAY_LITERALS = ("2026-06-07", "", "2026/01/31", "20251231", "soon", "2026-1-1")
-GOLDEN_QUERIES = (("q1", "跨境订单退款多久到账？"), ("q2", "SKU-A17 是否支持无理由退货？"), ("q3", "会员积分可以提现吗？"), ("q4", "今天北京天气怎么样？"), ("q5", "FR-21 差异工单怎么处理？"))
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

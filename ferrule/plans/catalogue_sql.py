@@ -6,7 +6,7 @@ from ..config import SPARSE_BUCKETS, STOPWORDS
 from ..functions import text as fx
 from ..operators import casebook as cb
 from ..operators import context as cx
-from .fixtures import GATE_ROWS, MARKDOWN_DOCS, RULE_QUERIES, RULE_SENTENCES
+from .fixtures import GATE_ROWS, GOLDEN_DOCS, GOLDEN_QUERIES, MARKDOWN_DOCS, RULE_QUERIES, RULE_SENTENCES
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 _IDENTITY = "local:local-hash-embedding"
@@ -197,25 +197,31 @@ _PLAIN = f"""SELECT doc_id, source, list(piece ORDER BY i, j) AS ps FROM (
       SELECT doc_id, source, i, p, CASE WHEN len({_SENTENCES}) > 0 THEN {_PACKED} END AS pk FROM (
         SELECT doc_id, source, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, source, {_lines('text')} AS ps FROM documents))))) GROUP BY doc_id, source"""
 
-# the greedy choice as a recursion: a step drops near copies of what is chosen, then takes the best of the rest
+
+
+def _greedy(weight: float, duplicate: float, limit: int) -> str:
+    """The greedy choice as a recursion over ``s`` (query_id, ids, near: similarities by place, rel): a step drops near copies of what is chosen, then takes the best of the rest."""
+    nearest = "list_max(list_transform(chosen, lambda c: near[i][c]))"
+    return f"""r(query_id, ids, near, rel, lef, chosen, gains, drops, dups) AS (
+  SELECT query_id, ids, near, rel, range(1, len(ids) + 1), CAST([] AS BIGINT[]), CAST([] AS DOUBLE[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM s
+  UNION ALL
+  SELECT query_id, ids, near, rel, CASE WHEN len(rest) > 0 THEN list_filter(rest, lambda i: i <> best) ELSE rest END,
+    CASE WHEN len(rest) > 0 THEN list_append(chosen, best) ELSE chosen END, CASE WHEN len(rest) > 0 THEN list_append(gains, list_max(g)) ELSE gains END,
+    list_concat(drops, gone), list_concat(dups, list_transform(gone, lambda i: chosen[list_position(list_transform(chosen, lambda c: near[i][c]), {nearest})]))
+  FROM (SELECT *, rest[list_position(g, list_max(g))] AS best FROM (
+    SELECT *, list_transform(rest, lambda i: {weight}::DOUBLE * coalesce(rel[i], 1) - (1 - {weight}::DOUBLE) * CASE WHEN len(chosen) > 0 THEN {nearest} ELSE 0 END) AS g FROM (
+      SELECT *, list_filter(lef, lambda i: len(chosen) = 0 OR {nearest} < {duplicate}) AS rest, list_filter(lef, lambda i: len(chosen) > 0 AND {nearest} >= {duplicate}) AS gone
+      FROM r WHERE len(lef) > 0 AND len(chosen) < {limit})))),
+f AS (SELECT * FROM r WHERE len(lef) = 0 OR len(chosen) = {limit})"""
+
+
 _MMR = f"""WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 t AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, e.v, list_inner_product(q.v, e.v) AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY {_key('list_inner_product(q.v, e.v)')} DESC, e.vec_id) AS rank FROM e q, e WHERE q.vec_id % 100 = 0) WHERE rank <= 12),
 m AS (SELECT a.query_id, a.rank AS i, list(list_inner_product(a.v, b.v) ORDER BY b.rank) AS near FROM t a JOIN t b USING (query_id) GROUP BY 1, 2),
 s AS (SELECT t.query_id, list(vec_id ORDER BY rank) AS ids, list(near ORDER BY rank) AS near, list(score / nullif(top, 0) ORDER BY rank) AS rel
   FROM t JOIN m ON m.query_id = t.query_id AND m.i = t.rank JOIN (SELECT query_id, max(abs(score)) AS top FROM t GROUP BY 1) x ON x.query_id = t.query_id GROUP BY 1),
-r(query_id, ids, near, rel, lef, chosen, gains, drops, dups) AS (
-  SELECT query_id, ids, near, rel, range(1, len(ids) + 1), CAST([] AS BIGINT[]), CAST([] AS DOUBLE[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM s
-  UNION ALL
-  SELECT query_id, ids, near, rel, CASE WHEN len(rest) > 0 THEN list_filter(rest, lambda i: i <> best) ELSE rest END,
-    CASE WHEN len(rest) > 0 THEN list_append(chosen, best) ELSE chosen END, CASE WHEN len(rest) > 0 THEN list_append(gains, list_max(g)) ELSE gains END,
-    list_concat(drops, gone), list_concat(dups, list_transform(gone, lambda i: chosen[list_position(list_transform(chosen, lambda c: near[i][c]), list_max(list_transform(chosen, lambda c: near[i][c])))]))
-  FROM (SELECT *, rest[list_position(g, list_max(g))] AS best FROM (
-    SELECT *, list_transform(rest, lambda i: 0.65::DOUBLE * coalesce(rel[i], 1) - (1 - 0.65::DOUBLE) * CASE WHEN len(chosen) > 0 THEN list_max(list_transform(chosen, lambda c: near[i][c])) ELSE 0 END) AS g FROM (
-      SELECT *, list_filter(lef, lambda i: len(chosen) = 0 OR list_max(list_transform(chosen, lambda c: near[i][c])) < 0.3) AS rest,
-        list_filter(lef, lambda i: len(chosen) > 0 AND list_max(list_transform(chosen, lambda c: near[i][c])) >= 0.3) AS gone
-      FROM r WHERE len(lef) > 0 AND len(chosen) < 8)))),
-f AS (SELECT * FROM r WHERE len(lef) = 0 OR len(chosen) = 8)"""
+{_greedy(0.65, 0.3, 8)}"""
 
 _EXPAND = f"""WITH RECURSIVE {_FOLD},
 lst AS (SELECT parent_id, arg_max(chunk_id, chunk_no) AS own FROM chunks GROUP BY 1),
@@ -260,6 +266,59 @@ _INDEXED = f"""{_NOW}, {_folded(f"SELECT doc_id, 't t' AS source, {_lines('text'
 ct AS (SELECT chunk_id, doc_id, {_spread("'t t ' || text")} AS terms FROM chunks),
 cp AS (SELECT chunk_id, term, count(*) AS tf, max(n) AS length FROM (SELECT chunk_id, len(terms) AS n, unnest(terms) AS term FROM ct) GROUP BY 1, 2),
 stats AS (SELECT count(*) AS n_rows, avg(len(terms)) AS mean_length FROM ct)"""
+# the whole engine on literal documents: sections, recall by both routes, fusion, diversity, the gate, answers
+_GOLDEN = f"""WITH RECURSIVE raw(k, raw) AS (VALUES {', '.join(f"({k}, {_text(t)})" for k, t in enumerate(GOLDEN_DOCS))}),
+hd AS (SELECT k, regexp_extract(raw, '(?s)\\A---\n(.*?)\n---', 1) AS head, {_strip("regexp_replace(raw, '(?s)\\A---\n.*?\n---', '')")} AS body FROM raw),
+dc AS (SELECT regexp_extract(head, 'doc_id: ([^\n]*)', 1) AS doc_id, regexp_extract(head, 'title: ([^\n]*)', 1) AS title, regexp_extract(head, 'permission_scope: ([^\n]*)', 1) AS scope,
+  string_split(replace(body, chr(10) || '## ', chr(1) || '## '), chr(1)) AS ps FROM hd),
+sc0 AS (SELECT doc_id, title, scope, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS n FROM dc),
+sec AS (SELECT doc_id, scope, doc_id || ':sec_' || lpad(CAST(n AS VARCHAR), 2, '0') AS parent_id, title || ' ' || CASE WHEN starts_with(p, '## ') THEN {_strip("regexp_extract(p, '^## ([^\n]*)', 1)")} ELSE title END AS titled, {_NORMAL('p')} AS text FROM sc0),
+{_folded(f"SELECT doc_id, parent_id AS source, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: {_strip('p')}), lambda p: p <> '') AS ps FROM sec", "source")},
+ct AS (SELECT c.chunk_id, c.doc_id, c.text, c.token_count, scope IN ('internal', 'public') AS seen, {_spread("titled || ' ' || c.text")} AS terms FROM chunks c JOIN sec USING (parent_id)),
+gq(query_id, query) AS (VALUES {', '.join(f"('{k}', {_text(q)})" for k, q in GOLDEN_QUERIES)}),
+qa AS (SELECT query_id, query, {_spread('query')} AS terms FROM gq),
+{_HW('dw', '(SELECT chunk_id, unnest(terms) AS term FROM ct)', 'chunk_id')},
+{_HW('qw', '(SELECT query_id, unnest(terms) AS term FROM qa)', 'query_id')},
+ds AS (SELECT query_id, chunk_id, sum(qw.weight * dw.weight) AS score FROM qw JOIN dw USING (idx) GROUP BY 1, 2),
+den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_key('score')} DESC, chunk_id) AS rank FROM (
+  SELECT query_id, chunk_id, coalesce(score, 0) AS score FROM gq CROSS JOIN ct LEFT JOIN ds USING (query_id, chunk_id) WHERE seen)) WHERE rank <= 12),
+post AS (SELECT chunk_id AS doc_id, term, count(*) AS tf, max(n) AS length FROM (SELECT chunk_id, len(terms) AS n, unnest(terms) AS term FROM ct) GROUP BY 1, 2),
+stats AS (SELECT count(*) AS n_rows, avg(len(terms)) AS mean_length FROM ct),
+qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(terms) AS term FROM qa) GROUP BY 1, 2),
+{_bm25('plain', 'WHERE doc_id IN (SELECT chunk_id FROM ct WHERE seen)')},
+fus AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.doc_id) AS chunk_id, a.rank AS dense_rank, b.rank AS bm25_rank, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS score
+  FROM den a FULL JOIN lex b ON a.query_id = b.query_id AND a.chunk_id = b.doc_id),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_key('score')} DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST, chunk_id) AS rank FROM fus) WHERE rank <= 12),
+sm AS (SELECT a.chunk_id AS a, b.chunk_id AS b, sum(a.weight * b.weight) AS near FROM dw a JOIN dw b USING (idx) GROUP BY 1, 2),
+m AS (SELECT x.query_id, x.rank AS i, list(coalesce(near, 0) ORDER BY y.rank) AS near FROM t x JOIN t y USING (query_id) LEFT JOIN sm ON sm.a = x.chunk_id AND sm.b = y.chunk_id GROUP BY 1, 2),
+s AS (SELECT t.query_id, list(chunk_id ORDER BY rank) AS ids, list(near ORDER BY rank) AS near, list(score / nullif(top, 0) ORDER BY rank) AS rel
+  FROM t JOIN m ON m.query_id = t.query_id AND m.i = t.rank JOIN (SELECT query_id, max(abs(score)) AS top FROM t GROUP BY 1) x ON x.query_id = t.query_id GROUP BY 1),
+{_greedy(0.72, 0.92, 12)},
+ch2 AS (SELECT query_id, ids[i] AS chunk_id, n FROM (SELECT query_id, ids, unnest(chosen) AS i, generate_subscripts(chosen, 1) AS n FROM f)),
+ps2 AS (SELECT c.*, row_number() OVER (PARTITION BY c.query_id ORDER BY n) AS position, sum(token_count) OVER (PARTITION BY c.query_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS tokens, ct.doc_id, ct.text, ct.terms, t.bm25_rank
+  FROM ch2 c JOIN ct USING (chunk_id) JOIN t ON t.query_id = c.query_id AND t.chunk_id = c.chunk_id),
+se AS (SELECT *, 'E' || position AS citation_id FROM ps2 WHERE position <= 5 AND tokens <= 900),
+qd AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM qa), qn AS (SELECT query_id, count(*) AS n_terms FROM qd GROUP BY 1),
+sh AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM se WHERE bm25_rank IS NOT NULL),
+nm AS (SELECT query_id, count(*) AS n_met FROM qd JOIN sh USING (query_id, term) GROUP BY 1),
+nl AS (SELECT query_id, count(*) AS n_selected, count(bm25_rank) AS n_lexical FROM se GROUP BY 1),
+bh AS (SELECT DISTINCT chunk_id, unnest(terms) AS term FROM ct WHERE NOT seen),
+bo AS (SELECT query_id, chunk_id, round(count(*) / max(n_terms), 4) AS ratio FROM qd JOIN bh USING (term) JOIN qn USING (query_id) GROUP BY 1, 2
+  HAVING count(*) / max(n_terms) >= 0.25 OR bool_or(regexp_matches(term, '\\d|[-_/]') OR length(term) >= 4)),
+bb AS (SELECT query_id, max(ratio) AS ratio FROM bo GROUP BY 1),
+jd AS (SELECT query_id, query, coalesce(n_met, 0) / greatest(1, coalesce(n_terms, 0)) AS coverage, coalesce(n_selected, 0) AS n_selected, coalesce(n_lexical, 0) AS n_lexical, ratio
+  FROM gq LEFT JOIN qn USING (query_id) LEFT JOIN nm USING (query_id) LEFT JOIN nl USING (query_id) LEFT JOIN bb USING (query_id)),
+ju AS (SELECT *, CASE WHEN {_ood('query')} THEN 'out_of_domain_query' WHEN n_selected = 0 AND ratio IS NOT NULL THEN 'permission_denied' WHEN n_selected = 0 THEN 'no_selected_evidence'
+  WHEN ratio >= 0.45 AND ratio >= coverage + 0.15 THEN 'permission_denied' WHEN coverage >= 0.18 THEN 'pass' WHEN n_lexical = 0 THEN 'rrf_only_missing_lexical_signal' ELSE 'low_query_evidence_overlap' END AS reason FROM jd),
+st AS (SELECT query_id, position, citation_id, i, {_strip('p')} AS sentence FROM (SELECT query_id, position, citation_id, unnest(pp) AS p, generate_subscripts(pp, 1) AS i FROM (
+  SELECT query_id, position, citation_id, regexp_extract_all(regexp_replace(text, '(?m)^#+\\s+.*$', '', 'g'), '[^。！？!?]*[。！？!?]|[^。！？!?]+') AS pp FROM se))),
+sp AS (SELECT st.*, {_points('sentence', 'query', 'list_distinct(terms)')} AS points FROM st JOIN qa USING (query_id) WHERE sentence <> ''),
+sb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, position ORDER BY points DESC, i) AS n FROM sp) WHERE n = 1 AND points > -1),
+sl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS m FROM sb) WHERE m <= 2),
+sa AS (SELECT query_id, string_agg(sentence || ' [' || citation_id || ']', chr(10) ORDER BY m) AS answer, string_agg(citation_id, ',' ORDER BY m) AS citations FROM sl GROUP BY 1)
+SELECT query_id, CASE WHEN reason = 'pass' THEN 'extractive' ELSE 'refusal' END AS mode, reason,
+  CASE WHEN reason = 'pass' AND answer IS NOT NULL THEN answer WHEN reason = 'permission_denied' THEN '{cx.PERMISSION_ANSWER}' ELSE '{cx.REFUSAL_ANSWER}' END AS answer,
+  CASE WHEN reason = 'pass' THEN coalesce(citations, '') ELSE '' END AS citations, true AS citation_valid FROM ju LEFT JOIN sa USING (query_id)"""
 _RULE_ROWS = lambda rows: ", ".join(f"({k}::BIGINT, {_text(r)})" for k, r in enumerate(rows))
 _GATE = ", ".join("(" + ", ".join("NULL" if v is None else _text(v) if isinstance(v, str) else f"{v}::DOUBLE" for v in (k, *r)) + ")" for k, r in enumerate(GATE_ROWS))
 _GATED = lambda policy: f"""CASE WHEN {_ood('query')} THEN 'out_of_domain_query' WHEN n_selected = 0 AND ratio IS NOT NULL THEN 'permission_denied' WHEN n_selected = 0 THEN 'no_selected_evidence'
@@ -417,4 +476,5 @@ SELECT query_id, CASE WHEN asked AND n % 3 <> 0 THEN 'llm' ELSE mode END AS mode
     "setting_lines": "SELECT * FROM (VALUES (0::BIGINT, 'a', '1', true), (1, 'b', 'x y', false), (2, 'c', 'q=r', false), (3, NULL, NULL, true), (4, NULL, NULL, true), (5, NULL, NULL, true), (6, NULL, NULL, true), (7, 'g', '', true), (8, 'flag', 'Yes', true)) t(k, key, value, flag)",
     "response_scores": """WITH q AS (SELECT item_id AS query_id, text, length(text) % 5 + 1 AS n FROM benchmark)
 SELECT query_id, CAST(n * (n - 1) * 100 / 8 AS BIGINT) AS listed, CAST(coalesce(list_sum(list_transform(list_filter(range(n), lambda i: i % 2 = 1), lambda i: i * 50)), 0) AS BIGINT) AS by_place, 'a' || left(text, n) AS text FROM q""",
+    "hybrid_golden": _GOLDEN,
 }
