@@ -346,7 +346,8 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int =
     members = materialise(_screen(rows, similarity), "members")
 
     large = materialise(placed.where("blocks > 1"), "large")
-    wanted = members.select("rep").unionByName(large.select("rep")).distinct()
+    # written, so that its real size decides whether the texts of all documents are shuffled to meet it
+    wanted = materialise(members.select("rep").unionByName(large.select("rep")).distinct(), "wanted")
     source = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     texts = materialise(source.join(wanted, "rep"), "texts")
     links = materialise(_confirm(members, texts, size, similarity), "links")
@@ -358,7 +359,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, similarity: int =
 
     ends = classes.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left")
     ends = materialise(ends.select("digest", F.coalesce("component", "rep").alias("component_id")), "components")
-    for done in (classes, crowded, stars, several, members, large, texts, links):
+    for done in (classes, crowded, stars, several, members, large, wanted, texts, links):
         discard(done)
     out = named.select("doc_id", "n_shingles", "digest").join(ends, "digest").drop("digest")
     alone = docs.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
