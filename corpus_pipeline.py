@@ -59,6 +59,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest id of each group stays, one row of it; rows without an id stay, one a text that no document has."""
     docs = _one_row_a_copy(docs)
     dropped = neardup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
+    dropped = materialise(dropped, "dropped")  # of a known size: a short list does not shuffle the documents
     return docs.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
