@@ -139,6 +139,10 @@ def access_reasons(spark, d):
     return _access(spark, d).select("doc_id", access.reason(SCOPES, TODAY).alias("reason"))
 
 
+def access_reasons_by_text(spark, d):
+    return _access(spark, d).select("doc_id", access.reason_by_text(SCOPES, "2026-06-07").alias("reason"))
+
+
 def access_counts(spark, d):
     return access.reason_counts(access_reasons(spark, d))
 
@@ -809,7 +813,7 @@ def hybrid_golden(spark, d):
 
 _QUERIES = (
     tokenize_terms, tokenize_literals, term_stats, corpus_stats, hash_embedding, sparse_vector, content_hash, normalize_text, scalar_text, sortable_day,
-    access_reasons, access_counts, visible_docs, access_store_split, access_remote_split, blocked_matches, blocked_recall,
+    access_reasons, access_reasons_by_text, access_counts, visible_docs, access_store_split, access_remote_split, blocked_matches, blocked_recall,
     bm25_topk, bm25_fts5_topk, sparse_idf_topk, hash_dense_topk, dense_topk, cosine_topk_minscore, rrf_fused, rerank_skip, rerank_scores, rerank_response,
     mmr_selected, mmr_dropped, dynamic_truncate, hydrate, section_split, chunk_fold, chunk_rows, plain_chunks, parent_expand, siblings,
     sync_diff, upsert_merge, delete_docs, manifest_first, sufficiency, sufficiency_rrf_only, context_evidence, extractive_answer, citation_validation,

@@ -342,6 +342,8 @@ SQL = {
   'ber_' || source || '_' || lang AS path_slug, 'a ' || source || ' b' AS clean, 'local' || lang || ':' || source AS identity, greatest(1, length(text) // 2) AS token_count FROM documents""",
     "sortable_day": "SELECT * FROM (VALUES (0::BIGINT, 20260607::BIGINT), (1, 99991231), (2, 20260131), (3, 20251231), (4, 99991231), (5, 99991231)) t(id, day)",
     "access_reasons": f"WITH {_ACC} SELECT doc_id, CASE WHEN NOT {_ALLOWED} THEN 'permission_scope' WHEN from_day > 20260607 THEN 'not_yet_effective' WHEN to_day < 20260607 THEN 'expired' END AS reason FROM acc",
+    "access_reasons_by_text": f"""WITH {_ACC} SELECT doc_id, CASE WHEN NOT {_ALLOWED} THEN 'permission_scope' WHEN effective_from <> '' AND effective_from > '2026-06-07' THEN 'not_yet_effective'
+  WHEN effective_to <> '' AND effective_to < '2026-06-07' THEN 'expired' END AS reason FROM acc""",
     "access_counts": f"""WITH {_ACC} SELECT count(*) FILTER ({_ALLOWED} AND {_VALID}) AS visible, count(*) FILTER (NOT {_ALLOWED}) AS permission_scope,
   count(*) FILTER ({_ALLOWED} AND from_day > 20260607) AS not_yet_effective, count(*) FILTER ({_ALLOWED} AND from_day <= 20260607 AND to_day < 20260607) AS expired FROM acc""",
     "visible_docs": f"WITH {_ACC} SELECT doc_id, array_to_string(scopes, ',') AS scopes, CAST(from_day AS BIGINT) AS from_day, CAST(to_day AS BIGINT) AS to_day FROM acc WHERE {_ALLOWED} AND {_VALID}",

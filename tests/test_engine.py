@@ -341,3 +341,16 @@ def test_relevant_documents_equal_a_plain_search(spark):
     assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().toString()
     want = {(q, d) for q, item in enumerate(items) for d, text in enumerate(texts) if item is not None and text is not None and item in text}
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_event_stream_rolls_up(spark, tmp_path):
+    from ferrule.streaming import ingest
+
+    rows = [("2026-01-01 00:10:00", "a", 1.0), ("2026-01-01 00:50:00", "a", 2.0), ("2026-01-01 01:10:00", "a", 4.0), ("2026-01-01 00:20:00", "b", 8.0)]
+    events = spark.createDataFrame(rows, "at string, kind string, value double").select(F.to_timestamp("at").alias("ts"), "kind", "value")
+    events.write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+    rolled = ingest.stream_roll_up(stream, "ts", ["kind"], "value", "1 hour", "2 hours")
+    rolled.writeStream.format("memory").queryName("rolled").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    want = {tuple(r) for r in reports.roll_up(events, "ts", ["kind"], "value", "1 hour").collect()}
+    assert {tuple(r) for r in spark.table("rolled").collect()} == want and len(want) == 3
