@@ -17,7 +17,6 @@ code points, ends exclusive; equal texts get equal results; candidates do not ov
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 
