@@ -25,8 +25,8 @@ def term_rows(rows: DataFrame, *columns, terms: str = "terms") -> DataFrame:
     return rows.select(*columns, F.explode_outer(terms).alias("term")).where("term IS NOT NULL")
 
 
-def _counted(rows: DataFrame, key: str, terms: str, columns: str, name_terms) -> DataFrame:
-    """(key, name, tf, length): how often each name occurs among a row's terms, counted where the row lies.
+def _counted(rows: DataFrame, key: str, terms: str, columns: str, name_terms, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, name, tf, length, carry): how often each name occurs among a row's terms, counted where the row lies.
 
     ``name_terms`` maps a batch's distinct terms to names, or gives None to keep the terms.
     The key is a row's own, so nothing is shuffled.
@@ -46,15 +46,18 @@ def _counted(rows: DataFrame, key: str, terms: str, columns: str, name_terms) ->
             n = max(len(names), 1)
             pairs, tf = np.unique(np.repeat(np.arange(batch.num_rows), lengths) * n + code, return_counts=True)
             row = pairs // n
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), names.take(pa.array(pairs % n)), pa.array(tf), pa.array(lengths[row])], names=kinds)
+            own = pa.array(row)
+            told = [batch.column(0).take(own), names.take(pa.array(pairs % n)), pa.array(tf), pa.array(lengths[row])]
+            yield pa.RecordBatch.from_arrays([*told, *[batch.column(2 + i).take(own) for i in range(len(carry))]], names=kinds)
 
-    kinds = [key, columns.split()[0], "tf", "length"]
-    return rows.select(key, F.col(terms).cast("array<string>")).mapInArrow(run, f"`{key}` {key_type}, {columns}, tf long, length long")
+    kinds = [key, columns.split()[0], "tf", "length", *carry]
+    more = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.select(key, F.col(terms).cast("array<string>"), *carry).mapInArrow(run, f"`{key}` {key_type}, {columns}, tf long, length long{more}")
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", terms: str = "terms") -> DataFrame:
-    """(key, term, tf, length): one row for each distinct term of a row; the key is a row's own."""
-    return _counted(chunks, key, terms, "term string", None)
+def postings(chunks: DataFrame, key: str = "chunk_id", terms: str = "terms", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, term, tf, length, carry): one row for each distinct term of a row; the key is a row's own."""
+    return _counted(chunks, key, terms, "term string", None, carry)
 
 
 def sparse_postings(chunks: DataFrame, key: str = "chunk_id", terms: str = "terms") -> DataFrame:

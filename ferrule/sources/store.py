@@ -186,7 +186,7 @@ class IndexStore:
         build_chunks(fresh, self.config).withColumn("n_terms", F.size("terms")).write.mode("overwrite").parquet(incoming)
         chunks = self.spark.read.parquet(incoming)
         manifest = fresh.select("doc_id", "source_path", "content_hash", "embedding_model", F.current_timestamp().alias("updated_at"))
-        index = postings(chunks).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+        index = postings(chunks, carry=("doc_id",))
         return {"documents": manifest, "chunks": chunks, "postings": index, "vectors": self._embedded(chunks)}
 
     def _replace(self, tables: dict[str, DataFrame], keys: DataFrame | None, n_bytes: int, gen: int) -> None:
