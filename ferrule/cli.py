@@ -27,11 +27,11 @@ def parser() -> argparse.ArgumentParser:
     for name, text in (("ask", "answer a question"), ("eval", "run an evaluation set"), ("index", "bring the index in line with the documents")):
         task = tasks.add_parser(name, help=text)
         task.add_argument("--index", required=True)
-        task.add_argument("--docs", help="markdown folder to index")
+        task.add_argument("--docs", required=name == "index", help="markdown folder to index")
         task.add_argument("--rebuild-index", action="store_true")
         if name != "index":
             task.add_argument("--scopes", default="internal,public", help="scopes of the asker, separated by commas")
-            task.add_argument("--today", type=int, default=20260607)
+            task.add_argument("--today", type=int, help="day of the access checks, yyyymmdd; this day by default")
             task.add_argument("--blocked-hint", action="store_true")
             task.add_argument("--events", help="folder that monitoring events are appended to")
             task.add_argument("--traces", help="folder that traces are appended to")

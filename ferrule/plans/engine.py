@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,8 +85,8 @@ class HybridEngine:
         self.config, self.score_model, self.model_name, self.embedder = config, score_model, model_name, embedder
         self.reranker, self.llm, self.patience = reranker, llm, patience
 
-    def run(self, queries: DataFrame, allowed=(), today: int = 20260607, blocked_hint: bool = False) -> Answered:
-        """``queries``: query_id, query.
+    def run(self, queries: DataFrame, allowed=(), today: int | None = None, blocked_hint: bool = False) -> Answered:
+        """``queries``: query_id, query.  ``today`` (yyyymmdd) is the day of the access checks, by default this one.
 
         What several results share is a dozen rows a query; those rows are written to shared
         storage until ``release``, so recall runs once however many results are read, and each
@@ -103,6 +104,7 @@ class HybridEngine:
             spent[name], clock = int((now - clock) * 1000), now
             return held[-1]
 
+        today = today or int(date.today().strftime("%Y%m%d"))
         allowed = access.effective_scopes(allowed, c)
         chunks, seen = index.chunks(), access.visible(allowed, today)
         permission = stage("access_filter", access.reason_counts(chunks.select(access.reason(allowed, today).alias("reason"))))
