@@ -1,7 +1,7 @@
 """Secret scans: patterns propose candidates, a random forest removes false positives.
 
-Candidates are tokens that look like keys: values assigned or quoted, tokens of known
-shapes, and long unbroken runs of letters and digits.  A forest of decision trees, trained
+Candidates are tokens that look like keys: values quoted or assigned to a name for keys,
+passwords in addresses, tokens of known shapes, and long unbroken runs of letters and digits.  A forest of decision trees, trained
 here in numpy from labelled findings, judges each by its length, character classes and
 transitions, spread of characters, share covered by dictionary words, the path it may stand in, and
 the words beside it.
@@ -10,6 +10,9 @@ Labelled findings come as rows (text before, candidate, text after, is_secret);
 any, a generator writes them from public shapes of keys and of their look-alikes
 (checksums of files, identifiers, numbers, placeholders, prose, embedded images, rules of dashes).
 
+An assigned value follows a name for keys, with a suffix of up to 25 characters, and ``=`` or ``:``; one without
+quotes ends at white space, quotes, brackets, commas, semicolons or ``&`` and has eight characters at least.
+
 Defined results: null and empty texts have no candidates; texts are read whole; spans are
 code points, ends exclusive; equal texts get equal results; candidates do not overlap
 (leftmost, then longest); extra columns are left out unless kept by name.
@@ -32,6 +35,12 @@ _CANDIDATE = re.compile(
     r"|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])"
 )
 _QUOTED = re.compile(r"""(?:[=:]\s{0,4})(["'])([^"'\s]{8,}+)\1""")
+_ASSIGNS = re.compile(r"[=:]")
+_NAMES = re.compile(
+    r"(?:secret|token|passwo?r?d|passphrase|pwd|credential|api[_-]?key|access[_-]?key|private[_-]?key)(?:[_-][A-Za-z0-9_-]{0,24})?\s{0,4}$", re.I
+)
+_VALUE = re.compile(r"\s{0,4}(?!\$)([^\s\"'`<>(){}\[\],;&]{8,}+)")
+_LOGIN = re.compile(r"://[^\s:/@\"'<>]++:([^\s/@\"'<>]{8,}+)@")
 _WORD = re.compile(r"[A-Za-z]+")
 _KEYED = re.compile(r"(?:secret|token|passw|pwd|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|signature)", re.I)
 _HARMLESS = re.compile(r"(?:sha(?:1|256|512)?|md5|checksum|digest|commit|hash|etag|uuid|guid|integrity|revision|example|sample|placeholder|dummy|id)(?![A-Za-z])", re.I)
@@ -47,7 +56,7 @@ _DICTIONARY = frozenset(
 FEATURES = (
     "length", "digits", "lower", "upper", "symbols", "changes", "case_changes", "entropy", "hex", "longest_run",
     "dictionary", "vowels", "path", "extension", "assigned", "quoted", "keyed", "harmless", "shape", "distinct", "all_digits",
-    "common_bigrams", "dashes",
+    "common_bigrams", "dashes", "login", "embedded", "marks",
 )
 _BIGRAMS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split())
 
@@ -60,6 +69,17 @@ def candidates(text: str) -> list[tuple[int, int]]:
     found = [m.span() for m in _CANDIDATE.finditer(text)]
     if '"' in text or "'" in text:
         found += [m.span(2) for m in _QUOTED.finditer(text)]
+    read = 0
+    for m in _ASSIGNS.finditer(text):
+        if m.start() < read or not _NAMES.search(text[max(0, m.start() - 48) : m.start()]):
+            continue
+        value = _VALUE.match(text, m.end())
+        if value:
+            start, read = value.span(1)
+            end = start + len(value[1].rstrip(".:"))  # a sentence's end
+            if end - start >= 8:
+                found.append((start, end))
+    found += [m.span(1) for m in _LOGIN.finditer(text)]
     out, last = [], 0
     for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
         if start >= last:
@@ -101,7 +121,8 @@ def describe(before: str, token: str, after: str) -> list[float]:
         float(re.search(r"[=:]\s*[\"']?$", before) is not None), float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
         float(_KEYED.search(near) is not None), float(_HARMLESS.search(near) is not None),
         float(_SHAPE.match(token) is not None), len(counts) / n, float(share[2] == 1.0),
-        common / max(1, twos), float(token.count("-")),
+        common / max(1, twos), float(token.count("-")), float(after[:1] == "@"),
+        float("base64," in before[-7:] + token[:60]), float(any(c in "!#%^*?~&$" for c in token)),
     ]
 
 
@@ -177,24 +198,39 @@ def generated_findings(n: int, seed: int = 23) -> list[tuple[str, str, str, bool
     attributes = [' class="', ' href="', ' name: "', " title = '", '"label": "', "?ref=", "&utm_campaign=", " file=", " lang: '", " alt='"]
     plain = lambda: "".join(pick(ascii_syllables) for _ in range(int(r.integers(2, 4))))
     phrase = lambda: pick(["-", "-", "_", ""]).join(plain() for _ in range(int(r.integers(3, 6))))
+    schemes = ["https", "postgres", "mysql", "redis", "ftp", "amqp", "mongodb+srv"]
+    bare = lambda: (plain() + plain() + plain())[: int(r.integers(8, 12))]
+
+    def password():
+        typed = plain()[:6] + chars(mixed[52:], int(r.integers(1, 5)))
+        token = pick([typed.capitalize(), typed, typed + plain()[:6], chars(mixed + "!#%^*?~", 8)]) + pick(["!", "#", "?", "*", "%"]) + chars(mixed, int(r.integers(2, 6)))
+        return token + chars(mixed, max(0, 8 - len(token)))
+
     out = []
     for _ in range(n):
         shout = (lambda s: s.upper()) if r.random() < 0.1 else (lambda s: s)
         if r.random() < 0.5:
-            kind = int(r.integers(8))
+            kind = int(r.integers(10))
             token = [
                 lambda: chars(hexes, pick([32, 40, 40, 40, 64])), lambda: chars(mixed, int(r.integers(20, 60))),
                 lambda: pick(["AKIA", "ASIA"]) + chars(mixed[:26] + "234567", 16), lambda: pick(["ghp_", "gho_", "glpat-", "sk_live_", "npm_"]) + chars(mixed, 36),
                 lambda: chars(mixed + "+/", pick([40, 44, 64])), lambda: pick(["xoxb-", "xoxp-"]) + chars("0123456789", 12) + "-" + chars(mixed, 24),
                 lambda: chars(mixed + "+/", int(r.integers(200, 1_800))), lambda: pick([phrase, phrase, lambda: chars(mixed[:52], int(r.integers(16, 40)))])(),
+                password, password,
             ][kind]()
             quote = pick(['"', '"', "'", ""])
+            if kind == 8 and quote and r.random() < 0.5:
+                token = bare()
             before = prose() + pick([" ", " ", "?", "&"]) + pick(key_ids if kind == 2 and r.random() < 0.3 else names) + pick([" = ", "=", ": ", " : "]) + quote
             if kind in (2, 3, 5) and r.random() < 0.5:
                 quote, before = "", prose() + " "
+            if kind == 9:
+                before, after = prose() + " " + pick(schemes) + "://" + plain() + ":", "@" + plain() + pick([".com", ":5432", "/"]) + " " + prose()
+                out.append((before, token, after, True))
+                continue
             out.append((shout(before), shout(token), quote + " " + prose(), True))
         else:
-            kind = int(r.integers(14))
+            kind = int(r.integers(16))
             before, after = prose() + " ", " " + prose()
             if kind == 0:
                 token, before = chars(hexes, pick([32, 40, 64])), prose() + pick([" sha256: ", " md5=", " commit ", " checksum: ", " etag: ", " sha1 "])
@@ -215,7 +251,8 @@ def generated_findings(n: int, seed: int = 23) -> list[tuple[str, str, str, bool
             elif kind == 8:
                 token, before = pick(["public", "main", "images", "product"]) + "/" + word() + "/" + chars("0123456789", 6) + "/" + word() + word(), before + pick(["http://host/", "/"])
             elif kind == 9:
-                token = pick([phrase, lambda: plain() + plain() + plain() + plain(), lambda: "/".join(plain() for _ in range(4))])()
+                long = lambda: "".join(pick(ascii_syllables) for _ in range(int(r.integers(7, 13)))).capitalize()
+                token = pick([phrase, long, long, lambda: plain() + plain() + plain() + plain(), lambda: "/".join(plain() for _ in range(4))])()
             elif kind == 10:
                 token, before = phrase(), prose() + pick(attributes)
                 after = (before[-1] if before[-1] in "\"'" else "") + after
@@ -223,15 +260,22 @@ def generated_findings(n: int, seed: int = 23) -> list[tuple[str, str, str, bool
                 token, quote = pick(["your-token-goes-here", "changeme-changeme", "insert-password-here", "example_secret_key", "xxxxxxxxxxxxxxxxxxxx", "get_user_access_token", "YOUR_API_KEY_HERE", "user_password_default", "placeholder"]), pick(['"', "'", ""])
                 before, after = prose() + " " + pick(names) + pick([" = ", "=", ": "]) + quote, quote + after
             elif kind == 12:
-                token, before, after = chars(mixed + "+/", int(r.integers(100, 1_800))), prose() + pick([' src="', " url(", " "]) + pick(["data:image/png;base64,", "data:font/woff2;base64,"]), pick(['"', ")", " "]) + after
-            else:
+                token, kept = chars(mixed + "+/", int(r.integers(100, 1_800))), pick(["data:image/png;base64,", "data:font/woff2;base64,"])
+                before, after = prose() + pick([' src="', " url(", " "]), pick(['"', ")", " "]) + after
+                token, before = (kept + token, before) if before[-1] == '"' and r.random() < 0.7 else (token, before + kept)
+            elif kind == 13:
                 token = pick(["-", "_", "-_", "+-", "/"]) * int(r.integers(16, 80))
+            elif kind == 14:
+                token, before = bare(), prose() + " " + pick(names) + pick([" = ", "=", ": "])
+            else:
+                token = pick([".", "_"]).join(pick(["config", "settings", "self", "user", "get", "env", plain()]) for _ in range(3))
+                before, after = prose() + " " + pick(names) + pick([" = ", "=", ": "]), pick(["(", "[", ",", ";", " "]) + after
             out.append((shout(before), shout(token), after, False))
     return out
 
 
 #: Generated findings the forest is trained on, and the share of trees' votes that makes a secret.
-TRAINING_FINDINGS = 3_000
+TRAINING_FINDINGS = 4_000
 DECISION = 0.5
 _trained: dict[int, Forest] = {}
 
