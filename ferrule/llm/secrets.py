@@ -35,7 +35,7 @@ _CANDIDATE = re.compile(
     r"|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])"
 )
 _QUOTED = re.compile(r"""(?:[=:]\s{0,4})(["'])([^"'\s]{8,}+)\1""")
-_ASSIGNS = re.compile(r"[=:]")
+_ASSIGNS = re.compile(r"(?<=[A-Za-z0-9_\s-])[=:]")
 _NAMES = re.compile(
     r"(?:secret|token|passwo?r?d|passphrase|pwd|credential|api[_-]?key|access[_-]?key|private[_-]?key)(?:[_-][A-Za-z0-9_-]{0,24})?\s{0,4}$", re.I
 )
