@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, language, licenses, mix, neardup, negatives, neighbours, pii, secrets, spelling, suffixes
+from . import decontaminate, extract, jaccard, language, licenses, mix, neardup, negatives, neighbours, pii, secrets, spelling, suffixes
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_personal_data": pii.op8_personal_data,
         "op9_licenses": licenses.op9_licenses,
         "op10_neighbours": neighbours.op10_neighbours,
+        "op11_jaccard_join": jaccard.op11_jaccard_join,
         "op12_spelling": spelling.op12_spelling,
         "op13_hard_negatives": negatives.op13_hard_negatives,
     }
@@ -27,6 +28,7 @@ def oracle_sql():
         "op1_near_duplicates": neardup.OP1_SQL,
         "op5_decontaminate": decontaminate.OP5_SQL,
         "op6_mix_sources": mix.OP6_SQL,
+        "op11_jaccard_join": jaccard.OP11_SQL,
         "op12_spelling": spelling.OP12_SQL,
         "op13_hard_negatives": negatives.OP13_SQL,
     }
