@@ -49,19 +49,30 @@ _TOKEN = re.compile(
     re.S,
 )
 _RAW = frozenset("script style template noscript iframe object svg math canvas textarea title xmp noembed noframes audio video".split())
-_DROPPED = frozenset("head nav footer aside form menu dialog select button fieldset datalist option label".split())
+_DROPPED = frozenset("head nav footer aside menu dialog select button fieldset datalist option label".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article blockquote body br caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup"
     " hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+_CONTAINERS = frozenset("div section ul ol dl table center".split())
 #: Elements that, if they are never closed, take the rest of the page with them.
 _TO_THE_END = frozenset("head footer script style".split())
-#: Words in class, id or role that mark an element as no part of an article.
+#: Words in class, id or role that mark an element as no part of an article, wherever it stands.
 _NEVER = frozenset(
-    "ad ads adsbygoogle adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu"
-    " submenu breadcrumb breadcrumbs sidebar cookie cookies consent gdpr newsletter subscribe subscription signup share sharing"
-    " comment comments commentlist disqus pagination pager complementary contentinfo".split()
+    "ad ads adsbygoogle adv advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr"
+    " comment comments commentlist disqus".split()
+)
+#: Words that mark one beside an article; inside it such an element is doubtful.
+_BESIDE = frozenset(
+    "promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar newsletter subscribe subscription signup share sharing"
+    " pagination pager complementary contentinfo".split()
+)
+#: Words that say where and how an element lies: with them a mark is still a mark ("ad-slot", "left-sidebar").
+_PLACES = frozenset(
+    "area article bar block body bottom box button buttons center col column container content core desktop div el element entry footer form frame group"
+    " header holder icons id inner item items js left line link links list main mobile module outer page panel placeholder post posts primary right row"
+    " secondary section site slot small story top ui unit upper view widget wrap wrapper zone".split()
 )
 #: Words that mark an element as doubtful: its lines' weights decide.
 _DOUBTFUL = frozenset(
@@ -80,16 +91,16 @@ _HIDDEN_ATTRIBUTE = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
-TEXT, DOUBT, LEFT_OUT = range(3)
+TEXT, DOUBT, SIDE, LEFT_OUT = range(4)
 
 
 def _kind(name: str, attributes: str, in_article: bool) -> int:
-    """Whether an element's lines are text, doubtful, or left out."""
+    """Whether an element's lines are text, doubtful, left out unless it holds most of the page's text, or left out."""
     if name in _DROPPED or name == "header" and not in_article:
         return LEFT_OUT
+    kind = SIDE if name == "form" else TEXT
     if not attributes or name in ("html", "body"):
-        return TEXT
-    kind = TEXT
+        return kind
     for m in _MARKS.finditer(attributes):
         for mark in (m[1] or m[2] or m[3] or "").lower().split():
             words = set(_WORD.findall(mark))
@@ -97,10 +108,19 @@ def _kind(name: str, attributes: str, in_article: bool) -> int:
                 continue
             if name in ("main", "article"):
                 words &= {"comment", "comments"}
-            if not words.isdisjoint(_NEVER) or not in_article and not words.isdisjoint(_FRAME_MARKS):
+            never, beside = words & _NEVER, words & _BESIDE
+            if not in_article:
+                beside |= words & _FRAME_MARKS
+            doubtful = words & _DOUBTFUL
+            # a mark among words of another kind ("sharing-economy", "page-nav-open") says little about what an element holds,
+            # and nothing in an article or about a paragraph
+            whole = words <= never | beside | doubtful | _PLACES
+            if never and whole:
                 return LEFT_OUT
-            if not words.isdisjoint(_DOUBTFUL):
-                kind = DOUBT
+            if beside and whole and not in_article:
+                kind = max(kind, SIDE)
+            elif (beside or doubtful or never) and (whole or not in_article and name in _CONTAINERS):
+                kind = max(kind, DOUBT)
     return LEFT_OUT if _HIDDEN.search(attributes) or _HIDDEN_ATTRIBUTE.search(_QUOTED.sub("", attributes)) else kind
 
 
@@ -172,13 +192,29 @@ def tags(page: str) -> tuple[list[tuple], list[int]]:
     return out, closed_by
 
 
+def _own_text(page: str, found: list[tuple]) -> list[int]:
+    """Characters of text outside links before each tag, and on the whole page."""
+    out, total, at, linked = [], 0, 0, False
+    for start, end, name, closes, _ in found:
+        if not linked:
+            total += len(page[at:start].strip())
+        out.append(total)
+        at = end
+        if name == "a":
+            linked = not closes
+    out.append(total + len(page[at:].strip()))
+    return out
+
+
 def lines(page: str) -> tuple[list[Line], Layout]:
     """The page's lines; a line without text is part of a gap that an element left out has made."""
     out: list[Line] = []
     layout = Layout()
     buffer: list[str] = []
     stack: list[tuple[str, int]] = []
-    places = article = articles = linked = doubt = doubts = 0
+    places = article = articles = linked = doubts = 0
+    doubtful: list[tuple[int, int, int]] = []  # those that are open: number, closing tag, the article they stand in
+    own: list[int] = []
     in_link = mute = False
     found, closed_by = tags(page)
 
@@ -188,11 +224,11 @@ def lines(page: str) -> tuple[list[Line], Layout]:
             text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
             buffer.clear()
             if text:
+                doubt = doubtful[-1][0] if doubtful and doubtful[-1][2] == article else 0
                 out.append(Line(text, max(0, len(text) - linked), stack[-1][1] if stack else 0, article, doubt))
         linked = 0
 
     at = k = 0
-    doubt_ends = -1
     while True:
         start = found[k][0] if k < len(found) else len(page)
         if start > at and not mute:
@@ -201,9 +237,9 @@ def lines(page: str) -> tuple[list[Line], Layout]:
         if k == len(found):
             break
         _, at, name, closes, attributes = found[k]
-        if k == doubt_ends:
+        while doubtful and doubtful[-1][1] <= k:
             flush()
-            doubt, doubt_ends = 0, -1
+            doubtful.pop()
         k += 1
         if not name:
             continue
@@ -223,6 +259,9 @@ def lines(page: str) -> tuple[list[Line], Layout]:
                     article = 0
             continue
         kind = TEXT if name in _VOID or attributes.endswith("/") else _kind(name, attributes, article > 0)
+        if kind == SIDE:
+            close, own = closed_by[k - 1], own or _own_text(page, found)
+            kind = LEFT_OUT if close < 0 or 2 * (own[close] - own[k - 1]) <= own[-1] else TEXT
         if kind == LEFT_OUT:
             flush()
             if not article and _is_frame(name, attributes):
@@ -232,15 +271,15 @@ def lines(page: str) -> tuple[list[Line], Layout]:
             mute = close < 0
             if close >= 0:
                 at, k = found[close][1], close + 1
-                if close == doubt_ends or 0 <= doubt_ends < k:
-                    doubt, doubt_ends = 0, -1
+                while doubtful and doubtful[-1][1] < k:
+                    doubtful.pop()
             elif name in _TO_THE_END:
                 break
             continue
-        if kind == DOUBT and not doubt and closed_by[k - 1] >= 0:
+        if kind == DOUBT and closed_by[k - 1] >= 0:
             flush()
             doubts += 1
-            doubt, doubt_ends = doubts, closed_by[k - 1]
+            doubtful.append((doubts, closed_by[k - 1], article))
         if name in _BLOCK:
             flush()
             mute = False
@@ -316,15 +355,15 @@ def main_text(page: str | None) -> str:
     found = _settled(found)
     weights = [x.weight for x in found]
     cut = regions(weights)
-    in_article: dict[int, list[int]] = {}
+    in_article: dict[int, list[Line]] = {}
     for x in found:
         if x.article and x.text:
-            in_article.setdefault(x.article, []).append(x.weight)
+            in_article.setdefault(x.article, []).append(x)
     if in_article:
-        # a page may hold several articles and teasers of others: those that surge are its text
-        peaks = {k: max(sums(v)) for k, v in in_article.items()}
+        # a page may hold several articles and teasers of others, which have a link and do not surge
+        peaks = {k: max(sums([x.weight for x in v])) for k, v in in_article.items()}
         surge = min(SURGE, max(peaks.values()) / 2)
-        told = {k for k, v in peaks.items() if v >= surge}
+        told = {k for k, v in peaks.items() if v >= surge or all(x.weight == len(x.text) for x in in_article[k])}
         own = [x for lo, hi in cut for x in found[lo:hi] if x.text and x.article in told]
         return " ".join(x.text for x in own or [x for x in found if x.text and x.article in told])
     if not cut:
