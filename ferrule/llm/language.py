@@ -21,7 +21,6 @@ left out unless kept by name.
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -42,11 +41,11 @@ UNKNOWN = "und"
 
 #: ASCII bytes other than letters become blanks.
 _LETTER_BYTES = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Number signs (\u00bd, \u00b2, \u2460) and marks are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def _letters(text: str) -> bytes:
