@@ -20,8 +20,9 @@ same rows.
 
 Defined results: rows whose id is null, and vectors that are null, empty, zero or hold
 null or non-finite components, take no part; vectors of different lengths are searched
-apart; rows that repeat the query's id are the query's own; ties go to the smaller id;
-an empty table gives an empty result.
+apart; rows that repeat the query's id are the query's own; queries that repeat an id are
+asked apart, equal ones once; rows that repeat an id are listed once, with the best of their
+scores; ties go to the smaller id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 BITS = 64
 SUBSTRING = 16
@@ -108,6 +109,7 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray):
         self.ids, self.x, self.codes = ids, x, codes
+        self.repeats = int(np.unique(ids, return_counts=True)[1].max(initial=1))
         self.order = [np.argsort(c, kind="stable") for c in codes.T]
         keys = np.arange((1 << SUBSTRING) + 1)
         self.starts = [np.searchsorted(c[o], keys) for c, o in zip(codes.T, self.order, strict=True)]
@@ -145,14 +147,17 @@ class Shard:
         return out
 
     def ranked(self, rows: np.ndarray, q: np.ndarray, k: int):
-        """The ``k`` nearest of some rows, ties to the smaller id."""
+        """The ``k`` nearest of some rows, each id once, ties to the smaller id."""
         score = (self.x[rows] * q).sum(1)
-        order = np.lexsort((self.ids[rows], -score))[:k]
-        return self.ids[rows[order]], score[order]
+        order = np.lexsort((self.ids[rows], -score))
+        if self.repeats > 1:
+            _, first = np.unique(self.ids[rows[order]], return_index=True)
+            order = order[np.sort(first)]
+        return self.ids[rows[order[:k]]], score[order[:k]]
 
     def nearest(self, ids: np.ndarray, q: np.ndarray, asked: np.ndarray, radius: int, k: int):
         """Of each query, the ``k`` nearest rows among those within the radius: (ids, scores)."""
-        n = len(self.ids)
+        n, wanted = len(self.ids), k * self.repeats
         if self.probes(radius):
             for i in range(len(ids)):
                 rows = self.probed(asked[i], radius)
@@ -162,24 +167,24 @@ class Shard:
             near = q[lo : lo + SCAN_QUERIES] @ self.x.T
             near[(self.apart(asked[lo : lo + SCAN_QUERIES]) > radius) | (self.ids == ids[lo : lo + SCAN_QUERIES, None])] = -np.inf
             # a product of matrices may differ in the last bits, so what is near the edge is scored again
-            edge = np.partition(near, n - k, axis=1)[:, n - k] if n > k else np.full(len(near), -np.inf)
+            edge = np.partition(near, n - wanted, axis=1)[:, n - wanted] if n > wanted else np.full(len(near), -np.inf)
             slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(edge), edge, 0.0)))
             for i, row in enumerate(near):
                 yield self.ranked(np.flatnonzero((row >= edge[i] - slack[i]) & (row > -np.inf)), q[lo + i], k)
 
 
 _RESULT = T.StructType(
-    [T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())]
+    [T.StructField("q", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())]
 )
 
 
-def _search(rows: DataFrame, ids: np.ndarray, q: np.ndarray, codes: Codes, radius: int, k: int) -> DataFrame:
-    """Each shard's nearest rows of every query."""
-    shipped = rows.sparkSession.sparkContext.broadcast((ids, q))
+def _search(rows: DataFrame, places: np.ndarray, ids: np.ndarray, q: np.ndarray, codes: Codes, radius: int, k: int) -> DataFrame:
+    """Each shard's nearest rows of every query; ``places`` tell queries of one id apart."""
+    shipped = rows.sparkSession.sparkContext.broadcast((places, ids, q))
     shard_rows = max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * q.shape[1])))
 
     def run(batches):
-        ids, q = shipped.value
+        places, ids, q = shipped.value
         asked = codes.encode(q, True)
         waiting, n = [], 0
 
@@ -192,6 +197,7 @@ def _search(rows: DataFrame, ids: np.ndarray, q: np.ndarray, codes: Codes, radiu
                 sizes = [len(g[0]) for g in got]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(np.repeat(places[lo : lo + len(got)], sizes), pa.int64()),
                         pa.array(np.repeat(ids[lo : lo + len(got)], sizes), pa.int64()),
                         pa.array(np.concatenate([g[0] for g in got]), pa.int64()),
                         pa.array(np.concatenate([g[1] for g in got]), pa.float64()),
@@ -214,8 +220,9 @@ def _search(rows: DataFrame, ids: np.ndarray, q: np.ndarray, codes: Codes, radiu
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    one = found.groupBy("q", "query_id", "vec_id").agg(F.max("score").alias("score"))
+    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _vectors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -241,22 +248,24 @@ def nearest_neighbours(vectors: DataFrame, is_query: F.Column, k: int = 20, quer
         share = min(1.0, 1.2 * SAMPLE_ROWS / kind.n)
         sample = _vectors(rows.where(digest < int(share * (1 << 40))).orderBy(digest, "vec_id").limit(SAMPLE_ROWS))[1]
         codes = Codes(sample if len(sample) else np.ones((1, kind.width)), kind.longest, k)
-        asking = rows.where(is_query)
+        asking = materialise(rows.where(is_query).distinct(), "queries")
         n_blocks = max(1, -(-asking.count() * 8 * kind.width // query_bytes))
         for b in range(n_blocks):
-            part = asking if n_blocks == 1 else asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b)
+            part = asking if n_blocks == 1 else asking.where(F.pmod(F.xxhash64("vec_id", "x"), F.lit(n_blocks)) == b)
             ids, q = _vectors(part.orderBy("vec_id"))
             if not len(ids):
                 continue
-            found = materialise(_best(_search(rows, ids, q, codes, codes.radius, k), k), "neighbours")
-            counts = found.groupBy("query_id").agg(F.count("*").alias("n")).toArrow()  # a row a query of the block
-            have = dict(zip(counts["query_id"].to_pylist(), counts["n"].to_pylist(), strict=True))
-            again = np.array([have.get(i, 0) < min(k, kind.n - 1) for i in ids.tolist()])
+            places = np.arange(len(ids))
+            found = materialise(_best(_search(rows, places, ids, q, codes, codes.radius, k), k), "neighbours")
+            counts = found.groupBy("q").agg(F.count("*").alias("n")).toArrow()  # a row a query of the block
+            have = dict(zip(counts["q"].to_pylist(), counts["n"].to_pylist(), strict=True))
+            again = np.array([have.get(i, 0) < min(k, kind.n - 1) for i in places.tolist()])
             if again.any():
-                asked_again = spark.createDataFrame(pa.table({"query_id": ids[again]}))
-                whole = _best(_search(rows, ids[again], q[again], codes, codes.n_bits, k), k)
-                found = found.join(asked_again, "query_id", "left_anti").select(*whole.columns).unionByName(whole)
+                asked_again = spark.createDataFrame(pa.table({"q": places[again]}))
+                whole = _best(_search(rows, places[again], ids[again], q[again], codes, codes.n_bits, k), k)
+                found = found.join(asked_again, "q", "left_anti").select(*whole.columns).unionByName(whole)
             results.append(found)
+        discard(asking)
     if not results:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     out = results[0]

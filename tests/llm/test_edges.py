@@ -1,5 +1,6 @@
 """Every operator and stage on empty tables, nulls, repeats, ties, long texts and clashing columns."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,29 @@ def test_pages_and_vectors(spark):
     found = neighbours.nearest_neighbours(vectors, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in found] == [(0, 1, 3, 1.0), (0, 2, 4, 0.5)]
     assert neighbours.nearest_neighbours(vectors.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_signs_without_letters_have_no_language(spark):
+    rows = [(1, "plain words of a language"), (2, "\u00bd \u00b2"), (3, "5 \u2460"), (4, "\u2167 12"), (5, "\u0301\u0302"), (6, "\u00aa"), (7, "\u0e01")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    said = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, language.train(docs)).collect()}
+    assert {i for i, (lang, _) in said.items() if lang == "und"} == {2, 3, 4, 5} and all(said[i][1] == 0 for i in (2, 3, 4, 5))
+
+
+def test_queries_and_rows_that_repeat_an_id(spark):
+    """Query rows of one id and different vectors are asked apart, equal ones once; an id is listed once."""
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(60)]
+    other = (20, r.normal(size=8).tolist())
+    rows += [other, other, rows[40], *[(7, r.normal(size=8).tolist()) for _ in range(30)]]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in neighbours.nearest_neighbours(vectors, F.col("vec_id") % 20 == 0, 70).collect())
+    want = []
+    for i, q in {(i, tuple(q)) for i, q in rows if i % 20 == 0}:
+        best = {}
+        for j, v in rows:
+            if j != i:
+                best[j] = max(best.get(j, -np.inf), float((np.array(v) * np.array(q)).sum()))
+        want += [(i, k, j, s) for k, (j, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0])), 1)]
+    want.sort()
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want])
