@@ -10,8 +10,8 @@ Labelled findings come as rows (text before, candidate, text after, is_secret);
 any, a generator writes them from public shapes of keys and of their look-alikes
 (checksums of files, identifiers, numbers, placeholders, prose, embedded images, rules of dashes).
 
-An assigned value follows a name for keys, with a suffix of up to 25 characters, and ``=`` or ``:``; one without
-quotes ends at white space, quotes, brackets, commas, semicolons or ``&`` and has eight characters at least.
+An assigned value follows a name for keys, with a suffix of up to 25 characters, and ``=`` or ``:``; in quotes it may
+hold blanks and ends with its line at the latest; one without quotes ends at white space, quotes, brackets, commas, semicolons or ``&`` and has eight characters at least.
 
 Defined results: null and empty texts have no candidates; texts are read whole; spans are
 code points, ends exclusive; equal texts get equal results; candidates do not overlap
@@ -20,7 +20,6 @@ code points, ends exclusive; equal texts get equal results; candidates do not ov
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
@@ -31,7 +30,7 @@ from .common import map_texts, table
 
 _CANDIDATE = re.compile(
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+    r"|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
     r"|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])"
 )
 _QUOTED = re.compile(r"""(?:[=:]\s{0,4})(["'])([^"'\s]{8,}+)\1""")
@@ -39,6 +38,7 @@ _ASSIGNS = re.compile(r"(?<=[A-Za-z0-9_\s-])[=:]")
 _NAMES = re.compile(
     r"(?:secret|token|passwo?r?d|passphrase|pwd|credential|api[_-]?key|access[_-]?key|private[_-]?key)(?:[_-][A-Za-z0-9_-]{0,24})?\s{0,4}$", re.I
 )
+_PHRASE = re.compile(r"""\s{0,4}(["'])([^"'\r\n]{8,}+)\1""")
 _VALUE = re.compile(r"\s{0,4}(?!\$)([^\s\"'`<>(){}\[\],;&]{8,}+)")
 _LOGIN = re.compile(r"://[^\s:/@\"'<>]++:([^\s/@\"'<>]{8,}+)@")
 _WORD = re.compile(r"[A-Za-z]+")
@@ -61,10 +61,6 @@ FEATURES = (
 _BIGRAMS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split())
 
 
-def _kind(c: str) -> int:
-    return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
-
-
 def candidates(text: str) -> list[tuple[int, int]]:
     found = [m.span() for m in _CANDIDATE.finditer(text)]
     if '"' in text or "'" in text:
@@ -73,6 +69,10 @@ def candidates(text: str) -> list[tuple[int, int]]:
     for m in _ASSIGNS.finditer(text):
         if m.start() < read or not _NAMES.search(text[max(0, m.start() - 48) : m.start()]):
             continue
+        phrase = _PHRASE.match(text, m.end())
+        if phrase:
+            found.append(phrase.span(2))
+            continue
         value = _VALUE.match(text, m.end())
         if value:
             start, read = value.span(1)
@@ -88,42 +88,54 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def describe(before: str, token: str, after: str) -> list[float]:
-    """A candidate's features; ``before`` and ``after`` are some 40 characters beside it."""
-    n = len(token)
-    kinds = [_kind(c) for c in token]
-    share = [kinds.count(k) / n for k in range(4)]
-    pairs = max(1, n - 1)
-    counts = {c: token.count(c) for c in set(token)}
-    entropy = -sum(v / n * math.log2(v / n) for v in counts.values())
-    run = best = 1
-    for a, b in zip(kinds, kinds[1:], strict=False):
-        run = run + 1 if a == b else 1
-        best = max(best, run)
-    lowered = token.lower()
-    pieces = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token))
-    covered = sum(len(p) for p in pieces if p.lower() in _DICTIONARY)
-    letters = [c for c in lowered if "a" <= c <= "z"]
-    twos = common = 0
-    for a, b in zip(lowered, lowered[1:], strict=False):
-        if a.isalpha() and b.isalpha():
-            twos += 1
-            common += a + b in _BIGRAMS
-    near = before[-24:]
-    return [
-        min(n, 200), share[2], share[0], share[1], share[3],
-        sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / pairs,
-        sum({a, b} == {0, 1} for a, b in zip(kinds, kinds[1:], strict=False)) / pairs,
-        entropy, float(all(c in "0123456789abcdef" for c in lowered)), best / n,
-        covered / n, sum(c in "aeiou" for c in letters) / max(1, len(letters)),
-        float("/" in token or before[-1:] in ("/", "\\") or after[:1] in ("/", "\\")),
-        float(re.match(r"\.[a-z]{2,4}\b", after) is not None),
-        float(re.search(r"[=:]\s*[\"']?$", before) is not None), float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
-        float(_KEYED.search(near) is not None), float(_HARMLESS.search(near) is not None),
-        float(_SHAPE.match(token) is not None), len(counts) / n, float(share[2] == 1.0),
-        common / max(1, twos), float(token.count("-")), float(after[:1] == "@"),
-        float("base64," in before[-7:] + token[:60]), float(any(c in "!#%^*?~&$" for c in token)),
-    ]
+def _characters(tokens: list[str]) -> dict[str, np.ndarray]:
+    """What the characters of tokens tell: each feature of all tokens at once."""
+    size = np.array([len(t) for t in tokens])
+    code = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    own = np.repeat(np.arange(len(tokens)), size)
+    per_token = lambda mask, at=own: np.bincount(at, weights=mask, minlength=len(tokens))
+    kind = np.full(len(code), 3)
+    for k, (a, z) in enumerate(("az", "AZ", "09")):
+        kind[(code >= ord(a)) & (code <= ord(z))] = k
+    low = np.where(kind == 1, code + 32, code)
+    letter = kind <= 1
+    alpha, wide = letter.copy(), np.unique(code[code > 127])
+    alpha |= np.isin(code, [c for c in wide.tolist() if chr(c).isalpha()])
+    inside, before = own[1:] == own[:-1], own[1:]
+    differs = inside & (kind[1:] != kind[:-1])
+    turns = differs & letter[1:] & letter[:-1]
+    twos = inside & alpha[1:] & alpha[:-1]
+    common = twos & np.isin(low[:-1] << 7 | low[1:], [ord(x[0]) << 7 | ord(x[1]) for x in _BIGRAMS]) & letter[1:] & letter[:-1]
+    starts = np.flatnonzero(np.r_[True, ~inside | differs])
+    longest = np.zeros(len(tokens), np.int64)
+    np.maximum.at(longest, own[starts], np.diff(np.r_[starts, len(code)]))
+    held, counts = np.unique(own << 21 | code, return_counts=True)
+    share = counts / size[held >> 21]
+    pairs = np.maximum(1, size - 1)
+    return {
+        "length": np.minimum(size, 200), "lower": per_token(kind == 0) / size, "upper": per_token(kind == 1) / size, "digits": per_token(kind == 2) / size,
+        "symbols": per_token(kind == 3) / size, "changes": per_token(differs, before) / pairs, "case_changes": per_token(turns, before) / pairs,
+        "entropy": -per_token(share * np.log2(share), held >> 21), "hex": per_token((kind == 2) | ((low >= 97) & (low <= 102))) == size, "longest_run": longest / size,
+        "vowels": per_token(np.isin(low, [ord(c) for c in "aeiou"]) & letter) / np.maximum(1, per_token(letter)), "distinct": np.bincount(held >> 21, minlength=len(tokens)) / size,
+        "all_digits": per_token(kind == 2) == size, "common_bigrams": per_token(common, before) / np.maximum(1, per_token(twos, before)),
+        "dashes": per_token(code == ord("-")), "marks": per_token(np.isin(code, [ord(c) for c in "!#%^*?~&$"])) > 0,
+    }
+
+
+def describe(found: list[tuple[str, str, str]]) -> np.ndarray:
+    """(candidates, FEATURES) from (before, token, after); ``before`` and ``after`` are some 40 characters beside it."""
+    told = _characters([t for _, t, _ in found])
+    beside = []
+    for before, token, after in found:
+        pieces = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token))
+        near = before[-24:]
+        beside.append((
+            sum(len(p) for p in pieces if p.lower() in _DICTIONARY) / len(token), "/" in token or before[-1:] in ("/", "\\") or after[:1] in ("/", "\\"),
+            re.match(r"\.[a-z]{2,4}\b", after) is not None, re.search(r"[=:]\s*[\"']?$", before) is not None, before[-1:] in ("'", '"') and after[:1] in ("'", '"'),
+            _KEYED.search(near) is not None, _HARMLESS.search(near) is not None, _SHAPE.match(token) is not None, after[:1] == "@", "base64," in before[-7:] + token[:60],
+        ))
+    told |= zip(("dictionary", "path", "extension", "assigned", "quoted", "keyed", "harmless", "shape", "login", "embedded"), np.array(beside, float).T, strict=True)
+    return np.stack([told[name] for name in FEATURES], axis=1).astype(float)
 
 
 class Forest:
@@ -219,11 +231,14 @@ def generated_findings(n: int, seed: int = 23) -> list[tuple[str, str, str, bool
                 password, password,
             ][kind]()
             quote = pick(['"', '"', "'", ""])
-            if kind == 8 and quote and r.random() < 0.5:
-                token = bare()
+            if kind == 8 and r.random() < 0.5:
+                token = bare() if quote and r.random() < 0.6 else " ".join(plain() for _ in range(4)) if quote else (plain() + chars(mixed[52:], int(r.integers(1, 4))) + pick([plain, bare])())[:24]
             before = prose() + pick([" ", " ", "?", "&"]) + pick(key_ids if kind == 2 and r.random() < 0.3 else names) + pick([" = ", "=", ": ", " : "]) + quote
             if kind in (2, 3, 5) and r.random() < 0.5:
                 quote, before = "", prose() + " "
+            if kind in (0, 1) and r.random() < 0.3:
+                quote, before = "", prose() + pick([" Authorization: Bearer ", " authorization: bearer ", " Authorization: Basic "])
+                token = token if kind else chars(hexes, int(r.integers(20, 41)))
             if kind == 9:
                 before, after = prose() + " " + pick(schemes) + "://" + plain() + ":", "@" + plain() + pick([".com", ":5432", "/"]) + " " + prose()
                 out.append((before, token, after, True))
@@ -284,7 +299,7 @@ def trained(findings: list[tuple[str, str, str, bool]] | None = None, n: int = T
     if findings is None and n in _trained:
         return _trained[n]
     rows = generated_findings(n) if findings is None else findings
-    forest = Forest().fit(np.array([describe(b, t, a) for b, t, a, _ in rows]), np.array([s for *_, s in rows]))
+    forest = Forest().fit(describe([row[:3] for row in rows]), np.array([s for *_, s in rows]))
     if findings is None:
         _trained[n] = forest
     return forest
@@ -296,13 +311,14 @@ def find_secrets(texts: list[str | None], forest: Forest, decision: float = DECI
     for k, text in enumerate(texts):
         for start, end in candidates(text) if text else []:
             places.append((k, start, end))
-            rows.append(describe(text[max(0, start - 40) : start], text[start:end], text[end : end + 40]))
-    out: list[tuple[int, list]] = [(0, []) for _ in texts]
-    if rows:
-        for (k, start, end), p in zip(places, forest.predict(np.array(rows)), strict=True):
-            n, spans = out[k]
-            out[k] = (n + 1, spans + [(start, end)] if p >= decision else spans)
-    return out
+            rows.append((text[max(0, start - 40) : start], text[start:end], text[end : end + 40]))
+    number, spans = [0] * len(texts), [[] for _ in texts]
+    for lo in range(0, len(rows), 20_000):
+        for (k, start, end), p in zip(places[lo : lo + 20_000], forest.predict(describe(rows[lo : lo + 20_000])), strict=True):
+            number[k] += 1
+            if p >= decision:
+                spans[k].append((start, end))
+    return list(zip(number, spans, strict=True))
 
 
 def scan(documents: DataFrame, forest: Forest | None = None, keep: list[str] | None = None, redacted: bool = False) -> DataFrame:
