@@ -1,22 +1,24 @@
 """N-gram Jaccard join with grouped prefixes: groups of documents meet over rare shingles, members are verified.
 
-A document's set holds its distinct shingles in one order for all documents: first those that
-no table of frequent ones names, by hash, then the frequent ones, rarer ones first.  The prefix
-of a set of n is so long that two sets which reach the similarity share an element of both
-prefixes.  Documents with equal prefixes and sizes make one group, which takes part once,
-whatever its number of members; groups that share an element of their prefixes meet at the
-smallest of them (their pivot).  A pair of groups is filtered by size and by what the prefixes'
-common part and the rest can still hold; members of pairs that pass are verified on full sets.
-
-The table of frequent shingles comes from the counts of all shingles of all documents.  Any
-order of the shingles gives the same links, so counts by 32 bits of a hash do: a task counts
-what it has, packed counts are added up in ranges of the hash, and each range names its most
-frequent ones.  So many there are at most (``RANGES`` * ``NAMED``), whatever the input's size.
+A document's set holds its distinct shingles in one order for all documents, rarer ones first.
+The prefix of a set of n is so long that two sets which reach the similarity share an element
+of both prefixes.  Documents with equal prefixes and sizes make one group, which takes part
+once, whatever its number of members; groups that share an element of their prefixes meet at
+the smallest of them (their pivot).  A pair of groups is filtered by size and by what the
+prefixes' common part and the rest can still hold; members of pairs that pass are verified on
+full sets.
+
+How rare a shingle is comes from the counts of all shingles of all documents.  A shingle is
+counted by 32 bits of its hash: any order that is one for all documents loses no pair, and
+shingles of one document that share these bits are told apart by a number.  Tasks send packed
+lists of what their documents hold to ranges of the hash; each range adds up and answers with
+those elements that other documents hold as well.  An element nobody else holds stays in its
+prefix as a number only, so a document whose prefix is its own alone takes no further part.
 
 No group is expanded into pairs.  It is cut into blocks; a block verifies only what is not in
 one component yet, and reports a spanning forest.  Groups of several blocks then get the pairs
-of blocks in which different components still meet.  No list of documents, links or components
-reaches the driver.
+of blocks in which different components still meet.  No list of documents, links, components
+or shingles reaches the driver, and nothing is broadcast by this module.
 
 Defined results: null texts and texts without words have an empty set and no links; rows with
 a null ``doc_id`` stay alone (``component_id`` null); rows that repeat an id share its
@@ -30,22 +32,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import discard, map_texts, materialise, slices, table
+from .common import discard, materialise, slices, table
 from .neardup import _group_ids, _parts, _whole_groups, components, shingle_hashes
 
 #: Words in a shingle, and the similarity of a link in hundredths.
 SHINGLE, SIMILARITY = 3, 90
-#: Ranges of the hash that are counted apart, and frequent shingles that a range names.
-RANGES, NAMED = 1_024, 1_024
-#: Shingles that a task counts before it passes counts on.
-COUNTED = 4_000_000
+#: Ranges of the hash that are counted apart: one for so many bytes of input, and bounds of their number.
+RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 16 << 20, 1_024, 1 << 20
+#: Shingles of the documents that a task sends off together.
+SENT = 4_000_000
 #: Documents in a block, and shingles of their sets (one document at least).
 BLOCK, BLOCK_SHINGLES = 512, 4_000_000
-_WIDTH = (1 << 32) // RANGES
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -66,101 +67,161 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def _counts(documents: DataFrame, size: int) -> DataFrame:
-    """(range, n, cells, counts): a task's counts of a range of the hash, in packed form."""
+def prefix_length(n, similarity: int):
+    """Elements of a prefix: with fewer, a set of ``n`` could reach the similarity without it."""
+    return n - -(-similarity * n // 100) + 1
 
-    def emitted(held):
-        cells, counts = np.unique(np.concatenate(held), return_counts=True)
-        ends = np.searchsorted(cells, np.arange(1, RANGES + 1, dtype=np.uint64) * _WIDTH)
-        starts = np.r_[0, ends[:-1]]
-        full = np.flatnonzero(ends > starts)
-        rows = [(r, e - s, _packed(np.diff(cells[s:e], prepend=np.uint32(0))), _packed(counts[s:e])) for r, s, e in zip(full, starts[full], ends[full], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["range", "n", "cells", "counts"])
 
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            texts = batch.column(0)
-            for lo, hi in slices([len(t) if t else 0 for t in texts.to_pylist()]):
-                for found in sets_of(texts.slice(lo, hi - lo).to_pylist(), size):
-                    held.append(_cells(found))
-                    n += len(found)
-                if n >= COUNTED:
-                    yield emitted(held)
-                    held, n = [], 0
-        if n:
-            yield emitted(held)
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
-    return documents.select(F.col("text").cast("string")).mapInArrow(run, "range int, n int, cells binary, counts binary")
 
+_LISTS = "range long, chunk long, n int, cells binary, docs binary, levels binary, digests binary"
 
-def frequent_shingles(documents: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells that are named as frequent, in order, and the class of each: higher ones are more frequent."""
 
-    def named(r, total):
-        often = np.flatnonzero(total > 1)
-        if len(often) > NAMED:
-            often = np.sort(often[np.argsort(-total[often], kind="stable")[:NAMED]])
-        level = np.minimum(4 * np.log2(total[often].astype(float)), 126).astype(np.uint8) + np.uint8(1)
-        return pa.RecordBatch.from_arrays([pa.array([(often + r * _WIDTH).astype("<u4").tobytes()]), pa.array([level.tobytes()])], names=["cells", "level"])
+def _lists(documents: DataFrame, size: int, ranges: int) -> DataFrame:
+    """What documents hold, for each range of the hash; ``chunk`` names documents that are sent off together.
+
+    A row with a negative range is about the documents themselves: their ids, sizes and digests.
+    """
+    names = [x.split()[0] for x in _LISTS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+
+    def sent(chunk, ids, held):
+        sizes = np.array([len(h) for h in held])
+        digests = b"".join(_digest(h) if len(h) else bytes(16) for h in held)
+        rows = [(-1 - chunk, chunk, len(ids), np.array(ids).tobytes(), sizes.tobytes(), None, digests)]
+        if sizes.sum():
+            cells = _cells(np.concatenate(held))
+            doc = np.repeat(np.arange(len(held), dtype=np.uint32), sizes)
+            order = np.lexsort((doc, cells))
+            cells, doc = cells[order], doc[order]
+            where = (cells.astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            found, starts = np.unique(where, return_index=True)
+            for r, lo, hi in zip(found.tolist(), starts, [*starts[1:], len(cells)], strict=True):
+                rows.append((r, chunk, hi - lo, _packed(np.diff(cells[lo:hi], prepend=np.uint32(0))), _packed(doc[lo:hi]), None, None))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches):
-        at, total = None, np.zeros(_WIDTH, np.int64)
+        chunk = TaskContext.get().partitionId() << 32  # the same when a task runs again
+        ids, held, n = [], [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["range"] != at:
-                    if at is not None:
-                        yield named(at, total)
-                    at = row["range"]
-                    total[:] = 0
-                cells = np.cumsum(_unpacked(row["cells"], row["n"]), dtype=np.uint64).astype(np.int64)
-                total[cells - at * _WIDTH] += _unpacked(row["counts"], row["n"])
-        if at is not None:
-            yield named(at, total)
-
-    packed = _counts(documents, size)
-    rows = packed.repartition(_parts(packed), "range").sortWithinPartitions("range").mapInArrow(run, "cells binary, level binary").toArrow()
-    cells = np.frombuffer(b"".join(rows.column(0).to_pylist()), "<u4")
-    level = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint8)
-    order = np.argsort(cells)
-    return cells[order], level[order]
+            texts = batch.column(1)
+            own = batch.column(0).to_pylist()
+            for lo, hi in slices([len(t) if t else 0 for t in texts.to_pylist()]):
+                found = sets_of(texts.slice(lo, hi - lo).to_pylist(), size)
+                ids += [np.iinfo(np.int64).min if i is None else i for i in own[lo:hi]]
+                held += found
+                n += sum(map(len, found))
+                if n >= SENT:
+                    yield sent(chunk, ids, held)
+                    chunk, ids, held, n = chunk + 1, [], [], 0
+        if ids:
+            yield sent(chunk, ids, held)
+
+    return documents.select("doc_id", "text").mapInArrow(run, _LISTS)
+
+
+def _answers(lists: DataFrame, ranges: int) -> DataFrame:
+    """To each list its elements that several documents hold, with how frequent they are; rows about documents as they are."""
+    names = [x.split()[0] for x in _LISTS.split(", ")]
+    width = -(-(1 << 32) // ranges) + 1
+
+    def answered(r, rows):
+        """One range: packed lists are all that is held of it, beside a number for each of its cells."""
+        first = -(-(r << 32) // ranges)
+        total = np.zeros(width, np.int64)
+        unpacked = lambda row: np.cumsum(_unpacked(row["cells"], row["n"]), dtype=np.uint64).astype(np.int64) - first
+        for row in rows:
+            np.add.at(total, unpacked(row), 1)
+        level = np.zeros(width, np.uint32)
+        level[total > 1] = np.minimum(4 * np.log2(total[total > 1].astype(float)), 126) + 1
+        for row in rows:
+            at = unpacked(row)
+            shared = np.flatnonzero(level[at])
+            if len(shared):
+                cells = (at[shared] + first).astype(np.uint32)
+                docs = _unpacked(row["docs"], row["n"])[shared]
+                yield (r, row["chunk"], len(shared), _packed(np.diff(cells, prepend=np.uint32(0))), _packed(docs), _packed(level[at[shared]]), None)
+
+    def run(batches):
+        at, rows = None, []
+        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
 
+        def flushed():
+            made = list(answered(at, rows)) if rows else []
+            for lo in range(0, len(made), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made[lo : lo + 256], strict=True), kinds, strict=True)], names=names)
 
-def prefix_length(n, similarity: int):
-    """Elements of a prefix: with fewer, a set of ``n`` could reach the similarity without it."""
-    return n - -(-similarity * n // 100) + 1
+        for batch in batches:
+            where = batch.column(0).to_numpy()
+            if (where < 0).any():
+                yield batch.filter(pa.array(where < 0))
+            for row in batch.filter(pa.array(where >= 0)).to_pylist():
+                if row["range"] != at:
+                    yield from flushed()
+                    at, rows = row["range"], []
+                rows.append(row)
+        yield from flushed()
+
+    return lists.repartition(_parts(lists), "range").sortWithinPartitions("range").mapInArrow(run, _LISTS)
+
+
+def _prefixes(answers: DataFrame, similarity: int) -> DataFrame:
+    """doc_id, n_shingles, digest of the set (null if empty), and what others hold of the prefix (null if nothing) with a digest of its group."""
+    schema = "doc_id long, n_shingles long, digest binary, prefix binary, group binary"
+
+    def documents(rows):
+        about = next(r for r in rows if r["range"] < 0)
+        ids, sizes = np.frombuffer(about["cells"], np.int64), np.frombuffer(about["docs"], np.int64)
+        lists = [r for r in rows if r["range"] >= 0]
+        prefix: list = [None] * len(ids)
+        if lists:
+            cells = np.concatenate([np.cumsum(_unpacked(r["cells"], r["n"]), dtype=np.uint64).astype(np.int64) for r in lists])
+            docs = np.concatenate([_unpacked(r["docs"], r["n"]) for r in lists]).astype(np.int64)
+            level = np.concatenate([_unpacked(r["levels"], r["n"]) for r in lists]).astype(np.int64)
+            order = np.lexsort((cells, level, docs))
+            docs, key = docs[order], (level << 40 | cells << 8)[order]
+            same = np.r_[False, (docs[1:] == docs[:-1]) & (key[1:] == key[:-1])]
+            starts = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+            key += np.minimum(np.arange(len(same)) - starts, 255)  # shingles of one document that share a cell
+            found, first, held = np.unique(docs, return_index=True, return_counts=True)
+            for i, lo, n in zip(found.tolist(), first, held, strict=True):
+                taken = prefix_length(int(sizes[i]), similarity) - (int(sizes[i]) - n)  # those nobody else holds come first
+                if taken > 0:
+                    prefix[i] = key[lo : lo + taken].tobytes()
+        for i, n in enumerate(sizes.tolist()):
+            digest = about["digests"][16 * i : 16 * i + 16] if n else None
+            group = hashlib.blake2b(prefix[i], digest_size=16, salt=n.to_bytes(8, "little")).digest() if prefix[i] else None
+            yield None if ids[i] == np.iinfo(np.int64).min else int(ids[i]), n, digest, prefix[i], group
 
+    def run(batches):
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3]
 
-def ordered(hashes: np.ndarray, cells: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Shingles as numbers whose order is that of all prefixes."""
-    if not len(cells):
-        return (hashes >> np.uint64(8)).astype(np.int64)
-    own = _cells(hashes)
-    at = np.minimum(np.searchsorted(cells, own), len(cells) - 1)
-    named = np.where(cells[at] == own, level[at], 0).astype(np.uint64)
-    return ((named << np.uint64(56)) | (hashes >> np.uint64(8))).astype(np.int64)
+        def flushed(rows):
+            made = list(documents(rows))
+            for lo in range(0, len(made), 2_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made[lo : lo + 2_000], strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
+        at, rows = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["chunk"] != at:
+                    if rows:
+                        yield from flushed(rows)
+                    at, rows = row["chunk"], []
+                rows.append(row)
+        if rows:
+            yield from flushed(rows)
 
-def _sketch(documents: DataFrame, size: int, similarity: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty) and prefix."""
-    sent = documents.sparkSession.sparkContext.broadcast(frequent_shingles(documents, size))  # at most RANGES * NAMED * 5 bytes
+    return answers.repartition(_parts(answers), "chunk").sortWithinPartitions("chunk").mapInArrow(run, schema)
 
-    def make(texts):
-        cells, level = sent.value
-        sets = sets_of(texts, size)
-        keys = ordered(np.concatenate(sets), cells, level) if sets else np.zeros(0, np.int64)
-        prefixes = []
-        for own in np.split(keys, np.cumsum([len(s) for s in sets])[:-1]):
-            p = prefix_length(len(own), similarity)
-            prefixes.append(np.sort(np.partition(own, p - 1)[:p]).tobytes() if len(own) else None)
-        return {
-            "n_shingles": [len(s) for s in sets],
-            "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-            "prefix": prefixes,
-        }
 
-    added = [("n_shingles", T.LongType()), ("digest", T.BinaryType()), ("prefix", T.BinaryType())]
-    return map_texts(documents, "text", make, added, keep=["doc_id"])
+def sketch(documents: DataFrame, size: int, similarity: int) -> DataFrame:
+    """doc_id, n_shingles, digest, prefix and group of every document."""
+    n_bytes = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    ranges = min(max(n_bytes // RANGE_BYTES, LEAST_RANGES), MOST_RANGES)
+    return _prefixes(_answers(_lists(documents, size, ranges), ranges), similarity)
 
 
 def _elements(groups: DataFrame) -> DataFrame:
@@ -199,8 +260,8 @@ def _overlaps(prefixes: list[np.ndarray]) -> np.ndarray:
 
 
 def passing(prefixes: list[np.ndarray], n: np.ndarray, similarity: int) -> np.ndarray:
-    """Which pairs of groups can reach the similarity, by their sizes and prefixes."""
-    rest = n - [len(p) for p in prefixes]
+    """Which pairs of groups can reach the similarity, by their sizes and the shared parts of their prefixes."""
+    rest = n - prefix_length(n, similarity)
     last = np.array([p[-1] for p in prefixes])
     # what one set has beyond the prefix that ends first is all that the prefixes do not show
     most = _overlaps(prefixes) + np.where(last[:, None] <= last, rest[:, None], rest)
@@ -245,6 +306,14 @@ def _screen(rows: DataFrame, similarity: int) -> DataFrame:
     return rows.select(*_MEMBER).repartition(_parts(rows), "g", "h").sortWithinPartitions("g", "h", "rep").mapInArrow(run, _KINDS)
 
 
+def _once(members: DataFrame) -> DataFrame:
+    """Blocks without those that hold the same members as another one, met over another pivot."""
+    members = materialise(members, "screened")
+    sums = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep", "digest")).alias("x"), F.bit_xor(F.xxhash64("digest", "rep", F.lit(1))).alias("y")]
+    first = members.groupBy("g", "h").agg(*sums).groupBy("n", "x", "y").agg(F.min(F.struct("g", "h")).alias("b")).select("b.*")
+    return members.join(first, ["g", "h"], "left_semi").select(*members.columns)
+
+
 def _confirm(members: DataFrame, texts: DataFrame, size: int, similarity: int) -> DataFrame:
     """Confirmed links (a, b), a spanning forest of each block, from the members' whole texts."""
 
@@ -253,7 +322,7 @@ def _confirm(members: DataFrame, texts: DataFrame, size: int, similarity: int) -
         sets: list = []
         for lo, hi in slices([len(t) for t in whole]):
             sets += sets_of(whole[lo:hi], size)
-        own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        own = [_digest(s) for s in sets]
         same = np.array([a == b for a, b in zip(own, part.column("digest").to_pylist(), strict=True)])  # an id may have several texts
         part, sets = part.filter(pa.array(same)), [s for s, ok in zip(sets, same, strict=True) if ok]
         if part.num_rows < 2:
@@ -289,13 +358,15 @@ def _n_blocks(n, weight, block: int):
 def jaccard_join(documents: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = materialise(_sketch(source, size, similarity), "sketches")
+    docs = materialise(sketch(source, size, similarity), "sketches")
     named = docs.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"))
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("group").alias("group"), F.first("prefix").alias("prefix"))
     classes = materialise(classes, "classes")
 
     # a group: equal prefixes and sizes
-    groups = classes.groupBy("n_shingles", "prefix").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
+    groups = classes.where("group IS NOT NULL").groupBy("group").agg(
+        F.min("rep").alias("gid"), F.count("*").alias("members"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix")
+    )
     groups = materialise(groups, "groups")
     elements = _elements(groups)
     crowded = elements.groupBy("key").agg(F.min("gid").alias("pivot"), F.max("gid").alias("top")).where("pivot <> top").drop("top")
@@ -304,22 +375,19 @@ def jaccard_join(documents: DataFrame, size: int = SHINGLE, similarity: int = SI
     alone = groups.where("members > 1").select(F.col("gid").alias("pivot"), "gid")
     stars = materialise(stars.unionByName(alone), "stars")
     heads = stars.select("pivot").distinct().select("pivot", F.col("pivot").alias("gid"))
-    stars = stars.unionByName(heads).distinct()
-    # groups that meet no other one need none of what follows
-    met = groups.join(stars, "gid").select("pivot", "gid", "n_shingles", "prefix")
-    own = classes.select("rep", "digest", F.col("n_shingles").alias("n"), F.col("prefix").alias("p"))
-    rows = met.join(own, (met.n_shingles == own.n) & (met.prefix == own.p)).select(F.col("pivot").alias("g"), "gid", "rep", "n_shingles", "prefix", "digest")
-    rows = materialise(rows, "members")
+    met = materialise(stars.unionByName(heads).distinct(), "met")
+    own = classes.select("rep", "digest", "group").join(groups.select("group", "gid").join(met.select("gid").distinct(), "gid"), "group")
+    rows = met.join(own.select("gid", "rep", "digest"), "gid").join(groups.select("gid", "n_shingles", "prefix"), "gid")
+    rows = materialise(rows.select(F.col("pivot").alias("g"), "gid", "rep", "n_shingles", "prefix", "digest"), "members")
     sums = rows.groupBy("g").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("weight"))
     several = materialise(sums.select("g", _n_blocks(F.col("rows"), F.col("weight"), block).alias("blocks")).where("blocks > 1"), "several")
     blocks = F.coalesce("blocks", F.lit(1).cast("long"))
-    rows = rows.join(several, "g", "left").withColumn("blocks", blocks)
-    # the pivot's own members stay in one block, its first one is in all of them
+    placed = rows.join(several, "g", "left").withColumn("blocks", blocks)
+    large = materialise(placed.where("blocks > 1").drop("blocks"), "large")
+    # the pivot is in all blocks
     at = F.when(F.col("rep") == F.col("g"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("blocks"))))
-    placed = rows.withColumns({"side": F.lit(-1).cast("long"), "comp": F.col("rep"), "h": F.explode(at)})
-    members = materialise(_screen(placed, similarity), "screened")
-
-    large = materialise(rows.where("blocks > 1").drop("blocks"), "large")
+    placed = placed.withColumns({"side": F.lit(-1).cast("long"), "comp": F.col("rep"), "h": F.explode(at)})
+    members = materialise(_once(_screen(placed, similarity)), "screened")
     wanted = materialise(members.select("rep").unionByName(large.select("rep")).distinct(), "wanted")
     texts = materialise(source.withColumnRenamed("doc_id", "rep").join(wanted, "rep"), "texts")
     links = materialise(_confirm(members, texts, size, similarity), "links")
@@ -336,6 +404,8 @@ def jaccard_join(documents: DataFrame, size: int = SHINGLE, similarity: int = SI
 
     ends = classes.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left")
     ends = materialise(ends.select("digest", F.coalesce("component", "rep").alias("component_id")), "components")
+    for done in (classes, groups, crowded, stars, met, rows, several, large, members, wanted, texts, *more):
+        discard(done)
     out = named.select("doc_id", "n_shingles", "digest").join(ends, "digest").drop("digest")
     rest = docs.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(rest)

@@ -48,10 +48,11 @@ def near_copies(seed=3):
     return list(enumerate(texts, 1))
 
 
-@pytest.mark.parametrize(("block", "named", "counted"), [(512, 1_024, 4_000_000), (6, 1_024, 500), (512, 1, 4_000_000)])
-def test_jaccard_join_equals_brute_force(spark, monkeypatch, block, named, counted):
-    monkeypatch.setattr(jaccard, "NAMED", named)
-    monkeypatch.setattr(jaccard, "COUNTED", counted)
+@pytest.mark.parametrize(("block", "ranges", "sent"), [(512, 1_024, 4_000_000), (6, 1_024, 500), (512, 3, 2_000)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, block, ranges, sent):
+    monkeypatch.setattr(jaccard, "LEAST_RANGES", ranges)
+    monkeypatch.setattr(jaccard, "MOST_RANGES", ranges)
+    monkeypatch.setattr(jaccard, "SENT", sent)
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(map(tuple, jaccard.jaccard_join(docs, block=block).select("doc_id", "n_shingles", "component_id").collect()))
@@ -59,19 +60,26 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, block, named, count
     assert len({c for *_, c in got}) < len(rows) - 30
 
 
-@pytest.mark.parametrize("similarity", [60, 80, 100])
-def test_prefixes_lose_no_pair(similarity):
-    r = np.random.default_rng(similarity)
-    for _ in range(300):
-        n = int(r.integers(1, 60))
-        a = r.choice(2**40, n, replace=False).astype(np.uint64) << np.uint64(20)
-        b = np.unique(np.r_[a[: int(r.integers(0, n + 1))], r.choice(2**40, int(r.integers(1, 12))).astype(np.uint64) << np.uint64(20)])
-        cells = np.unique(jaccard._cells(r.choice(a, n // 2 + 1)))
-        keys = [np.sort(jaccard.ordered(x, cells, r.integers(1, 100, len(cells)).astype(np.uint8) if i < 0 else np.full(len(cells), 9, np.uint8))) for i, x in enumerate((a, b))]
-        both = len(np.intersect1d(*keys))
-        prefixes = [k[: jaccard.prefix_length(len(k), similarity)] for k in keys]
-        if 100 * both >= similarity * (len(a) + len(b) - both):
-            assert len(np.intersect1d(*prefixes)) and jaccard.passing(prefixes, np.array([len(a), len(b)]), similarity)[0, 1]
+@pytest.mark.parametrize("similarity", [60, 80, 90, 100])
+def test_prefixes_lose_no_pair(spark, monkeypatch, similarity):
+    """Prefixes as the operator makes them, with hashes cut so short that shingles share cells."""
+    monkeypatch.setattr(jaccard, "SENT", 300)
+    cells = jaccard._cells
+    monkeypatch.setattr(jaccard, "_cells", lambda hashes: cells(hashes) & np.uint32(0xFFF00000))
+    rows = [(i, t) for i, t in near_copies(similarity) if t.split()]
+    made = jaccard.sketch(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 3, similarity).collect()
+    sets = dict(zip((i for i, _ in rows), jaccard.sets_of([t for _, t in rows], 3), strict=True))
+    assert {r.doc_id: r.n_shingles for r in made} == {i: len(s) for i, s in sets.items()}
+    prefix = {r.doc_id: np.frombuffer(r.prefix or b"", np.int64) for r in made}
+    linked = 0
+    for a, x in sets.items():
+        for b, y in sets.items():
+            both = len(np.intersect1d(x, y))
+            if a < b and 100 * both >= similarity * (len(x) + len(y) - both):
+                linked += 1
+                assert len(np.intersect1d(prefix[a], prefix[b])), (a, b)
+                assert jaccard.passing([prefix[a], prefix[b]], np.array([len(x), len(y)]), similarity)[0, 1]
+    assert linked > 20
 
 
 def test_jaccard_join_of_odd_rows(spark):
