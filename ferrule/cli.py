@@ -1,4 +1,4 @@
-"""Command line: ask, eval, index, import, serve.
+"""Command line: ask, eval, index, import.
 
 ``python -m ferrule.cli ask --index DIR --docs DIR --query TEXT``
 """
@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,17 +23,23 @@ from .sources import documents, remote, store
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="ferrule", description=__doc__)
-    out.add_argument("--env", default=".env", help="settings file; what is set already stands")
     tasks = out.add_subparsers(dest="task", required=True)
     for name, text in (("ask", "answer a question"), ("eval", "run an evaluation set"), ("index", "bring the index in line with the documents")):
         task = tasks.add_parser(name, help=text)
         task.add_argument("--index", required=True)
         task.add_argument("--docs", required=name == "index", help="markdown folder to index")
         task.add_argument("--rebuild-index", action="store_true")
+        task.add_argument("--embedder-url", help="service that embeds; its key is in FERRULE_EMBEDDER_KEY")
+        task.add_argument("--embedder-model", default="")
+        task.add_argument("--dimensions", type=int, default=EngineConfig.dimensions)
         if name != "index":
             task.add_argument("--scopes", default="internal,public", help="scopes of the asker, separated by commas")
             task.add_argument("--today", type=int, help="day of the access checks, yyyymmdd; this day by default")
             task.add_argument("--blocked-hint", action="store_true")
+            task.add_argument("--reranker-url")
+            task.add_argument("--reranker-model", default="")
+            task.add_argument("--chat-url", help="language model; its key is in FERRULE_CHAT_KEY")
+            task.add_argument("--chat-model", default="")
             task.add_argument("--events", help="folder that monitoring events are appended to")
             task.add_argument("--traces", help="folder that traces are appended to")
     tasks.choices["ask"].add_argument("--query", required=True)
@@ -45,11 +52,6 @@ def parser() -> argparse.ArgumentParser:
     cases.add_argument("--dataset", default="")
     cases.add_argument("--limit", type=int, default=remote.LIMIT)
     cases.add_argument("--rows-per-doc", type=int, default=12)
-    server = tasks.add_parser("serve", help="serve a reranker over HTTP")
-    server.add_argument("--model", default="BAAI/bge-reranker-v2-m3")
-    server.add_argument("--backend", default="auto")
-    server.add_argument("--host", default="127.0.0.1")
-    server.add_argument("--port", type=int, default=8008)
     return out
 
 
@@ -60,24 +62,24 @@ def _index(spark: SparkSession, args, config: EngineConfig, embedder) -> store.I
     return found
 
 
-def _models() -> tuple[EngineConfig, dict]:
-    """The configuration and the services that the settings name."""
-    url, chat = services.setting("EMBEDDING_BASE_URL"), services.setting("LLM_BASE_URL")
-    config = EngineConfig(dimensions=services.positive("EMBEDDING_DIMENSIONS", EngineConfig.dimensions))
-    made: dict = {"reranker": services.reranker_from_settings(), "embedder": None, "llm": None}
-    if url:
-        model = services.setting("EMBEDDING_MODEL", default="embedding-3")
-        config = EngineConfig(dimensions=config.dimensions, embedding_provider=services.setting("EMBEDDING_PROVIDER", default="external"), embedding_model=model)
-        made["embedder"] = services.HttpEmbedder(url, model, services.setting("EMBEDDING_API_KEY"), config.dimensions)
-    if chat:
-        made["llm"] = services.HttpChat(chat, services.setting("LLM_MODEL"), services.setting("LLM_API_KEY"), PROMPT_SYSTEM)
+def _models(args) -> tuple[EngineConfig, dict]:
+    """The configuration and the services that the arguments name."""
+    told, made = vars(args), {}
+    config = EngineConfig(dimensions=args.dimensions)
+    if args.embedder_url:
+        config = EngineConfig(dimensions=args.dimensions, embedding_provider="http", embedding_model=args.embedder_model)
+        made["embedder"] = services.HttpEmbedder(args.embedder_url, args.embedder_model, os.environ.get("FERRULE_EMBEDDER_KEY", ""), args.dimensions)
+    if told.get("reranker_url"):
+        made["reranker"] = services.HttpReranker(args.reranker_url, args.reranker_model)
+    if told.get("chat_url"):
+        made["llm"] = services.HttpChat(args.chat_url, args.chat_model, os.environ.get("FERRULE_CHAT_KEY", ""), PROMPT_SYSTEM)
     return config, made
 
 
 def _answered(spark: SparkSession, args, queries: DataFrame) -> Answered:
-    config, made = _models()
-    index = _index(spark, args, config, made["embedder"])
-    model = made["reranker"].model if made["reranker"] else ""
+    config, made = _models(args)
+    index = _index(spark, args, config, made.get("embedder"))
+    model = args.reranker_model if args.reranker_url else ""
     scopes = {s.strip() for s in args.scopes.replace(";", ",").split(",") if s.strip()}
     done = HybridEngine(index, config, model_name=model, **made).run(queries, scopes, args.today, args.blocked_hint)
     for folder, rows in ((args.events, done.events), (args.traces, done.traces)):
@@ -95,10 +97,6 @@ def printed(row) -> str:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    services.load_settings(args.env)
-    if args.task == "serve":
-        services.rerank_server(services.cross_encoder(args.model, args.backend), args.model, args.host, args.port).serve_forever()
-        return 0
     spark = spark or SparkSession.builder.appName("ferrule").getOrCreate()
     if args.task == "import":
         rows = remote.read_dataset(spark, args.path, args.url, args.limit, **({"dataset": args.dataset, "config": "default", "split": "train"} if args.dataset else {}))
@@ -107,8 +105,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"wrote markdown documents to {args.output_dir}")
         return 0
     if args.task == "index":
-        config, made = _models()
-        index = store.IndexStore.of_identity(spark, args.index, config, embedder=made["embedder"])
+        config, made = _models(args)
+        index = store.IndexStore.of_identity(spark, args.index, config, embedder=made.get("embedder"))
         done = index.sync(documents.read_corpus(spark, args.docs), rebuild=args.rebuild_index)
         print(f"{index.path}: {done.added} added, {done.changed} changed, {done.removed} removed, {index.count()} chunks")
         return 0

@@ -44,6 +44,24 @@ def _best(keys: np.ndarray, k: int) -> np.ndarray:
     return hit
 
 
+class _Askers:
+    """The distinct askers of a block of queries, and which rows of a batch each of them sees."""
+
+    def __init__(self, queries: pa.Table):
+        rows = [(frozenset(a or ()), d) for a, d in zip(queries["allowed"].to_pylist(), queries["as_of"].to_pylist(), strict=True)]
+        place = {asker: i for i, asker in enumerate(dict.fromkeys(rows))}
+        self.of = np.array([place[asker] for asker in rows], np.int64)
+        self.allowed, self.day = [a for a, _ in place], np.array([d for _, d in place], np.int64)
+
+    def seen(self, batch: pa.RecordBatch) -> np.ndarray:
+        """(askers, rows); rows share few sets of scopes, which are compared once."""
+        sets: dict[tuple, int] = {}
+        own = np.array([sets.setdefault(tuple(s or ()), len(sets)) for s in batch.column("scopes").to_pylist()], np.int64)
+        meets = np.array([[not a.isdisjoint(s) for s in sets] for a in self.allowed], bool).reshape(len(self.allowed), len(sets))
+        first, last = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("from_day", "to_day"))
+        return meets[:, own] & (first <= self.day[:, None]) & (last >= self.day[:, None])
+
+
 def dense_topk(
     queries: DataFrame, rows: DataFrame, k: int, *, normalised: bool = False, min_score: float | None = None, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -54,11 +72,16 @@ def dense_topk(
     batch of rows with a block and passes on its own best ``k`` of each query, ties to the
     smaller key, so what is shuffled is ``k`` rows a query and batch.  A pair with an empty
     vector scores 0; vectors of different lengths are compared over the shorter one.
+
+    Where queries carry ``allowed`` and ``as_of``, rows carry ``scopes``, ``from_day`` and
+    ``to_day``, and a query finds only rows that its asker sees.
     """
+    by_asker = "allowed" in queries.columns
+    who, what = (["allowed", "as_of"], ["scopes", "from_day", "to_day"]) if by_asker else ([], [])
     spark = queries.sparkSession
     q_type, key_type = queries.schema["query_id"].dataType, rows.schema["key"].dataType
     filled = F.coalesce(F.col("vector").cast("array<double>"), F.array().cast("array<double>")).alias("vector")
-    asked, held = materialise(queries.select("query_id", filled), "asked"), rows.select("key", filled)
+    asked, held = materialise(queries.select("query_id", filled, *who), "asked"), rows.select("key", filled, *what)
     found = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
     width = max(found.width or 0, 1)
     blocks = max(1, -(-found.n * width * 8 // block_bytes))
@@ -70,10 +93,10 @@ def dense_topk(
         q, sizes = _matrix(got["vector"].chunk(0), width) if got.num_rows else (np.zeros((0, width)), np.zeros(0))
         if normalised:
             q /= np.maximum(sizes, 1e-300)[:, None]
-        shipped = spark.sparkContext.broadcast((got["query_id"].combine_chunks(), q))
+        shipped = spark.sparkContext.broadcast((got["query_id"].combine_chunks(), q, _Askers(got) if by_asker else None))
 
         def run(batches, shipped=shipped):
-            ids, q = shipped.value
+            ids, q, askers = shipped.value
             for batch in batches:
                 if not batch.num_rows or not len(q):
                     continue
@@ -82,9 +105,14 @@ def dense_topk(
                 x, sizes = _matrix(batch.column(1), width)
                 if normalised:
                     x /= np.maximum(sizes, 1e-300)[:, None]
+                seen = askers.seen(batch) if by_asker else None
                 for lo in range(0, len(q), 256):
                     near = q[lo : lo + 256] @ x.T
+                    if by_asker:
+                        near[~seen[askers.of[lo : lo + 256]]] = -np.inf
                     hit = _best(np.round(near * 1_000_000), k)
+                    if by_asker:
+                        hit &= near > -np.inf
                     if min_score is not None:
                         hit &= near >= min_score
                     i, j = np.nonzero(hit)

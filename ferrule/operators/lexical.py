@@ -96,13 +96,17 @@ VARIANTS = {"plain": (1.5, 0.75), "fts5": (1.2, 0.75)}
 LEAST_IDF = 1e-6
 
 
-def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int, variant: str = "plain", key: str = "chunk_id", among: DataFrame | None = None) -> DataFrame:
+def bm25(
+    queries: DataFrame, index: DataFrame, stats: DataFrame, k: int, variant: str = "plain", key: str = "chunk_id", among: DataFrame | None = None, seen: Column | None = None
+) -> DataFrame:
     """(query_id, key, score, rank): the ``k`` best rows above zero.
 
     ``index`` and ``stats`` say what the statistics are of; ``among`` (keys) which rows may
-    be found.  Only postings of asked terms take part; they are written once, frequencies are
-    counted on them, and the sizes of what is written decide how it is joined.
+    be found.  With ``seen``, a test of columns of ``among`` beside columns of ``queries``, each
+    query finds its own.  Only postings of asked terms take part; they are written once,
+    frequencies are counted on them, and the sizes of what is written decide how it is joined.
     """
+    of_query = [] if seen is None else [c for c in queries.columns if c not in ("query_id", "query")]
     k1, b = VARIANTS[variant]
     asked = materialise(query_terms(queries), "asked")
     held = materialise(index.join(asked.select("term").distinct(), "term", "left_semi"), "postings")
@@ -112,12 +116,52 @@ def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int, variant
     weighed = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", "mean_length", idf.alias("idf"))
     weighed = materialise(weighed, "weights")
     if among is not None:
-        held = held.join(among.select(key), key, "left_semi")
+        held = held.join(among.select(key), key, "left_semi") if seen is None else held.join(among, key)
     saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = held.join(weighed, "term").groupBy("query_id", key).agg(F.sum(F.col("times") * F.col("idf") * saturated).alias("score"))
+    met = held.join(weighed, "term")
+    if seen is not None:
+        met = met.join(queries.select("query_id", *of_query), "query_id").where(seen)
+    scored = met.groupBy("query_id", key).agg(F.sum(F.col("times") * F.col("idf") * saturated).alias("score"))
     return top_k(scored.where("score > 0"), k, [F.desc(score_key()), F.col(key)])
 
 
+def bm25_blocks(
+    asked: DataFrame, blocks: DataFrame, postings: DataFrame, living, stats: DataFrame, k: int, variant: str = "plain", key: str = "chunk_id", of_query: DataFrame | None = None, first: int = 2
+) -> DataFrame:
+    """(query_id, key, score, rank): the ``k`` best rows above zero, from postings in blocks.
+
+    ``asked``: query_id, term, times.  ``blocks``: term, block, n, most_tf, least_length, as many
+    rows a block as have been written; a key lies in one block for all terms.  ``living`` keeps
+    of met postings, beside the columns of ``of_query``, those that count.  A query's ``first`` most
+    promising blocks say what its ``k``-th best is at the least; of the others only those are
+    looked at whose terms could outweigh it together.
+    """
+    k1, b = VARIANTS[variant]
+    saturated = lambda tf, length: F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(length) / F.col("mean_length")))
+    blocks = blocks.groupBy("term", "block").agg(F.sum("n").alias("n"), F.max("most_tf").alias("most_tf"), F.min("least_length").alias("least_length"))
+    blocks = materialise(blocks, "blocks")
+    df = blocks.groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
+    odds = (F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    idf = F.log(1 + odds) if variant == "plain" else F.when(F.log(odds) <= 0, F.lit(LEAST_IDF)).otherwise(F.log(odds))
+    weighed = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "mean_length", (F.col("times") * idf).alias("weight"))
+    weighed = materialise(weighed, "weights")
+    bounds = weighed.join(blocks.where("n > 0"), "term").groupBy("query_id", "block").agg(F.sum(F.col("weight") * saturated("most_tf", "least_length")).alias("most"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("most"), "block")
+    bounds = materialise(bounds.withColumn("place", F.row_number().over(order)), "bounds")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        met = postings.join(weighed.join(pairs.select("query_id", "block"), "query_id"), ["term", "block"])
+        if of_query is not None:
+            met = met.join(of_query, "query_id")
+        return living(met).groupBy("query_id", key).agg(F.sum(F.col("weight") * saturated("tf", "length")).alias("score")).where("score > 0")
+
+    best = materialise(top_k(scored(bounds.where(F.col("place") <= first)), k, [F.desc(score_key()), F.col(key)]), "best")
+    edge = best.where(F.col("rank") == k).select("query_id", score_key().alias("edge"))
+    rest = bounds.where(F.col("place") > first).join(edge, "query_id", "left").where(F.col("edge").isNull() | (score_key("most") + 1 >= F.col("edge")))
+    more = scored(materialise(rest.select("query_id", "block"), "reached"))
+    return top_k(best.drop("rank").unionByName(more), k, [F.desc(score_key()), F.col(key)])
+
+
 def sparse_idf(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id", among: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, rank) by hashed term frequencies times idf: no saturation, no length norm.
 

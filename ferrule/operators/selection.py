@@ -66,9 +66,9 @@ def mmr(ranked: DataFrame, limit: int = 12, weight: float = 0.72, duplicate: flo
     return ranked.select("query_id", key, "rank", "rerank_score", "vector").groupBy("query_id").applyInPandas(choose, out)
 
 
-def by_parent(chunks: DataFrame) -> DataFrame:
+def by_parent(chunks: DataFrame, *more: str) -> DataFrame:
     """(parent_id, siblings): a parent's chunks in order of their ids."""
-    member = F.struct("chunk_id", "text", "token_count")
+    member = F.struct("chunk_id", "text", "token_count", *more)
     return chunks.groupBy("parent_id").agg(F.array_sort(F.collect_list(member)).alias("siblings"))
 
 
@@ -83,14 +83,18 @@ def hydrate(ids: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFra
     return chunks.join(ids.select(key).distinct(), key, "left_semi")
 
 
-def expand(selected: DataFrame, chunks: DataFrame, max_chars: int = 1200) -> DataFrame:
+def expand(selected: DataFrame, chunks: DataFrame, max_chars: int = 1200, seen=None, of_chunk: tuple[str, ...] = ()) -> DataFrame:
     """Adds expanded_text, expanded_ids and expanded_tokens: the row's text with siblings that still fit.
 
     Siblings join in order of their ids while the whole stays within ``max_chars``; one that
-    does not fit is passed over, and the row itself always stays.
+    does not fit is passed over, and the row itself always stays.  With ``seen``, a test of a
+    sibling's columns ``of_chunk``, siblings that fail it are not there.
     """
     asked = chunks.join(selected.select("parent_id").distinct(), "parent_id", "left_semi")
-    rows = selected.join(by_parent(asked), "parent_id", "left")
+    rows = selected.join(by_parent(asked, *of_chunk), "parent_id", "left")
+    if seen is not None:
+        own = F.filter("siblings", lambda s: seen(*[s[c] for c in of_chunk]) | (s["chunk_id"] == F.col("chunk_id")))
+        rows = rows.withColumn("siblings", F.transform(own, lambda s: F.struct(s["chunk_id"].alias("chunk_id"), s["text"].alias("text"), s["token_count"].alias("token_count"))))
     empty = F.array().cast("array<string>")
     state = F.struct(empty.alias("ids"), empty.alias("texts"), F.lit(0).alias("size"), F.lit(0).alias("tokens"))
 

@@ -52,20 +52,25 @@ def _queries(spark, d) -> DataFrame:
     return _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _access(spark, d) -> DataFrame:
-    """Documents with scopes and validity derived from their ids, the same way as in the SQL."""
-    k = F.col("doc_id")
+def _with_access(rows: DataFrame, k) -> DataFrame:
+    """Rows with scopes and validity derived from a number, the same way as in the SQL."""
     scope = (
         F.when(k % 5 == 0, "public").when(k % 5 == 1, "internal").when(k % 5 == 2, "internal, partner_support").when(k % 5 == 3, "finance_restricted").otherwise("")
     )
-    rows = _docs(spark, d).select(
-        "doc_id",
-        "text",
-        scope.alias("permission_scope"),
-        F.when(k % 7 == 0, "2027-01-01").otherwise("").alias("effective_from"),
-        F.when(k % 11 == 0, "2026-01-31").otherwise("").alias("effective_to"),
-    )
-    return access.with_access_columns(rows)
+    first, last = F.when(k % 7 == 0, "2027-01-01").otherwise(""), F.when(k % 11 == 0, "2026-01-31").otherwise("")
+    return access.with_access_columns(rows.withColumns({"permission_scope": scope, "effective_from": first, "effective_to": last}))
+
+
+def _access(spark, d) -> DataFrame:
+    return _with_access(_docs(spark, d).select("doc_id", "text"), F.col("doc_id"))
+
+
+def _with_askers(queries: DataFrame, k) -> DataFrame:
+    """Queries whose askers and days differ: every fourth has the usual scopes, every third the usual day."""
+    listed = lambda *names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    scopes = F.when(k % 4 == 0, listed("public")).when(k % 4 == 1, listed("partner_support", "internal")).when(k % 4 == 2, listed("finance_restricted", " ")).otherwise(listed())
+    day = F.when(k % 3 == 1, "2025-01-01").when(k % 3 == 2, "2028-01-01")
+    return access.with_askers(queries.withColumns({"scopes": scopes, "as_of": day}), SCOPES, TODAY).drop("scopes")
 
 
 def _scored(df: DataFrame, *extra: str) -> DataFrame:
@@ -159,6 +164,17 @@ def access_remote_split(spark, d):
     return access.remote_split(_access(spark, d), SCOPES, TODAY).select("doc_id", "part")
 
 
+def visible_by_asker(spark, d):
+    """How many documents each query's asker sees and why not the others, and the sum of the ids of those seen."""
+    queries, rows = _with_askers(_queries(spark, d), F.col("query_id")), _access(spark, d)
+    counts = access.counts_by_asker(queries, rows)
+    told = access.classes(rows).groupBy("access_class").agg(*[F.first(c).alias(c) for c in ("scopes", "from_day", "to_day")], F.sum("doc_id").alias("ids"))
+    told = materialise(told, "classes")
+    seen = access.grants(queries.withColumnRenamed("query_id", "asker"), told.drop("ids")).join(told.select("access_class", "ids"), "access_class")
+    ids = seen.groupBy(F.col("asker").alias("query_id")).agg(F.sum("ids").alias("ids"))
+    return counts.join(ids, "query_id", "left").fillna(0, ["ids"])
+
+
 def blocked_matches(spark, d):
     hidden = _access(spark, d).where(~access.scope_allowed(SCOPES)).select(F.col("doc_id").alias("chunk_id"), "doc_id", fx.tokenize("text").alias("terms"))
     found = access.blocked_matches(_queries(spark, d), hidden)
@@ -186,6 +202,20 @@ def bm25_fts5_topk(spark, d):
     return _scored(found)
 
 
+def bm25_by_asker(spark, d):
+    """Each query's best documents among those that its own asker sees on its own day."""
+    rows, queries = _terms(spark, d), _with_askers(_queries(spark, d), F.col("query_id"))
+    among = _access(spark, d).select("doc_id", "scopes", "from_day", "to_day")
+    return _scored(lexical.bm25(queries, lexical.postings(rows, "doc_id"), lexical.corpus_statistics(rows), 12, "plain", "doc_id", among=among, seen=access.visible_to()))
+
+
+def dense_by_asker(spark, d):
+    asked, rows = _vectors(spark, d)
+    asked = _with_askers(asked.withColumn("n", (F.col("query_id") / 100).cast("int")), F.col("n"))
+    found = dense.dense_topk(asked, _with_access(rows, F.col("key")), 12)
+    return found.select("query_id", F.col("key").alias("vec_id"), "rank", lexical.score_key().alias("score_key"))
+
+
 def sparse_idf_topk(spark, d):
     return _scored(lexical.sparse_idf(_queries(spark, d), _terms(spark, d), 12, "doc_id"))
 
@@ -631,8 +661,9 @@ def index_postings(spark, d):
 
 
 def index_vectors(spark, d):
+    """Of each chunk's vector, the number of places that hold something, and their weights by place."""
     rows = _stored(spark, d).vectors().select("chunk_id", F.posexplode("vector").alias("idx", "weight")).where("weight <> 0")
-    return rows.groupBy("idx").agg(F.count("*").alias("n"), F.round(F.sum("weight") * 1e3).cast("long").alias("weight_key"))
+    return rows.groupBy("chunk_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("weight") * (F.col("idx") + 1)) * 1e3).cast("long").alias("weight_key"))
 
 
 def index_counts(spark, d):
@@ -642,9 +673,7 @@ def index_counts(spark, d):
 
 def index_recall(spark, d):
     """Lexical recall from stored postings and statistics."""
-    target = _stored(spark, d)
-    index = target.postings().select("chunk_id", "term", "tf", "length")
-    found = lexical.bm25(_queries(spark, d), index, target.statistics(), 5)
+    found = _stored(spark, d).recall(_queries(spark, d), 5)
     return found.select("query_id", "chunk_id", "rank", lexical.score_key().alias("score_key"))
 
 
@@ -657,6 +686,20 @@ def sync_counts(spark, d):
     return spark.createDataFrame([*rows, (len(rows), 0, 0, 0, target.exists())], "step long, added long, changed long, removed long, there boolean")
 
 
+def sync_access(spark, d):
+    """A second sync in which only scopes, validity and versions differ: what chunks and vectors say then, and how many documents it restated."""
+    target, (docs, _), k = _new_index(spark, buckets=4), _corpora(spark, d), F.col("doc_id")
+    target.sync(docs)
+    later = docs.withColumns({
+        "permission_scope": F.when(k % 4 == 0, "public, partner_support").otherwise(F.col("permission_scope")),
+        "effective_to": F.when(k % 6 == 0, "2026-01-31").otherwise(""), "version": F.when(k % 10 == 0, "v2").otherwise("v1"),
+    })
+    done = target.sync(later)
+    told = target.chunks().groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.array_join("scopes", ","))), "|").alias("chunk_scopes"), F.max("to_day").alias("to_day"), F.max("version").alias("version"))
+    vectors = target.vectors().groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.array_join("scopes", ","))), "|").alias("vector_scopes"), F.min("to_day").alias("vector_to_day"))
+    return told.join(vectors, "doc_id").withColumns({"restated": F.lit(done.restated).cast("long"), "changed": F.lit(done.added + done.changed + done.removed).cast("long")})
+
+
 def mirror_manifest(spark, d):
     """Documents and numbers of chunks and vectors in an index's mirror after two syncs."""
     mirror = _new_index(spark)
@@ -813,13 +856,13 @@ def hybrid_golden(spark, d):
 
 _QUERIES = (
     tokenize_terms, tokenize_literals, term_stats, corpus_stats, hash_embedding, sparse_vector, content_hash, normalize_text, scalar_text, sortable_day,
-    access_reasons, access_reasons_by_text, access_counts, visible_docs, access_store_split, access_remote_split, blocked_matches, blocked_recall,
-    bm25_topk, bm25_fts5_topk, sparse_idf_topk, hash_dense_topk, dense_topk, cosine_topk_minscore, rrf_fused, rerank_skip, rerank_scores, rerank_response,
+    access_reasons, access_reasons_by_text, access_counts, visible_docs, access_store_split, access_remote_split, visible_by_asker, blocked_matches, blocked_recall,
+    bm25_topk, bm25_fts5_topk, bm25_by_asker, sparse_idf_topk, hash_dense_topk, dense_topk, dense_by_asker, cosine_topk_minscore, rrf_fused, rerank_skip, rerank_scores, rerank_response,
     mmr_selected, mmr_dropped, dynamic_truncate, hydrate, section_split, chunk_fold, chunk_rows, plain_chunks, parent_expand, siblings,
     sync_diff, upsert_merge, delete_docs, manifest_first, sufficiency, sufficiency_rrf_only, context_evidence, extractive_answer, citation_validation,
     prompts, numbered_context, result_summary, casebook_render, retrieval_metrics, eval_report, monitoring_event, monitoring_rollup, fallback_summary,
     rerank_fallback, vector_expressions, scope_keys, frontmatter, payloads, sentence_points, out_of_domain, sufficiency_rules,
-    index_manifest, index_chunks, index_postings, index_vectors, index_counts, index_recall, sync_counts, mirror_manifest, markdown_folder, eval_cases, index_of_a_model, event_log,
+    index_manifest, index_chunks, index_postings, index_vectors, index_counts, index_recall, sync_counts, sync_access, mirror_manifest, markdown_folder, eval_cases, index_of_a_model, event_log,
     embedder_vectors, llm_answers, component_status, patience_outcomes, setting_lines, response_scores, hybrid_golden,
 )
 

@@ -72,6 +72,11 @@ _ACC = """acc AS (
     CASE WHEN doc_id % 11 = 0 THEN '2026-01-31' ELSE '' END AS effective_to FROM documents))"""
 _ALLOWED = "list_has_any(scopes, ['internal', 'public'])"
 _VALID = "(from_day <= 20260607 AND to_day >= 20260607)"
+_ASKER = lambda key, k: f"""ask AS (SELECT {key} AS query_id, CASE {k} % 4 WHEN 0 THEN ['public'] WHEN 1 THEN ['internal', 'partner_support'] WHEN 2 THEN ['finance_restricted'] ELSE ['internal', 'public'] END AS allowed,
+  CASE {k} % 3 WHEN 0 THEN 20260607 WHEN 1 THEN 20250101 ELSE 20280101 END AS as_of"""
+_ASK = f"{_ASKER('item_id', 'item_id')} FROM benchmark)"
+_MET = "list_has_any(scopes, allowed)"
+_SEEN = f"({_MET} AND from_day <= as_of AND to_day >= as_of)"
 
 
 def _bm25(variant: str, among: str = "") -> str:
@@ -354,6 +359,13 @@ SQL = {
     "blocked_recall": f"WITH {_ACC}, {_DT}, {_POST}, {_STATS}, {_QT}, {_sparse(5, f'WHERE doc_id IN (SELECT doc_id FROM acc WHERE NOT {_ALLOWED} AND {_VALID})')} SELECT query_id, doc_id, rank, {_key('score')} AS score_key FROM lex",
     "bm25_topk": f"WITH {_DT}, {_POST}, {_STATS}, {_QT}, {_bm25('plain')} SELECT query_id, doc_id, rank, {_key('score')} AS score_key FROM lex",
     "bm25_fts5_topk": f"WITH {_ACC}, {_DT}, {_POST}, {_STATS}, {_QT}, {_bm25('fts5', f'WHERE doc_id IN (SELECT doc_id FROM acc WHERE {_ALLOWED} AND {_VALID})')} SELECT query_id, doc_id, rank, {_key('score')} AS score_key FROM lex",
+    "visible_by_asker": f"""WITH {_ACC}, {_ASK} SELECT query_id, count(*) FILTER ({_SEEN}) AS visible, count(*) FILTER (NOT {_MET}) AS permission_scope, count(*) FILTER ({_MET} AND from_day > as_of) AS not_yet_effective,
+  count(*) FILTER ({_MET} AND from_day <= as_of AND to_day < as_of) AS expired, CAST(coalesce(sum(doc_id) FILTER ({_SEEN}), 0) AS BIGINT) AS ids FROM acc, ask GROUP BY query_id""",
+    "bm25_by_asker": f"""WITH {_ACC}, {_ASK}, {_DT}, {_POST}, {_STATS}, {_QT}, {_bm25('plain', f'WHERE (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM acc, ask WHERE {_SEEN})')}
+SELECT query_id, doc_id, rank, {_key('score')} AS score_key FROM lex""",
+    "dense_by_asker": f"""WITH {_ACC.replace('doc_id, text,', 'vec_id AS doc_id, embedding,').replace('doc_id %', 'vec_id %').replace('FROM documents', 'FROM embeddings')}, {_ASKER('vec_id', '(vec_id // 100)')}, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, doc_id AS vec_id, {_key('list_inner_product(v, CAST(embedding AS DOUBLE[]))')} AS score_key FROM acc, ask WHERE {_SEEN})
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_key DESC, vec_id) AS rank FROM s) WHERE rank <= 12""",
     "sparse_idf_topk": f"WITH {_DT}, {_POST}, {_STATS}, {_QT}, {_sparse(12)} SELECT query_id, doc_id, rank, {_key('score')} AS score_key FROM lex",
     "hash_dense_topk": f"WITH {_DT}, {_DENSE} SELECT query_id, doc_id, rank, {_key('score')} AS score_key FROM den",
     "dense_topk": f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, {_key('list_inner_product(q.v, e.v)')} AS score_key FROM e q, e WHERE q.vec_id % 100 = 0)
@@ -447,7 +459,7 @@ FROM (VALUES {_GATE}) g(query_id, query, coverage, n_selected, best, n_lexical,
     "index_chunks": f"WITH RECURSIVE {_INDEXED} SELECT chunk_id, parent_id, c.doc_id, token_count, CAST(len(terms) AS BIGINT) AS n_terms, sha256(text) AS text_sha256 FROM chunks c JOIN ct USING (chunk_id) WHERE c.doc_id % 5 = 0",
     "index_postings": f"WITH RECURSIVE {_INDEXED} SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df, CAST(sum(length) AS BIGINT) AS lengths FROM cp GROUP BY term",
     "index_vectors": f"""WITH RECURSIVE {_INDEXED}, w AS (SELECT chunk_id, {_HI('term')} % 64 AS idx, sum({_SIGN('term')}) AS raw FROM (SELECT chunk_id, unnest(terms) AS term FROM ct) GROUP BY 1, 2),
-z AS (SELECT chunk_id, sqrt(sum(raw * raw)) AS size FROM w GROUP BY 1) SELECT idx, count(*) AS n, CAST(round(sum(raw / size) * 1000) AS BIGINT) AS weight_key FROM w JOIN z USING (chunk_id) WHERE raw <> 0 GROUP BY idx""",
+z AS (SELECT chunk_id, sqrt(sum(raw * raw)) AS size FROM w GROUP BY 1) SELECT chunk_id, count(*) AS n, CAST(round(sum(raw / size * (idx + 1)) * 1000) AS BIGINT) AS weight_key FROM w JOIN z USING (chunk_id) WHERE raw <> 0 GROUP BY chunk_id""",
     "index_counts": f"WITH RECURSIVE {_INDEXED} SELECT n_rows, {_key('mean_length')} AS mean_length_key, n_rows AS n_chunks FROM stats",
     "index_recall": f"""WITH RECURSIVE {_INDEXED.replace(' df AS ', ' dif AS ').replace(chr(10) + 'df AS ', chr(10) + 'dif AS ')}, {_QT}, post AS (SELECT chunk_id AS doc_id, term, tf, length FROM cp), {_bm25('plain')}
 SELECT query_id, doc_id AS chunk_id, rank, {_key('score')} AS score_key FROM lex WHERE rank <= 5""",
@@ -455,6 +467,10 @@ SELECT query_id, doc_id AS chunk_id, rank, {_key('score')} AS score_key FROM lex
 SELECT 0::BIGINT AS step, n AS added, 0::BIGINT AS changed, 0::BIGINT AS removed, true AS there FROM live
 UNION ALL SELECT 1, count(*) FILTER (change = 'added'), count(*) FILTER (change = 'changed'), count(*) FILTER (change = 'removed'), true FROM ch
 UNION ALL SELECT 2, 0, 0, 0, true UNION ALL SELECT 3, 0, 0, 0, false""",
+    "sync_access": f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'public,partner_support' WHEN doc_id % 5 = 0 THEN 'public' ELSE 'closed' END AS scopes,
+  CASE WHEN doc_id % 6 = 0 THEN 20260131 ELSE 99991231 END AS to_day, CASE WHEN doc_id % 10 = 0 THEN 'v2' ELSE 'v1' END AS version, {_strip('text')} <> '' AS told,
+  doc_id % 4 = 0 OR doc_id % 6 = 0 OR doc_id % 10 = 0 AS other FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, scopes AS chunk_scopes, scopes AS vector_scopes, CAST(to_day AS BIGINT) AS to_day, CAST(to_day AS BIGINT) AS vector_to_day, version, (SELECT count(*) FROM x WHERE other) AS restated, 0::BIGINT AS changed FROM x WHERE told""",
     "mirror_manifest": f"""WITH RECURSIVE {_INDEXED}, n AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1)
 SELECT doc_id, {_HASH.replace("'1024'", "'64'")} AS content_hash, coalesce(n, 0) AS n_chunks, coalesce(n, 0) AS n_vectors FROM v2 LEFT JOIN n USING (doc_id) WHERE text IS NOT NULL""",
     "markdown_folder": f"""WITH f(k, raw) AS (VALUES {', '.join(f"({k}, {_text(t)})" for k, t in enumerate(MARKDOWN_DOCS))}),

@@ -17,6 +17,7 @@ from ..storage import discard, materialise
 
 #: What each event says about the engine that answered; fixed for a version of this engine.
 PIPELINE_VERSION = "ferrule_pipeline_v2"
+ACCESS = ("scopes", "from_day", "to_day")
 
 
 @dataclass
@@ -53,11 +54,15 @@ class ChunkIndex:
     def chunks(self) -> DataFrame:
         return self._chunks
 
-    def postings(self) -> DataFrame:
-        return lexical.postings(self._chunks)
+    def pinned(self) -> ChunkIndex:
+        return self
 
-    def statistics(self) -> DataFrame:
-        return lexical.corpus_statistics(self._chunks)
+    def recall(self, queries: DataFrame, k: int, variant: str, seen) -> DataFrame:
+        """As an index's: by BM25 among the chunks that pass ``seen``, beside the queries' own columns if they have some."""
+        by_query = len(queries.columns) > 2
+        rows = self._chunks.select("chunk_id", *ACCESS)
+        among = rows if by_query else rows.where(seen)
+        return lexical.bm25(queries, lexical.postings(self._chunks), lexical.corpus_statistics(self._chunks), k, variant, among=among, seen=seen if by_query else None)
 
     def vectors(self) -> DataFrame:
         rows = self._chunks.withColumnRenamed("chunk_id", "key")
@@ -88,11 +93,14 @@ class HybridEngine:
     def run(self, queries: DataFrame, allowed=(), today: int | None = None, blocked_hint: bool = False) -> Answered:
         """``queries``: query_id, query.  ``today`` (yyyymmdd) is the day of the access checks, by default this one.
 
+        Queries may carry ``scopes`` and ``as_of``: then each is answered from what its own asker
+        sees on its own day, and ``permission`` has a row a query.
+
         What several results share is a dozen rows a query; those rows are written to shared
         storage until ``release``, so recall runs once however many results are read, and each
         stage's time is its own.
         """
-        c, index, spark = self.config, self.index, queries.sparkSession
+        c, index, spark = self.config, self.index.pinned(), queries.sparkSession
         began = clock = time.perf_counter()
         spent: dict[str, int] = {}
         held: list[DataFrame] = []
@@ -106,18 +114,27 @@ class HybridEngine:
 
         today = today or int(date.today().strftime("%Y%m%d"))
         allowed = access.effective_scopes(allowed, c)
-        chunks, seen = index.chunks(), access.visible(allowed, today)
-        permission = stage("access_filter", access.reason_counts(chunks.select(access.reason(allowed, today).alias("reason"))))
+        by_asker = bool({"scopes", "as_of"} & set(queries.columns))
+        chunks, seen, who = index.chunks(), access.visible(allowed, today), []
+        if by_asker:
+            queries, who = access.with_askers(queries, allowed, today, c).select("query_id", "query", "allowed", "as_of"), ["allowed", "as_of"]
+            queries = stage("askers", queries)
+            permission = stage("access_filter", access.counts_by_asker(queries, chunks.select(*ACCESS)))
+        else:
+            permission = stage("access_filter", access.reason_counts(chunks.select(access.reason(allowed, today).alias("reason"))))
+        # what no asker of the batch may see is left out here, what only some may see where a row meets its query
+        mine = chunks if by_asker else chunks.where(seen)
         asked = queries.select("query_id", "query", tokenize("query").alias("terms"))
         asked = stage("embedding", vectors_of(asked, "query_id", "query", "terms", c, self.embedder))
-        vectors = index.vectors().where(seen)
-        near = dense.dense_topk(asked, vectors.select(F.col("chunk_id").alias("key"), "vector"), c.dense_top_n).withColumnRenamed("key", "chunk_id")
+        vectors = index.vectors() if by_asker else index.vectors().where(seen)
+        with_who = asked.join(queries.select("query_id", *who), "query_id") if by_asker else asked
+        near = dense.dense_topk(with_who, vectors.select(F.col("chunk_id").alias("key"), "vector", *ACCESS), c.dense_top_n).withColumnRenamed("key", "chunk_id")
         near = stage("dense_recall", near)
-        words = lexical.bm25(queries, index.postings().select("chunk_id", "term", "tf", "length"), index.statistics(), c.lexical_top_n, c.lexical, among=chunks.where(seen))
+        words = index.recall(queries.select("query_id", "query", *who), c.lexical_top_n, c.lexical, access.visible_to() if by_asker else seen)
         words = stage("bm25_recall", words)
         fused = stage("rrf_fusion", fusion.rrf_fuse(near, words, c.rrf_k))
 
-        rows = selection.hydrate(fused.select("chunk_id"), chunks.where(seen), "chunk_id")
+        rows = selection.hydrate(fused.select("chunk_id"), mine, "chunk_id")
         rows = stage("docstore_hydrate", rows)
         scores = None
         if self.reranker is not None:
@@ -130,15 +147,17 @@ class HybridEngine:
         diversified = stage("mmr", selection.mmr(with_vectors, c.rerank_top_n, c.mmr_lambda, c.duplicate_threshold))
         kept = diversified.where("NOT dropped AND mmr_rank IS NOT NULL").select("query_id", "chunk_id", "mmr_rank", "mmr_score")
         facts = ranked.select("query_id", "chunk_id", "rerank_score", "bm25_rank", "rrf_only")
-        found = stage("candidates", kept.join(facts, ["query_id", "chunk_id"]).join(rows, "chunk_id"))
-        expanded = selection.expand(found, chunks.where(seen), c.parent_expansion_chars)
+        found = kept.join(facts, ["query_id", "chunk_id"]).join(rows, "chunk_id")
+        found = stage("candidates", found.join(queries.select("query_id", *who), "query_id") if by_asker else found)
+        expanded = selection.expand(found, mine, c.parent_expansion_chars, *((access.visible_to, ACCESS) if by_asker else ()))
         cut = selection.truncate(
             expanded, rrf_only="rrf_only", min_score=c.min_rerank_score, gap=c.gap_threshold, max_k=c.final_max_k, budget=c.context_token_budget
         )
         selected = stage("truncate", context.evidence(cut.where("selected")))
         blocked = None
         if blocked_hint:
-            blocked = stage("blocked_matches", access.blocked_matches(queries, chunks.where(~access.scope_allowed(allowed))))
+            hidden = chunks if by_asker else chunks.where(~access.scope_allowed(allowed))
+            blocked = stage("blocked_matches", access.blocked_matches(queries, hidden))
         covered = context.coverage(queries, selected, "rrf_only")
         judged = context.sufficiency(
             covered, blocked, rrf_only="rrf_only", min_score=c.min_rerank_score, min_coverage=c.min_coverage, high_confidence=c.high_confidence

@@ -1,15 +1,27 @@
-"""A keyed index on Parquet: documents, chunks, postings and vectors, replaced document by document.
-
-Tables are divided into buckets by a hash of ``doc_id``.  A sync writes new generations of the
-buckets that hold changed or removed documents beside the old ones, and last a version that
-says which generation of each bucket counts.  A reader takes the newest version there is, so
-it sees a whole index before, during and after a sync, and after one that failed.
+"""A keyed index on Parquet: documents, chunks and vectors by document, postings by term.
+
+Documents, chunks and vectors are divided into buckets by a hash of ``doc_id``.  A sync writes
+new generations of the buckets that hold changed or removed documents beside the old ones.
+Postings lie by a hash of the term, sorted by term, in segments: a sync adds one for the
+documents it has written, and a posting counts while the manifest names the generation its
+document was ``born`` in, so no posting of other documents is rewritten.  Beside them, a
+dictionary of the terms says of each block of postings how many there are and what they can
+weigh at most.  Last comes a version that says which generations and segments count.  A reader
+takes the newest version there is, so it sees a whole index before, during and after a sync,
+and after one that failed.
+
+A document's content and its metadata (path, version, scopes, validity) have hashes of their
+own: where only the metadata has changed, the access columns are written anew, and nothing is
+split, tokenised or embedded.  A text that is embedded already, in whatever document, is not
+embedded again.
 """
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import json
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,31 +31,42 @@ from pyspark.sql import types as T
 from ..config import EngineConfig
 from ..functions.text import content_hash
 from ..functions.vectors import hash_embeddings
-from ..operators import selection
+from ..operators import lexical, selection
 from ..operators.access import with_access_columns
 from ..operators.chunking import section_chunks, split_sections
-from ..operators.lexical import postings
 from ..operators.plugins import embed
-from ..storage import names_in, remove
+from ..storage import materialise, names_in, remove
 from .documents import read_index
 
-TABLES = ("documents", "chunks", "postings", "vectors")
+#: Tables in buckets of documents, and tables in segments by term.
+BUCKETED, BY_TERM = ("documents", "chunks", "vectors"), ("postings", "terms")
 #: Bytes of documents a bucket is meant to hold, and files a bucket is written in at most.
 BUCKET_BYTES, BUCKET_FILES = 512 << 20, 8
+#: Bytes of documents whose terms share a part of the postings, and whose chunks a block of them.
+PART_BYTES, BLOCK_BYTES = 64 << 20, 4 << 20
+#: Segments of postings that a reader looks through at most; one more and they are merged.
+SEGMENTS = 8
+#: Asked terms up to which the scan of the postings is told their names.
+NAMED_TERMS = 1_000
 _ACCESS = ("scopes", "from_day", "to_day")
+_METADATA = ("source_path", "version", "permission_scope", "effective_from", "effective_to")
 
 
 def diff(current: DataFrame, stored: DataFrame) -> DataFrame:
-    """(doc_id, change): added, changed, removed or same, by content hash."""
-    new = current.select("doc_id", F.col("content_hash").alias("new_hash"))
-    old = stored.select("doc_id", F.col("content_hash").alias("old_hash"))
-    change = (
-        F.when(F.col("old_hash").isNull(), "added")
-        .when(F.col("new_hash").isNull(), "removed")
-        .when(F.col("old_hash") == F.col("new_hash"), "same")
-        .otherwise("changed")
-    )
-    return new.join(old, "doc_id", "full_outer").select("doc_id", change.alias("change"))
+    """(doc_id, change): added, changed, restated, removed or same.
+
+    Changed: another ``content_hash``, or ``shape_hash`` (title and body) where both sides have
+    one.  Restated: the same content under another ``metadata_hash``, or one never stored.
+    """
+    both = [c for c in ("content_hash", "shape_hash", "metadata_hash") if c in current.columns and c in stored.columns]
+    new = current.select("doc_id", *[F.col(c).alias(f"new_{c}") for c in both], F.lit(True).alias("now"))
+    old = stored.select("doc_id", *[F.col(c).alias(f"old_{c}") for c in both], F.lit(True).alias("then"))
+    change = F.when(F.col("then").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("old_content_hash") != F.col("new_content_hash"), "changed")
+    if "shape_hash" in both:
+        change = change.when(F.col("old_shape_hash") != F.col("new_shape_hash"), "changed")
+    if "metadata_hash" in both:
+        change = change.when(~F.col("old_metadata_hash").eqNullSafe(F.col("new_metadata_hash")), "restated")
+    return new.join(old, "doc_id", "full_outer").select("doc_id", change.otherwise("same").alias("change"))
 
 
 def upsert(stored: DataFrame, changed: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -56,6 +79,14 @@ def delete(stored: DataFrame, removed: DataFrame, key: str = "doc_id") -> DataFr
     return stored.join(removed.select(key).distinct(), key, "left_anti")
 
 
+def restate(stored: DataFrame, updates: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``stored`` with the columns that ``updates`` (a row a document) has for its documents."""
+    own = [c for c in updates.columns if c != key and c in stored.columns]
+    told = updates.select(F.col(key).alias("__key"), F.struct(*own).alias("__new"))
+    rows = stored.join(told, F.col(key) == F.col("__key"), "left")
+    return rows.select(*[F.when(F.col("__key").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in stored.columns])
+
+
 def build_chunks(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Chunks with their document's access columns, all from one pass over the documents."""
     sections = split_sections(docs)
@@ -72,6 +103,7 @@ class Synced:
     added: int
     changed: int
     removed: int
+    restated: int = 0
 
 
 class IndexStore:
@@ -82,6 +114,7 @@ class IndexStore:
     ):
         self.spark, self.path, self.config, self.buckets, self.mirror, self.embedder = spark, path.rstrip("/"), config, buckets, mirror, embedder
         self.identity = f"{config.embedding_provider.strip().lower()}:{config.embedding_model.strip()}"
+        self._pinned: dict | None = None
 
     @classmethod
     def of_identity(cls, spark: SparkSession, path: str, config: EngineConfig = EngineConfig(), **more) -> IndexStore:
@@ -92,30 +125,43 @@ class IndexStore:
 
     # -------------------------------------------------------------- versions
 
+    def _newest(self) -> int:
+        names = names_in(self.spark, f"{self.path}/versions")
+        return max([int(n.rpartition("=")[2]) for n in names if "_SUCCESS" in names_in(self.spark, f"{self.path}/versions/{n}")], default=0)
+
     def _version(self) -> dict[str, dict]:
-        """Of each table: ``schema``, ``buckets``, and which generation holds each bucket."""
-        done = [n for n in names_in(self.spark, f"{self.path}/versions") if "_SUCCESS" in names_in(self.spark, f"{self.path}/versions/{n}")]
-        if not done:
+        """What each table's files are, and ``facts``: numbers about the whole index."""
+        if self._pinned is not None:
+            return self._pinned
+        newest = self._newest()
+        if not newest:
             return {}
-        return {r.name: json.loads(r.held) for r in self.spark.read.schema("name string, held string").json(f"{self.path}/versions/{max(done)}").collect()}
+        return {r.name: json.loads(r.held) for r in self.spark.read.schema("name string, held string").json(f"{self.path}/versions/gen={newest:09d}").collect()}
 
-    def _next_generation(self) -> int:
-        return max([int(n.rpartition("=")[2]) for n in names_in(self.spark, f"{self.path}/versions")], default=0) + 1
+    def pinned(self) -> IndexStore:
+        """This index as of its newest version, which is read once."""
+        out = copy.copy(self)
+        out._pinned = self._version()
+        return out
 
     def exists(self) -> bool:
         return bool(self._version())
 
-    def read(self, name: str, among: list[int] | None = None) -> DataFrame:
-        """A table of the newest version, or some of its buckets."""
+    def _held(self, name: str) -> dict:
         held = self._version().get(name)
         if held is None:
             raise FileNotFoundError(f"no index in {self.path}")
+        return held
+
+    def read(self, name: str, among: list[int] | None = None) -> DataFrame:
+        """A table of the newest version, or some of its buckets or parts."""
+        held = self._held(name)
         schema = T.StructType.fromJson(held["schema"])
-        parts = [f"{self.path}/{name}/gen={g:09d}/bucket={b}" for b, g in held["generation"].items() if among is None or int(b) in among]
+        placed = held["generation"].items() if name in BUCKETED else [(b, g) for g, parts in held["segments"] for b in parts]
+        parts = [f"{self.path}/{name}/gen={g:09d}/bucket={b}" for b, g in placed if among is None or int(b) in among]
         if not parts:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*parts)
-        return rows.select(*schema.names)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*parts).select(*schema.names)
 
     def manifest(self) -> DataFrame:
         return self.read("documents")
@@ -123,15 +169,20 @@ class IndexStore:
     def chunks(self) -> DataFrame:
         return self.read("chunks")
 
+    def _living(self, postings: DataFrame) -> DataFrame:
+        """Postings of documents as they are now, with their documents' access columns."""
+        return postings.join(self.manifest().select("doc_id", "born", *_ACCESS), ["doc_id", "born"])
+
     def postings(self) -> DataFrame:
-        return self.read("postings")
+        """(chunk_id, term, tf, length, doc_id) of all documents as they are now."""
+        return self._living(self.read("postings")).select("chunk_id", "term", "tf", "length", "doc_id")
 
     def vectors(self) -> DataFrame:
         """(chunk_id, doc_id, vector) and the access columns, as embedded when the document last changed."""
         held = self._version().get("vectors")
         if held and held["identity"] != self.identity:
             raise ValueError(f"{self.path} was embedded by {held['identity']}, not by {self.identity}")
-        return self.read("vectors")
+        return self.read("vectors").drop("text_hash")
 
     def hydrate(self, ids: DataFrame) -> DataFrame:
         """The stored rows of the asked ``chunk_id``, each once; unknown ids are absent."""
@@ -143,23 +194,55 @@ class IndexStore:
         return selection.siblings(asked, self.chunks().join(asked, "parent_id", "left_semi"))
 
     def statistics(self) -> DataFrame:
-        """One row: number of chunks and mean number of terms, from one narrow column."""
-        return self.chunks().agg(F.count("*").alias("n_rows"), F.avg("n_terms").alias("mean_length"))
+        """One row: number of chunks and mean number of terms, as counted when they were written."""
+        facts = self._held("facts")
+        mean = facts["n_terms"] / facts["n_rows"] if facts["n_rows"] else None
+        return self.spark.createDataFrame([(facts["n_rows"], mean)], "n_rows long, mean_length double")
 
     def count(self) -> int:
-        return self.chunks().count()
+        return self._held("facts")["n_rows"]
+
+    def _parts_of(self, terms: DataFrame) -> list[int]:
+        """Which parts of the postings hold some terms: numbers, at most as many as there are parts."""
+        n = self._held("postings")["buckets"]
+        return [r.b for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(n)).cast("int").alias("b")).distinct().collect()]
+
+    def recall(self, queries: DataFrame, k: int, variant: str = "plain", seen=None) -> DataFrame:
+        """(query_id, chunk_id, score, rank): the ``k`` best chunks by BM25 among those that pass ``seen``.
+
+        ``seen`` is a test of the access columns, beside columns of ``queries`` if it needs them.
+        Only the parts of the postings and of the dictionary that hold asked terms are read, and
+        of a query's blocks only those that can still reach its ``k`` best.
+        """
+        asked = materialise(lexical.query_terms(queries), "asked")
+        terms = asked.select("term").distinct()
+        parts = self._parts_of(terms)
+        named = [r.term for r in terms.limit(NAMED_TERMS + 1).collect()]
+        test = F.col("term").isin(named) if 0 < len(named) <= NAMED_TERMS else F.lit(True)
+        blocks = self.read("terms", parts).where(test).join(terms, "term", "left_semi")
+        who = [c for c in queries.columns if c != "query"]
+
+        def living(met):
+            met = self._living(met)
+            return met if seen is None else met.where(seen)
+
+        of_query = queries.select(*who) if len(who) > 1 else None
+        return lexical.bm25_blocks(asked, blocks, self.read("postings", parts).where(test), living, self.statistics(), k, variant, of_query=of_query)
 
     def reset(self) -> None:
-        for name in (*TABLES, "versions", "changes", "incoming"):
+        for name in (*BUCKETED, *BY_TERM, "versions", "changes", "incoming", "claims"):
             remove(self.spark, f"{self.path}/{name}")
         if self.mirror:
             self.mirror.reset()
 
     def vacuum(self) -> int:
         """Delete generations that the newest version does not name; how many.  Not while others read older versions."""
-        version, gone = self._version(), 0
-        for name, held in version.items():
-            live = {f"gen={g:09d}/bucket={b}" for b, g in held["generation"].items()}
+        gone = 0
+        for name, held in self._version().items():
+            if name == "facts":
+                continue
+            placed = held["generation"].items() if name in BUCKETED else [(b, g) for g, parts in held["segments"] for b in parts]
+            live = {f"gen={g:09d}/bucket={b}" for b, g in placed}
             for gen in names_in(self.spark, f"{self.path}/{name}"):
                 for bucket in names_in(self.spark, f"{self.path}/{name}/{gen}"):
                     if bucket.startswith("bucket=") and f"{gen}/{bucket}" not in live:
@@ -169,93 +252,196 @@ class IndexStore:
 
     # -------------------------------------------------------------- writing
 
+    @contextmanager
+    def _writing(self):
+        """The number of the next version, held by one writer at a time; a second one fails."""
+        gen = self._newest() + 1
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/gen={gen:09d}")
+        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.createNewFile(place):
+            raise RuntimeError(f"another sync of {self.path} writes version {gen}; if it was killed, delete {place.toString()}")
+        try:
+            yield gen
+        finally:
+            files.delete(place, False)
+
     def with_hashes(self, docs: DataFrame) -> DataFrame:
+        told = lambda names: F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names if c in docs.columns])), 256)
         hashed = content_hash("raw_text", F.lit(self.identity), self.config.dimensions)
-        return docs.withColumns({"content_hash": hashed, "embedding_model": F.lit(self.identity)})
+        return docs.withColumns({"content_hash": hashed, "embedding_model": F.lit(self.identity), "shape_hash": told(("title", "body")), "metadata_hash": told(_METADATA)})
 
     def _embedded(self, chunks: DataFrame) -> DataFrame:
-        keyed = chunks.withColumnRenamed("chunk_id", "key")
+        """Vectors of chunks.  A plugged-in embedder is sent each text once, and none that the index holds a vector of."""
+        facts = chunks.select("chunk_id", "doc_id", *_ACCESS)
         if self.embedder is None:
-            found = hash_embeddings(keyed, "key", "terms", self.config.dimensions)
+            found = hash_embeddings(chunks.withColumnRenamed("chunk_id", "key"), "key", "terms", self.config.dimensions)
+            return found.withColumnRenamed("key", "chunk_id").join(facts, "chunk_id").withColumn("text_hash", F.lit(None).cast("string"))
+        named = chunks.select("chunk_id", F.sha2("text", 256).alias("text_hash"))
+        texts = chunks.groupBy(F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"))
+        known = None
+        held = self._version().get("vectors")
+        if held and held["identity"] == self.identity and "text_hash" in T.StructType.fromJson(held["schema"]).names:
+            wanted = materialise(texts.select(F.col("key").alias("text_hash")), "wanted")
+            known = self.read("vectors").join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("vector").alias("vector"))
+            known = materialise(known, "known")
+            texts = texts.join(known.select(F.col("text_hash").alias("key")), "key", "left_anti")
+        made = embed(texts, "key", "text", self.embedder, self.config.dimensions).withColumnRenamed("key", "text_hash")
+        made = materialise(made.select("text_hash", "vector"), "vectors")
+        found = made if known is None else made.unionByName(known.select("text_hash", F.col("vector").cast(made.schema["vector"].dataType).alias("vector")))
+        return named.join(found, "text_hash").join(facts, "chunk_id").select("chunk_id", "vector", "doc_id", *_ACCESS, "text_hash")
+
+    def _manifest(self, docs: DataFrame, gen: int) -> DataFrame:
+        told = ("doc_id", "source_path", "content_hash", "shape_hash", "metadata_hash", "embedding_model")
+        return with_access_columns(docs).select(*told, F.current_timestamp().alias("updated_at"), F.lit(gen).cast("long").alias("born"), *_ACCESS)
+
+    def _by_term(self, chunks: DataFrame, sign: int, gen: int, ranges: int) -> tuple[DataFrame, DataFrame]:
+        """Postings of chunks and their blocks in the dictionary; with ``sign`` -1 what they take from its counts."""
+        block = F.pmod(F.xxhash64("chunk_id"), F.lit(ranges)).cast("int")
+        rows = lexical.postings(chunks, carry=("doc_id",)).withColumns({"block": block, "born": F.lit(gen).cast("long")})
+        counted = rows.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
+        if sign < 0:
+            nothing = F.lit(None).cast("long")
+            counted = counted.select("term", "block", (-F.col("n")).alias("n"), nothing.alias("most_tf"), nothing.alias("least_length"))
+        return rows.select("term", "block", "chunk_id", "doc_id", "tf", "length", "born"), counted
+
+    def _write(self, name: str, rows: DataFrame, bucket, gen: int, *order: str) -> dict[str, int]:
+        """Write a generation of a table; its buckets."""
+        path = f"{self.path}/{name}/gen={gen:09d}"
+        if order:
+            rows = rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", *order)
         else:
-            found = embed(keyed, "key", "text", self.embedder, self.config.dimensions)
-        return found.withColumnRenamed("key", "chunk_id").join(chunks.select("chunk_id", "doc_id", *_ACCESS), "chunk_id")
-
-    def _tables(self, fresh: DataFrame, incoming: str) -> dict[str, DataFrame]:
-        """The index's rows of some documents; they are split and tokenised once, into ``incoming``."""
-        build_chunks(fresh, self.config).withColumn("n_terms", F.size("terms")).write.mode("overwrite").parquet(incoming)
-        chunks = self.spark.read.parquet(incoming)
-        manifest = fresh.select("doc_id", "source_path", "content_hash", "embedding_model", F.current_timestamp().alias("updated_at"))
-        index = postings(chunks, carry=("doc_id",))
-        return {"documents": manifest, "chunks": chunks, "postings": index, "vectors": self._embedded(chunks)}
-
-    def _replace(self, tables: dict[str, DataFrame], keys: DataFrame | None, n_bytes: int, gen: int) -> None:
-        """Version ``gen``, in which the rows of ``tables`` replace those of documents with ``keys`` (None: all there are)."""
+            rows = rows.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(BUCKET_FILES)))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
+        return {b.removeprefix("bucket="): gen for b in names_in(self.spark, path) if b.startswith("bucket=")}
+
+    def _commit(self, gen: int, fresh: DataFrame, keys: DataFrame | None, restated: DataFrame | None = None, made: dict[str, DataFrame] | None = None) -> None:
+        """Version ``gen``: documents with ``keys`` (None: all there are) give way to ``fresh``, ``restated`` ones get their metadata.
+
+        ``made`` holds the new rows of the tables in buckets where there are such already (a mirror's).
+        """
         old = {} if keys is None else self._version()
-        n = old["documents"]["buckets"] if old else self.buckets or max(1, -(-n_bytes // BUCKET_BYTES))
+        incoming = f"{self.path}/incoming/gen={gen:09d}"
+        chunks = made["chunks"] if made else build_chunks(fresh, self.config).withColumn("n_terms", F.size("terms"))
+        chunks.write.mode("overwrite").parquet(incoming)  # split and tokenised once
+        chunks = self.spark.read.schema(chunks.schema).parquet(incoming)
+        counted = lambda rows: [x or 0 for x in rows.agg(F.count("*"), F.sum("n_terms")).first()]
+        number = counted(chunks)
+        earlier = bool(old) and "facts" not in old  # a store of an earlier kind: what it lacks is made from its chunks
+        if old and not earlier:
+            n, parts, ranges = old["documents"]["buckets"], old["postings"]["buckets"], old["facts"]["ranges"]
+        else:
+            n_bytes = (self.read("chunks") if earlier else chunks).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+            share = lambda size: max(1, -(-n_bytes // size))
+            n, parts, ranges = old["documents"]["buckets"] if old else self.buckets or share(BUCKET_BYTES), max(16, share(PART_BYTES)), max(16, share(BLOCK_BYTES))
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
-        touched = None if keys is None else [r.b for r in keys.select(bucket.alias("b")).distinct().collect()]  # at most as many as there are buckets
-        version = []
-        for name, rows in tables.items():
-            held = dict(old[name]["generation"]) if old else {}
+        numbers = lambda ids: [r.b for r in ids.select(bucket.alias("b")).distinct().collect()]  # noqa: E731  at most as many as there are buckets
+
+        if made:
+            made = {**made, "chunks": chunks, "documents": made["documents"].withColumn("born", F.lit(gen).cast("long"))}
+        else:
+            made = {"documents": self._manifest(fresh, gen), "chunks": chunks, "vectors": self._embedded(chunks)}
+        gone = touched = updates = None
+        if old:
+            keys = keys.select("doc_id").distinct()
+            ids = keys
+            if restated is not None:
+                ids = keys.unionByName(restated.select("doc_id"))
+                updates = with_access_columns(restated).select("doc_id", *_METADATA, *_ACCESS, "metadata_hash", "shape_hash", F.current_timestamp().alias("updated_at"))
+                updates = materialise(updates, "restated")
+            touched = numbers(ids)
+            gone = materialise(self.read("chunks", touched).join(keys, "doc_id", "left_semi").select("chunk_id", "doc_id", "terms", "n_terms"), "gone")
+            before = counted(self.read("chunks")) if earlier else (old["facts"]["n_rows"], old["facts"]["n_terms"])
+            number = [a + b - c for a, b, c in zip(before, number, counted(gone), strict=True)]
+        version = {"facts": {"n_rows": number[0], "n_terms": number[1], "ranges": ranges}}
+        for name in BUCKETED:
+            rows, held = made[name], dict(old[name]["generation"]) if old else {}
             if old:
-                rows = self.read(name, touched).join(keys.select("doc_id").distinct(), "doc_id", "left_anti").select(*rows.columns).unionByName(rows)
-                held = {b: g for b, g in held.items() if int(b) not in touched}
-            salt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(BUCKET_FILES))
-            path = f"{self.path}/{name}/gen={gen:09d}"
-            rows.withColumn("bucket", bucket).repartition("bucket", salt).write.mode("overwrite").partitionBy("bucket").parquet(path)
-            held |= {b.removeprefix("bucket="): gen for b in names_in(self.spark, path) if b.startswith("bucket=")}
-            version.append((name, json.dumps({"schema": json.loads(rows.schema.json()), "buckets": n, "generation": held, "identity": self.identity})))
+                stored = self.read(name, None if earlier else touched)
+                for column in rows.schema:  # a store of an earlier kind has fewer columns
+                    if column.name not in stored.columns:
+                        stored = stored.withColumn(column.name, F.lit(0 if column.name == "born" else None).cast(column.dataType))
+                stored = stored.join(keys, "doc_id", "left_anti")
+                stored = restate(stored, updates) if updates is not None else stored
+                rows = stored.select(*rows.columns).unionByName(rows)
+                held = {} if earlier else {b: g for b, g in held.items() if int(b) not in touched}
+            held |= self._write(name, rows, bucket, gen)
+            version[name] = {"schema": json.loads(rows.schema.json()), "buckets": n, "generation": held, "identity": self.identity}
+
+        part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
+        postings, terms = self._by_term(chunks, 1, gen, ranges)
+        segments = {name: list(old[name]["segments"]) if old and not earlier else [] for name in BY_TERM}
+        if gone is not None:
+            terms = terms.unionByName(self._by_term(gone, -1, gen, ranges)[1])
+        if earlier or len(segments["postings"]) >= SEGMENTS:  # merged: all chunks as they are now
+            whole = copy.copy(self)
+            whole._pinned = version
+            postings, terms = self._by_term(whole.read("chunks"), 1, gen, ranges)
+            born = whole.read("documents").select("doc_id", "born")
+            postings = postings.drop("born").join(born, "doc_id").select(*postings.columns)
+            segments = {name: [] for name in BY_TERM}
+        for name, rows in (("postings", postings), ("terms", terms)):
+            written = sorted(self._write(name, rows, part, gen, "term", "block"))
+            segments[name] += [[gen, written]] if written else []
+            version[name] = {"schema": json.loads(rows.schema.json()), "buckets": parts, "segments": segments[name]}
         # the switch: Spark marks the folder as done when its only file is whole
-        self.spark.createDataFrame(version, "name string, held string").coalesce(1).write.mode("overwrite").json(f"{self.path}/versions/gen={gen:09d}")
-
-    def _commit(self, fresh: DataFrame, keys: DataFrame | None) -> None:
-        gen = self._next_generation()
-        incoming = f"{self.path}/incoming/gen={gen:09d}"
-        n_bytes = 0 if keys is not None or self.buckets else fresh.agg(F.sum(F.octet_length("raw_text"))).first()[0] or 0
-        self._replace(self._tables(fresh, incoming), keys, n_bytes, gen)
+        rows = [(name, json.dumps(held)) for name, held in version.items()]
+        self.spark.createDataFrame(rows, "name string, held string").coalesce(1).write.mode("error").json(f"{self.path}/versions/gen={gen:09d}")
         remove(self.spark, incoming)
 
     def follow(self, primary: IndexStore) -> None:
         """Take over the rows of documents that ``primary`` holds otherwise, vectors and all."""
-        gen, there = self._next_generation(), self.exists()
-        if not there:
-            self.buckets = self.buckets or primary._version()["documents"]["buckets"]
-            self._replace({name: primary.read(name) for name in TABLES}, None, 0, gen)
-            return
-        path = f"{self.path}/changes/gen={gen:09d}"
-        diff(primary.manifest(), self.manifest()).where("change <> 'same'").write.mode("overwrite").parquet(path)
-        changes = self.spark.read.parquet(path)
-        if not changes.isEmpty():
-            keys = changes.select("doc_id")
-            stored = {name: primary.read(name) for name in TABLES}
-            self._replace({name: rows.join(keys, "doc_id", "left_semi").select(*rows.columns) for name, rows in stored.items()}, keys, 0, gen)
+        primary = primary.pinned()
+        with self._writing() as gen:
+            there = self.exists()
+            keys = None
+            rows = {name: primary.read(name) for name in BUCKETED}
+            if there:
+                path = f"{self.path}/changes/gen={gen:09d}"
+                diff(rows["documents"], self._probed(self.manifest())).where("change <> 'same'").write.mode("overwrite").parquet(path)
+                keys = self.spark.read.parquet(path).select("doc_id")
+                if keys.isEmpty():
+                    return
+                rows = {name: part.join(keys, "doc_id", "left_semi").select(*part.columns) for name, part in rows.items()}
+            else:
+                self.buckets = self.buckets or primary._held("documents")["buckets"]
+            self._commit(gen, rows["documents"], keys, made=rows)
 
     def add(self, docs: DataFrame) -> None:
         """Index ``docs`` beside what is there; documents of the same id are replaced."""
         docs = self.with_hashes(docs)
-        self._commit(docs, docs.select("doc_id") if self.exists() else None)
+        with self._writing() as gen:
+            self._commit(gen, docs, docs.select("doc_id") if self.exists() else None)
 
     def sync(self, docs: DataFrame, rebuild: bool = False) -> Synced:
         """Bring the index in line with ``docs``.
 
-        Only changed documents are split, tokenised and embedded; a second run without changes
-        writes no version.
+        Only changed documents are split, tokenised and embedded, and of those only texts without
+        a vector; documents whose metadata alone has changed are restated.  A second run without
+        changes writes no version.
         """
         if rebuild:
             self.reset()
-        docs, there = self.with_hashes(docs), self.exists()
-        path = f"{self.path}/changes/gen={self._next_generation():09d}"
-        changes = diff(docs, self.manifest()).where("change <> 'same'") if there else docs.select("doc_id", F.lit("added").alias("change"))
-        changes.write.mode("overwrite").parquet(path)  # kept beside the index, as long as the documents' list is long
-        changes = self.spark.read.parquet(path)
-        number = {r.change: r["n"] for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}
-        if number or not there:
-            fresh = docs.join(changes.where("change <> 'removed'").select("doc_id"), "doc_id", "left_semi") if there else docs
-            self._commit(fresh, changes.select("doc_id") if there else None)
+        docs = self.with_hashes(docs)
+        with self._writing() as gen:
+            there = self.exists()
+            path = f"{self.path}/changes/gen={gen:09d}"
+            changes = diff(docs, self._probed(self.manifest())).where("change <> 'same'") if there else docs.select("doc_id", F.lit("added").alias("change"))
+            changes.write.mode("overwrite").parquet(path)  # kept beside the index, as long as the documents' list is long
+            changes = self.spark.read.parquet(path)
+            number = {r.change: r["n"] for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}
+            if number or not there:
+                of_kind = lambda *kinds: docs.join(changes.where(F.col("change").isin(*kinds)).select("doc_id"), "doc_id", "left_semi")
+                restated = of_kind("restated") if "restated" in number else None
+                keys = changes.where("change <> 'restated'").select("doc_id") if there else None
+                self._commit(gen, of_kind("added", "changed") if there else docs, keys, restated)
         if self.mirror:
             self.mirror.follow(self)
-        return Synced(changes, number.get("added", 0), number.get("changed", 0), number.get("removed", 0))
+        return Synced(changes, number.get("added", 0), number.get("changed", 0), number.get("removed", 0), number.get("restated", 0))
+
+    @staticmethod
+    def _probed(manifest: DataFrame) -> DataFrame:
+        """A manifest of an earlier kind with the hashes it lacks, as null."""
+        return manifest.withColumns({c: F.lit(None).cast("string") for c in ("shape_hash", "metadata_hash") if c not in manifest.columns})
 
 
 def append_json(df: DataFrame, path: str) -> None:

@@ -1,9 +1,7 @@
-"""Settings, HTTP clients and server, remote rows and the command line, against a server on this machine."""
+"""HTTP clients, remote rows and the command line, against a server on this machine."""
 
 import json
-import sys
 import threading
-import types
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
@@ -51,20 +49,6 @@ def url():
     server.shutdown()
 
 
-def test_settings(tmp_path):
-    lines = {"a=1": ("a", "1"), " b = 'x y' ": ("b", "x y"), 'c="q=r"': ("c", "q=r"), "# d=1": None, "": None, "e": None, "=f": None}
-    assert {k: services.setting_line(k) for k in lines} == lines
-    path, environ = tmp_path / "env", {"a": "kept"}
-    path.write_text("\n".join(lines), encoding="utf-8")
-    assert services.load_settings(str(path), environ) == {"b": "x y", "c": "q=r"} and environ["a"] == "kept"
-    assert services.load_settings(str(tmp_path / "none"), environ) == {}
-    assert services.setting("z", "", "b", environ=environ) == "x y" and services.setting("z", default="d", environ=environ) == "d"
-    assert [services.flag(v, True) for v in ("", "Yes", " on ", "0", "maybe")] == [True, True, True, False, False]
-    assert services.positive("n", 5, {}) == 5 and services.positive("n", 5, {"n": "7"}) == 7
-    with pytest.raises(ValueError, match="above 0"):
-        services.positive("n", 5, {"n": "0"})
-
-
 def test_clients(url):
     assert services.HttpEmbedder(url, "m")(["a", "bcd"]) == [[1.0, 1.0], [3.0, 1.0]]
     assert services.HttpReranker(f"{url}/rerank")("q", ["ab", "none", "abc"]) == [2.0, 0.0, 3.0]
@@ -80,51 +64,6 @@ def test_clients(url):
         services.request_json("POST", f"{url}/nowhere", {})
     with pytest.raises(RuntimeError, match="refused"):
         services.request_json("GET", "http://127.0.0.1:9/x")
-    assert services.reranker_from_settings({}) is None
-    assert services.reranker_from_settings({"RERANKER_URL": "u", "RERANKER_MODEL": "m"}) == services.HttpReranker("u", "m", 30)
-    pages = {None: ([1, 2], "x"), "x": ([], "y"), "y": ([3], None)}
-    assert list(services.cursor_rows(pages.__getitem__)) == [1, 2, 3]
-
-
-def test_rerank_server():
-    server = services.rerank_server(lambda query, texts: [float(len(t)) for t in texts], "len", port=0)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    base = f"http://127.0.0.1:{server.server_port}"
-    assert services.request_json("GET", f"{base}/health") == {"status": "ok", "model": "len"}
-    assert services.HttpReranker(f"{base}/rerank")("q", ["a", "abc"]) == [1.0, 3.0]
-    told = services.request_json("POST", f"{base}/rerank", {"query": "q", "documents": ["a", {"id": "x", "text": "abc"}]})
-    assert [r["id"] for r in told["results"]] == ["x", "0"]
-    for bad in ({"query": " ", "documents": ["a"]}, {"query": "q", "documents": [""]}, {"query": "q", "documents": [3]}):
-        with pytest.raises(RuntimeError, match="HTTP 400"):
-            services.request_json("POST", f"{base}/rerank", bad)
-    server.shutdown()
-
-
-def test_cross_encoder_backends(monkeypatch):
-    with pytest.raises(ValueError, match="backend"):
-        services.cross_encoder("m", "other")
-    with pytest.raises(ImportError):
-        services.cross_encoder("m")
-
-    class Reranker:
-        def __init__(self, model, use_fp16):
-            pass
-
-        def compute_score(self, pairs, normalize):
-            return 0.5 if len(pairs) == 1 else [0.5] * len(pairs)
-
-    monkeypatch.setitem(sys.modules, "FlagEmbedding", types.SimpleNamespace(FlagReranker=Reranker))
-    scorer = services.cross_encoder("m")
-    assert scorer("q", ["a"]) == [0.5] and scorer("q", ["a", "b"]) == [0.5, 0.5]
-    made = []
-
-    def stale(query, texts):
-        raise AttributeError("no prepare_for_model")
-
-    both = services.FirstThatWorks(stale, lambda: made.append(1) or (lambda q, t: [1.0]), lambda e: "prepare" in str(e))
-    assert both("q", ["a"]) == both("q", ["a"]) == [1.0] and made == [1]
-    with pytest.raises(AttributeError):
-        services.FirstThatWorks(stale, lambda: None, lambda e: False)("q", ["a"])
 
 
 def test_remote_rows(spark, url, tmp_path):
@@ -136,24 +75,25 @@ def test_remote_rows(spark, url, tmp_path):
         remote.read_dataset(spark, str(tmp_path / "none.parquet"), "http://127.0.0.1:9/rows").count()
 
 
-def test_command_line(spark, url, tmp_path, capsys, monkeypatch):
+def test_command_line(spark, url, tmp_path, capsys):
     docs = tmp_path / "docs"
     docs.mkdir()
     (docs / "refunds.md").write_text("---\ndoc_id: refunds\ntitle: Refunds\n---\n\n## Refund\n\nA refund takes 7 days.\n", encoding="utf-8")
     (docs / "points.md").write_text("---\ndoc_id: points\ntitle: Points\n---\n\n## Points\n\nPoints expire.\n", encoding="utf-8")
     (tmp_path / "cases.csv").write_text("case_id,query,expected_doc_id,must_answer,expected_terms\n1,refund days,refunds,true,7 days\n2,unrelated,,false,\n", encoding="utf-8")
-    monkeypatch.delenv("EMBEDDING_BASE_URL", raising=False)
-    common = ["--env", str(tmp_path / "none")]
     index = ["--index", str(tmp_path / "index"), "--docs", str(docs)]
-    assert cli.main([*common, "index", *index], spark) == 0 and "2 added" in capsys.readouterr().out
-    assert cli.main([*common, "ask", *index, "--query", "refund days", "--events", str(tmp_path / "events")], spark) == 0
+    assert cli.main(["index", *index], spark) == 0 and "2 added" in capsys.readouterr().out
+    assert cli.main(["ask", *index, "--query", "refund days", "--events", str(tmp_path / "events")], spark) == 0
     said = capsys.readouterr().out
     assert "7 days" in said and "mode: extractive" in said and spark.read.json(str(tmp_path / "events")).count() == 1
-    assert cli.main([*common, "ask", *index, "--query", "refund days", "--trace-only"], spark) == 0
+    assert cli.main(["ask", *index, "--query", "refund days", "--trace-only"], spark) == 0
     assert json.loads(capsys.readouterr().out)["doc_ids"] == ["points", "refunds"]
-    assert cli.main([*common, "eval", *index, "--cases", str(tmp_path / "cases.csv")], spark) == 0
+    served = ["--embedder-url", url, "--embedder-model", "m", "--dimensions", "2", "--reranker-url", f"{url}/rerank", "--chat-url", url]
+    assert cli.main(["ask", "--index", str(tmp_path / "other"), "--docs", str(docs), "--query", "refund days", *served], spark) == 0
+    assert "mode: llm" in capsys.readouterr().out
+    assert cli.main(["eval", *index, "--cases", str(tmp_path / "cases.csv")], spark) == 0
     assert "PASS 1" in (said := capsys.readouterr().out) and "/2 passed" in said
-    assert cli.main([*common, "import", "--url", url, "--limit", "30", "--output-dir", str(tmp_path / "cases")], spark) == 0
+    assert cli.main(["import", "--url", url, "--limit", "30", "--output-dir", str(tmp_path / "cases")], spark) == 0
     assert len([p for p in (tmp_path / "cases").iterdir() if p.name.startswith("filename=")]) == 3
 
 
