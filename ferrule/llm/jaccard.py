@@ -44,7 +44,7 @@ SHINGLE, SIMILARITY = 3, 90
 #: Ranges of the hash that are counted apart: one for so many bytes of input, and bounds of their number.
 RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 16 << 20, 1_024, 1 << 20
 #: Shingles of the documents that a task sends off together.
-SENT = 4_000_000
+SENT = 1_500_000
 #: Documents in a block, and shingles of their sets (one document at least).
 BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 
@@ -92,14 +92,16 @@ def _lists(documents: DataFrame, size: int, ranges: int) -> DataFrame:
         digests = b"".join(_digest(h) if len(h) else bytes(16) for h in held)
         rows = [(-1 - chunk, chunk, len(ids), np.array(ids).tobytes(), sizes.tobytes(), None, digests)]
         if sizes.sum():
-            cells = _cells(np.concatenate(held))
-            doc = np.repeat(np.arange(len(held), dtype=np.uint32), sizes)
-            order = np.lexsort((doc, cells))
-            cells, doc = cells[order], doc[order]
-            where = (cells.astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-            found, starts = np.unique(where, return_index=True)
-            for r, lo, hi in zip(found.tolist(), starts, [*starts[1:], len(cells)], strict=True):
-                rows.append((r, chunk, hi - lo, _packed(np.diff(cells[lo:hi], prepend=np.uint32(0))), _packed(doc[lo:hi]), None, None))
+            # a number holds a cell and the place of its document, so one sort orders both
+            both = np.concatenate([_cells(h).astype(np.uint64) << np.uint64(32) | np.uint64(i) for i, h in enumerate(held)])
+            held.clear()
+            both.sort()
+            starts = np.searchsorted(both, (np.arange(ranges + 1, dtype=np.uint64) * np.uint64(1 << 32) + np.uint64(ranges - 1)) // np.uint64(ranges) << np.uint64(32))
+            starts[-1] = len(both)
+            for r in np.flatnonzero(np.diff(starts)).tolist():
+                own = both[starts[r] : starts[r + 1]]
+                cells = (own >> np.uint64(32)).astype(np.uint32)
+                rows.append((r, chunk, len(own), _packed(np.diff(cells, prepend=np.uint32(0))), _packed(own.astype(np.uint32)), None, None))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches):
@@ -113,7 +115,7 @@ def _lists(documents: DataFrame, size: int, ranges: int) -> DataFrame:
                 ids += [np.iinfo(np.int64).min if i is None else i for i in own[lo:hi]]
                 held += found
                 n += sum(map(len, found))
-                if n >= SENT:
+                if n >= SENT or len(ids) >= 1 << 23:
                     yield sent(chunk, ids, held)
                     chunk, ids, held, n = chunk + 1, [], [], 0
         if ids:
@@ -134,15 +136,16 @@ def _answers(lists: DataFrame, ranges: int) -> DataFrame:
         unpacked = lambda row: np.cumsum(_unpacked(row["cells"], row["n"]), dtype=np.uint64).astype(np.int64) - first
         for row in rows:
             np.add.at(total, unpacked(row), 1)
-        level = np.zeros(width, np.uint32)
-        level[total > 1] = np.minimum(4 * np.log2(total[total > 1].astype(float)), 126) + 1
+        several = np.flatnonzero(total > 1)
+        level = np.zeros(width, np.uint8)
+        level[several] = np.minimum(4 * np.log2(total[several].astype(float)), 126) + 1
         for row in rows:
             at = unpacked(row)
             shared = np.flatnonzero(level[at])
             if len(shared):
                 cells = (at[shared] + first).astype(np.uint32)
                 docs = _unpacked(row["docs"], row["n"])[shared]
-                yield (r, row["chunk"], len(shared), _packed(np.diff(cells, prepend=np.uint32(0))), _packed(docs), _packed(level[at[shared]]), None)
+                yield (r, row["chunk"], len(shared), _packed(np.diff(cells, prepend=np.uint32(0))), _packed(docs), _packed(level[at[shared]].astype(np.uint32)), None)
 
     def run(batches):
         at, rows = None, []
@@ -177,14 +180,13 @@ def _prefixes(answers: DataFrame, similarity: int) -> DataFrame:
         lists = [r for r in rows if r["range"] >= 0]
         prefix: list = [None] * len(ids)
         if lists:
-            cells = np.concatenate([np.cumsum(_unpacked(r["cells"], r["n"]), dtype=np.uint64).astype(np.int64) for r in lists])
-            docs = np.concatenate([_unpacked(r["docs"], r["n"]) for r in lists]).astype(np.int64)
-            level = np.concatenate([_unpacked(r["levels"], r["n"]) for r in lists]).astype(np.int64)
-            order = np.lexsort((cells, level, docs))
-            docs, key = docs[order], (level << 40 | cells << 8)[order]
-            same = np.r_[False, (docs[1:] == docs[:-1]) & (key[1:] == key[:-1])]
-            starts = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-            key += np.minimum(np.arange(len(same)) - starts, 255)  # shingles of one document that share a cell
+            # document, level and cell in one number, sorted; a chunk has fewer than 2**24 documents
+            held = lambda r: (_unpacked(r["docs"], r["n"]).astype(np.uint64) << np.uint64(40)) | (_unpacked(r["levels"], r["n"]).astype(np.uint64) << np.uint64(32))
+            every = np.concatenate([held(r) | np.cumsum(_unpacked(r["cells"], r["n"]), dtype=np.uint64) for r in lists])
+            every.sort()
+            docs, key = (every >> np.uint64(40)).astype(np.int64), (every & np.uint64((1 << 40) - 1)).astype(np.int64) << 8
+            starts = np.maximum.accumulate(np.where(np.r_[False, every[1:] == every[:-1]], 0, np.arange(len(every))))
+            key += np.minimum(np.arange(len(every)) - starts, 255)  # shingles of one document that share a cell
             found, first, held = np.unique(docs, return_index=True, return_counts=True)
             for i, lo, n in zip(found.tolist(), first, held, strict=True):
                 taken = prefix_length(int(sizes[i]), similarity) - (int(sizes[i]) - n)  # those nobody else holds come first
