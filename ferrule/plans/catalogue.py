@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 
 from .. import services
 from ..config import EngineConfig
+from ..functions import sql as sql_functions
 from ..functions import text as fx
 from ..functions.vectors import cosine, dot, hash_embeddings, hashed_weights, norm
 from ..operators import access, casebook, chunking, context, dense, fusion, lexical, plugins, reports, selection
 from ..sources import store
-from ..sources.documents import parse_frontmatter, read_corpus, read_eval, read_plain, with_defaults
+from ..sources.documents import parse_frontmatter, read_eval, with_defaults
 from ..storage import materialise, shared_dir, spread
 from .catalogue_sql import SQL
 from .engine import HybridEngine
-from .fixtures import GATE_ROWS, GOLDEN_DOCS, GOLDEN_QUERIES, MARKDOWN_DOCS, RULE_QUERIES, RULE_SENTENCES
+from .fixtures import GATE_ROWS, GOLDEN_DOCS, GOLDEN_QUERIES, RULE_QUERIES, RULE_SENTENCES
 
 #: Day of the access checks, and the scopes of the asker.
 TODAY, SCOPES = 20260607, ("internal", "public")
@@ -85,8 +86,14 @@ def tokenize_terms(spark, d):
     return rows.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.sha2(F.array_join("terms", " "), 256).alias("terms_sha256"))
 
 
+def _literal(k, texts):
+    """The text of a row's number, in turn."""
+    return F.element_at(F.array(*[F.lit(t) for t in texts]), (k % len(texts) + 1).cast("int"))
+
+
 def tokenize_literals(spark, d):
-    rows = spark.createDataFrame(list(enumerate(TOKEN_LITERALS)), "id long, q string")
+    """Chinese and mixed texts before each document's source."""
+    rows = _docs(spark, d).select(F.col("doc_id").alias("id"), F.concat(_literal(F.col("doc_id"), TOKEN_LITERALS), F.lit(" "), "source").alias("q"))
     return rows.select("id", F.array_join(fx.tokenize("q"), " ").alias("terms"))
 
 
@@ -133,10 +140,35 @@ def scalar_text(spark, d):
 
 
 def sortable_day(spark, d):
-    rows = spark.createDataFrame(list(enumerate(DAY_LITERALS)), "id long, v string")
+    rows = _docs(spark, d).select(F.col("doc_id").alias("id"), F.concat(_literal(F.col("doc_id"), DAY_LITERALS), F.lit(" "), "lang").alias("v"))
     return rows.select("id", fx.sortable_day("v", 99991231).cast("long").alias("day"))
 
 
+def _sql(spark, d, query: str) -> DataFrame:
+    """A query that calls the session's SQL functions, over documents and their access texts."""
+    sql_functions.register(spark)
+    return spark.sql(query, documents=_docs(spark, d), guarded=_access(spark, d).select("doc_id", "permission_scope", "effective_from", "effective_to"))
+
+
+def sql_terms(spark, d):
+    query = "SELECT doc_id, size(terms) AS n_terms, sha2(array_join(terms, ' '), 256) AS terms_sha256 FROM (SELECT doc_id, terms_of(text) AS terms FROM {documents})"
+    return _sql(spark, d, query).select("doc_id", F.col("n_terms").cast("long").alias("n_terms"), "terms_sha256")
+
+
+def sql_access(spark, d):
+    """Each document's reason, from the functions; the visible ones by the predicate."""
+    scopes = "array('internal', 'public')"
+    asked = f"permission_scope, effective_from, effective_to, {scopes}, {TODAY}"
+    return _sql(spark, d, f"SELECT doc_id, access_reason({asked}) AS reason, visible_to({asked}) AS visible, array_join(split_scopes(permission_scope), ',') AS scopes FROM {{guarded}}")
+
+
+def sql_chunks(spark, d):
+    """Chunks by a table function, split inside the row."""
+    query = "SELECT d.doc_id, c.chunk_no, c.chunk FROM (SELECT doc_id, normalized_text(text) AS t FROM {documents}) d, LATERAL chunks_of(d.t, 280, 60, '\n') c"
+    rows = _sql(spark, d, query)
+    return rows.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("chunk").cast("long").alias("n_chars"), F.sha2("chunk", 256).alias("text_sha256"))
+
+
 # ------------------------------------------------------------------ access
 
 
@@ -594,8 +626,8 @@ def payloads(spark, d):
 
 
 def sentence_points(spark, d):
-    """Every rule's points: each literal question with each literal sentence."""
-    asked = spark.createDataFrame(list(enumerate(RULE_QUERIES)), "q long, query string")
+    """Every rule's points: each benchmark item and each literal question with each literal sentence."""
+    asked = _queries(spark, d).select((F.col("query_id") + 1_000).alias("q"), "query").unionByName(spark.createDataFrame(list(enumerate(RULE_QUERIES)), "q long, query string"))
     told = spark.createDataFrame(list(enumerate(RULE_SENTENCES)), "s long, sentence string")
     rows = asked.join(told).withColumn("terms", F.array_distinct(fx.tokenize("query")))
     return rows.select("q", "s", fx.sentence_score("sentence", "query", "terms").cast("long").alias("points"))
@@ -607,8 +639,9 @@ def out_of_domain(spark, d):
 
 
 def sufficiency_rules(spark, d):
-    """Each outcome of the gate under both score policies."""
-    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(GATE_ROWS)], "query_id long, query string, coverage double, n_selected long, best_score double, n_lexical long, overlap_ratio double")
+    """Each outcome of the gate under both score policies, for each benchmark item."""
+    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(GATE_ROWS)], "k long, query string, coverage double, n_selected long, best_score double, n_lexical long, overlap_ratio double")
+    rows = _queries(spark, d).select("query_id").crossJoin(F.broadcast(rows)).withColumn("query_id", F.col("query_id") * 100 + F.col("k")).drop("k")
     blocked, covered = rows.where("overlap_ratio IS NOT NULL").select("query_id", "overlap_ratio"), rows.drop("overlap_ratio")
     by_score = context.sufficiency(covered, blocked).select("query_id", F.col("reason").alias("by_score"))
     mixed = covered.withColumn("fell", F.lit(True))
@@ -713,20 +746,6 @@ def mirror_manifest(spark, d):
     return found.fillna(0, ["n_chunks", "n_vectors"])
 
 
-def markdown_folder(spark, d):
-    """Literal documents written as files and read back: frontmatter, defaults, bodies."""
-    folder = _folder(spark, "markdown")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    for k, text in enumerate(MARKDOWN_DOCS):
-        place = hadoop.Path(f"{folder}/f{k}.md")
-        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
-        out.write(bytearray(text.encode("utf-8")))
-        out.close()
-    corpus = read_corpus(spark, folder).select("doc_id", "title", "permission_scope", F.sha2("body", 256).alias("body_sha256"), F.element_at(F.split("source_path", "/"), -1).alias("file"))
-    plain = read_plain(spark, folder).select(F.col("source").alias("file"), F.sha2("text", 256).alias("plain_sha256"))
-    return corpus.join(plain, "file")
-
-
 def eval_cases(spark, d):
     folder = _folder(spark, "cases")
     cases = _queries(spark, d).select(F.concat(F.lit("c"), "query_id").alias("case_id"), "query", F.col("query_id").alias("expected_doc_id"), F.lit("true").alias("must_answer"), F.lit("a, \"b\"").alias("expected_terms"))
@@ -789,8 +808,9 @@ def component_status(spark, d):
     def broken(*_):
         raise OSError("down")
 
-    rows, swift, local = _docs(spark, d).limit(0), plugins.Patience(pause_s=0.0), lambda: _new_index(spark)
-    scores = spark.createDataFrame([(1, "down", 3), (2, None, 1)], "query_id long, failed string, attempts int")
+    rows, swift, local = _docs(spark, d), plugins.Patience(pause_s=0.0), lambda: _new_index(spark)
+    fails = F.col("query_id") % 3 == 0
+    scores = _queries(spark, d).select("query_id", F.when(fails, "down").alias("failed"), F.when(fails, 3).otherwise(1).alias("attempts"))
     told = {
         "a": plugins.embed_or_hash(spark, rows, "doc_id", "text", None, 4)[1], "b": plugins.embed_or_hash(spark, rows, "doc_id", "text", broken, 4, swift)[1],
         "c": plugins.embed_or_hash(spark, rows, "doc_id", "text", lambda texts: [[0.0] * 4 for _ in texts], 4)[1],
@@ -805,47 +825,25 @@ def component_status(spark, d):
     return out
 
 
-def patience_outcomes(spark, d):
-    """A service that works at the n-th call, one that never does, and one that says it is of no use."""
-    rows = []
-    for k, works in enumerate((1, 2, 3, 4, None)):
-        calls = []
-
-        def service(calls=calls, works=works):
-            calls.append(1)
-            if works is None:
-                raise plugins.Unavailable("switched off")
-            if len(calls) < works:
-                raise OSError(f"call {len(calls)}")
-            return f"after {len(calls)}"
-
-        got = plugins.Patience(pause_s=0.0).ask(service)
-        rows.append((k, got.value, got.error, got.attempts))
-    return spark.createDataFrame(rows, "k long, value string, error string, attempts long")
-
-
-SETTING_LINES = ("a=1", " b = 'x y' ", 'c="q=r"', "# d=1", "", "e", "=f", "g=", "flag=Yes")
-
-
-def setting_lines(spark, d):
-    found = [(k, *(services.setting_line(line) or (None, None))) for k, line in enumerate(SETTING_LINES)]
-    return spark.createDataFrame([(k, key, value, services.flag(value or "", True)) for k, key, value in found], "k long, key string, value string, flag boolean")
-
-
 def response_scores(spark, d):
     """Scores of a rerank answer as a list, and as results by index with some left out; the text of a chat answer."""
-    rows = []
-    for r in _queries(spark, d).collect():  # a row a benchmark item
-        n = len(r["query"]) % 5 + 1
-        listed = services.scores_of({"scores": [i / 4 for i in range(n)]}, n)
-        by_place = services.scores_of({"results": [{"index": i, "relevance_score": i / 2} for i in range(n) if i % 2]}, n)
-        text = services.text_of({"content": [{"type": "text", "text": "a"}, {"type": "tool"}, {"type": "text", "text": r["query"][:n]}]})
-        rows.append((r.query_id, sum(listed), sum(by_place), text))
-    return spark.createDataFrame(rows, "query_id long, listed double, by_place double, text string").select("query_id", F.round(F.col("listed") * 100).cast("long").alias("listed"), F.round(F.col("by_place") * 100).cast("long").alias("by_place"), "text")
+
+    def read(batches):
+        for pdf in batches:
+            rows = []
+            for query_id, query in zip(pdf["query_id"], pdf["query"], strict=True):
+                n = len(query) % 5 + 1
+                listed = services.scores_of({"scores": [i / 4 for i in range(n)]}, n)
+                by_place = services.scores_of({"results": [{"index": i, "relevance_score": i / 2} for i in range(n) if i % 2]}, n)
+                text = services.text_of({"content": [{"type": "text", "text": "a"}, {"type": "tool"}, {"type": "text", "text": query[:n]}]})
+                rows.append((query_id, round(sum(listed) * 100), round(sum(by_place) * 100), text))
+            yield pd.DataFrame(rows, columns=["query_id", "listed", "by_place", "text"])
+
+    return _queries(spark, d).mapInPandas(read, "query_id long, listed long, by_place long, text string")
 
 
 def hybrid_golden(spark, d):
-    """The whole engine on literal documents: five questions, one of them out of domain and one not permitted."""
+    """The whole engine on literal documents, for tests: five questions, one of them out of domain and one not permitted."""
     raw = spark.createDataFrame([(f"f{i}", f"f{i}", t) for i, t in enumerate(GOLDEN_DOCS)], "source_path string, name string, raw_text string")
     chunks = store.build_chunks(with_defaults(parse_frontmatter(raw)))
     queries = spark.createDataFrame(GOLDEN_QUERIES, "query_id string, query string")
@@ -855,15 +853,15 @@ def hybrid_golden(spark, d):
 
 
 _QUERIES = (
-    tokenize_terms, tokenize_literals, term_stats, corpus_stats, hash_embedding, sparse_vector, content_hash, normalize_text, scalar_text, sortable_day,
+    tokenize_terms, tokenize_literals, term_stats, corpus_stats, hash_embedding, sparse_vector, content_hash, normalize_text, scalar_text, sortable_day, sql_terms, sql_access, sql_chunks,
     access_reasons, access_reasons_by_text, access_counts, visible_docs, access_store_split, access_remote_split, visible_by_asker, blocked_matches, blocked_recall,
     bm25_topk, bm25_fts5_topk, bm25_by_asker, sparse_idf_topk, hash_dense_topk, dense_topk, dense_by_asker, cosine_topk_minscore, rrf_fused, rerank_skip, rerank_scores, rerank_response,
     mmr_selected, mmr_dropped, dynamic_truncate, hydrate, section_split, chunk_fold, chunk_rows, plain_chunks, parent_expand, siblings,
     sync_diff, upsert_merge, delete_docs, manifest_first, sufficiency, sufficiency_rrf_only, context_evidence, extractive_answer, citation_validation,
     prompts, numbered_context, result_summary, casebook_render, retrieval_metrics, eval_report, monitoring_event, monitoring_rollup, fallback_summary,
     rerank_fallback, vector_expressions, scope_keys, frontmatter, payloads, sentence_points, out_of_domain, sufficiency_rules,
-    index_manifest, index_chunks, index_postings, index_vectors, index_counts, index_recall, sync_counts, sync_access, mirror_manifest, markdown_folder, eval_cases, index_of_a_model, event_log,
-    embedder_vectors, llm_answers, component_status, patience_outcomes, setting_lines, response_scores, hybrid_golden,
+    index_manifest, index_chunks, index_postings, index_vectors, index_counts, index_recall, sync_counts, sync_access, mirror_manifest, eval_cases, index_of_a_model, event_log,
+    embedder_vectors, llm_answers, component_status, response_scores,
 )
 
 

@@ -6,7 +6,7 @@ from ..config import SPARSE_BUCKETS, STOPWORDS
 from ..functions import text as fx
 from ..operators import casebook as cb
 from ..operators import context as cx
-from .fixtures import GATE_ROWS, GOLDEN_DOCS, GOLDEN_QUERIES, MARKDOWN_DOCS, RULE_QUERIES, RULE_SENTENCES
+from .fixtures import GATE_ROWS, GOLDEN_DOCS, GOLDEN_QUERIES, RULE_QUERIES, RULE_SENTENCES
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 _IDENTITY = "local:local-hash-embedding"
@@ -272,7 +272,8 @@ ct AS (SELECT chunk_id, doc_id, {_spread("'t t ' || text")} AS terms FROM chunks
 cp AS (SELECT chunk_id, term, count(*) AS tf, max(n) AS length FROM (SELECT chunk_id, len(terms) AS n, unnest(terms) AS term FROM ct) GROUP BY 1, 2),
 stats AS (SELECT count(*) AS n_rows, avg(len(terms)) AS mean_length FROM ct)"""
 # the whole engine on literal documents: sections, recall by both routes, fusion, diversity, the gate, answers
-_GOLDEN = f"""WITH RECURSIVE raw(k, raw) AS (VALUES {', '.join(f"({k}, {_text(t)})" for k, t in enumerate(GOLDEN_DOCS))}),
+#: The whole engine on literal documents; tests compare it with ``catalogue.hybrid_golden``.
+GOLDEN_SQL = f"""WITH RECURSIVE raw(k, raw) AS (VALUES {', '.join(f"({k}, {_text(t)})" for k, t in enumerate(GOLDEN_DOCS))}),
 hd AS (SELECT k, regexp_extract(raw, '(?s)\\A---\n(.*?)\n---', 1) AS head, {_strip("regexp_replace(raw, '(?s)\\A---\n.*?\n---', '')")} AS body FROM raw),
 dc AS (SELECT regexp_extract(head, 'doc_id: ([^\n]*)', 1) AS doc_id, regexp_extract(head, 'title: ([^\n]*)', 1) AS title, regexp_extract(head, 'permission_scope: ([^\n]*)', 1) AS scope,
   string_split(replace(body, chr(10) || '## ', chr(1) || '## '), chr(1)) AS ps FROM hd),
@@ -335,7 +336,11 @@ SQL = {
     "tokenize_terms": f"WITH {_DT} SELECT doc_id, CAST(len(terms) AS BIGINT) AS n_terms, sha256(array_to_string(terms, ' ')) AS terms_sha256 FROM dt",
     "tokenize_literals": f"""SELECT id, array_to_string(flatten(list_transform({_tok('q')}, lambda r: CASE WHEN regexp_full_match(r, '[\\x{{4e00}}-\\x{{9fff}}]{{4,}}')
   THEN list_concat([r], list_transform(range(1, length(r)), lambda i: substr(r, CAST(i AS BIGINT), 2))) ELSE [r] END)), ' ') AS terms
-  FROM (VALUES (0::BIGINT, '跨境订单退款多久到账？'), (1, 'SKU-A17 是否支持无理由退货？'), (2, '用户 可以 的'), (3, 'refund Refund policy')) t(id, q)""",
+  FROM (SELECT doc_id AS id, (['跨境订单退款多久到账？', 'SKU-A17 是否支持无理由退货？', '用户 可以 的', 'refund Refund policy'])[doc_id % 4 + 1] || ' ' || source AS q FROM documents)""",
+    "sql_terms": f"WITH {_DT} SELECT doc_id, CAST(len(terms) AS BIGINT) AS n_terms, sha256(array_to_string(terms, ' ')) AS terms_sha256 FROM dt",
+    "sql_access": f"""WITH {_ACC} SELECT doc_id, CASE WHEN NOT {_ALLOWED} THEN 'permission_scope' WHEN from_day > 20260607 THEN 'not_yet_effective' WHEN to_day < 20260607 THEN 'expired' END AS reason,
+  {_ALLOWED} AND {_VALID} AS visible, array_to_string(scopes, ',') AS scopes FROM acc""",
+    "sql_chunks": f"WITH RECURSIVE {_FOLD} SELECT doc_id, chunk_no, length(text) AS n_chars, sha256(text) AS text_sha256 FROM chunks",
     "term_stats": f"WITH {_DT}, {_POST} SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM post GROUP BY term",
     "corpus_stats": f"WITH {_DT}, {_STATS} SELECT n_rows, {_key('mean_length')} AS mean_length_key FROM stats",
     "hash_embedding": f"WITH {_DT}, {_HW('dw', '(SELECT doc_id, unnest(terms) AS term FROM dt)', 'doc_id')} SELECT doc_id, idx, {_key('weight')} AS weight_key FROM dw",
@@ -345,7 +350,7 @@ SQL = {
   {_NORMAL("' ' || chr(9) || replace(text, chr(10), chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10)) || chr(13) || chr(10) || ' '")} AS t FROM documents)""",
     "scalar_text": """SELECT doc_id, array_to_string(list_sort(list_distinct([source, lang, 'x'])), '|') AS split, 'ber_' || source || '_' || lang AS slug,
   'ber_' || source || '_' || lang AS path_slug, 'a ' || source || ' b' AS clean, 'local' || lang || ':' || source AS identity, greatest(1, length(text) // 2) AS token_count FROM documents""",
-    "sortable_day": "SELECT * FROM (VALUES (0::BIGINT, 20260607::BIGINT), (1, 99991231), (2, 20260131), (3, 20251231), (4, 99991231), (5, 99991231)) t(id, day)",
+    "sortable_day": "SELECT doc_id AS id, ([20260607, 99991231, 20260131, 20251231, 99991231, 99991231])[doc_id % 6 + 1]::BIGINT AS day FROM documents",
     "access_reasons": f"WITH {_ACC} SELECT doc_id, CASE WHEN NOT {_ALLOWED} THEN 'permission_scope' WHEN from_day > 20260607 THEN 'not_yet_effective' WHEN to_day < 20260607 THEN 'expired' END AS reason FROM acc",
     "access_reasons_by_text": f"""WITH {_ACC} SELECT doc_id, CASE WHEN NOT {_ALLOWED} THEN 'permission_scope' WHEN effective_from <> '' AND effective_from > '2026-06-07' THEN 'not_yet_effective'
   WHEN effective_to <> '' AND effective_to < '2026-06-07' THEN 'expired' END AS reason FROM acc""",
@@ -449,12 +454,12 @@ SELECT coalesce(md.doc_id, name) AS doc_id, coalesce(md.title, name) AS title, s
     "payloads": f"""WITH RECURSIVE {_FOLD}, {_ACC} SELECT chunk_id, parent_id, chunks.doc_id, source AS title_path, token_count, CAST(from_day AS BIGINT) AS from_day, CAST(to_day AS BIGINT) AS to_day,
   array_to_string(list_sort(scopes), ',') AS scopes FROM chunks JOIN acc USING (doc_id)""",
     "sentence_points": f"""SELECT q, s, CAST({_points('sentence', 'query', 'terms')} AS BIGINT) AS points
-FROM (SELECT q, query, list_distinct({_spread('query')}) AS terms FROM (VALUES {_RULE_ROWS(RULE_QUERIES)}) a(q, query)), (VALUES {_RULE_ROWS(RULE_SENTENCES)}) b(s, sentence)""",
+FROM (SELECT q, query, list_distinct({_spread('query')}) AS terms FROM (SELECT * FROM (VALUES {_RULE_ROWS(RULE_QUERIES)}) a(q, query) UNION ALL SELECT 1000 + item_id, text FROM benchmark)), (VALUES {_RULE_ROWS(RULE_SENTENCES)}) b(s, sentence)""",
     "out_of_domain": f"""SELECT query_id, {_ood('query')} AS out_of_domain FROM (SELECT -1 - q AS query_id, query FROM (VALUES {_RULE_ROWS(RULE_QUERIES)}) a(q, query) UNION ALL SELECT item_id, text FROM benchmark)""",
-    "sufficiency_rules": f"""SELECT CAST(query_id AS BIGINT) AS query_id,
+    "sufficiency_rules": f"""SELECT CAST(item_id * 100 + query_id AS BIGINT) AS query_id,
   {_GATED("WHEN best >= 0.12 AND (coverage >= 0.18 OR best >= 0.35) THEN 'pass'")} AS by_score,
   {_GATED("WHEN coverage >= 0.18 THEN 'pass' WHEN n_lexical = 0 THEN 'rrf_only_missing_lexical_signal'")} AS by_rank
-FROM (VALUES {_GATE}) g(query_id, query, coverage, n_selected, best, n_lexical, ratio)""",
+FROM (VALUES {_GATE}) g(query_id, query, coverage, n_selected, best, n_lexical, ratio), benchmark""",
     "index_manifest": f"WITH {_NOW} SELECT doc_id, 'p/' || doc_id AS source_path, {_HASH.replace("'1024'", "'64'")} AS content_hash, '{_IDENTITY}' AS embedding_model FROM v2 WHERE text IS NOT NULL",
     "index_chunks": f"WITH RECURSIVE {_INDEXED} SELECT chunk_id, parent_id, c.doc_id, token_count, CAST(len(terms) AS BIGINT) AS n_terms, sha256(text) AS text_sha256 FROM chunks c JOIN ct USING (chunk_id) WHERE c.doc_id % 5 = 0",
     "index_postings": f"WITH RECURSIVE {_INDEXED} SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df, CAST(sum(length) AS BIGINT) AS lengths FROM cp GROUP BY term",
@@ -473,11 +478,6 @@ UNION ALL SELECT 2, 0, 0, 0, true UNION ALL SELECT 3, 0, 0, 0, false""",
 SELECT doc_id, scopes AS chunk_scopes, scopes AS vector_scopes, CAST(to_day AS BIGINT) AS to_day, CAST(to_day AS BIGINT) AS vector_to_day, version, (SELECT count(*) FROM x WHERE other) AS restated, 0::BIGINT AS changed FROM x WHERE told""",
     "mirror_manifest": f"""WITH RECURSIVE {_INDEXED}, n AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1)
 SELECT doc_id, {_HASH.replace("'1024'", "'64'")} AS content_hash, coalesce(n, 0) AS n_chunks, coalesce(n, 0) AS n_vectors FROM v2 LEFT JOIN n USING (doc_id) WHERE text IS NOT NULL""",
-    "markdown_folder": f"""WITH f(k, raw) AS (VALUES {', '.join(f"({k}, {_text(t)})" for k, t in enumerate(MARKDOWN_DOCS))}),
-b AS (SELECT k, raw, regexp_matches(raw, '(?s)\\A---\n.+?\n---') AS closed FROM f),
-m AS (SELECT *, CASE WHEN closed THEN {_strip("regexp_replace(raw, '(?s)\\A---\n.*?\n---', '')")} ELSE raw END AS body, CASE WHEN closed THEN regexp_extract(raw, '(?s)\\A---\n(.*?)\n---', 1) ELSE '' END AS head FROM b)
-SELECT 'f' || k || '.md' AS file, coalesce(nullif(regexp_extract(head, 'doc_id: ([^\n]*)', 1), ''), 'f' || k) AS doc_id, coalesce(nullif(regexp_extract(head, 'title: ([^\n]*)', 1), ''), 'f' || k) AS title,
-  coalesce(nullif(regexp_extract(head, 'permission_scope: ([^\n]*)', 1), ''), 'internal') AS permission_scope, sha256(body) AS body_sha256, sha256({_NORMAL('raw')}) AS plain_sha256 FROM m""",
     "eval_cases": """SELECT 'c' || item_id AS case_id, sha256(text) AS query_sha256, CAST(item_id AS VARCHAR) AS expected_doc_id, 'true' AS must_answer, 'a, "b"' AS expected_terms FROM benchmark""",
     "index_of_a_model": """SELECT 'n' AS embedding_model, 'n2:' || doc_id AS chunk_id, 'm,n,m' AS built FROM documents UNION ALL SELECT 'm', 'm3:' || doc_id, 'm,n,m' FROM documents""",
     "event_log": "SELECT item_id AS query_id, left(sha256(text), 16) AS query_hash, 'ok' AS status, 2::BIGINT AS n, length(text) AS query_chars FROM benchmark",
@@ -490,9 +490,6 @@ SELECT query_id, CASE WHEN asked AND n % 3 <> 0 THEN 'llm' ELSE mode END AS mode
   ('d', 'reranker', 'skipped', false, false, 'not_configured', '', 0), ('e', 'reranker', 'external', true, false, 'configured_model', '', 0), ('f', 'reranker', 'skipped', true, true, 'reranker_error', 'down', 3),
   ('g', 'vector_store', 'local', false, false, 'not_configured', '', 0), ('h', 'vector_store', 'local', true, true, 'store_error', 'down', 3), ('i', 'vector_store', 'primary', true, false, 'configured_backend', '', 0),
   ('j', 'llm', 'extractive', false, false, 'not_configured', '', 0), ('k', 'llm', 'external', true, false, 'configured_model', '', 0)) t(k, component, mode, configured, fell, reason, error, attempts)""",
-    "patience_outcomes": "SELECT * FROM (VALUES (0::BIGINT, 'after 1', NULL, 1::BIGINT), (1, 'after 2', NULL, 2), (2, 'after 3', NULL, 3), (3, NULL, 'call 3', 3), (4, NULL, 'switched off', 1)) t(k, value, error, attempts)",
-    "setting_lines": "SELECT * FROM (VALUES (0::BIGINT, 'a', '1', true), (1, 'b', 'x y', false), (2, 'c', 'q=r', false), (3, NULL, NULL, true), (4, NULL, NULL, true), (5, NULL, NULL, true), (6, NULL, NULL, true), (7, 'g', '', true), (8, 'flag', 'Yes', true)) t(k, key, value, flag)",
     "response_scores": """WITH q AS (SELECT item_id AS query_id, text, length(text) % 5 + 1 AS n FROM benchmark)
 SELECT query_id, CAST(n * (n - 1) * 100 / 8 AS BIGINT) AS listed, CAST(coalesce(list_sum(list_transform(list_filter(range(n), lambda i: i % 2 = 1), lambda i: i * 50)), 0) AS BIGINT) AS by_place, 'a' || left(text, n) AS text FROM q""",
-    "hybrid_golden": _GOLDEN,
 }

@@ -22,5 +22,4 @@ GOLDEN_DOCS = (
     "---\ndoc_id: members\ntitle: 会员规则\npermission_scope: internal\n---\n\n# 会员规则\n\n## 积分\n\n会员积分可以兑换优惠券，积分不能提现，也不能转赠。\n",
     "---\ndoc_id: finance\ntitle: 财务差异\npermission_scope: finance_restricted\n---\n\n## 差异工单\n\nFR-21 差异工单由财务共享中心处理。\n",
 )
-MARKDOWN_DOCS = (*GOLDEN_DOCS, "# no frontmatter\r\n\r\n\r\n\r\nat all \n")
 GOLDEN_QUERIES = (("q1", "跨境订单退款多久到账？"), ("q2", "SKU-A17 是否支持无理由退货？"), ("q3", "会员积分可以提现吗？"), ("q4", "今天北京天气怎么样？"), ("q5", "FR-21 差异工单怎么处理？"))

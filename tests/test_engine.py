@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ferrule.config import EngineConfig
 from ferrule.operators import access, casebook, chunking, context, dense, fusion, lexical, plugins, reports, selection
 from ferrule.plans import catalogue
+from ferrule.plans.catalogue_sql import GOLDEN_SQL
 from ferrule.plans.engine import HybridEngine
 from ferrule.sources import documents, store
 
@@ -182,6 +183,14 @@ def test_golden_questions(spark):
     assert all(r.citation_valid for r in found.values())
 
 
+def test_golden_questions_equal_sql(spark):
+    """The engine from chunking to answers, in DuckDB's words."""
+    duckdb = pytest.importorskip("duckdb")
+    columns = ["query_id", "mode", "reason", "answer", "citations", "citation_valid"]
+    want = duckdb.sql(f"SELECT {', '.join(columns)} FROM ({GOLDEN_SQL})").fetchall()
+    assert sorted(map(tuple, catalogue.hybrid_golden(spark, "").select(*columns).collect())) == sorted(want)
+
+
 def test_numbered_context_holds_whole_texts(spark, tmp_path):
     texts = [(1, "refund rules " + "and more of them " * 60 + "the end", "en", "a"), (2, "refund of parcels", "en", "b"), (3, "nothing else here", "en", "c")]
     spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
