@@ -17,6 +17,7 @@ contaminates nothing; extra columns of either table are left out.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -158,14 +159,18 @@ class Tables:
         return text.counts, [hits[e - n : e] for e, n in zip(ends.tolist(), text.counts.tolist(), strict=True)], named
 
 
-def _benchmark_slices(benchmark: DataFrame, slice_bytes: int) -> list[list[tuple]]:
-    """The benchmark in slices of a bounded size, each small enough to ship to every executor."""
+def _benchmark_slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[list[tuple]]:
+    """The benchmark in slices of a bounded size, each small enough to ship to every executor.
+
+    One is fetched when it is asked for, so the driver holds one at a time; equal rows count once.
+    """
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
-    rows = rows.where("t IS NOT NULL")
+    rows = rows.where("t IS NOT NULL").distinct()
     total = rows.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
-    n = -(-total // slice_bytes)
-    key = F.pmod(F.xxhash64("i", "t"), F.lit(max(1, n)))
-    return [[(r.i, r.t) for r in (rows if n == 1 else rows.where(key == k)).collect()] for k in range(n)]
+    n = max(1, -(-total // slice_bytes))
+    key = F.pmod(F.xxhash64("i", "t"), F.lit(n))
+    for k in range(n):
+        yield [(r.i, r.t) for r in (rows if n == 1 else rows.where(key == k)).collect()]
 
 
 def _either(a: bytes, b: bytes) -> bytes:
@@ -186,9 +191,8 @@ def find_contamination(
     """
     spark = documents.sparkSession
     added = [("n_words", T.LongType()), ("hits", T.BinaryType()), ("items", T.ArrayType(T.StringType()))]
-    parts = _benchmark_slices(benchmark, slice_bytes) or [[]]
     out = None
-    for part in parts:
+    for part in _benchmark_slices(benchmark, slice_bytes):
         shipped = spark.sparkContext.broadcast(Tables(part, window))
 
         def make(texts, shipped=shipped):

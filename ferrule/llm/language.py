@@ -176,7 +176,8 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE, rows: int = TR
     def make(texts):
         return {"x": [features(t).astype(np.float16).tobytes() if has_letter(t) else None for t in texts]}
 
-    sample = map_texts(picked, "text", make, [("x", T.BinaryType())], keep=["lang", "digest"]).where("x IS NOT NULL").collect()
+    sample = map_texts(picked, "text", make, [("x", T.BinaryType())], keep=["lang", "digest"]).where("x IS NOT NULL")
+    sample = sample.dropDuplicates(["lang", "digest"]).collect()  # rows that repeat id and text are drawn all or none
     taken: dict[str, list] = {}
     for r in sorted(sample, key=lambda r: (r.lang, r.digest, r.x)):
         if len(taken.setdefault(r.lang, [])) < each:
