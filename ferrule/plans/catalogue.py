@@ -18,7 +18,7 @@ from ..config import EngineConfig
 from ..functions import sql as sql_functions
 from ..functions import text as fx
 from ..functions.vectors import cosine, dot, hash_embeddings, hashed_weights, norm
-from ..operators import access, casebook, chunking, context, dense, fusion, lexical, plugins, reports, selection
+from ..operators import access, casebook, chunking, clustered, context, dense, fusion, lexical, plugins, reports, selection
 from ..sources import store
 from ..sources.documents import parse_frontmatter, read_eval, with_defaults
 from ..storage import materialise, shared_dir, spread
@@ -252,8 +252,9 @@ def sparse_idf_topk(spark, d):
     return _scored(lexical.sparse_idf(_queries(spark, d), _terms(spark, d), 12, "doc_id"))
 
 
-def _hash_route(spark, d):
-    rows = hash_embeddings(_terms(spark, d).withColumnRenamed("doc_id", "key"), "key", "terms", 1024)
+def _hash_route(spark, d, terms=None):
+    terms = _terms(spark, d) if terms is None else terms
+    rows = hash_embeddings(terms.withColumnRenamed("doc_id", "key"), "key", "terms", 1024)
     asked = hash_embeddings(_queries(spark, d).select("query_id", fx.tokenize("query").alias("terms")), "query_id", "terms", 1024)
     return dense.dense_topk(asked, rows, 12).withColumnRenamed("key", "doc_id")
 
@@ -272,19 +273,45 @@ def dense_topk(spark, d):
     return found.select("query_id", F.col("key").alias("vec_id"), "rank", lexical.score_key().alias("score_key"))
 
 
+def _lists(spark, d) -> tuple[DataFrame, DataFrame, clustered.VectorLists]:
+    asked, rows = _vectors(spark, d)
+    return asked, rows, clustered.VectorLists.build(rows, _folder(spark, "lists"))
+
+
+def clustered_exact(spark, d):
+    """The lists asked for everything: the whole product from vectors in lists."""
+    asked, _, held = _lists(spark, d)
+    return held.search(asked, 12, exact=True).select("query_id", F.col("key").alias("vec_id"), "rank", lexical.score_key().alias("score_key"))
+
+
+def clustered_recall(spark, d):
+    """Of each query, how many of the true twelve its lists gave, and of the batch the lists a query read."""
+    asked, rows, held = _lists(spark, d)
+    true = materialise(dense.dense_topk(asked, rows, 12).select("query_id", "key"), "true")
+    got = held.search(asked, 12).select("query_id", "key", F.lit(1).alias("hit"))
+    told = true.join(got, ["query_id", "key"], "left").groupBy("query_id").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
+    return told.withColumns({"probes": F.lit(held.probes).cast("long"), "lists": F.lit(len(held.centroids)).cast("long")})
+
+
 def cosine_topk_minscore(spark, d):
     found = dense.dense_topk(*_vectors(spark, d), 4, normalised=True, min_score=0.25)
     return found.select("query_id", F.col("key").alias("vec_id"), "rank", lexical.score_key().alias("score_key"))
 
 
-def _lexical(spark, d):
-    rows = _terms(spark, d)
+def _lexical(spark, d, terms=None):
+    rows = _terms(spark, d) if terms is None else terms
     return lexical.bm25(_queries(spark, d), lexical.postings(rows, "doc_id"), lexical.corpus_statistics(rows), 12, "plain", "doc_id")
 
 
-def _fused(spark, d):
+def _written_terms(spark, d) -> DataFrame:
+    """Documents' terms, written once for what reads them several times: both routes and their statistics."""
+    return materialise(_terms(spark, d), "terms")
+
+
+def _fused(spark, d, terms=None):
     """Two dozen rows a query at most, written once: what reads them knows how few they are."""
-    return materialise(fusion.rrf_fuse(_hash_route(spark, d), _lexical(spark, d), key="doc_id"), "fused")
+    terms = _written_terms(spark, d) if terms is None else terms
+    return materialise(fusion.rrf_fuse(_hash_route(spark, d, terms), _lexical(spark, d, terms), key="doc_id"), "fused")
 
 
 def rrf_fused(spark, d):
@@ -302,8 +329,8 @@ def _model(fused):
     return fused.select("query_id", "doc_id", value.alias("model_score"))
 
 
-def _reranked(spark, d):
-    return fusion.rerank_or_skip(_fused(spark, d), _model, "stand-in", key="doc_id")
+def _reranked(spark, d, terms=None):
+    return fusion.rerank_or_skip(_fused(spark, d, terms), _model, "stand-in", key="doc_id")
 
 
 def rerank_scores(spark, d):
@@ -334,8 +361,8 @@ def mmr_dropped(spark, d):
     return _mmr(spark, d).where("dropped").select("query_id", "chunk_id", "duplicate_of")
 
 
-def _truncated(spark, d):
-    rows = _reranked(spark, d).withColumn("expanded_tokens", (F.col("doc_id") % 300 + 20).cast("int"))
+def _truncated(spark, d, terms=None):
+    rows = _reranked(spark, d, terms).withColumn("expanded_tokens", (F.col("doc_id") % 300 + 20).cast("int"))
     return selection.truncate(rows, "rank")
 
 
@@ -426,17 +453,18 @@ def manifest_first(spark, d):
 # ------------------------------------------------------------------ context, answers, reports
 
 
-def _selected(spark, d):
+def _selected(spark, d, terms=None):
     """Five rows a query at most, written once."""
-    rows = materialise(_truncated(spark, d).where("selected"), "truncated")
+    rows = materialise(_truncated(spark, d, terms).where("selected"), "truncated")
     docs = selection.hydrate(rows, _docs(spark, d), "doc_id").select("doc_id", "text", "source")
     found = context.evidence(rows.join(docs, "doc_id")).withColumn("terms", fx.tokenize("text"))
     return materialise(found, "selected")
 
 
-def _judged(spark, d, selected=None):
-    selected = _selected(spark, d) if selected is None else selected
-    hidden = _access(spark, d).where(~access.scope_allowed(SCOPES)).select(F.col("doc_id").alias("chunk_id"), "doc_id", fx.tokenize("text").alias("terms"))
+def _judged(spark, d, selected=None, terms=None):
+    terms = _written_terms(spark, d) if terms is None else terms
+    selected = _selected(spark, d, terms) if selected is None else selected
+    hidden = _with_access(terms, F.col("doc_id")).where(~access.scope_allowed(SCOPES)).select(F.col("doc_id").alias("chunk_id"), "doc_id", "terms")
     queries = _queries(spark, d)
     return context.sufficiency(context.coverage(queries, selected), access.blocked_matches(queries, hidden))
 
@@ -446,7 +474,8 @@ def sufficiency(spark, d):
 
 
 def sufficiency_rrf_only(spark, d):
-    rows = fusion.skip_rerank(_fused(spark, d), key="doc_id").where("rank <= 5").join(_terms(spark, d), "doc_id")
+    terms = _written_terms(spark, d)
+    rows = fusion.skip_rerank(_fused(spark, d, terms), key="doc_id").where("rank <= 5").join(terms, "doc_id")
     judged = context.sufficiency(context.coverage(_queries(spark, d), rows, rrf_only=True), rrf_only=True)
     return judged.select("query_id", F.round(F.col("coverage") * 1e6).cast("long").alias("coverage_key"), "n_lexical", "reason", "enough")
 
@@ -456,8 +485,9 @@ def context_evidence(spark, d):
 
 
 def extractive_answer(spark, d):
-    selected = _selected(spark, d)
-    found = context.extractive_answers(_queries(spark, d), _judged(spark, d, selected), selected)
+    terms = _written_terms(spark, d)
+    selected = _selected(spark, d, terms)
+    found = context.extractive_answers(_queries(spark, d), _judged(spark, d, selected, terms), selected)
     return found.select("query_id", "mode", F.sha2("answer", 256).alias("answer_sha256"), F.array_join("citations", ",").alias("citations"))
 
 
@@ -552,8 +582,9 @@ def retrieval_metrics(spark, d):
 
 
 def eval_report(spark, d):
-    selected = _selected(spark, d)
-    answers = context.extractive_answers(_queries(spark, d), _judged(spark, d, selected), selected)
+    terms = _written_terms(spark, d)
+    selected = _selected(spark, d, terms)
+    answers = context.extractive_answers(_queries(spark, d), _judged(spark, d, selected, terms), selected)
     expected = _relevant(spark, d).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
     cases = _queries(spark, d).join(expected, "query_id", "left").select(
         F.concat(F.lit("case"), "query_id").alias("case_id"), "query_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("expected_doc_id"),
@@ -783,8 +814,9 @@ def embedder_vectors(spark, d):
 
 
 def _packets(spark, d):
-    selected = _selected(spark, d).withColumns({"chunk_id": F.col("doc_id").cast("string"), "parent_id": F.col("doc_id").cast("string"), "title_path": F.array("source"), "source_path": F.col("source"), "version": F.lit("v1"), "expanded_text": F.col("text")})
-    judged = materialise(_judged(spark, d, selected), "judged")
+    terms = _written_terms(spark, d)
+    selected = _selected(spark, d, terms).withColumns({"chunk_id": F.col("doc_id").cast("string"), "parent_id": F.col("doc_id").cast("string"), "title_path": F.array("source"), "source_path": F.col("source"), "version": F.lit("v1"), "expanded_text": F.col("text")})
+    judged = materialise(_judged(spark, d, selected, terms), "judged")
     return selected, judged, context.context_packets(_queries(spark, d), judged, selected)
 
 
@@ -855,7 +887,7 @@ def hybrid_golden(spark, d):
 _QUERIES = (
     tokenize_terms, tokenize_literals, term_stats, corpus_stats, hash_embedding, sparse_vector, content_hash, normalize_text, scalar_text, sortable_day, sql_terms, sql_access, sql_chunks,
     access_reasons, access_reasons_by_text, access_counts, visible_docs, access_store_split, access_remote_split, visible_by_asker, blocked_matches, blocked_recall,
-    bm25_topk, bm25_fts5_topk, bm25_by_asker, sparse_idf_topk, hash_dense_topk, dense_topk, dense_by_asker, cosine_topk_minscore, rrf_fused, rerank_skip, rerank_scores, rerank_response,
+    bm25_topk, bm25_fts5_topk, bm25_by_asker, sparse_idf_topk, hash_dense_topk, dense_topk, dense_by_asker, clustered_exact, clustered_recall, cosine_topk_minscore, rrf_fused, rerank_skip, rerank_scores, rerank_response,
     mmr_selected, mmr_dropped, dynamic_truncate, hydrate, section_split, chunk_fold, chunk_rows, plain_chunks, parent_expand, siblings,
     sync_diff, upsert_merge, delete_docs, manifest_first, sufficiency, sufficiency_rrf_only, context_evidence, extractive_answer, citation_validation,
     prompts, numbered_context, result_summary, casebook_render, retrieval_metrics, eval_report, monitoring_event, monitoring_rollup, fallback_summary,

@@ -374,6 +374,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
     "sparse_idf_topk": f"WITH {_DT}, {_POST}, {_STATS}, {_QT}, {_sparse(12)} SELECT query_id, doc_id, rank, {_key('score')} AS score_key FROM lex",
     "hash_dense_topk": f"WITH {_DT}, {_DENSE} SELECT query_id, doc_id, rank, {_key('score')} AS score_key FROM den",
     "dense_topk": f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, {_key('list_inner_product(q.v, e.v)')} AS score_key FROM e q, e WHERE q.vec_id % 100 = 0)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_key DESC, vec_id) AS rank FROM s) WHERE rank <= 12""",
+    "clustered_exact": f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, {_key('list_inner_product(q.v, e.v)')} AS score_key FROM e q, e WHERE q.vec_id % 100 = 0)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_key DESC, vec_id) AS rank FROM s) WHERE rank <= 12""",
     "cosine_topk_minscore": f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.v, e.v) AS score FROM e q, e WHERE q.vec_id % 100 = 0)
   SELECT query_id, vec_id, rank, {_key('score')} AS score_key FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_key('score')} DESC, vec_id) AS rank FROM s WHERE score >= 0.25) WHERE rank <= 4""",
