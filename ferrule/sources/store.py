@@ -407,13 +407,20 @@ class IndexStore:
             self._commit(gen, rows["documents"], keys, made=rows)
 
     def add(self, docs: DataFrame) -> None:
-        """Index ``docs`` beside what is there; documents of the same id are replaced."""
+        """Index ``docs`` beside what is there, whatever is known of them; documents of the same id are replaced."""
         docs = self.with_hashes(docs)
         with self._writing() as gen:
             self._commit(gen, docs, docs.select("doc_id") if self.exists() else None)
 
+    def merge(self, docs: DataFrame | None = None, gone: DataFrame | None = None) -> Synced:
+        """Bring the index in line with some documents: those of ``docs`` that are new or otherwise, without those in ``gone`` (doc_id).
+
+        All others stay.  Where nothing changes no version is written.
+        """
+        return self._applied(docs, gone, False)
+
     def sync(self, docs: DataFrame, rebuild: bool = False) -> Synced:
-        """Bring the index in line with ``docs``.
+        """Bring the index in line with ``docs``: what is not among them goes.
 
         Only changed documents are split, tokenised and embedded, and of those only texts without
         a vector; documents whose metadata alone has changed are restated.  A second run without
@@ -421,23 +428,50 @@ class IndexStore:
         """
         if rebuild:
             self.reset()
-        docs = self.with_hashes(docs)
+        return self._applied(docs, None, True)
+
+    def _changes(self, docs: DataFrame | None, gone: DataFrame | None, whole: bool) -> DataFrame:
+        """(doc_id, change) of what is not the same."""
+        if not self.exists():
+            return docs.select("doc_id", F.lit("added").alias("change"))
+        manifest = self._probed(self.manifest())
+        if whole:
+            return diff(docs, manifest).where("change <> 'same'")
+        found = []
+        if docs is not None:
+            found.append(diff(docs, manifest.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")).where("change NOT IN ('same', 'removed')"))
+        if gone is not None:
+            ids = gone.select("doc_id").distinct()
+            ids = ids.join(docs.select("doc_id"), "doc_id", "left_anti") if docs is not None else ids
+            found.append(manifest.select("doc_id").join(ids, "doc_id", "left_semi").withColumn("change", F.lit("removed")))
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+    def _applied(self, docs: DataFrame | None, gone: DataFrame | None, whole: bool) -> Synced:
+        docs = None if docs is None else self.with_hashes(docs)
         with self._writing() as gen:
             there = self.exists()
+            if docs is None and not there:
+                raise FileNotFoundError(f"no index in {self.path}")
             path = f"{self.path}/changes/gen={gen:09d}"
-            changes = diff(docs, self._probed(self.manifest())).where("change <> 'same'") if there else docs.select("doc_id", F.lit("added").alias("change"))
-            changes.write.mode("overwrite").parquet(path)  # kept beside the index, as long as the documents' list is long
-            changes = self.spark.read.parquet(path)
+            self._changes(docs, gone, whole).write.mode("overwrite").parquet(path)  # kept beside the index, as long as the documents' list is long
+            changes = self.spark.read.schema("doc_id " + self._id_type(docs) + ", change string").parquet(path)
             number = {r.change: r["n"] for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}
             if number or not there:
-                of_kind = lambda *kinds: docs.join(changes.where(F.col("change").isin(*kinds)).select("doc_id"), "doc_id", "left_semi")
-                restated = of_kind("restated") if "restated" in number else None
+                if docs is None:  # documents only go: what comes in is an empty table of the right kind
+                    fresh, restated = None, None
+                else:
+                    of_kind = lambda *kinds: docs.join(changes.where(F.col("change").isin(*kinds)).select("doc_id"), "doc_id", "left_semi")
+                    fresh, restated = of_kind("added", "changed") if there else docs, of_kind("restated") if "restated" in number else None
                 keys = changes.where("change <> 'restated'").select("doc_id") if there else None
-                self._commit(gen, of_kind("added", "changed") if there else docs, keys, restated)
+                made = {name: self.read(name).limit(0) for name in BUCKETED} if fresh is None else None
+                self._commit(gen, fresh, keys, restated, made)
         if self.mirror:
             self.mirror.follow(self)
         return Synced(changes, number.get("added", 0), number.get("changed", 0), number.get("removed", 0), number.get("restated", 0))
 
+    def _id_type(self, docs: DataFrame | None) -> str:
+        return (self.manifest() if docs is None else docs).schema["doc_id"].dataType.simpleString()
+
     @staticmethod
     def _probed(manifest: DataFrame) -> DataFrame:
         """A manifest of an earlier kind with the hashes it lacks, as null."""

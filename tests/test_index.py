@@ -251,3 +251,43 @@ def test_expansion_takes_no_siblings_an_asker_may_not_see(spark):
     for x in done.selected.collect():
         seen.setdefault(x.query_id, set()).update(x.expanded_ids)
     assert seen == {"q": {"c0", "c2"}, "r": {"c0", "c1", "c2"}}
+
+
+def test_merging_some_documents(spark, tmp_path):
+    index = store.IndexStore(spark, str(tmp_path / "index"), EngineConfig(dimensions=4), buckets=2)
+    with pytest.raises(FileNotFoundError):
+        index.merge(gone=spark.createDataFrame([("a",)], "doc_id string"))
+    assert index.merge(documents(spark, ("a", "one x"), ("b", "two x"), ("c", "three x"))).added == 3
+    newest = index._newest()
+    done = index.merge(documents(spark, ("a", "one x")))
+    assert (done.added, done.changed, done.removed, done.restated) == (0, 0, 0, 0) and index._newest() == newest
+    done = index.merge(documents(spark, ("b", "two y"), ("d", "four x")), spark.createDataFrame([("c",), ("b",), ("unheard",)], "doc_id string"))
+    assert (done.added, done.changed, done.removed) == (1, 1, 1)
+    assert {r.doc_id for r in index.manifest().collect()} == {"a", "b", "d"}
+    assert index.merge(gone=spark.createDataFrame([("a",)], "doc_id string")).removed == 1
+    assert sorted((r.doc_id, r.term) for r in index.postings().where("term <> 't'").collect()) == [("b", "two"), ("b", "y"), ("d", "four"), ("d", "x")]
+    assert index.count() == index.chunks().count() == index.vectors().count() == 2
+
+
+def test_a_folder_is_followed(spark, tmp_path):
+    """Files run through again write no version; a file that has gone takes its document along."""
+    from ferrule.streaming import ingest
+
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    index = store.IndexStore(spark, str(tmp_path / "index"), EngineConfig(dimensions=4), buckets=2)
+
+    def run(checkpoint):
+        ingest.keep_indexed(ingest.stream_corpus(spark, str(raw)), index, str(tmp_path / checkpoint), str(raw)).awaitTermination()
+
+    for name in ("one", "two"):
+        (raw / f"{name}.md").write_text(f"# {name}\n\nwords of {name}\n", encoding="utf-8")
+    run("cp")
+    newest = index._newest()
+    run("other")  # all files again, in a stream of its own
+    assert index._newest() == newest and index.count() == 2
+    (raw / "one.md").unlink()
+    assert [r.doc_id for r in ingest.missing(index, str(raw)).collect()] == ["one"]
+    (raw / "three.md").write_text("# three\n\nother words\n", encoding="utf-8")
+    run("cp")
+    assert {r.doc_id for r in index.chunks().collect()} == {"two", "three"}
