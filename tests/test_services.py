@@ -2,6 +2,7 @@
 
 import json
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
@@ -32,6 +33,11 @@ class Fake(BaseHTTPRequestHandler):
             self._say({"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(body["input"])))]})
         elif self.path == "/rerank":
             self._say({"results": [{"index": i, "relevance_score": float(len(d["text"]))} for i, d in enumerate(body["documents"]) if d["text"] != "none"]})
+        elif self.path == "/scroll":
+            first, whole = body.get("offset", 0), body["with_payload"]
+            ids = range(first, min(23, first + body["limit"]))
+            points = [{"id": i} | ({"payload": {"doc": f"d{i}"}, "vector": [i, 0.5] if i % 2 else {"dense": [i]}} if whole else {}) for i in ids]
+            self._say({"result": {"points": points, "next_page_offset": first + len(ids) if first + len(ids) < 23 else None}})
         elif self.path == "/v1/messages":
             self._say({"content": [{"type": "text", "text": body["messages"][0]["content"][0]["text"].upper()}, {"type": "tool"}]})
         else:
@@ -70,11 +76,35 @@ def test_remote_rows(spark, url, tmp_path):
     rows = remote.read_rest_rows(spark, url, limit=250, page=100, dataset="d")
     assert rows.count() == 230 and rows.agg(F.countDistinct("issue_area")).first()[0] == 230
     assert json.loads(rows.first().qa) == {"knowledge": []}
-    assert remote.read_rest_rows(spark, url, limit=7, page=3).count() == 7
+    few = remote.read_rest_rows(spark, url, limit=7, page=3)
+    assert few.count() == 7 and few.rdd.getNumPartitions() == 3
     with pytest.raises(RuntimeError, match="no dataset rows. Local copy: .*REST"):
         remote.read_dataset(spark, str(tmp_path / "none.parquet"), "http://127.0.0.1:9/rows").count()
 
 
+def test_rows_by_cursor(spark, url, tmp_path):
+    found = remote.read_cursor_rows(spark, f"{url}/scroll", pageSize=5)
+    assert found.rdd.getNumPartitions() == 5
+    rows = {r.id: (json.loads(r.payload)["doc"], r.vector) for r in found.collect()}
+    assert len(rows) == 23 and rows["3"] == ("d3", [3.0, 0.5]) and rows["4"] == ("d4", [4.0])
+    assert remote.read_cursor_rows(spark, f"{url}/scroll", pageSize=5, cursor=20).count() == 3
+
+    def run(batches):
+        """The stream from its checkpoint on, stopped after a number of batches."""
+        query = remote.read_cursor_rows(spark, f"{url}/scroll", stream=True, pageSize=4, pagesPerBatch=2).writeStream.format("parquet")
+        query = query.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+        if batches is None:
+            query.processAllAvailable()
+        while batches and (query.lastProgress is None or query.lastProgress["batchId"] < batches - 1):
+            time.sleep(0.1)
+        query.stop()
+        return [int(r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+
+    some = run(1)
+    assert 8 <= len(some) <= 23
+    assert sorted(run(None)) == list(range(23))  # goes on where it stopped, no row twice
+
+
 def test_command_line(spark, url, tmp_path, capsys):
     docs = tmp_path / "docs"
     docs.mkdir()
