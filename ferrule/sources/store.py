@@ -69,6 +69,13 @@ def diff(current: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(old, "doc_id", "full_outer").select("doc_id", change.otherwise("same").alias("change"))
 
 
+def _digests(manifest: DataFrame) -> dict[str, list]:
+    """Of each ``bucket`` of a manifest, how many documents it holds and a digest of their ids and hashes."""
+    said = ["doc_id", *[F.coalesce(c, F.lit("")) for c in ("content_hash", "shape_hash", "metadata_hash")]]
+    sums = [F.count("*").alias("n"), F.bit_xor(F.xxhash64(*said)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), *said)).alias("y")]
+    return {str(r.bucket): [r.n, r.x, r.y] for r in manifest.groupBy("bucket").agg(*sums).collect()}  # a row a bucket
+
+
 def upsert(stored: DataFrame, changed: DataFrame, key: str = "doc_id") -> DataFrame:
     """``stored`` with all rows of the changed documents replaced."""
     keys = changed.select(key).distinct()
@@ -261,6 +268,9 @@ class IndexStore:
         if not files.createNewFile(place):
             raise RuntimeError(f"another sync of {self.path} writes version {gen}; if it was killed, delete {place.toString()}")
         try:
+            if self._newest() != gen - 1:
+                raise RuntimeError(f"another sync of {self.path} has written version {gen}")
+            remove(self.spark, f"{self.path}/versions/gen={gen:09d}")  # what a writer that was killed has left
             yield gen
         finally:
             files.delete(place, False)
@@ -366,6 +376,11 @@ class IndexStore:
                 held = {} if earlier else {b: g for b, g in held.items() if int(b) not in touched}
             held |= self._write(name, rows, bucket, gen)
             version[name] = {"schema": json.loads(rows.schema.json()), "buckets": n, "generation": held, "identity": self.identity}
+            if name == "documents":
+                kept = old[name].get("digests", {}) if old and not earlier else {}
+                written = [f"{self.path}/{name}/gen={gen:09d}/bucket={b}" for b, g in held.items() if g == gen]
+                now = _digests(self.spark.read.schema(rows.schema).option("basePath", f"{self.path}/{name}/gen={gen:09d}").parquet(*written)) if written else {}
+                version[name]["digests"] = {b: d for b, d in kept.items() if b in held} | now
 
         part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
         postings, terms = self._by_term(chunks, 1, gen, ranges)
@@ -394,16 +409,24 @@ class IndexStore:
         with self._writing() as gen:
             there = self.exists()
             keys = None
-            rows = {name: primary.read(name) for name in BUCKETED}
+            differing = None
             if there:
+                mine, other = (side._held("documents") for side in (self, primary))
+                if mine["buckets"] == other["buckets"] and "digests" in mine and "digests" in other:
+                    differing = self._differing(mine["digests"], other["digests"])
+                    if not differing:
+                        return
                 path = f"{self.path}/changes/gen={gen:09d}"
-                diff(rows["documents"], self._probed(self.manifest())).where("change <> 'same'").write.mode("overwrite").parquet(path)
-                keys = self.spark.read.parquet(path).select("doc_id")
+                changes = diff(primary.read("documents", differing), self._probed(self.read("documents", differing))).where("change <> 'same'")
+                changes.write.mode("overwrite").parquet(path)
+                keys = self.spark.read.schema(changes.schema).parquet(path).select("doc_id")
                 if keys.isEmpty():
                     return
-                rows = {name: part.join(keys, "doc_id", "left_semi").select(*part.columns) for name, part in rows.items()}
             else:
                 self.buckets = self.buckets or primary._held("documents")["buckets"]
+            rows = {name: primary.read(name, differing) for name in BUCKETED}
+            if keys is not None:
+                rows = {name: part.join(keys, "doc_id", "left_semi").select(*part.columns) for name, part in rows.items()}
             self._commit(gen, rows["documents"], keys, made=rows)
 
     def add(self, docs: DataFrame) -> None:
@@ -434,9 +457,15 @@ class IndexStore:
         """(doc_id, change) of what is not the same."""
         if not self.exists():
             return docs.select("doc_id", F.lit("added").alias("change"))
-        manifest = self._probed(self.manifest())
         if whole:
-            return diff(docs, manifest).where("change <> 'same'")
+            held = self._held("documents")
+            bucket = F.pmod(F.xxhash64("doc_id"), F.lit(held["buckets"])).cast("int")
+            other = None
+            if "digests" in held:  # only the buckets whose digests differ are compared
+                other = self._differing(held["digests"], _digests(docs.withColumn("bucket", bucket)))
+                docs = docs.where(bucket.isin(other))
+            return diff(docs, self._probed(self.read("documents", other))).where("change <> 'same'")
+        manifest = self._probed(self.manifest())
         found = []
         if docs is not None:
             found.append(diff(docs, manifest.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")).where("change NOT IN ('same', 'removed')"))
@@ -469,6 +498,11 @@ class IndexStore:
             self.mirror.follow(self)
         return Synced(changes, number.get("added", 0), number.get("changed", 0), number.get("removed", 0), number.get("restated", 0))
 
+    @staticmethod
+    def _differing(a: dict[str, list], b: dict[str, list]) -> list[int]:
+        """Buckets that do not hold the same documents on both sides."""
+        return sorted(int(k) for k in a.keys() | b.keys() if a.get(k) != b.get(k))
+
     def _id_type(self, docs: DataFrame | None) -> str:
         return (self.manifest() if docs is None else docs).schema["doc_id"].dataType.simpleString()
 

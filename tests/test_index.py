@@ -49,7 +49,8 @@ CONFIG = EngineConfig(dimensions=2, lexical="plain", embedding_provider="test",
 
 def test_permissions_and_dates_follow_metadata(spark, tmp_path):
     calls = Calls(tmp_path / "calls")
-    index = store.IndexStore(spark, str(tmp_path / "index"), CONFIG, buckets=2, embedder=calls)
+    mirror = store.IndexStore(spark, str(tmp_path / "mirror"), CONFIG)
+    index = store.IndexStore(spark, str(tmp_path / "index"), CONFIG, buckets=2, embedder=calls, mirror=mirror)
     index.sync(documents(spark, ("a", "refund takes days"), ("b", "shipping is slow"), ("c", "refund never")))
     assert len(calls.sent()) == 3
     withdrawn = documents(spark, ("a", "refund takes days", "finance_restricted"), ("b", "shipping is slow", "public", "", "2026-01-31"), ("c", "refund never", "public", "", "", "v2"))
@@ -57,7 +58,7 @@ def test_permissions_and_dates_follow_metadata(spark, tmp_path):
     assert (done.added, done.changed, done.removed, done.restated) == (0, 0, 0, 3)
     assert {(r.doc_id, r.change) for r in done.changes.collect()} == {(i, "restated") for i in "abc"}
     assert calls.sent() == []
-    for rows in (index.chunks(), index.vectors(), index.manifest()):
+    for rows in (index.chunks(), index.vectors(), index.manifest(), mirror.chunks(), mirror.vectors(), mirror.manifest()):
         assert {r.doc_id: (r.scopes, r.to_day) for r in rows.collect()} == {"a": (["finance_restricted"], 99991231), "b": (["public"], 20260131), "c": (["public"], 99991231)}
     assert {r.doc_id: r.version for r in index.chunks().collect()} == {"a": "v1", "b": "v1", "c": "v2"}
     queries = spark.createDataFrame([("q", "refund days")], "query_id string, query string")
@@ -150,7 +151,8 @@ def test_one_writer_at_a_time(spark, tmp_path):
     index = store.IndexStore(spark, str(tmp_path / "index"), EngineConfig(dimensions=4))
     with index._writing(), pytest.raises(RuntimeError, match="another sync"):
         index.sync(documents(spark, ("a", "x y z")))
-    assert index.sync(documents(spark, ("a", "x y z"))).added == 1
+    (tmp_path / "index" / "versions" / "gen=000000001").mkdir(parents=True)  # left by a writer that was killed
+    assert index.sync(documents(spark, ("a", "x y z"))).added == 1 and index._newest() == 1
 
 
 def test_a_store_of_an_earlier_kind_is_brought_up_to_date(spark, tmp_path):
@@ -291,3 +293,31 @@ def test_a_folder_is_followed(spark, tmp_path):
     (raw / "three.md").write_text("# three\n\nother words\n", encoding="utf-8")
     run("cp")
     assert {r.doc_id for r in index.chunks().collect()} == {"two", "three"}
+
+
+def test_what_is_the_same_is_told_from_digests(spark, tmp_path, monkeypatch):
+    """A sync without changes reads no manifest; one with a change reads the bucket it lies in."""
+    mirror = store.IndexStore(spark, str(tmp_path / "mirror"), EngineConfig(dimensions=4))
+    index = store.IndexStore(spark, str(tmp_path / "index"), EngineConfig(dimensions=4), buckets=8, mirror=mirror)
+    rows = [(f"d{i}", f"text number {i}") for i in range(40)]
+    index.sync(documents(spark, *rows))
+    read = []
+    plain = store.IndexStore.read
+
+    def recorded(self, name, among=None):
+        read.append((name, among))
+        return plain(self, name, among)
+
+    monkeypatch.setattr(store.IndexStore, "read", recorded)
+    index.mirror = None
+    assert index.sync(documents(spark, *rows)).changes.count() == 0
+    assert [(name, among) for name, among in read if name == "documents" and among != []] == []
+    read.clear()
+    index.mirror = mirror
+    rows[3] = ("d3", "another text")
+    assert index.sync(documents(spark, *rows)).changed == 1
+    assert all(among is not None and len(among) <= 1 for name, among in read if name == "documents")
+    assert {r.doc_id: r.content_hash for r in mirror.manifest().collect()} == {r.doc_id: r.content_hash for r in index.manifest().collect()}
+    read.clear()
+    mirror.follow(index)
+    assert [n for n, among in read if n == "documents" and among is not None] == []
