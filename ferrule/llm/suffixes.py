@@ -1,7 +1,7 @@
-"""Repeated passages across documents by prefix doubling over positions sampled by content.
+"""Repeated passages across documents: one doubling of ranks over positions sampled by content.
 
-A position is ranked by its first ``GRAM`` bytes, and the ranks of two positions an offset
-apart name the longer string that both cover; the offset grows until the strings are
+This stands in place of full prefix doubling.  A position is ranked by its first ``GRAM``
+bytes, and the ranks of two positions an offset apart name the longer string that both cover,
 ``length`` bytes long, the threshold.  Ranking every byte would move many times the input
 through each sort, so positions are sampled by content: of the strings of ``GRAM`` bytes
 inside any ``length`` bytes, the one with the smallest rank is its anchor.  Equal strings of
@@ -10,7 +10,7 @@ inside any ``length`` bytes, the one with the smallest rank is its anchor.  Equa
 1. Anchors are dealt out by rank and sorted; ranks that occur in one text only are unique
    and leave (a bitmap a text and bucket says which anchors stay).
 2. The strings around the anchors that stay are dealt out by rank and ranked again by pairs
-   of ranks at growing offsets; pairs are sorted within the class of their anchor, and a
+   of ranks an offset apart; pairs are sorted within the class of their anchor, and a
    string whose smallest document is smaller than its own is a repeat.
    Ranks that occur very often are left out of both steps: their strings are rows of their
    own, whose smallest document is found by an aggregation that combines before it shuffles,
