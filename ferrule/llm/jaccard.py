@@ -242,7 +242,7 @@ def _elements(groups: DataFrame) -> DataFrame:
 
 
 def _overlaps(prefixes: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two prefixes share."""
+    """How many elements each two prefixes share; a prefix shares all of its own with itself, as two members of one group do."""
     m = len(prefixes)
     owner = np.repeat(np.arange(m), [len(p) for p in prefixes])
     _, inverse, counts = np.unique(np.concatenate(prefixes), return_inverse=True, return_counts=True)
@@ -258,6 +258,7 @@ def _overlaps(prefixes: list[np.ndarray]) -> np.ndarray:
         held = np.zeros((m, min(step, int(shared.sum()) - lo)), np.float32)
         held[owner[part], column[part] - lo] = 1
         out += held @ held.T
+    np.fill_diagonal(out, [len(p) for p in prefixes])
     return out.astype(np.int64)
 
 

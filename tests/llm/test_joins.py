@@ -82,6 +82,25 @@ def test_prefixes_lose_no_pair(spark, monkeypatch, similarity):
     assert linked > 20
 
 
+def test_members_of_one_group_pass_alone():
+    """Equal prefixes and sizes share their whole prefix, whether or not another group holds any of it."""
+    lone, far = np.arange(6), np.arange(100, 106)
+    assert jaccard.passing([lone], np.array([100]), 90).all()
+    assert jaccard.passing([lone, far], np.array([100, 100]), 90).tolist() == [[True, False], [False, True]]
+
+
+def test_families_apart_from_all_others_equal_brute_force(spark):
+    r, rows = random.Random(1), []
+    for f in range(40):
+        for _ in range(r.randrange(2, 5)):
+            words = [f"b{f}x{i}" for i in range(40 + 4 * f)]
+            for _ in range(r.randrange(3)):
+                words[r.randrange(len(words))] = f"u{r.random()}"
+            rows.append((len(rows) + 1, " ".join(words)))
+    got = sorted(map(tuple, jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()))
+    assert got == joined(rows)
+
+
 def test_jaccard_join_of_odd_rows(spark):
     long = " ".join(f"wörd{i % 977}x{i % 13}" for i in range(30_000))
     rows = [(1, "a b c d e f g"), (None, "a b c d e f g"), (2, None), (3, ""), (4, long), (5, long + " end"), (7, "a b c d e f g"), (7, "a b c d e f g"), (7, long), (9, "A b C d e f g"), (9, "p q r s")]
