@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import clean_text, slugify, strip
+from ..storage import materialise
 
 FIELDS = ("issue_area", "issue_category", "issue_sub_category", "product_category", "product_sub_category", "issue_complexity", "conversation")
 
@@ -102,10 +103,15 @@ def render_documents(rows: DataFrame, order: str, rows_per_doc: int = 12, datase
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds ``row_no`` from 0 in order, by counting ordered partitions instead of one sort in one task."""
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    spread = spread.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
-    sizes = spread.groupBy("__part").agg(F.count("*").alias("__n"))
+    """Adds ``row_no`` from 0 in order, by counting ordered partitions instead of one sort in one task.
+
+    The partitions are written once with their numbers: dealt a second time, for their sizes
+    alone, Spark may cut them elsewhere.
+    """
+    dealt = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    dealt = materialise(dealt, "numbered")
+    placed = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    return spread.join(F.broadcast(offsets), "__part").withColumn("row_no", F.col("__offset") + F.col("__at")).drop("__part", "__at", "__offset")
+    return placed.join(F.broadcast(offsets), "__part").withColumn("row_no", F.col("__offset") + F.col("__at")).drop("__part", "__at", "__offset")

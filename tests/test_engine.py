@@ -341,6 +341,13 @@ def test_equal_vectors_leave_at_most_k_rows_a_batch(spark):
             assert np.flatnonzero(h).tolist() == sorted(np.argsort(-row, kind="stable")[:7].tolist())
 
 
+def test_rows_are_numbered_alike_however_wide_they_are(spark):
+    """Rows that lie in several partitions: their sizes alone, being small, would lie in fewer."""
+    wide = F.concat(*[F.sha2((F.col("id") * 64 + i).cast("string"), 256) for i in range(32)])
+    rows = spark.range(8_000).withColumns({"k": 8_000 - F.col("id"), "wide": wide})
+    assert casebook.numbered(rows, "k").where("row_no = k - 1 AND length(wide) = 2048").count() == 8_000
+
+
 def test_relevant_documents_equal_a_plain_search(spark):
     texts = ["a b c d", "xa b cd", "", "b  c", "the quick brown fox", "quick brown", "thequick brownfox", "c", "a b c d e quick brown fox", None]
     items = ["a b c", "quick brown", "b", "x", "the quick brown", " b ", "b  c", "a b cd", "", "brown fox jumps", None]
