@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,25 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
+def list_lengths(lists: pa.Array) -> np.ndarray:
+    """Of each list its number of items; 0 for null."""
+    return pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def pieces(lengths: np.ndarray, limit: int, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold ``limit`` items and ``rows`` rows at most; each holds one row at least."""
+    ends, lo = np.cumsum(lengths), 0
+    while lo < len(ends):
+        before = ends[lo - 1] if lo else 0
+        hi = max(int(np.searchsorted(ends, before + limit, "right")), lo + 1)
+        hi = hi if rows is None else min(hi, lo + rows)
+        yield lo, hi
+        lo = hi
+
+
 def _hashed(found: pa.ListArray, dims: int) -> np.ndarray:
     """Unit-length hashed embeddings of lists of terms; zeros for a list without terms.  Each distinct term is hashed once."""
-    lengths = pc.list_value_length(found).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = list_lengths(found)
     terms = found.flatten().dictionary_encode()
     digests = [hashlib.sha256(t.encode("utf-8")).digest() for t in terms.dictionary.to_pylist()]
     slot = np.array([int.from_bytes(d[:4], "big") % dims for d in digests], np.int64)
@@ -42,8 +59,13 @@ def _hashed(found: pa.ListArray, dims: int) -> np.ndarray:
     return out / np.maximum(np.sqrt((out * out).sum(1)), 1e-300)[:, None]
 
 
-#: Rows whose dense embeddings a kernel holds at once.
-ROWS = 2_000
+#: Places of dense embeddings, and terms, that a kernel holds at once (one row's at least).
+PLACES, TERMS = 1_000_000, 400_000
+
+
+def _parts(batch: pa.RecordBatch, dims: int) -> Iterator[pa.RecordBatch]:
+    for lo, hi in pieces(list_lengths(batch.column(1)), TERMS, max(1, PLACES // dims)):
+        yield batch.slice(lo, hi - lo)
 
 
 def hashed_weights(rows: DataFrame, key: str, terms: str = "terms", dims: int = 1024) -> DataFrame:
@@ -52,8 +74,7 @@ def hashed_weights(rows: DataFrame, key: str, terms: str = "terms", dims: int =
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
+            for part in _parts(batch, dims):
                 x = _hashed(part.column(1), dims)
                 i, j = np.nonzero(x)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(j, pa.int32()), pa.array(x[i, j])], names=schema.names)
@@ -71,8 +92,7 @@ def hash_embeddings(rows: DataFrame, key: str, terms: str, dims: int) -> DataFra
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
+            for part in _parts(batch, dims):
                 x = _hashed(part.column(1), dims)
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dims), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), vectors], names=schema.names)

@@ -14,6 +14,8 @@ from .lexical import score_key, top_k
 
 #: Bytes of queries' vectors shipped at once.
 BLOCK_BYTES = 32_000_000
+#: Bytes of rows' vectors multiplied at once: an Arrow batch may hold ten times as many.
+ROW_BYTES = 8_000_000
 
 
 def _matrix(vectors, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,23 +102,33 @@ def dense_topk(
             for batch in batches:
                 if not batch.num_rows or not len(q):
                     continue
-                batch = batch.take(pc.array_sort_indices(batch.column(0)))  # so that the first of equal ones has the smaller key
-                keys = batch.column(0)
-                x, sizes = _matrix(batch.column(1), width)
-                if normalised:
-                    x /= np.maximum(sizes, 1e-300)[:, None]
-                seen = askers.seen(batch) if by_asker else None
-                for lo in range(0, len(q), 256):
-                    near = q[lo : lo + 256] @ x.T
-                    if by_asker:
-                        near[~seen[askers.of[lo : lo + 256]]] = -np.inf
-                    hit = _best(np.round(near * 1_000_000), k)
-                    if by_asker:
-                        hit &= near > -np.inf
-                    if min_score is not None:
-                        hit &= near >= min_score
-                    i, j = np.nonzero(hit)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + i)), keys.take(pa.array(j)), pa.array(near[i, j])], names=schema.names)
+                order = pc.array_sort_indices(batch.column(0))  # so that the first of equal ones has the smaller key
+                step, hits = max(1, ROW_BYTES // (8 * width)), []
+                for start in range(0, batch.num_rows, step):
+                    part = batch.take(order.slice(start, step))
+                    x, sizes = _matrix(part.column(1), width)
+                    if normalised:
+                        x /= np.maximum(sizes, 1e-300)[:, None]
+                    seen = askers.seen(part) if by_asker else None
+                    for lo in range(0, len(q), 256):
+                        near = q[lo : lo + 256] @ x.T
+                        if by_asker:
+                            near[~seen[askers.of[lo : lo + 256]]] = -np.inf
+                        hit = _best(np.round(near * 1_000_000), k)
+                        if by_asker:
+                            hit &= near > -np.inf
+                        if min_score is not None:
+                            hit &= near >= min_score
+                        i, j = np.nonzero(hit)
+                        hits.append((lo + i, start + j, near[i, j]))
+                i, j, score = (np.concatenate(c) for c in zip(*hits, strict=True))
+                if batch.num_rows > step:  # a query's best of all parts
+                    first = np.lexsort((j, -np.round(score * 1_000_000), i))
+                    i, j, score = i[first], j[first], score[first]
+                    own = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    i, j, score = i[own], j[own], score[own]
+                keys = batch.column(0).take(order.take(pa.array(j)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), keys, pa.array(score)], names=schema.names)
 
         found = held.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)

@@ -6,16 +6,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import SPARSE_BUCKETS
 from ..functions.text import sparse_bucket, tokenize
+from ..functions.vectors import list_lengths, pieces
 from ..storage import materialise
 
 
+#: Terms that a kernel counts at once (one row's at least): a batch holds many times as many where texts are long.
+COUNTED = 200_000
+
+
 def term_rows(rows: DataFrame, *columns, terms: str = "terms") -> DataFrame:
     """(columns, term): a row a term.
 
@@ -33,22 +37,26 @@ def _counted(rows: DataFrame, key: str, terms: str, columns: str, name_terms, ca
     """
     key_type = rows.schema[key].dataType.simpleString()
 
+    def counted(batch, lengths, code, names):
+        n = max(len(names), 1)
+        pairs, tf = np.unique(np.repeat(np.arange(batch.num_rows), lengths) * n + code, return_counts=True)
+        row = pairs // n
+        own = pa.array(row)
+        told = [batch.column(0).take(own), names.take(pa.array(pairs % n)), pa.array(tf), pa.array(lengths[row])]
+        return pa.RecordBatch.from_arrays([*told, *[batch.column(2 + i).take(own) for i in range(len(carry))]], names=kinds)
+
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
-            lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            found = lists.flatten().dictionary_encode()
-            code, names = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+            lengths = list_lengths(batch.column(1))
+            found = batch.column(1).flatten().dictionary_encode()
+            code, names, at = found.indices.to_numpy(zero_copy_only=False), found.dictionary, 0
             if name_terms is not None:
-                told = name_terms(names.to_pylist())
-                names, place = np.unique(told, return_inverse=True)
-                code, names = place[code], pa.array(names)
-            n = max(len(names), 1)
-            pairs, tf = np.unique(np.repeat(np.arange(batch.num_rows), lengths) * n + code, return_counts=True)
-            row = pairs // n
-            own = pa.array(row)
-            told = [batch.column(0).take(own), names.take(pa.array(pairs % n)), pa.array(tf), pa.array(lengths[row])]
-            yield pa.RecordBatch.from_arrays([*told, *[batch.column(2 + i).take(own) for i in range(len(carry))]], names=kinds)
+                names, place = np.unique(name_terms(names.to_pylist()), return_inverse=True)
+                code, names = place.astype(np.int32)[code], pa.array(names)
+            for lo, hi in pieces(lengths, COUNTED):
+                n = int(lengths[lo:hi].sum())
+                yield counted(batch.slice(lo, hi - lo), lengths[lo:hi], code[at : at + n], names)
+                at += n
 
     kinds = [key, columns.split()[0], "tf", "length", *carry]
     more = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)

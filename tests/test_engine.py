@@ -2,10 +2,12 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ferrule.config import EngineConfig
+from ferrule.functions import vectors
 from ferrule.operators import access, casebook, chunking, context, dense, fusion, lexical, plugins, reports, selection
 from ferrule.plans import catalogue
 from ferrule.plans.catalogue_sql import GOLDEN_SQL
@@ -341,6 +343,25 @@ def test_equal_vectors_leave_at_most_k_rows_a_batch(spark):
             assert np.flatnonzero(h).tolist() == sorted(np.argsort(-row, kind="stable")[:7].tolist())
 
 
+def test_kernels_hold_a_bounded_piece_of_a_batch(spark, monkeypatch):
+    """Counting, hashing and multiplying a few rows at a time, with the results of whole batches."""
+    lengths = np.array([3, 0, 9, 2, 2, 2, 0, 40, 1])
+    assert list(vectors.pieces(lengths, 6)) == [(0, 2), (2, 3), (3, 7), (7, 8), (8, 9)]
+    assert list(vectors.pieces(lengths, 100, 4)) == [(0, 4), (4, 8), (8, 9)]
+    rows = spark.range(90).select(F.col("id").alias("key"), F.transform(F.sequence(F.lit(0), F.col("id") % 7), lambda i: F.concat(F.lit("t"), (F.col("id") * i) % 11)).alias("terms")).coalesce(1)
+    asked = vectors.hash_embeddings(rows.where("key % 9 = 0"), "key", "terms", 16).withColumnRenamed("key", "query_id")
+
+    def found():
+        near = dense.dense_topk(asked, vectors.hash_embeddings(rows, "key", "terms", 16), 5).select("query_id", "key", "rank", F.round("score", 9))
+        parts = (lexical.postings(rows, "key"), lexical.sparse_postings(rows, "key"), vectors.hashed_weights(rows, "key"), near)
+        return [sorted(map(tuple, part.collect())) for part in parts]
+
+    whole = found()
+    for module, name, value in ((lexical, "COUNTED", 10), (vectors, "PLACES", 64), (vectors, "TERMS", 9), (dense, "ROW_BYTES", 7 * 8 * 16)):
+        monkeypatch.setattr(module, name, value)
+    assert found() == whole
+
+
 def test_rows_are_numbered_alike_however_wide_they_are(spark):
     """Rows that lie in several partitions: their sizes alone, being small, would lie in fewer."""
     wide = F.concat(*[F.sha2((F.col("id") * 64 + i).cast("string"), 256) for i in range(32)])
