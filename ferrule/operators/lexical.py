@@ -6,8 +6,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..config import SPARSE_BUCKETS
@@ -133,6 +135,47 @@ def bm25(
     return top_k(scored.where("score > 0"), k, [F.desc(score_key()), F.col(key)])
 
 
+def _best_of_blocks(wanted: DataFrame, held: DataFrame, k: int, key: str) -> DataFrame:
+    """(query_id, key, score): of each query and block the ``k`` best rows above zero, ties to the smaller key.
+
+    ``wanted``: block, query_id, term, weight.  ``held``: block, key, term, value, a posting once: a
+    block's postings meet its queries inside the task, so no row a query and posting is made.
+    """
+    schema = T.StructType([wanted.schema["query_id"], held.schema[key], T.StructField("score", T.DoubleType())])
+
+    def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        keys, terms = (rows[c].combine_chunks().dictionary_encode() for c in (key, "term"))
+        names = keys.dictionary.take(order := pc.array_sort_indices(keys.dictionary))
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        place, code = place[keys.indices.to_numpy()], terms.indices.to_numpy()
+        by_term = np.argsort(code, kind="stable")
+        ends = np.cumsum(np.bincount(code, minlength=len(terms.dictionary)))
+        place, value = place[by_term], rows["value"].to_numpy()[by_term]
+        ids = asked["query_id"].combine_chunks().dictionary_encode()
+        met = pc.index_in(asked["term"].combine_chunks(), value_set=terms.dictionary).fill_null(-1).to_numpy()
+        query, weight = ids.indices.to_numpy(), asked["weight"].to_numpy()
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        live = np.flatnonzero(met >= 0)
+        live = live[np.argsort(query[live], kind="stable")]
+        for own in np.split(live, np.flatnonzero(np.diff(query[live])) + 1) if len(live) else []:
+            total = np.zeros(len(names))
+            for i in own:
+                lo, hi = ends[met[i] - 1] if met[i] else 0, ends[met[i]]
+                np.add.at(total, place[lo:hi], weight[i] * value[lo:hi])
+            hit = np.flatnonzero(total > 0)
+            level = np.floor(total[hit] * 1_000_000 + 0.5)
+            if len(hit) > k:
+                edge = np.partition(level, len(hit) - k)[len(hit) - k]
+                hit, level = hit[level >= edge], level[level >= edge]
+                hit = hit[np.argsort(-level, kind="stable")[:k]]
+            out.append((np.full(len(hit), query[own[0]]), hit, total[hit]))
+        q, at, score = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.Table.from_arrays([ids.dictionary.take(pa.array(q)), names.take(pa.array(at)), pa.array(score)], names=schema.names)
+
+    return wanted.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(best, schema)
+
+
 def bm25_blocks(
     asked: DataFrame, blocks: DataFrame, postings: DataFrame, living, stats: DataFrame, k: int, variant: str = "plain", key: str = "chunk_id", of_query: DataFrame | None = None, first: int = 2
 ) -> DataFrame:
@@ -158,9 +201,12 @@ def bm25_blocks(
     bounds = materialise(bounds.withColumn("place", F.row_number().over(order)), "bounds")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        met = postings.join(weighed.join(pairs.select("query_id", "block"), "query_id"), ["term", "block"])
-        if of_query is not None:
-            met = met.join(of_query, "query_id")
+        wanted = weighed.join(pairs.select("query_id", "block"), "query_id")
+        if of_query is None:
+            held = living(postings.join(wanted.select("term", "block").distinct(), ["term", "block"], "left_semi"))
+            held = held.crossJoin(F.broadcast(stats.select("mean_length"))).select("block", key, "term", saturated("tf", "length").alias("value"))
+            return _best_of_blocks(wanted.select("block", "query_id", "term", "weight"), held, k, key)
+        met = postings.join(wanted, ["term", "block"]).join(of_query, "query_id")
         return living(met).groupBy("query_id", key).agg(F.sum(F.col("weight") * saturated("tf", "length")).alias("score")).where("score > 0")
 
     best = materialise(top_k(scored(bounds.where(F.col("place") <= first)), k, [F.desc(score_key()), F.col(key)]), "best")

@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ferrule.config import EngineConfig
 from ferrule.functions import vectors
@@ -391,3 +392,16 @@ def test_event_stream_rolls_up(spark, tmp_path):
     rolled.writeStream.format("memory").queryName("rolled").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     want = {tuple(r) for r in reports.roll_up(events, "ts", ["kind"], "value", "1 hour").collect()}
     assert {tuple(r) for r in spark.table("rolled").collect()} == want and len(want) == 3
+
+
+def test_blocks_meet_their_queries_without_a_row_a_posting_and_query(spark):
+    """Scores, ties to the smaller key and the cut equal a plain sum; what leaves a block is its best rows."""
+    held = [(b, f"c{(i * 37) % 100:02d}", t, 1.0 + (i * j) % 4) for b in range(2) for j, t in enumerate("xyz") for i in range(b, 100, 2 + j)]
+    wanted = [(b, q, t, 0.5 + q % 3) for b in range(3) for q in range(7) for t in "xyzw"[q % 3 :]]
+    held, wanted = spark.createDataFrame(held, "block int, key string, term string, value double"), spark.createDataFrame(wanted, "block int, query_id long, term string, weight double")
+    got = lexical._best_of_blocks(wanted, held, 4, "key")
+    assert "SortMergeJoin" not in (plan := got._jdf.queryExecution().toString()) and "BroadcastHashJoin" not in plan
+    summed = wanted.join(held, ["block", "term"]).groupBy("block", "query_id", "key").agg(F.sum(F.col("weight") * F.col("value")).alias("score"))
+    order = Window.partitionBy("block", "query_id").orderBy(F.desc(lexical.score_key()), "key")
+    plain = summed.withColumn("n", F.row_number().over(order)).where("n <= 4").select("query_id", "key", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() == 56
