@@ -82,19 +82,19 @@ def hashed_weights(rows: DataFrame, key: str, terms: str = "terms", dims: int =
     return rows.select(key, terms).mapInArrow(run, schema)
 
 
-def hash_embeddings(rows: DataFrame, key: str, terms: str, dims: int) -> DataFrame:
-    """(key, vector): unit-length hashed embeddings as arrays, for kernels that multiply matrices.
+def hash_embeddings(rows: DataFrame, key: str, terms: str, dims: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, vector, carry): unit-length hashed embeddings as arrays, for kernels that multiply matrices.
 
     Runs over Arrow batches: an array of ``dims`` places filled by an expression would be
     walked once a term.  Rows without terms get zeros.
     """
-    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("vector", T.ArrayType(T.DoubleType())), *[rows.schema[c] for c in carry]])
 
     def run(batches):
         for batch in batches:
             for part in _parts(batch, dims):
                 x = _hashed(part.column(1), dims)
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dims), pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), vectors], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors, *[part.column(2 + i) for i in range(len(carry))]], names=schema.names)
 
-    return rows.select(key, terms).mapInArrow(run, schema)
+    return rows.select(key, terms, *carry).mapInArrow(run, schema)

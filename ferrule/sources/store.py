@@ -43,7 +43,7 @@ BUCKETED, BY_TERM = ("documents", "chunks", "vectors"), ("postings", "terms")
 #: Bytes of documents a bucket is meant to hold, and files a bucket is written in at most.
 BUCKET_BYTES, BUCKET_FILES = 512 << 20, 8
 #: Bytes of documents whose terms share a part of the postings, and whose chunks a block of them.
-PART_BYTES, BLOCK_BYTES = 64 << 20, 4 << 20
+PART_BYTES, BLOCK_BYTES = 16 << 20, 4 << 20
 #: Segments of postings that a reader looks through at most; one more and they are merged.
 SEGMENTS = 8
 #: Asked terms up to which the scan of the postings is told their names.
@@ -182,7 +182,8 @@ class IndexStore:
 
     def postings(self) -> DataFrame:
         """(chunk_id, term, tf, length, doc_id) of all documents as they are now."""
-        return self._living(self.read("postings")).select("chunk_id", "term", "tf", "length", "doc_id")
+        born = self.manifest().select("doc_id", "born")
+        return self.read("postings").join(born, ["doc_id", "born"], "left_semi").select("chunk_id", "term", "tf", "length", "doc_id")
 
     def vectors(self) -> DataFrame:
         """(chunk_id, doc_id, vector) and the access columns, as embedded when the document last changed."""
@@ -282,10 +283,10 @@ class IndexStore:
 
     def _embedded(self, chunks: DataFrame) -> DataFrame:
         """Vectors of chunks.  A plugged-in embedder is sent each text once, and none that the index holds a vector of."""
-        facts = chunks.select("chunk_id", "doc_id", *_ACCESS)
         if self.embedder is None:
-            found = hash_embeddings(chunks.withColumnRenamed("chunk_id", "key"), "key", "terms", self.config.dimensions)
-            return found.withColumnRenamed("key", "chunk_id").join(facts, "chunk_id").withColumn("text_hash", F.lit(None).cast("string"))
+            found = hash_embeddings(chunks.withColumnRenamed("chunk_id", "key"), "key", "terms", self.config.dimensions, carry=("doc_id", *_ACCESS))
+            return found.withColumnRenamed("key", "chunk_id").withColumn("text_hash", F.lit(None).cast("string"))
+        facts = chunks.select("chunk_id", "doc_id", *_ACCESS)
         named = chunks.select("chunk_id", F.sha2("text", 256).alias("text_hash"))
         texts = chunks.groupBy(F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"))
         known = None
@@ -321,7 +322,7 @@ class IndexStore:
             rows = rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", *order)
         else:
             rows = rows.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(BUCKET_FILES)))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
         return {b.removeprefix("bucket="): gen for b in names_in(self.spark, path) if b.startswith("bucket=")}
 
     def _commit(self, gen: int, fresh: DataFrame, keys: DataFrame | None, restated: DataFrame | None = None, made: dict[str, DataFrame] | None = None) -> None:
@@ -332,7 +333,7 @@ class IndexStore:
         old = {} if keys is None else self._version()
         incoming = f"{self.path}/incoming/gen={gen:09d}"
         chunks = made["chunks"] if made else build_chunks(fresh, self.config).withColumn("n_terms", F.size("terms"))
-        chunks.write.mode("overwrite").parquet(incoming)  # split and tokenised once
+        chunks.write.mode("overwrite").option("compression", "zstd").parquet(incoming)  # split and tokenised once
         chunks = self.spark.read.schema(chunks.schema).parquet(incoming)
         counted = lambda rows: [x or 0 for x in rows.agg(F.count("*"), F.sum("n_terms")).first()]
         number = counted(chunks)
