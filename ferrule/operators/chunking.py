@@ -10,15 +10,15 @@ from ..functions.text import normalize_text, strip, token_count, tokenize
 _SENTENCE_END = "(?<=[。！？!?])"
 
 
-def split_sections(docs: DataFrame, doc_id="doc_id", title="title", body="body") -> DataFrame:
-    """(doc_id, section_no, parent_id, section_title, title_path, text): a section a ``## `` heading.
+def split_sections(docs: DataFrame, doc_id="doc_id", title="title", body="body", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, section_no, parent_id, section_title, title_path, text, carry): a section a ``## `` heading.
 
     What stands before the first heading is a section under the document's title.  Sections
     are cut inside the row, so nothing is shuffled.
     """
     name = F.coalesce(F.col(title).cast("string"), F.col(doc_id).cast("string"))
     rows = docs.where(F.col(body) != "").select(
-        F.col(doc_id).alias("doc_id"), name.alias("title"), F.posexplode_outer(F.split(F.col(body), r"\n(?=## )")).alias("section_no", "piece")
+        F.col(doc_id).alias("doc_id"), name.alias("title"), F.posexplode_outer(F.split(F.col(body), r"\n(?=## )")).alias("section_no", "piece"), *carry
     )  # outer: an inner explode would split every body a second time to test its size
     heading = strip(F.regexp_extract("piece", r"^## ([^\n]*)", 1))
     section = F.when(F.col("piece").startswith("## "), heading).otherwise(F.col("title"))
@@ -29,6 +29,7 @@ def split_sections(docs: DataFrame, doc_id="doc_id", title="title", body="body")
         section.alias("section_title"),
         F.array("title", section).alias("title_path"),
         normalize_text("piece").alias("text"),
+        *carry,
     )
 
 
@@ -94,15 +95,15 @@ def plain_chunks(docs: DataFrame, source: str, text: str, chars: int = 240, over
     return rows.select(F.concat("source", F.lit("#chunk-"), F.col("position")).alias("chunk_id"), "source", "position", "text")
 
 
-def section_chunks(sections: DataFrame, chars: int = 280, overlap: int = 60, delimiter="\n\n") -> DataFrame:
-    """(chunk_id, parent_id, doc_id, chunk_no, title_path, text, token_count, terms) of sections."""
+def section_chunks(sections: DataFrame, chars: int = 280, overlap: int = 60, delimiter="\n\n", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, parent_id, doc_id, chunk_no, title_path, text, token_count, terms, carry) of sections."""
     rows = sections.select(
-        "doc_id", "parent_id", "title_path", F.posexplode_outer(pack(paragraphs(F.col("text"), delimiter), chars, overlap)).alias("chunk_no", "text")
+        "doc_id", "parent_id", "title_path", F.posexplode_outer(pack(paragraphs(F.col("text"), delimiter), chars, overlap)).alias("chunk_no", "text"), *carry
     ).where("chunk_no IS NOT NULL")
     titled = F.concat(F.array_join("title_path", " "), F.lit(" "), F.col("text"))
     return rows.select(
         F.format_string("%s:chunk_%02d", "parent_id", "chunk_no").alias("chunk_id"),
         "parent_id", "doc_id", "chunk_no", "title_path", "text",
-        token_count("text").alias("token_count"), tokenize(titled).alias("terms"),
+        token_count("text").alias("token_count"), tokenize(titled).alias("terms"), *carry,
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from ..storage import materialise
 
 #: Terms that a kernel counts at once (one row's at least): a batch holds many times as many where texts are long.
 COUNTED = 200_000
+#: Postings that are held before they are dealt out in packed form.
+PACKED = 2_000_000
 
 
 def term_rows(rows: DataFrame, *columns, terms: str = "terms") -> DataFrame:
@@ -70,6 +73,146 @@ def postings(chunks: DataFrame, key: str = "chunk_id", terms: str = "terms", car
     return _counted(chunks, key, terms, "term string", None, carry)
 
 
+def part_of(term: str, parts: int) -> Column:
+    """Which part of the stored postings holds a term."""
+    return F.pmod(F.crc32(term), F.lit(parts)).cast("int")
+
+
+def _dealt(rows: pa.Table, part: np.ndarray, name: str) -> pa.RecordBatch:
+    """(name, held): rows as compressed Arrow streams, one for each number in ``part``; dictionaries hold what their stream needs."""
+    order = np.argsort(part, kind="stable")
+    rows, part = rows.take(pa.array(order)).combine_chunks(), part[order]
+    starts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+    columns, found = [c.chunk(0) for c in rows.columns], []
+    for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+        own = []
+        for c in columns:
+            c = c.slice(lo, hi - lo)
+            if isinstance(c, pa.DictionaryArray):
+                used, place = np.unique(c.indices.to_numpy(), return_inverse=True)
+                c = pa.DictionaryArray.from_arrays(pa.array(place.astype(np.int32)), c.dictionary.take(pa.array(used)))
+            own.append(c)
+        batch, sink = pa.RecordBatch.from_arrays(own, names=rows.column_names), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_batch(batch)
+        found.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(part[starts[:-1]]), pa.array(found, pa.binary())], names=[name, "held"])
+
+
+def _opened(held: pa.Scalar):
+    """The rows of a stream that ``_dealt`` has made, without dictionaries."""
+    with pa.ipc.open_stream(held.as_buffer()) as stream:
+        for rows in stream:
+            plain = [c.dictionary_decode() if isinstance(c, pa.DictionaryArray) else c for c in rows.columns]
+            yield pa.RecordBatch.from_arrays(plain, names=rows.schema.names)
+
+
+_POSTING = ("term", "doc_id", "place", "tf", "length", "born", "block")
+
+
+def packed_postings(chunks: DataFrame, parts: int) -> DataFrame:
+    """(part, held): postings of chunks (terms, doc_id, place, born, block), dealt out to the parts of their terms.
+
+    ``held`` is a compressed Arrow stream of postings in the order of their chunks: a shuffle of these
+    moves a fraction of the bytes that a row a posting takes.
+    """
+
+    def dealt(tables):
+        rows = pa.concat_tables(tables).unify_dictionaries().combine_chunks()
+        term = rows["term"].chunk(0)
+        part = np.array([zlib.crc32(t.encode("utf-8")) % parts for t in term.dictionary.to_pylist()], np.int32)
+        return _dealt(rows, part[term.indices.to_numpy()], "part")
+
+    def run(batches):
+        tables, held = [], 0
+        for batch in batches:
+            lengths = list_lengths(batch.column(0))
+            found, place, at = batch.column(0).flatten().dictionary_encode(), batch.column(2).dictionary_encode(), 0
+            code, n = found.indices.to_numpy(zero_copy_only=False), max(len(found.dictionary), 1)
+            for lo, hi in pieces(lengths, COUNTED):
+                size = int(lengths[lo:hi].sum())
+                pairs, tf = np.unique(np.repeat(np.arange(lo, hi), lengths[lo:hi]) * n + code[at : at + size], return_counts=True)
+                at += size
+                row = pairs // n
+                own = pa.array(row)
+                term = pa.DictionaryArray.from_arrays(pa.array((pairs % n).astype(np.int32)), found.dictionary)
+                columns = [term, batch.column(1).take(own), place.take(own), pa.array(tf.astype(np.int32)), pa.array(lengths[row].astype(np.int32)), *[batch.column(i).take(own) for i in (3, 4)]]
+                tables.append(pa.table(columns, names=_POSTING))
+                held += len(row)
+                if held >= PACKED:
+                    yield dealt(tables)
+                    tables, held = [], 0
+        if held:
+            yield dealt(tables)
+
+    return chunks.select(F.col("terms").cast("array<string>"), "doc_id", "place", "born", "block").mapInArrow(run, "part int, held binary")
+
+
+def _ranks(values: pa.Array) -> np.ndarray:
+    """Of each value its place in the order of all distinct ones."""
+    found = values.dictionary_encode()
+    order = pc.array_sort_indices(found.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place[found.indices.to_numpy()]
+
+
+def unpacked_postings(packed: DataFrame, id_type: str) -> DataFrame:
+    """(term, doc_id, place, tf, length, born, block): the rows of ``packed_postings`` in the tasks they lie in, sorted piece by piece by term, block and document."""
+
+    def joined(batches):
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        order = np.lexsort((_ranks(rows["doc_id"].chunk(0)), rows["block"].to_numpy(), _ranks(rows["term"].chunk(0))))
+        return rows.take(pa.array(order)).combine_chunks().to_batches()
+
+    def run(batches):
+        found, n = [], 0
+        for batch in batches:
+            for held in batch.column(0):
+                for rows in _opened(held):
+                    found.append(rows)
+                    n += rows.num_rows
+                if n >= COUNTED:
+                    yield from joined(found)
+                    found, n = [], 0
+        if found:
+            yield from joined(found)
+
+    return packed.select("held").mapInArrow(run, f"term string, doc_id {id_type}, place string, tf int, length int, born long, block int")
+
+
+def block_counts(postings: DataFrame) -> DataFrame:
+    """(term, block, n, most_tf, least_length) of postings that lie by term and block: a row a run of equal ones, more where batches cut it."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                code = batch.column(0).dictionary_encode().indices.to_numpy()
+                block, tf, length = (batch.column(i).to_numpy() for i in (1, 2, 3))
+                at = np.flatnonzero(np.concatenate([[True], (np.diff(code) != 0) | (np.diff(block) != 0)]))
+                n = np.diff(np.append(at, batch.num_rows))
+                most, least = np.maximum.reduceat(tf, at).astype(np.int64), np.minimum.reduceat(length, at).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(block[at]), pa.array(n), pa.array(most), pa.array(least)], names=names)
+
+    names = ["term", "block", "n", "most_tf", "least_length"]
+    return postings.select("term", "block", "tf", "length").mapInArrow(run, "term string, block int, n long, most_tf long, least_length long")
+
+
+def lost_counts(chunks: DataFrame) -> DataFrame:
+    """(term, block, n): how many chunks (terms, block) hold each term, as numbers below zero, added up batch by batch."""
+
+    def run(batches):
+        for batch in batches:
+            lengths = list_lengths(batch.column(0))
+            found = batch.column(0).flatten().dictionary_encode()
+            n, blocks = max(len(found.dictionary), 1), batch.column(1).to_numpy()
+            pairs = np.unique(np.repeat(np.arange(batch.num_rows), lengths) * n + found.indices.to_numpy(zero_copy_only=False))
+            keys, count = np.unique(blocks[pairs // n].astype(np.int64) * n + pairs % n, return_counts=True)
+            yield pa.RecordBatch.from_arrays([found.dictionary.take(pa.array(keys % n)), pa.array((keys // n).astype(np.int32)), pa.array(-count)], names=["term", "block", "n"])
+
+    return chunks.select(F.col("terms").cast("array<string>"), "block").mapInArrow(run, "term string, block int, n long")
+
+
 def sparse_postings(chunks: DataFrame, key: str = "chunk_id", terms: str = "terms") -> DataFrame:
     """(key, bucket, tf): hashed term frequencies; terms that share a bucket add up.  A batch hashes each distinct term once."""
 
@@ -140,10 +283,30 @@ def _best_of_blocks(wanted: DataFrame, held: DataFrame, k: int, key: str) -> Dat
 
     ``wanted``: block, query_id, term, weight.  ``held``: block, key, term, value, a posting once: a
     block's postings meet its queries inside the task, so no row a query and posting is made.
+    They go there as compressed streams.
     """
+    kinds = pa.schema([(key, pa.string()), ("term", pa.string()), ("value", pa.float64())])
+
+    def packed(batches):
+        tables, n = [], 0
+        for batch in batches:
+            columns = [batch.column(i).dictionary_encode() for i in (1, 2, 3)]
+            tables.append(pa.table([batch.column(0), *columns], names=["block", *kinds.names]))
+            n += batch.num_rows
+            if n >= PACKED:
+                yield dealt(tables)
+                tables, n = [], 0
+        if n:
+            yield dealt(tables)
+
+    def dealt(tables):
+        rows = pa.concat_tables(tables).unify_dictionaries().combine_chunks()
+        return _dealt(rows.drop_columns(["block"]), rows["block"].to_numpy(), "block")
+
     schema = T.StructType([wanted.schema["query_id"], held.schema[key], T.StructField("score", T.DoubleType())])
 
-    def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
+    def best(asked: pa.Table, streams: pa.Table) -> pa.Table:
+        rows = pa.Table.from_batches([rows for held in streams["held"] for rows in _opened(held)], kinds)
         keys, terms = (rows[c].combine_chunks().dictionary_encode() for c in (key, "term"))
         names = keys.dictionary.take(order := pc.array_sort_indices(keys.dictionary))
         place = np.empty(len(order), np.int64)
@@ -173,7 +336,8 @@ def _best_of_blocks(wanted: DataFrame, held: DataFrame, k: int, key: str) -> Dat
         q, at, score = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.Table.from_arrays([ids.dictionary.take(pa.array(q)), names.take(pa.array(at)), pa.array(score)], names=schema.names)
 
-    return wanted.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(best, schema)
+    streams = held.select("block", key, "term", "value").mapInArrow(packed, "block int, held binary")
+    return wanted.groupBy("block").cogroup(streams.groupBy("block")).applyInArrow(best, schema)
 
 
 def bm25_blocks(
@@ -203,7 +367,8 @@ def bm25_blocks(
     def scored(pairs: DataFrame) -> DataFrame:
         wanted = weighed.join(pairs.select("query_id", "block"), "query_id")
         if of_query is None:
-            held = living(postings.join(wanted.select("term", "block").distinct(), ["term", "block"], "left_semi"))
+            held = postings.join(asked.select("term").distinct(), "term", "left_semi")  # by lists that are short beside the postings
+            held = living(held.join(pairs.select("block").distinct(), "block", "left_semi"))
             held = held.crossJoin(F.broadcast(stats.select("mean_length"))).select("block", key, "term", saturated("tf", "length").alias("value"))
             return _best_of_blocks(wanted.select("block", "query_id", "term", "weight"), held, k, key)
         met = postings.join(wanted, ["term", "block"]).join(of_query, "query_id")

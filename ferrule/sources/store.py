@@ -1,17 +1,21 @@
 """A keyed index on Parquet: documents, chunks and vectors by document, postings by term.
 
-Documents, chunks and vectors are divided into buckets by a hash of ``doc_id``.  A sync writes
-new generations of the buckets that hold changed or removed documents beside the old ones.
-Postings lie by a hash of the term, sorted by term, in segments: a sync adds one for the
-documents it has written, and a posting counts while the manifest names the generation its
-document was ``born`` in, so no posting of other documents is rewritten.  Beside them, a
-dictionary of the terms says of each block of postings how many there are and what they can
-weigh at most.  Last comes a version that says which generations and segments count.  A reader
-takes the newest version there is, so it sees a whole index before, during and after a sync,
-and after one that failed.
+Documents, chunks and vectors are divided into buckets by a hash of ``doc_id``, postings into
+parts by a hash of the term, sorted by term.  A bucket or part of a generation is one file or
+some, whose numbers are those of the tasks that wrote them.  A sync writes new generations of
+the buckets of documents (the manifest: hashes, metadata and access columns, a row a document)
+that hold changes.  Of chunks, vectors and postings it writes a segment with the rows of the
+documents that it has split; a row counts while the manifest names the generation its document
+was ``born`` in, so no row of other documents is written again.  Documents that have given way
+are also listed by themselves, for readers who need nothing else of the manifest.  Where there
+are more than ``SEGMENTS`` segments, they are merged.  Beside the postings, a dictionary of the
+terms says of each block of postings how many there are and what they can weigh at most.  Last
+comes a version that says which generations and segments count.  A reader takes the newest
+version there is, so it sees a whole index before, during and after a sync, and after one that
+failed.
 
 A document's content and its metadata (path, version, scopes, validity) have hashes of their
-own: where only the metadata has changed, the access columns are written anew, and nothing is
+own: where only the metadata has changed, the manifest alone is written anew, and nothing is
 split, tokenised or embedded.  A text that is embedded already, in whatever document, is not
 embedded again.
 """
@@ -38,18 +42,23 @@ from ..operators.plugins import embed
 from ..storage import materialise, names_in, remove
 from .documents import read_index
 
-#: Tables in buckets of documents, and tables in segments by term.
+#: Tables in buckets of documents, and tables in parts by term.
 BUCKETED, BY_TERM = ("documents", "chunks", "vectors"), ("postings", "terms")
-#: Bytes of documents a bucket is meant to hold, and files a bucket is written in at most.
-BUCKET_BYTES, BUCKET_FILES = 512 << 20, 8
+#: What this kind of store is called in its versions; one of an earlier kind is written anew by its next sync.
+KIND = 5
+#: Bytes of documents a bucket is meant to hold, and those whose chunks share a file of it.
+BUCKET_BYTES, FILE_BYTES = 512 << 20, 8 << 20
 #: Bytes of documents whose terms share a part of the postings, and whose chunks a block of them.
 PART_BYTES, BLOCK_BYTES = 16 << 20, 4 << 20
-#: Segments of postings that a reader looks through at most; one more and they are merged.
+#: Segments that a reader looks through at most; one more and they are merged.
 SEGMENTS = 8
 #: Asked terms up to which the scan of the postings is told their names.
 NAMED_TERMS = 1_000
 _ACCESS = ("scopes", "from_day", "to_day")
 _METADATA = ("source_path", "version", "permission_scope", "effective_from", "effective_to")
+#: Columns of the manifest beside ``doc_id``, and of the stored chunks.
+_MANIFEST = "content_hash string, shape_hash string, metadata_hash string, embedding_model string, updated_at timestamp, born long, " + ", ".join(f"{c} string" for c in _METADATA) + ", scopes array<string>, from_day int, to_day int"
+_CHUNK = ("chunk_id", "parent_id", "doc_id", "chunk_no", "title_path", "text", "token_count", "terms", "n_terms", "born")
 
 
 def diff(current: DataFrame, stored: DataFrame) -> DataFrame:
@@ -96,10 +105,16 @@ def restate(stored: DataFrame, updates: DataFrame, key: str = "doc_id") -> DataF
 
 def build_chunks(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Chunks with their document's access columns, all from one pass over the documents."""
-    sections = split_sections(docs)
-    chunks = section_chunks(sections, config.chunk_chars, config.overlap_chars, config.paragraph_delimiter)
-    kept = docs.select("doc_id", "permission_scope", "effective_from", "effective_to", "source_path", "version")
-    return with_access_columns(chunks.join(kept, "doc_id"))
+    return with_access_columns(_split(docs, config, ("permission_scope", "effective_from", "effective_to", "source_path", "version")))
+
+
+def _split(docs: DataFrame, config: EngineConfig, carry: tuple[str, ...] = ()) -> DataFrame:
+    return section_chunks(split_sections(docs, carry=carry), config.chunk_chars, config.overlap_chars, config.paragraph_delimiter, carry)
+
+
+def _completed(rows: DataFrame, columns: str) -> DataFrame:
+    """``rows`` with those of the columns that they lack, as null."""
+    return rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in T.StructType.fromDDL(columns) if f.name not in rows.columns})
 
 
 @dataclass(frozen=True)
@@ -161,36 +176,67 @@ class IndexStore:
         return held
 
     def read(self, name: str, among: list[int] | None = None) -> DataFrame:
-        """A table of the newest version, or some of its buckets or parts."""
+        """The files of a table in the newest version, or of some of its buckets or parts; rows of documents that have given way among them."""
         held = self._held(name)
         schema = T.StructType.fromJson(held["schema"])
-        placed = held["generation"].items() if name in BUCKETED else [(b, g) for g, parts in held["segments"] for b in parts]
-        parts = [f"{self.path}/{name}/gen={g:09d}/bucket={b}" for b, g in placed if among is None or int(b) in among]
+        if self._is_named(held):
+            own = [(g, [i for i in numbers if among is None or i // files in among]) for g, files, numbers in held["segments"]]
+            parts = [f"{self.path}/{name}/gen={g:09d}/part-{{{','.join(f'{i:05d}' for i in numbers)}}}-*" for g, numbers in own if numbers]
+        else:
+            placed = held["generation"].items() if name in BUCKETED else [(b, g) for g, parts in held["segments"] for b in parts]
+            parts = [f"{self.path}/{name}/gen={g:09d}/bucket={b}" for b, g in placed if among is None or int(b) in among]
         if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*parts).select(*schema.names)
+        return self.spark.read.schema(schema).parquet(*parts).select(*schema.names)
+
+    @staticmethod
+    def _is_named(held: dict) -> bool:
+        """Whether a table's buckets or parts are told by names of files: [generation, files a bucket, numbers].  Earlier kinds have a folder each."""
+        return "generation" not in held and all(len(segment) == 3 for segment in held["segments"])
+
+    def _is_earlier(self) -> bool:
+        version = self._version()
+        return bool(version) and version.get("facts", {}).get("kind") != KIND
 
     def manifest(self) -> DataFrame:
         return self.read("documents")
 
+    def _living(self, rows: DataFrame, among: list[int] | None = None) -> DataFrame:
+        """Rows (doc_id, born) of documents as they are now, with their documents' metadata and access columns."""
+        return rows.join(self.read("documents", among).select("doc_id", "born", *_METADATA, *_ACCESS), ["doc_id", "born"])
+
+    def _left(self, rows: DataFrame) -> DataFrame:
+        """Rows (doc_id, born) without those of documents that have given way since; the list of these is short beside the manifest."""
+        gone = self._held("gone")
+        if not gone["segments"]:
+            return rows
+        schema = T.StructType.fromJson(gone["schema"])
+        return rows.join(self.spark.read.schema(schema).parquet(*[f"{self.path}/gone/gen={g:09d}" for g in gone["segments"]]), ["doc_id", "born"], "left_anti")
+
     def chunks(self) -> DataFrame:
-        return self.read("chunks")
+        """Chunks of all documents as they are now, with their documents' metadata and access columns."""
+        now = self.pinned()
+        rows = now.read("chunks")
+        return rows if now._is_earlier() else now._living(rows).select(*[c for c in _CHUNK if c != "born"], *_METADATA, *_ACCESS)
 
-    def _living(self, postings: DataFrame) -> DataFrame:
-        """Postings of documents as they are now, with their documents' access columns."""
-        return postings.join(self.manifest().select("doc_id", "born", *_ACCESS), ["doc_id", "born"])
+    def _postings(self, among: list[int] | None = None) -> DataFrame:
+        if self._is_earlier():
+            raise ValueError(f"{self.path} is of an earlier kind; a sync brings it up to date")
+        return self.read("postings", among).withColumns({"chunk_id": F.concat(F.col("doc_id").cast("string"), "place"), "tf": F.col("tf").cast("long"), "length": F.col("length").cast("long")})
 
     def postings(self) -> DataFrame:
         """(chunk_id, term, tf, length, doc_id) of all documents as they are now."""
-        born = self.manifest().select("doc_id", "born")
-        return self.read("postings").join(born, ["doc_id", "born"], "left_semi").select("chunk_id", "term", "tf", "length", "doc_id")
+        now = self.pinned()
+        return now._left(now._postings()).select("chunk_id", "term", "tf", "length", "doc_id")
 
     def vectors(self) -> DataFrame:
-        """(chunk_id, doc_id, vector) and the access columns, as embedded when the document last changed."""
-        held = self._version().get("vectors")
+        """(chunk_id, doc_id, vector) as embedded when the document last changed, and the access columns."""
+        now = self.pinned()
+        held = now._version().get("vectors")
         if held and held["identity"] != self.identity:
             raise ValueError(f"{self.path} was embedded by {held['identity']}, not by {self.identity}")
-        return self.read("vectors").drop("text_hash")
+        rows = now.read("vectors").drop("text_hash")
+        return rows if now._is_earlier() else now._living(rows).select("chunk_id", "vector", "doc_id", *_ACCESS)
 
     def hydrate(self, ids: DataFrame) -> DataFrame:
         """The stored rows of the asked ``chunk_id``, each once; unknown ids are absent."""
@@ -213,7 +259,7 @@ class IndexStore:
     def _parts_of(self, terms: DataFrame) -> list[int]:
         """Which parts of the postings hold some terms: numbers, at most as many as there are parts."""
         n = self._held("postings")["buckets"]
-        return [r.b for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(n)).cast("int").alias("b")).distinct().collect()]
+        return [r.b for r in terms.select(lexical.part_of("term", n).alias("b")).distinct().collect()]
 
     def recall(self, queries: DataFrame, k: int, variant: str = "plain", seen=None) -> DataFrame:
         """(query_id, chunk_id, score, rank): the ``k`` best chunks by BM25 among those that pass ``seen``.
@@ -222,23 +268,23 @@ class IndexStore:
         Only the parts of the postings and of the dictionary that hold asked terms are read, and
         of a query's blocks only those that can still reach its ``k`` best.
         """
+        now = self.pinned()
         asked = materialise(lexical.query_terms(queries), "asked")
         terms = asked.select("term").distinct()
-        parts = self._parts_of(terms)
+        parts = now._parts_of(terms)
         named = [r.term for r in terms.limit(NAMED_TERMS + 1).collect()]
         test = F.col("term").isin(named) if 0 < len(named) <= NAMED_TERMS else F.lit(True)
-        blocks = self.read("terms", parts).where(test).join(terms, "term", "left_semi")
+        blocks = now.read("terms", parts).where(test).join(terms, "term", "left_semi")
         who = [c for c in queries.columns if c != "query"]
 
         def living(met):
-            met = self._living(met)
-            return met if seen is None else met.where(seen)
+            return now._left(met) if seen is None else now._living(met).where(seen)
 
         of_query = queries.select(*who) if len(who) > 1 else None
-        return lexical.bm25_blocks(asked, blocks, self.read("postings", parts).where(test), living, self.statistics(), k, variant, of_query=of_query)
+        return lexical.bm25_blocks(asked, blocks, now._postings(parts).where(test), living, now.statistics(), k, variant, of_query=of_query)
 
     def reset(self) -> None:
-        for name in (*BUCKETED, *BY_TERM, "versions", "changes", "incoming", "claims"):
+        for name in (*BUCKETED, *BY_TERM, "gone", "versions", "changes", "incoming", "claims"):
             remove(self.spark, f"{self.path}/{name}")
         if self.mirror:
             self.mirror.reset()
@@ -249,12 +295,17 @@ class IndexStore:
         for name, held in self._version().items():
             if name == "facts":
                 continue
-            placed = held["generation"].items() if name in BUCKETED else [(b, g) for g, parts in held["segments"] for b in parts]
-            live = {f"gen={g:09d}/bucket={b}" for b, g in placed}
+            if name == "gone":
+                live = {(f"gen={g:09d}", None) for g in held["segments"]}
+            elif self._is_named(held):
+                live = {(f"gen={g:09d}", f"part-{i:05d}") for g, _, numbers in held["segments"] for i in numbers}
+            else:
+                placed = held["generation"].items() if name in BUCKETED else [(b, g) for g, parts in held["segments"] for b in parts]
+                live = {(f"gen={g:09d}", f"bucket={b}") for b, g in placed}
             for gen in names_in(self.spark, f"{self.path}/{name}"):
-                for bucket in names_in(self.spark, f"{self.path}/{name}/{gen}"):
-                    if bucket.startswith("bucket=") and f"{gen}/{bucket}" not in live:
-                        remove(self.spark, f"{self.path}/{name}/{gen}/{bucket}")
+                for file in names_in(self.spark, f"{self.path}/{name}/{gen}"):
+                    if file.startswith(("bucket=", "part-")) and not {(gen, None), (gen, "-".join(file.split("-")[:2]))} & live:
+                        remove(self.spark, f"{self.path}/{name}/{gen}/{file}")
                         gone += 1
         return gone
 
@@ -284,9 +335,9 @@ class IndexStore:
     def _embedded(self, chunks: DataFrame) -> DataFrame:
         """Vectors of chunks.  A plugged-in embedder is sent each text once, and none that the index holds a vector of."""
         if self.embedder is None:
-            found = hash_embeddings(chunks.withColumnRenamed("chunk_id", "key"), "key", "terms", self.config.dimensions, carry=("doc_id", *_ACCESS))
+            found = hash_embeddings(chunks.withColumnRenamed("chunk_id", "key"), "key", "terms", self.config.dimensions, carry=("doc_id", "born"))
             return found.withColumnRenamed("key", "chunk_id").withColumn("text_hash", F.lit(None).cast("string"))
-        facts = chunks.select("chunk_id", "doc_id", *_ACCESS)
+        facts = chunks.select("chunk_id", "doc_id", "born")
         named = chunks.select("chunk_id", F.sha2("text", 256).alias("text_hash"))
         texts = chunks.groupBy(F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"))
         known = None
@@ -299,59 +350,52 @@ class IndexStore:
         made = embed(texts, "key", "text", self.embedder, self.config.dimensions).withColumnRenamed("key", "text_hash")
         made = materialise(made.select("text_hash", "vector"), "vectors")
         found = made if known is None else made.unionByName(known.select("text_hash", F.col("vector").cast(made.schema["vector"].dataType).alias("vector")))
-        return named.join(found, "text_hash").join(facts, "chunk_id").select("chunk_id", "vector", "doc_id", *_ACCESS, "text_hash")
+        return named.join(found, "text_hash").join(facts, "chunk_id").select("chunk_id", "vector", "doc_id", "born", "text_hash")
 
     def _manifest(self, docs: DataFrame, gen: int) -> DataFrame:
-        told = ("doc_id", "source_path", "content_hash", "shape_hash", "metadata_hash", "embedding_model")
-        return with_access_columns(docs).select(*told, F.current_timestamp().alias("updated_at"), F.lit(gen).cast("long").alias("born"), *_ACCESS)
+        docs = with_access_columns(docs).withColumns({"updated_at": F.current_timestamp(), "born": F.lit(gen).cast("long")})
+        return docs.select("doc_id", *T.StructType.fromDDL(_MANIFEST).names)
 
-    def _by_term(self, chunks: DataFrame, sign: int, gen: int, ranges: int) -> tuple[DataFrame, DataFrame]:
-        """Postings of chunks and their blocks in the dictionary; with ``sign`` -1 what they take from its counts."""
-        block = F.pmod(F.xxhash64("chunk_id"), F.lit(ranges)).cast("int")
-        rows = lexical.postings(chunks, carry=("doc_id",)).withColumns({"block": block, "born": F.lit(gen).cast("long")})
-        counted = rows.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
-        if sign < 0:
-            nothing = F.lit(None).cast("long")
-            counted = counted.select("term", "block", (-F.col("n")).alias("n"), nothing.alias("most_tf"), nothing.alias("least_length"))
-        return rows.select("term", "block", "chunk_id", "doc_id", "tf", "length", "born"), counted
-
-    def _write(self, name: str, rows: DataFrame, bucket, gen: int, *order: str) -> dict[str, int]:
-        """Write a generation of a table; its buckets."""
+    def _write(self, name: str, rows: DataFrame, gen: int) -> list[int]:
+        """Write a generation of a table, a file a task; the numbers of its files."""
         path = f"{self.path}/{name}/gen={gen:09d}"
-        if order:
-            rows = rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", *order)
-        else:
-            rows = rows.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(BUCKET_FILES)))
-        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
-        return {b.removeprefix("bucket="): gen for b in names_in(self.spark, path) if b.startswith("bucket=")}
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return sorted({int(f.split("-")[1]) for f in names_in(self.spark, path) if f.startswith("part-")})
+
+    def _written(self, name: str, gen: int, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/gen={gen:09d}")
 
     def _commit(self, gen: int, fresh: DataFrame, keys: DataFrame | None, restated: DataFrame | None = None, made: dict[str, DataFrame] | None = None) -> None:
         """Version ``gen``: documents with ``keys`` (None: all there are) give way to ``fresh``, ``restated`` ones get their metadata.
 
         ``made`` holds the new rows of the tables in buckets where there are such already (a mirror's).
         """
-        old = {} if keys is None else self._version()
-        incoming = f"{self.path}/incoming/gen={gen:09d}"
-        chunks = made["chunks"] if made else build_chunks(fresh, self.config).withColumn("n_terms", F.size("terms"))
-        chunks.write.mode("overwrite").option("compression", "zstd").parquet(incoming)  # split and tokenised once
-        chunks = self.spark.read.schema(chunks.schema).parquet(incoming)
-        counted = lambda rows: [x or 0 for x in rows.agg(F.count("*"), F.sum("n_terms")).first()]
-        number = counted(chunks)
-        earlier = bool(old) and "facts" not in old  # a store of an earlier kind: what it lacks is made from its chunks
+        before = self.pinned()
+        old = {} if keys is None else before._version()
+        earlier = bool(old) and before._is_earlier()  # all it holds is written anew, as of generation 0
+        merged = earlier or (bool(old) and len(old["chunks"]["segments"]) >= SEGMENTS)
+        n_bytes = 0
+        if merged or not old:
+            sizes = [before.read("chunks").select("text")] if old else []
+            sizes += [made["chunks"].select("text") if made else fresh.select(F.col("body").alias("text"))]
+            n_bytes = sum(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for rows in sizes)
         if old and not earlier:
             n, parts, ranges = old["documents"]["buckets"], old["postings"]["buckets"], old["facts"]["ranges"]
         else:
-            n_bytes = (self.read("chunks") if earlier else chunks).agg(F.sum(F.octet_length("text"))).first()[0] or 0
             share = lambda size: max(1, -(-n_bytes // size))
             n, parts, ranges = old["documents"]["buckets"] if old else self.buckets or share(BUCKET_BYTES), max(16, share(PART_BYTES)), max(16, share(BLOCK_BYTES))
+        cores = self.spark.sparkContext.defaultParallelism
+        files = max(-(-cores // n), -(-n_bytes // (n * FILE_BYTES)), 0 if merged or not old else old["chunks"]["segments"][0][1] // 4)
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+        place = (bucket * files + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(files))).cast("int")
+        dealt = lambda rows: rows.repartitionById(n * files, place)
+        block = F.pmod(F.xxhash64("chunk_id"), F.lit(ranges)).cast("int")
         numbers = lambda ids: [r.b for r in ids.select(bucket.alias("b")).distinct().collect()]  # noqa: E731  at most as many as there are buckets
+        counted = lambda rows: [x or 0 for x in rows.agg(F.count("*"), F.sum("n_terms")).first()]
+        new = F.lit(gen).cast("long")
 
-        if made:
-            made = {**made, "chunks": chunks, "documents": made["documents"].withColumn("born", F.lit(gen).cast("long"))}
-        else:
-            made = {"documents": self._manifest(fresh, gen), "chunks": chunks, "vectors": self._embedded(chunks)}
-        gone = touched = updates = None
+        touched = updates = gone = None
+        stored = {}
         if old:
             keys = keys.select("doc_id").distinct()
             ids = keys
@@ -359,50 +403,91 @@ class IndexStore:
                 ids = keys.unionByName(restated.select("doc_id"))
                 updates = with_access_columns(restated).select("doc_id", *_METADATA, *_ACCESS, "metadata_hash", "shape_hash", F.current_timestamp().alias("updated_at"))
                 updates = materialise(updates, "restated")
-            touched = numbers(ids)
-            gone = materialise(self.read("chunks", touched).join(keys, "doc_id", "left_semi").select("chunk_id", "doc_id", "terms", "n_terms"), "gone")
-            before = counted(self.read("chunks")) if earlier else (old["facts"]["n_rows"], old["facts"]["n_terms"])
-            number = [a + b - c for a, b, c in zip(before, number, counted(gone), strict=True)]
-        version = {"facts": {"n_rows": number[0], "n_terms": number[1], "ranges": ranges}}
-        for name in BUCKETED:
-            rows, held = made[name], dict(old[name]["generation"]) if old else {}
-            if old:
-                stored = self.read(name, None if earlier else touched)
-                for column in rows.schema:  # a store of an earlier kind has fewer columns
-                    if column.name not in stored.columns:
-                        stored = stored.withColumn(column.name, F.lit(0 if column.name == "born" else None).cast(column.dataType))
-                stored = stored.join(keys, "doc_id", "left_anti")
-                stored = restate(stored, updates) if updates is not None else stored
-                rows = stored.select(*rows.columns).unionByName(rows)
-                held = {} if earlier else {b: g for b, g in held.items() if int(b) not in touched}
-            held |= self._write(name, rows, bucket, gen)
-            version[name] = {"schema": json.loads(rows.schema.json()), "buckets": n, "generation": held, "identity": self.identity}
-            if name == "documents":
-                kept = old[name].get("digests", {}) if old and not earlier else {}
-                written = [f"{self.path}/{name}/gen={gen:09d}/bucket={b}" for b, g in held.items() if g == gen]
-                now = _digests(self.spark.read.schema(rows.schema).option("basePath", f"{self.path}/{name}/gen={gen:09d}").parquet(*written)) if written else {}
-                version[name]["digests"] = {b: d for b, d in kept.items() if b in held} | now
-
-        part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
-        postings, terms = self._by_term(chunks, 1, gen, ranges)
-        segments = {name: list(old[name]["segments"]) if old and not earlier else [] for name in BY_TERM}
-        if gone is not None:
-            terms = terms.unionByName(self._by_term(gone, -1, gen, ranges)[1])
-        if earlier or len(segments["postings"]) >= SEGMENTS:  # merged: all chunks as they are now
-            whole = copy.copy(self)
-            whole._pinned = version
-            postings, terms = self._by_term(whole.read("chunks"), 1, gen, ranges)
-            born = whole.read("documents").select("doc_id", "born")
-            postings = postings.drop("born").join(born, "doc_id").select(*postings.columns)
-            segments = {name: [] for name in BY_TERM}
-        for name, rows in (("postings", postings), ("terms", terms)):
-            written = sorted(self._write(name, rows, part, gen, "term", "block"))
-            segments[name] += [[gen, written]] if written else []
-            version[name] = {"schema": json.loads(rows.schema.json()), "buckets": parts, "segments": segments[name]}
+            touched = None if earlier else numbers(ids)
+            stored = {name: before.read(name, touched if name == "documents" or not merged else None) for name in BUCKETED}
+            if earlier:
+                stored = self._of_now(stored)
+            else:
+                gone = stored["documents"].join(keys, "doc_id", "left_semi").select("doc_id", "born")
+                gone.write.mode("overwrite").parquet(f"{self.path}/gone/gen={gen:09d}")
+                gone = self._written("gone", gen, gone.schema)
+        kept = lambda name: stored[name].join(keys, "doc_id", "left_anti")
+        living = lambda name: kept(name) if earlier else before._left(kept(name))
+
+        if made:
+            chunks = dealt(made["chunks"].withColumn("born", new).select(*_CHUNK))
+        else:  # dealt out before they are split, so that chunks are written where they come from
+            chunks = _split(dealt(fresh.select("doc_id", "title", "body")), self.config).withColumns({"n_terms": F.size("terms"), "born": new}).select(*_CHUNK)
+        if merged:
+            chunks = dealt(living("chunks").select(*_CHUNK).unionByName(chunks))
+        of_chunks = [gen, files, self._write("chunks", chunks, gen)]
+        chunks = self._written("chunks", gen, chunks.schema)
+        found = counted(chunks)
+        if old and not merged:
+            facts, lost = old["facts"], counted(stored["chunks"].join(gone, ["doc_id", "born"], "left_semi"))
+            found = [facts[c] + a - b for c, a, b in zip(("n_rows", "n_terms"), found, lost, strict=True)]
+        version = {"facts": {"n_rows": found[0], "n_terms": found[1], "ranges": ranges, "kind": KIND}}
+        segments = {name: list(old[name]["segments"]) if old and not merged else [] for name in ("chunks", "vectors", *BY_TERM)}
+
+        if made:
+            vectors = made["vectors"].withColumn("born", new)
+        else:
+            vectors = self._embedded(chunks.where(F.col("born") == gen) if merged else chunks)
+        vectors = _completed(vectors, "text_hash string").select("chunk_id", "vector", "doc_id", "born", "text_hash")
+        if merged:
+            vectors = living("vectors").select(*vectors.columns).unionByName(vectors)
+        of_vectors = [gen, files, self._write("vectors", dealt(vectors), gen)]
+
+        rows = made["documents"].withColumn("born", new) if made else self._manifest(fresh, gen)
+        rows = _completed(rows, _MANIFEST).select("doc_id", *T.StructType.fromDDL(_MANIFEST).names)
+        if old:
+            left = kept("documents")
+            rows = (restate(left, updates) if updates is not None else left).select(*rows.columns).unionByName(rows)
+        written = self._write("documents", rows.repartitionById(n, bucket), gen)
+        written = written if touched is None else [b for b in written if b in touched]
+        held = [[g, 1, [b for b in own if b not in touched]] for g, _, own in old["documents"]["segments"]] if touched is not None else []
+        held = [segment for segment in held if segment[2]] + [[gen, 1, written]]
+        digests = {b: d for b, d in old["documents"].get("digests", {}).items() if int(b) not in touched} if touched is not None else {}
+        version["documents"] = {"schema": json.loads(rows.schema.json()), "buckets": n, "segments": held, "identity": self.identity}
+        version["documents"]["digests"] = digests | _digests(self._written("documents", gen, rows.schema).withColumn("bucket", bucket))
+        for name, table, segment in (("chunks", chunks, of_chunks), ("vectors", vectors, of_vectors)):
+            version[name] = {"schema": json.loads(table.schema.json()), "buckets": n, "segments": segments[name] + [segment], "identity": self.identity}
+        if gone is None or merged:
+            version["gone"] = {"schema": json.loads(rows.select("doc_id", "born").schema.json()), "segments": []}
+        else:
+            version["gone"] = {**old["gone"], "segments": old["gone"]["segments"] + [gen]}
+
+        placed = chunks.withColumns({"place": F.substr("chunk_id", F.length(F.col("doc_id").cast("string")) + 1), "block": block})
+        postings = lexical.unpacked_postings(lexical.packed_postings(placed, parts).repartitionById(parts, F.col("part")), rows.schema["doc_id"].dataType.simpleString())
+        postings = postings.sortWithinPartitions("term", "block", "doc_id")
+        of_terms = {"postings": [gen, 1, self._write("postings", postings, gen)]}
+        terms = lexical.block_counts(self._written("postings", gen, postings.schema))
+        if old and not merged:
+            lost = lexical.lost_counts(stored["chunks"].join(gone, ["doc_id", "born"], "left_semi").withColumn("block", block))
+            terms = terms.unionByName(_completed(lost, "most_tf long, least_length long"))
+        of_terms["terms"] = [gen, 1, self._write("terms", terms.repartitionById(parts, lexical.part_of("term", parts)).sortWithinPartitions("term", "block"), gen)]
+        for name, table in (("postings", postings), ("terms", terms)):
+            version[name] = {"schema": json.loads(table.schema.json()), "buckets": parts, "segments": segments[name] + [of_terms[name]]}
         # the switch: Spark marks the folder as done when its only file is whole
         rows = [(name, json.dumps(held)) for name, held in version.items()]
         self.spark.createDataFrame(rows, "name string, held string").coalesce(1).write.mode("error").json(f"{self.path}/versions/gen={gen:09d}")
-        remove(self.spark, incoming)
+
+    def _rows(self, among: list[int] | None = None) -> dict[str, DataFrame]:
+        """The tables in buckets with the rows of documents as they are now, as they are written now."""
+        stored = {name: self.read(name, among) for name in BUCKETED}
+        return self._of_now(stored) if self._is_earlier() else stored | {name: self._left(stored[name]) for name in ("chunks", "vectors")}
+
+    @staticmethod
+    def _of_now(stored: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Tables of a store of an earlier kind, where chunks had the metadata of their documents, as they are written now."""
+        documents, chunks, zero = stored["documents"], stored["chunks"], F.lit(0).cast("long")
+        lacking = [c for c in (*_METADATA, *_ACCESS) if c not in documents.columns and c in chunks.columns]
+        if lacking:
+            told = chunks.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in lacking])
+            documents = documents.join(told, "doc_id", "left")
+        chunks = chunks if "n_terms" in chunks.columns else chunks.withColumn("n_terms", F.size("terms"))
+        found = {"documents": _completed(documents, _MANIFEST), "chunks": chunks, "vectors": _completed(stored["vectors"], "text_hash string")}
+        return {name: rows.withColumn("born", zero) for name, rows in found.items()}
 
     def follow(self, primary: IndexStore) -> None:
         """Take over the rows of documents that ``primary`` holds otherwise, vectors and all."""
@@ -425,7 +510,7 @@ class IndexStore:
                     return
             else:
                 self.buckets = self.buckets or primary._held("documents")["buckets"]
-            rows = {name: primary.read(name, differing) for name in BUCKETED}
+            rows = primary._rows(differing)
             if keys is not None:
                 rows = {name: part.join(keys, "doc_id", "left_semi").select(*part.columns) for name, part in rows.items()}
             self._commit(gen, rows["documents"], keys, made=rows)
@@ -486,14 +571,14 @@ class IndexStore:
             self._changes(docs, gone, whole).write.mode("overwrite").parquet(path)  # kept beside the index, as long as the documents' list is long
             changes = self.spark.read.schema("doc_id " + self._id_type(docs) + ", change string").parquet(path)
             number = {r.change: r["n"] for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}
-            if number or not there:
+            if number or not there or self._is_earlier():
                 if docs is None:  # documents only go: what comes in is an empty table of the right kind
                     fresh, restated = None, None
                 else:
                     of_kind = lambda *kinds: docs.join(changes.where(F.col("change").isin(*kinds)).select("doc_id"), "doc_id", "left_semi")
                     fresh, restated = of_kind("added", "changed") if there else docs, of_kind("restated") if "restated" in number else None
                 keys = changes.where("change <> 'restated'").select("doc_id") if there else None
-                made = {name: self.read(name).limit(0) for name in BUCKETED} if fresh is None else None
+                made = {name: rows.limit(0) for name, rows in self._rows().items()} if fresh is None else None
                 self._commit(gen, fresh, keys, restated, made)
         if self.mirror:
             self.mirror.follow(self)

@@ -322,3 +322,56 @@ def test_what_is_the_same_is_told_from_digests(spark, tmp_path, monkeypatch):
     read.clear()
     mirror.follow(index)
     assert [n for n, among in read if n == "documents" and among is not None] == []
+
+
+def test_a_sync_writes_rows_of_split_documents_only(spark, tmp_path):
+    """Chunks and vectors of other documents are not written again, and no text or vector for new metadata."""
+    index = store.IndexStore(spark, str(tmp_path / "index"), EngineConfig(dimensions=4), buckets=1)
+    rows = [(f"d{i}", f"text number {i}") for i in range(30)]
+    index.sync(documents(spark, *rows))
+    written = lambda name, gen: sorted({r.doc_id for r in spark.read.parquet(f"{index.path}/{name}/gen={gen:09d}").select("doc_id").collect()})
+    rows[3] = ("d3", "another text")
+    index.sync(documents(spark, *rows[:29]))
+    assert written("chunks", 2) == written("vectors", 2) == written("postings", 2) == ["d3"]
+    rows[4] = ("d4", "text number 4", "finance")
+    assert index.sync(documents(spark, *rows[:29])).restated == 1
+    assert written("chunks", 3) == written("vectors", 3) == written("postings", 3) == []
+    for name in ("chunks", "vectors", "postings"):
+        assert {r.doc_id for r in getattr(index, name)().collect()} == {f"d{i}" for i in range(29)}, name
+    for found in (index.chunks(), index.vectors()):
+        assert {r.doc_id: r.scopes for r in found.collect()} == {f"d{i}": ["finance" if i == 4 else "public"] for i in range(29)}
+    assert index.count() == index.chunks().count() == index.vectors().count() == 29
+
+
+def test_segments_of_chunks_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "SEGMENTS", 2)
+    index = store.IndexStore(spark, str(tmp_path / "index"), EngineConfig(dimensions=4), buckets=2)
+    held = []
+    for step in range(4):
+        rows = [(f"d{i}", f"text number {i} {step if i == step else ''}") for i in range(step, 8)]
+        index.sync(documents(spark, *rows))
+        held.append(len(index._held("chunks")["segments"]))
+        assert {r.doc_id for r in index.chunks().collect()} == {r.doc_id for r in index.vectors().collect()} == {r[0] for r in rows}
+        assert index.count() == len(rows)
+    assert held == [1, 2, 1, 2]
+    assert index.read("vectors").count() < 12 and index.vacuum() > 0 and index.chunks().count() == 5
+
+
+@pytest.mark.parametrize("packed", [7, 10_000])
+def test_packed_postings_equal_plain_ones(spark, monkeypatch, packed):
+    """Dealt out by part and packed, postings take few rows; unpacked, they are those that a row a posting says."""
+    monkeypatch.setattr(lexical, "PACKED", packed)
+    r = random.Random(3)
+    rows = [(f"{d}:c{c}", d, f":c{c}", [f"w{int(r.paretovariate(0.6)) % 60}" for _ in range(r.randrange(0, 40))], 5, c % 3) for d in range(40) for c in range(d % 4)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id long, place string, terms array<string>, born long, block int")
+    held = lexical.packed_postings(chunks, 8).repartitionById(8, F.col("part"))
+    assert packed < 100 or held.count() <= 8 * chunks.rdd.getNumPartitions()
+    found = lexical.unpacked_postings(held, "bigint").withColumn("part", F.spark_partition_id())
+    wanted = lexical.postings(chunks, carry=("doc_id", "block")).select(F.concat(F.col("doc_id"), F.substr("chunk_id", F.length("doc_id") + 1)).alias("chunk_id"), "term", "tf", "length", "block")
+    assert sorted(map(tuple, found.select(F.concat("doc_id", "place"), "term", "tf", "length", "block").collect())) == sorted(map(tuple, wanted.collect()))
+    assert found.where(F.col("part") != lexical.part_of("term", 8)).count() == 0
+    said = lambda df: {(x.term, x.block): tuple(x)[2:] for x in df.collect()}
+    agg = (F.sum("n").alias("n"), F.max("most_tf").alias("most_tf"), F.min("least_length").alias("least_length"))
+    plain = wanted.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
+    assert said(lexical.block_counts(found).groupBy("term", "block").agg(*agg)) == said(plain)
+    assert said(lexical.lost_counts(chunks).groupBy("term", "block").agg(F.sum(-F.col("n")).alias("n"))) == said(plain.select("term", "block", "n"))
