@@ -405,3 +405,12 @@ def test_blocks_meet_their_queries_without_a_row_a_posting_and_query(spark):
     order = Window.partitionBy("block", "query_id").orderBy(F.desc(lexical.score_key()), "key")
     plain = summed.withColumn("n", F.row_number().over(order)).where("n <= 4").select("query_id", "key", "score")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() == 56
+
+
+def test_postings_go_to_their_blocks_packed(spark):
+    """What is shuffled to the blocks is a stream a block and task, not a row a posting."""
+    held = spark.range(3_000).select((F.col("id") % 3).cast("int").alias("block"), F.concat(F.lit("c"), "id").alias("key"), F.lit("x").alias("term"), (F.col("id") % 7 + 1.0).alias("value")).coalesce(1)
+    wanted = spark.createDataFrame([(b, 1, "x", 2.0) for b in range(3)], "block int, query_id long, term string, weight double")
+    got = lexical._best_of_blocks(wanted, held, 2, "key")
+    assert "held" in got._jdf.queryExecution().optimizedPlan().toString() and got.count() == 6
+    assert {r.score for r in got.collect()} == {14.0}
